@@ -97,3 +97,40 @@ def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[list[lis
 
 def ones(values, kind) -> pa.Array:
     return pa.array(values, type=kind)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep, per_class: int, seed: int) -> DataFrame:
+    """Documents (doc_id, text, y) of at most ``per_class`` label rows of each class.
+
+    Rows are picked by a hash of doc_id, so the pick does not depend on file
+    order. The picked ids number at most twice ``per_class``; that bound is
+    what makes it right to broadcast them, and texts are read in one scan.
+    """
+    rows = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & keep).select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("y"))
+    pick = lambda y: rows.where(F.col("y") == y).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(per_class)
+    ids = pick(0).unionByName(pick(1)).groupBy("doc_id").agg(F.max("y").alias("y"))
+    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return texts.join(F.broadcast(ids), "doc_id")
+
+
+def scored(docs: DataFrame, mapper, held_out, fields: str) -> DataFrame:
+    """``mapper`` over (doc_id, text) of all documents; ``held_out`` is computed by Spark."""
+    base = docs.select(F.col("doc_id").cast("long"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("text").cast("string"))
+    return base.mapInArrow(mapper, "doc_id long, held_out boolean, " + fields)
+
+
+class Adam:
+    def __init__(self, params: list[np.ndarray], rate: float):
+        self.params, self.rate, self.t = params, rate, 0
+        self.m, self.v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+
+    def step(self, grads: list[np.ndarray]) -> None:
+        self.t += 1
+        for p, g, m, v in zip(self.params, grads, self.m, self.v, strict=True):
+            m += 0.1 * (g - m)
+            v += 0.001 * (g * g - v)
+            p -= self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.999**self.t)) + 1e-8)
+
+
+def sigmoid(x):
+    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
