@@ -1,14 +1,77 @@
-"""The registered queries of the training-data operators: opN_<name>(spark, sf_dir)."""
+"""The registered queries of the training-data operators: opN_<name>(spark, sf_dir).
+
+Each applies its operator, with production parameters, to its whole table.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four distinct sampled segmentations of every text, with inclusion probabilities."""
+    from codeloom.llm.segmentation import sample_segmentations
+
+    return sample_segmentations(_table(spark, sf_dir, "documents"), digest=True)
+
+
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, formatted and read back from its format."""
+    from codeloom.llm.chat import chat_format, read_turns
+
+    planted = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("\\### Assistant: </turn> ok").alias("text"))
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
+    read = chat_format(rows).select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"), read_turns(F.col("formatted")).alias("turns"))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
+    loss = F.array_join(F.transform(F.filter("turns", lambda t: t.role == "assistant"), lambda t: t.text), "")
+    done = read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), told.alias("told"), loss.alias("loss"), "formatted_chars")
+    return done.select("conv_id", "n_turns", F.sha2(F.encode("told", "UTF-8"), 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.encode("loss", "UTF-8"), 256).alias("loss_sha256"), "formatted_chars")
+
+
+def op3_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edited text, with their likenesses."""
+    from codeloom.llm.fingerprint import fingerprints
+
+    return fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op4_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every text, learned from the labels that are not held out."""
+    from codeloom.llm import quality
+
+    docs = _table(spark, sf_dir, "documents")
+    return quality.quality(docs, quality.learn(docs, _table(spark, sf_dir, "labels")))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text, learned from the documents that are not held out."""
+    from codeloom.llm import language
+
+    docs = _table(spark, sf_dir, "documents")
+    return language.language(docs, language.learn(docs))
+
+
+def op6_disclosure_control(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text: base patterns and disclosing terms."""
+    from codeloom.llm import private_data
+
+    return private_data.spans(_table(spark, sf_dir, "documents"))
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence of 4096 tokens."""
+    from codeloom.llm.packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its class of near copies and its number of links."""
     from codeloom.llm.jaccard_join import jaccard_join
@@ -16,7 +79,40 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {
-    "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+def op9_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth vector."""
+    from codeloom.llm.neighbours import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
+def op10_factorization_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text, learned from the labels that are not held out."""
+    from codeloom.llm import toxicity
+
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.toxicity(docs, toxicity.learn(docs, _table(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_sentencepiece_sampling, op2_chat_formatting, op3_one_permutation_minhash, op4_attention_quality, op5_language_id,
+    op6_disclosure_control, op7_best_fit_packing, op8_ngram_jaccard_join, op9_projected_neighbours, op10_factorization_toxicity)}
+
+_ESC = r"replace(replace(replace(replace(text, '\', '\e'), '###', '\h'), '</turn>', '\t'), '</part>', '\p')"
+_ROLE = r"replace(replace(replace(replace(replace(replace(role, '\', '\e'), '###', '\h'), '</turn>', '\t'), '</part>', '\p'), ':', '\c'), chr(10), '\l')"
+ORACLES: dict[str, str] = {
+    "op2_chat_formatting": rf"""
+WITH given AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+turns AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k,
+         lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS was FROM given)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length({_ESC}) + CASE WHEN was = role THEN length('</part>')
+           ELSE length('### ') + length({_ROLE}) + length(':' || chr(10)) + length('</turn>' || chr(10)) END)::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id""",
 }
-ORACLES: dict[str, str] = {}
