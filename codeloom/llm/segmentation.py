@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm._shared import U64, mix64, rows_of
+from codeloom.llm._shared import U64, rows_of
 
 #: Words whose lattices a worker holds; lattice positions it holds.
 HELD_WORDS, HELD_STATES = 200_000, 2_000_000
@@ -25,6 +25,24 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+class Grown:
+    """An array that appends in amortised constant time; ``of`` is its filled part."""
+
+    def __init__(self, kind):
+        self.room, self.of = np.empty(1024, kind), np.empty(0, kind)
+
+    def append(self, *parts: np.ndarray) -> None:
+        n = len(self.of)
+        for p in parts:
+            if n + len(p) > len(self.room):
+                room = np.empty(2 * (n + len(p)), self.room.dtype)
+                room[:n] = self.room[:n]
+                self.room = room
+            self.room[n : n + len(p)] = p
+            n += len(p)
+        self.of = self.room[:n]
+
+
 class Lattice:
     """Lattices of words over a SentencePiece vocabulary, flattened into arrays.
 
@@ -86,10 +104,15 @@ class Lattice:
 
     def clear(self) -> None:
         self.start: dict[str, int] = {}
-        whole = lambda: np.empty(0, np.int64)
-        self.first, self.next, self.ids = whole(), whole(), whole()
-        self.cum, self.logp, self.rest = np.empty(0), np.empty(0), np.empty(0)
-        self.raw, self.raw_at = whole(), np.zeros(1, np.int64)
+        self._first, self._next, self._ids = Grown(np.int32), Grown(np.int32), Grown(np.int32)
+        self._cum, self._logp, self._rest = Grown(np.float32), Grown(np.float64), Grown(np.float32)
+        self._first.append(np.zeros(1, np.int32))
+        self.raw, self.raw_at = np.empty(0, np.int64), np.zeros(1, np.int64)
+        self._settle()
+
+    def _settle(self) -> None:
+        self.first, self.next, self.ids = self._first.of, self._next.of, self._ids.of
+        self.cum, self.logp, self.rest = self._cum.of, self._logp.of, self._rest.of
 
     def _add(self, words: list[str]) -> None:
         """Append the lattices of new words."""
@@ -153,11 +176,14 @@ class Lattice:
             at = heads[size > j] + j
             cum[at] += cum[at - 1]
         cum[heads + size - 1] = 2.0
-        base, arcs = len(self.first), len(self.ids)
-        self.first = np.r_[self.first[:-1] if base else self.first, arcs + heads, arcs + len(state)]
-        shift = base - 1 if base else 0
-        self.next = np.r_[self.next, np.where(inner, shift + state + length, -1)]
-        self.ids, self.logp, self.rest, self.cum = np.r_[self.ids, ids], np.r_[self.logp, logp], np.r_[self.rest, np.maximum(rest, 0)], np.r_[self.cum, cum]
+        shift, arcs = len(self.first) - 1, len(self.ids)
+        self._first.append(arcs + np.r_[heads[1:], len(state)])
+        self._next.append(np.where(inner, shift + state + length, -1))
+        self._ids.append(ids)
+        self._logp.append(logp)
+        self._rest.append(np.maximum(rest, 0))
+        self._cum.append(cum)
+        self._settle()
         for word, at in zip(words, (shift + np.cumsum(sizes) - sizes).tolist(), strict=True):
             self.start[word] = at
 
@@ -193,30 +219,48 @@ class Lattice:
         sort = np.argsort(place, kind="stable")
         return np.concatenate(arcs)[sort], place[sort]
 
-    def piece_ids(self, arcs: np.ndarray) -> np.ndarray:
+    def id_counts(self, arcs: np.ndarray) -> np.ndarray:
         ids = self.ids[arcs]
-        odd = np.flatnonzero(ids < 0)
-        if not len(odd):
-            return ids
-        run = -ids[odd] - 1
         n = np.ones(len(ids), np.int64)
-        n[odd] = self.raw_at[run + 1] - self.raw_at[run]
-        out = np.repeat(ids, n)
-        starts = np.cumsum(n) - n
-        inside = np.arange(int(n[odd].sum())) - np.repeat(np.cumsum(n[odd]) - n[odd], n[odd])
-        out[np.repeat(starts[odd], n[odd]) + inside] = self.raw[np.repeat(self.raw_at[run], n[odd]) + inside]
-        return out
+        odd = np.flatnonzero(ids < 0)
+        if len(odd):
+            run = -ids[odd] - 1
+            n[odd] = self.raw_at[run + 1] - self.raw_at[run]
+        return n
+
+    def piece_ids(self, arcs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of arcs, and where the ids of the arcs from each of ``starts`` begin, with their end."""
+        ids, n = self.ids[arcs].astype(np.int64), self.id_counts(arcs)
+        after = np.r_[0, np.cumsum(n)]
+        odd = np.flatnonzero(ids < 0)
+        out = ids
+        if len(odd):
+            run, m = -ids[odd] - 1, n[odd]
+            out = np.repeat(ids, n)
+            inside = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+            out[np.repeat(after[odd], m) + inside] = self.raw[np.repeat(self.raw_at[run], m) + inside]
+        return out, after[np.r_[starts, len(arcs)]]
 
     def rivals(self, arc: int) -> range:
         """All arcs of the state that ``arc`` starts at."""
-        state = int(np.searchsorted(self.first, arc, side="right")) - 1
+        state = int(self.first.searchsorted(np.int32(arc), side="right")) - 1
         return range(int(self.first[state]), int(self.first[state + 1]))
 
 
 def _uniform(keys: np.ndarray, number: int, kind: int, index: np.ndarray | int, step: int = 0) -> np.ndarray:
-    """Uniform numbers in (0, 1) from a text's key and what they are for."""
-    at = np.atleast_1d(np.asarray(index, np.uint64)) * U64(0x9E3779B97F4A7C15) + U64((number * 0xC2B2AE3D27D4EB4F + kind * 0x165667B19E3779F9 + step * 0xD6E8FEB86659FD93) % (1 << 64))
-    return ((mix64(mix64(at) ^ keys) >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53
+    """Uniform numbers in (0, 1): splitmix64 streams of a text's key, by what they are for."""
+    x = np.atleast_1d(np.asarray(index)).astype(np.uint64)
+    x *= U64(0x9E3779B97F4A7C15)
+    x = x + (keys + U64((number * 0xC2B2AE3D27D4EB4F + kind * 0x165667B19E3779F9 + step * 0xD6E8FEB86659FD93) % (1 << 64)))
+    for shift, odd in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x ^= x >> U64(shift)
+        x *= U64(odd)
+    x ^= x >> U64(31)
+    x >>= U64(11)
+    out = x.astype(np.float64)
+    out += 0.5
+    out *= 2.0**-53
+    return out
 
 
 def sample_batch(lattice: Lattice, texts: list[str], keys: list[int], k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
@@ -243,6 +287,10 @@ def sample_batch(lattice: Lattice, texts: list[str], keys: list[int], k: int) ->
     rounds = []  # by leaf: texts, starts, arcs, words ended, bounds (the queue), arcs barred at the last fixed place
     shared: dict[int, set[int]] = {d: set() for d in live}
     kappa = np.full(len(texts), -np.inf)
+    base = np.zeros(len(texts))  # log probability of the fixed pieces before the node
+    kept = [np.empty(0, np.int64)] * len(live)  # their ids
+    ended_before = [0] * len(live)  # words they end
+    leaf_of: list[list[int]] = []
     for number in range(k):
         if not live:
             break
@@ -252,64 +300,70 @@ def sample_batch(lattice: Lattice, texts: list[str], keys: list[int], k: int) ->
         own_key = key[live]
         arcs, word = lattice.walk(np.concatenate(tails), lambda w, step: _uniform(own_key[owner[w]], number, 1, inner[w], step))  # noqa: B023
         cuts = np.searchsorted(owner[word], np.arange(len(live) + 1)) if len(word) else np.zeros(len(live) + 1, int)
-        paths = [np.concatenate([h, arcs[cuts[j] : cuts[j + 1]]]) for j, h in enumerate(heads)]
-        lengths = np.array([len(p) for p in paths])
-        path = np.concatenate(paths)
+        fixed = np.array([max(0, len(h) - 1) for h in heads])  # the node's place; what is before it is other nodes'
+        parts = [np.concatenate([h[f:], arcs[cuts[j] : cuts[j + 1]]]) for j, (h, f) in enumerate(zip(heads, fixed.tolist(), strict=True))]
+        lengths = np.array([len(p) for p in parts])
+        path = np.concatenate(parts)
         start = np.cumsum(lengths) - lengths
         text = np.repeat(np.arange(len(live)), lengths)
-        place = np.arange(len(path)) - start[text]
         logp = lattice.logp[path]
-        run = np.cumsum(logp)
-        before = run - logp - (run - logp)[start][text]
-        fixed = np.array([max(0, len(h) - 1) for h in heads])
-        mass = lattice.rest[path]
+        run = np.cumsum(logp) - logp
+        before = run + (base[live] - run[start])[text]
+        mass = lattice.rest[path].astype(np.float64)
         for j, d in enumerate(live):
             if shared[d]:
-                at = int(start[j] + fixed[j])
+                at = int(start[j])
                 shared[d] = shared[d] | {int(path[at])}
                 mass[at] = sum(math.exp(lattice.logp[x]) for x in lattice.rivals(int(path[at])) if x not in shared[d])
         g = gumbel[live]
         with np.errstate(divide="ignore", over="ignore"):
             phi = before + np.log(mass)
-            noise = -np.log1p(-_uniform(own_key[text], number, 3, place))
+            noise = -np.log1p(-_uniform(own_key[text], number, 3, np.arange(len(path)) - start[text]))
             bound = phi - np.log(np.exp(np.minimum(phi - g[text], 700)) + noise)
-        bound[(place < fixed[text]) | ~np.isfinite(bound)] = -np.inf
-        total = np.add.reduceat(logp, start)
+        bound[~np.isfinite(bound)] = -np.inf
+        total = np.add.reduceat(logp, start) + base[live]
+        ids, cut = lattice.piece_ids(path, start)
         for j, d in enumerate(live):
-            out[d].append((paths[j], float(total[j]), float(g[j])))
-        rounds.append((np.array(live), start, path, np.cumsum(lattice.next[path] < 0), bound, [shared[d] for d in live], fixed))
+            out[d].append((np.concatenate([kept[j], ids[cut[j] : cut[j + 1]]]), float(total[j]), float(g[j])))
+        leaf_of.append([len(out[d]) - 1 for d in live])
+        rounds.append((np.array(live), start, path, np.cumsum(lattice.next[path] < 0), bound, [shared[d] for d in live], before, ids, cut, [len(x) for x in kept], ended_before))
         # the next node of each text: the greatest bound on its queue
         best = np.full(len(texts), -np.inf)
-        for ds, starts, _, _, bounds, _, _ in rounds:
+        for ds, starts, _, _, bounds, *_ in rounds:
             np.maximum.at(best, ds, np.maximum.reduceat(bounds, starts))
         if number == k - 1:
             kappa = best
             break
-        nxt, heads, tails = [], [], []
-        for ds, starts, path, ended, bounds, bars, fixes in rounds:
+        nxt, heads, tails, kept, begun = [], [], [], [], []
+        for turn, (ds, starts, path, ended, bounds, bars, before, ids, cut, was_kept, was_ended) in enumerate(rounds):
             span = np.diff(np.r_[starts, len(path)])
             hits = np.flatnonzero(bounds >= np.repeat(np.where(np.isfinite(best[ds]), best[ds], np.inf), span))
             for at in hits.tolist():
                 j = int(np.searchsorted(starts, at, side="right")) - 1
                 d, lo = int(ds[j]), int(starts[j])
                 arc = int(path[at])
-                bar = bars[j] if at == lo + fixes[j] and bars[j] else {arc}
+                bar = bars[j] if at == lo and bars[j] else {arc}
                 gumbel[d], bounds[at] = bounds[at], -np.inf
                 choices = [x for x in lattice.rivals(arc) if x not in bar]
                 p = np.exp(lattice.logp[choices])
                 u = float(_uniform(key[d : d + 1], number, 4, 0)[0])
                 arc = choices[min(int(np.searchsorted(np.cumsum(p), u * p.sum(), side="right")), len(choices) - 1)]
-                done = int(ended[at - 1] - (ended[lo - 1] if lo else 0)) if at > lo else 0
+                done = was_ended[j] + (int(ended[at - 1] - (ended[lo - 1] if lo else 0)) if at > lo else 0)
                 to = int(lattice.next[arc])
-                shared[d] = set(bar)
+                shared[d], base[d] = set(bar), before[at]
                 nxt.append(d)
-                heads.append(np.r_[path[lo:at], arc])
+                heads.append(np.array([arc]))
+                begun.append(done)
+                # ids before the node: those of the leaf it hangs from, up to there
+                n = was_kept[j] + int(lattice.id_counts(path[lo:at]).sum())
+                kept.append(out[d][leaf_of[turn][j]][0][:n])
                 tails.append(np.r_[to, every[d][done + 1 :]] if to >= 0 else every[d][done + 1 :])
+        ended_before = begun
         live = nxt
     for d, got in enumerate(out):
         if got and len(every[d]):
             limit = kappa[d] if len(got) == k else -np.inf
-            out[d] = [(lattice.piece_ids(p), lp, g, -math.expm1(-math.exp(min(lp - limit, 700))) if np.isfinite(limit) else 1.0) for p, lp, g in got]
+            out[d] = [(p, lp, g, -math.expm1(-math.exp(min(lp - limit, 700))) if np.isfinite(limit) else 1.0) for p, lp, g in got]
     return out
 
 
@@ -336,7 +390,7 @@ def _sampler(model, sharpness: float, k: int, seed: int, digest: bool):
             at = 0
             while at < len(ids):
                 to, size = at, 0
-                while to < len(ids) and size < 1 << 19:
+                while to < len(ids) and size < 1 << 20:
                     size += len(texts[to])
                     to += 1
                 out = []
