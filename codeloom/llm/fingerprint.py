@@ -134,9 +134,10 @@ def fingerprints(docs: DataFrame, width: int = 5, parts: int | None = None) -> D
     """
     base = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     spark = docs.sparkSession
-    n = parts or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = parts or 8 * tasks  # several ranges a task, so that chance spreads them evenly
     cuts = base.agg(F.percentile_approx("doc_id", [(k + 1) / n for k in range(n)], F.lit(100 * n)).alias("q"), F.max("doc_id").alias("top")).head()
     bounds = sorted({*(cuts.q or []), cuts.top} - {None}, reverse=True) or [0]
     dealt = base.mapInArrow(_dealer(bounds), "part int, guest boolean, doc_id long, text string")
-    dealt = dealt.repartition(n, "part").sortWithinPartitions("part", "guest", F.desc("doc_id"), "text")
+    dealt = dealt.repartition(tasks, "part").sortWithinPartitions("part", "guest", F.desc("doc_id"), "text")
     return dealt.mapInArrow(_marker(width), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
