@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from codeloom.llm._shared import U64, rows_of
 
 #: Words whose lattices a worker holds; lattice positions it holds.
-HELD_WORDS, HELD_STATES = 200_000, 2_000_000
+HELD_WORDS, HELD_STATES = 300_000, 3_000_000
 SPACE = "▁"
 
 
@@ -145,32 +145,36 @@ class Lattice:
             self.raw = np.r_[self.raw, self.byte[np.frombuffer(b"".join(raws), np.uint8)]]
             self.raw_at = np.r_[self.raw_at, self.raw_at[-1] + np.cumsum(n)]
         state, length, ids, w = (np.concatenate(x) for x in zip(*found, strict=True))
-        left = ends - where
-        order = np.lexsort((state, left[state]))
+        # by state, longer pieces (the likelier) first: sorted runs, one a length
+        order = np.argsort(state * (depth + 1) - length, kind="stable")
+        state, length, ids, w = state[order], length[order], ids[order], w[order]
+        heads = np.searchsorted(state, where)
+        size = np.diff(np.r_[heads, len(state)])
+        after = state + length
+        inner = after < ends[state]
+        after[~inner] = len(cps)
+        # backward sums, for all places as far from their word's end at once
         beta = np.zeros(len(cps) + 1)
-        s, k, v = state[order], length[order], w[order]
-        after = s + k
-        inner = after < ends[s]
-        cuts = np.r_[np.flatnonzero(np.r_[True, left[s][1:] != left[s][:-1]]), len(s)]
+        left = ends - where
+        turn = np.argsort(left.astype(np.int16) if left.max() < 1 << 15 else left, kind="stable")
+        n = size[turn]
+        first = np.cumsum(n) - n
+        s = np.repeat(heads[turn] - first, n) + np.arange(len(state))
+        v, to = w[s], after[s]
+        cuts = np.r_[np.flatnonzero(np.r_[True, left[turn][1:] != left[turn][:-1]]), len(turn)]
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            x = v[lo:hi] + np.where(inner[lo:hi], beta[np.minimum(after[lo:hi], len(cps))], 0.0)
-            own = s[lo:hi]
-            heads = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-            top = np.maximum.reduceat(x, heads)
-            total = np.add.reduceat(np.exp(x - np.repeat(top, np.diff(np.r_[heads, len(x)]))), heads)
-            beta[own[heads]] = top + np.log(total)
-        inner = state + length < ends[state]
-        logp = w + np.where(inner, beta[np.minimum(state + length, len(cps))], 0.0) - beta[state]
-        order = np.lexsort((-logp, state))  # likely arcs first
-        state, length, ids, logp, inner = state[order], length[order], ids[order], logp[order], inner[order]
+            a, b = int(first[lo]), int(first[hi]) if hi < len(first) else len(s)
+            x = v[a:b] + beta[to[a:b]]
+            at = first[lo:hi] - a
+            top = np.maximum.reduceat(x, at)
+            beta[turn[lo:hi]] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, n[lo:hi])), at))
+        logp = w + beta[after] - beta[state]
         p = np.exp(logp)
-        heads = np.searchsorted(state, where)
-        size = np.diff(np.r_[heads, len(state)])
-        small = p.copy()
-        small[heads] = 0
-        others = np.add.reduceat(small, heads)  # without the likeliest: exact where it is near 1
-        rest = others[state] + p[heads][state] - p
-        rest[heads] = others
+        top = p == np.repeat(np.maximum.reduceat(p, heads), size)
+        others = np.add.reduceat(np.where(top, 0, p), heads)  # without the likeliest: exact where it is near 1
+        rest = np.repeat(others + np.add.reduceat(np.where(top, p, 0), heads), size) - p
+        alone = top & (np.repeat(np.add.reduceat(top.astype(np.int64), heads), size) == 1)
+        rest[alone] = np.repeat(others, size)[alone]
         cum = p.copy()
         for j in range(1, int(size.max())):
             at = heads[size > j] + j
