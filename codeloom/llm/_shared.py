@@ -134,3 +134,26 @@ class Adam:
 
 def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+
+
+def kept_rows(docs: DataFrame, scorer, column: str, dropped) -> DataFrame:
+    """Rows of ``docs``, all columns, unless ``scorer`` gives them ``dropped`` in ``column``.
+
+    The decision is made where the row is read, so nothing is shuffled.
+    """
+
+    def run(batches):
+        waiting = []
+
+        def feed():
+            for batch in batches:
+                waiting.append(batch)
+                n = batch.num_rows
+                text = batch.column(batch.schema.get_field_index("text"))
+                yield pa.record_batch([pa.array([None] * n, pa.int64()), pa.array([False] * n, pa.bool_()), text], names=["doc_id", "held_out", "text"])
+
+        for got in scorer(feed()):
+            mask = [x != dropped for x in got.column(got.schema.get_field_index(column)).to_pylist()]
+            yield waiting.pop(0).filter(pa.array(mask, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -171,3 +171,13 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall
         "copy_key", F.col("id").alias("copy_id"), F.coalesce("label", "id").alias("class_id"),
         (F.col("copies") - 1 + F.coalesce("docs", F.lit(0))).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_text_links"))
     return keys.select("doc_id", "copy_key", F.col("n_grams").cast("long").alias("n_grams")).join(per_copy, "copy_key").select("doc_id", "class_id", "copy_id", "n_links", "n_text_links", "n_grams")
+
+
+def first_of_each_class(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.995) -> DataFrame:
+    """``docs`` with one document of each class of near copies, that of the least doc_id.
+
+    Rows without doc_id belong to no class and stay; rows that repeat a
+    doc_id stay or go together.
+    """
+    gone = jaccard_join(docs, threshold, width, recall).where("doc_id <> class_id").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codeloom.llm._shared import crc_mod, rows_of, scored
+from codeloom.llm._shared import crc_mod, kept_rows, rows_of, scored
 
 #: Bounds of the learning sample: documents a language, words a document, languages.
 PER_LANG, TRAIN_WORDS, MOST_LANGS = 1200, 160, 400
@@ -187,3 +187,8 @@ def language(docs: DataFrame, model: Model, held_out=None) -> DataFrame:
     repeated rows give repeated results; other columns are ignored.
     """
     return scored(docs, _scorer(model), crc_mod("doc_id", 4) == 2 if held_out is None else held_out, "lang_pred string, score double, rejected boolean")
+
+
+def recognised(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` without the texts that ``language`` rejects; all columns stay."""
+    return kept_rows(docs, _scorer(model), "rejected", True)

@@ -311,8 +311,12 @@ def sample_batch(lattice: Lattice, texts: list[str], keys: list[int], k: int) ->
         start = np.cumsum(lengths) - lengths
         text = np.repeat(np.arange(len(live)), lengths)
         logp = lattice.logp[path]
-        run = np.cumsum(logp) - logp
-        before = run + (base[live] - run[start])[text]
+        before, total = np.empty(len(path)), np.empty(len(live))
+        for j, d in enumerate(live):  # text by text: sums must not depend on the batch
+            own = logp[start[j] : start[j] + lengths[j]]
+            run = np.cumsum(own)
+            before[start[j] : start[j] + lengths[j]] = base[d] + (run - own)
+            total[j] = base[d] + run[-1]
         mass = lattice.rest[path].astype(np.float64)
         for j, d in enumerate(live):
             if shared[d]:
@@ -325,7 +329,6 @@ def sample_batch(lattice: Lattice, texts: list[str], keys: list[int], k: int) ->
             noise = -np.log1p(-_uniform(own_key[text], number, 3, np.arange(len(path)) - start[text]))
             bound = phi - np.log(np.exp(np.minimum(phi - g[text], 700)) + noise)
         bound[~np.isfinite(bound)] = -np.inf
-        total = np.add.reduceat(logp, start) + base[live]
         ids, cut = lattice.piece_ids(path, start)
         for j, d in enumerate(live):
             out[d].append((np.concatenate([kept[j], ids[cut[j] : cut[j + 1]]]), float(total[j]), float(g[j])))

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from codeloom.llm._shared import Adam, WordHashes, crc_mod, labelled_sample, rows_of, scored, shingles, sigmoid
+from codeloom.llm._shared import Adam, WordHashes, crc_mod, kept_rows, labelled_sample, rows_of, scored, shingles, sigmoid
 
 #: Bounds of the learning sample: label rows a class, distinct terms a text.
 PER_CLASS, TRAIN_TERMS = 4000, 6000
@@ -138,3 +138,8 @@ def toxicity(docs: DataFrame, model: Machine, held_out=None) -> DataFrame:
     rate; repeated rows give repeated results; other columns are ignored.
     """
     return scored(docs, _scorer(model), crc_mod("doc_id", 5) == 0 if held_out is None else held_out, "score double, predicted int")
+
+
+def clean(docs: DataFrame, model: Machine) -> DataFrame:
+    """``docs`` without the texts that ``toxicity`` predicts to be toxic; all columns stay."""
+    return kept_rows(docs, _scorer(model), "predicted", 1)
