@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_left, insort
 from zlib import crc32
 
@@ -12,12 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codeloom.llm._shared import CACHE_ENTRIES, materialize, rows_of
+from codeloom.llm._shared import materialize, rows_of
 
 CAPACITY, CLOSING_ID = 4096, 1
 #: Rows of a plan that may be broadcast (32 bytes each); a longer plan is joined by shuffle.
 PLAN_ROWS = 200_000
-_GAP = re.compile(r"[ \n]+")
+#: Runs that a worker remembers.
+HELD_RUNS = 700_000
 
 
 def default_vocabulary() -> str:
@@ -26,40 +26,66 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class Encoder(dict):
-    """Runs between spaces to their ids as little-endian bytes; this vocabulary never joins over white space."""
+class Encoder:
+    """Runs between spaces to their ids as little-endian bytes; this vocabulary never joins over white space.
+
+    Runs that are not remembered are tokenized together, parted by spaces,
+    and told apart by where their tokens start.
+    """
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(vocabulary)
-
-    def __missing__(self, run: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(run) <= 64:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[run] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, filter(None, _GAP.split(text))))
+        self.known: dict[str, bytes] = {"": b""}
+
+    def _learn(self, runs: list[str]) -> None:
+        plain = [r for r in runs if "<|" not in r]  # else special tokens may be part of it
+        groups = [plain[at : at + 256] for at in range(0, len(plain), 256)]
+        for group, got in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            sizes = np.fromiter(map(len, group), np.int64, len(group)) + 1
+            cuts = np.searchsorted(np.array([o[0] for o in got.offsets], np.int64), np.cumsum(sizes) - sizes).tolist()
+            raw = np.array(got.ids, "<u4").tobytes()
+            for run, lo, hi in zip(group, cuts, [*cuts[1:], len(got.ids)], strict=True):
+                self.known[run] = raw[4 * lo : 4 * hi]
+        for run in (r for r in runs if "<|" in r):
+            self.known[run] = np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > HELD_RUNS:
+            self.known = {"": b""}
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        known = self.known
+        new = list({r: None for runs in split for r in runs if r not in known})
+        if new:
+            self._learn(new)
+        out = [b"".join(map(known.__getitem__, runs)) for runs in split]
+        for run in new:
+            if len(run) > 48:
+                del known[run]
+        return out
 
 
 def _pieces(vocabulary: str | None, capacity: int):
     def cut(batches):
         encoder = Encoder(vocabulary or default_vocabulary())
         closing = np.array([CLOSING_ID], "<u4").tobytes()
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         for ids, texts in rows_of(batches, "doc_id", "text"):
-            out = []
-            for i, t in zip(ids, texts, strict=True):
-                raw = encoder.encode(t or "") + closing
-                for k, at in enumerate(range(0, len(raw), 4 * capacity)):
-                    part = raw[at : at + 4 * capacity]
-                    out.append((i, k, at // 4, len(part) // 4, crc32(part)))
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            at = 0
+            while at < len(ids):
+                to, size = at, 0
+                while to < len(ids) and size < 1 << 21:
+                    size += len(texts[to] or "")
+                    to += 1
+                out = []
+                for i, raw in zip(ids[at:to], encoder.encode([t or "" for t in texts[at:to]]), strict=True):
+                    raw += closing
+                    for k, lo in enumerate(range(0, len(raw), 4 * capacity)):
+                        part = raw[lo : lo + 4 * capacity]
+                        out.append((i, k, lo // 4, len(part) // 4, crc32(part)))
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                at = to
 
     return cut
 
