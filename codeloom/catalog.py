@@ -1,5 +1,399 @@
-"""The registered queries of the program-structure engine and their SQL."""
+"""The registered queries of the program-structure engine and their SQL.
 
-QUERIES = {}
-ORACLES = {}
-FLAGSHIP = ""
+The supplied tables stand for facts: a line item is a call site (its order
+the caller, its part the target), a part a target, a brand an interface.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from codeloom.functions import text as T
+from codeloom.operators import diff, dispatch, graph, intervals, lookup, notes, usages
+from codeloom.streaming import reload
+
+QUERIES, ORACLES = {}, {}
+FLAGSHIP = "q_usages"
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _long(*names):
+    return [F.col(n).cast("long").alias(n) for n in names]
+
+
+def _key():
+    """Key of a line item: order and line number repeat, so other columns follow."""
+    return F.concat_ws("/", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")], (F.col("l_extendedprice") * 100).cast("long").cast("string"))
+
+
+_KEY_SQL = "concat_ws('/', l_orderkey::VARCHAR, l_linenumber::VARCHAR, l_partkey::VARCHAR, l_suppkey::VARCHAR, trunc(l_extendedprice * 100)::BIGINT::VARCHAR)"
+
+
+def _calls(spark, sf_dir):
+    return _t(spark, sf_dir, "lineitem").select(_key().alias("call_key"), *_long("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "l_returnflag", "l_linestatus")
+
+
+@_query("SELECT DISTINCT source AS file FROM documents WHERE n_chars > 100")
+def q_files(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").where("n_chars > 100").select(F.col("source").alias("file")).distinct().orderBy("file")
+
+
+@_query("SELECT min(doc_id) AS doc_id, text FROM documents GROUP BY text")
+def q_first_wins(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select("text", "doc_id", F.col("doc_id").alias("at"))
+    return dispatch.first_wins(docs, "text", "at").select("doc_id", "text")
+
+
+@_query("""SELECT p_partkey, regexp_extract(replace(p_name, ' ', '.'), '[^.]*$') AS leaf,
+  p_type || '.' || regexp_extract(p_name, '^[^ ]*') AS title FROM part""")
+def q_titles_leaf(spark, sf_dir):
+    name = F.replace("p_name", F.lit(" "), F.lit("."))
+    return _t(spark, sf_dir, "part").select("p_partkey", T.leaf(name).alias("leaf"), T.title(F.concat(F.lit("*"), F.col("p_type")), F.substring_index("p_name", " ", 1)).alias("title"))
+
+
+def _classified(spark, sf_dir):
+    calls = _calls(spark, sf_dir).select("call_key", "l_orderkey", F.when(F.col("l_returnflag") == "N", F.lit("iface")).alias("iface_key"), F.when(F.col("l_returnflag") == "A", F.col("l_partkey")).alias("resolved_target"))
+    return dispatch.classify(calls, _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("target_id"), (F.col("p_size") > 25).alias("is_external")))
+
+
+@_query(f"""SELECT {_KEY_SQL} AS call_key, CASE l_returnflag WHEN 'N' THEN 'interface' WHEN 'A' THEN 'direct' ELSE 'indirect' END AS kind,
+  l_returnflag = 'A' AND coalesce(p_size > 25, false) AS external FROM lineitem LEFT JOIN part ON p_partkey = l_partkey""")
+def q_classify_calls(spark, sf_dir):
+    return _classified(spark, sf_dir).select("call_key", "kind", "external")
+
+
+@_query("""SELECT CASE l_returnflag WHEN 'N' THEN 'interface' WHEN 'A' THEN 'direct' ELSE 'indirect' END AS kind,
+  l_returnflag = 'A' AND coalesce(p_size > 25, false) AS external, count(*) AS n FROM lineitem LEFT JOIN part ON p_partkey = l_partkey GROUP BY 1, 2""")
+def q_external_flag(spark, sf_dir):
+    return _classified(spark, sf_dir).groupBy("kind", "external").agg(F.count("*").alias("n"))
+
+
+@_query("""SELECT l_returnflag = 'A' OR l_returnflag = 'N' AS expandable, CASE l_returnflag WHEN 'N' THEN 'iface' WHEN 'R' THEN 'indirect' ELSE '' END AS badge, count(*) AS n
+FROM lineitem GROUP BY 1, 2""")
+def q_expandable(spark, sf_dir):
+    c = _classified(spark, sf_dir)
+    can = dispatch.expandable(F.col("kind"), F.col("resolved_target"), F.when(F.col("kind") == "interface", 1).otherwise(0), F.lit(0))
+    return c.groupBy(can.alias("expandable"), dispatch.badge(F.col("kind"), F.col("resolved_target")).alias("badge")).agg(F.count("*").alias("n"))
+
+
+@_query("""WITH need AS (SELECT DISTINCT p_brand AS iface_key, p_name FROM part WHERE p_size <= 3), have AS (SELECT DISTINCT p_brand AS type_key, p_name FROM part),
+  met AS (SELECT iface_key, type_key, count(*) AS n FROM need JOIN have USING (p_name) GROUP BY 1, 2)
+SELECT iface_key, type_key FROM met WHERE n = (SELECT count(*) FROM need x WHERE x.iface_key = met.iface_key)""")
+def q_implements_division(spark, sf_dir):
+    part = _t(spark, sf_dir, "part")
+    need = part.where("p_size <= 3").select(F.col("p_brand").alias("iface_key"), F.col("p_name").alias("method_name"), F.lit("").alias("signature"))
+    return dispatch.implements(need, part.select(F.col("p_brand").alias("type_key"), F.col("p_name").alias("method_name"), F.lit("").alias("signature")))
+
+
+@_query("SELECT DISTINCT r_name AS iface_key, n_name AS type_key FROM nation JOIN region ON r_regionkey = n_regionkey")
+def q_implements_explicit(spark, sf_dir):
+    region = _t(spark, sf_dir, "region")
+    return dispatch.explicit_implements(_t(spark, sf_dir, "nation").join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("owner_key"), F.col("n_name").alias("class_key"), F.lit("implements").alias("clause")))
+
+
+def _options(spark, sf_dir):
+    supplier = _t(spark, sf_dir, "supplier")
+    calls = _calls(spark, sf_dir).where("l_returnflag = 'N' and l_linenumber <= 2").join(supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("iface_key")), "l_suppkey").select("call_key", "iface_key", F.lit("m").alias("method_name"))
+    impls = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("iface_key"), F.col("n_nationkey").alias("type_key"))
+    methods = supplier.select(F.col("s_nationkey").alias("type_key"), F.lit("m").alias("method_name"), F.col("s_suppkey").alias("target_id"), F.col("s_name").alias("label"))
+    return dispatch.candidates(calls.dropDuplicates(["call_key"]), impls, methods, ["label", "target_id"])
+
+
+_OPTIONS_SQL = f"""calls AS (SELECT DISTINCT {_KEY_SQL} AS call_key, l_orderkey, l_linenumber, s_nationkey FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_returnflag = 'N' AND l_linenumber <= 2),
+  options AS (SELECT call_key, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY call_key ORDER BY s_name, s_suppkey) - 1 AS idx, s_suppkey AS target_id, s_name AS label FROM calls JOIN supplier USING (s_nationkey))"""
+
+
+@_query(f"WITH {_OPTIONS_SQL} SELECT call_key, idx, target_id, label FROM options")
+def q_candidates(spark, sf_dir):
+    return _options(spark, sf_dir)
+
+
+@_query(f"""WITH {_OPTIONS_SQL}, sized AS (SELECT *, count(*) OVER (PARTITION BY call_key) AS n FROM options)
+SELECT call_key, target_id FROM sized WHERE idx = CASE WHEN l_linenumber * 3 < n THEN l_linenumber * 3 ELSE 0 END""")
+def q_frame_for_call(spark, sf_dir):
+    listed = _options(spark, sf_dir).groupBy("call_key").agg(F.sort_array(F.collect_list(F.struct("idx", "target_id"))).alias("options"))
+    return listed.select("call_key", dispatch.chosen(F.col("options"), F.split("call_key", "/")[1].cast("int") * 3)["target_id"].alias("target_id"))
+
+
+@_query("""WITH subs AS (SELECT DISTINCT user_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events WHERE event_type = 'signup'),
+  once AS (SELECT DISTINCT event_id AS call_key, s.user_id AS target_id FROM events e JOIN subs s ON s.k = json_extract_string(e.props, '$.k')::BIGINT WHERE event_type = 'error' AND event_id % 10 = 0)
+SELECT call_key, row_number() OVER (PARTITION BY call_key ORDER BY 'user ' || lpad(target_id::VARCHAR, 9, '0')) - 1 AS idx, target_id, 'user ' || lpad(target_id::VARCHAR, 9, '0') AS label FROM once""")
+def q_fanout_receivers(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").withColumn("observable_sym", F.get_json_object("props", "$.k").cast("long"))
+    subs = e.where("event_type = 'signup'").select("observable_sym", F.col("user_id").alias("callback_target"), F.concat(F.lit("user "), F.lpad(F.col("user_id").cast("string"), 9, "0")).alias("label"))
+    return dispatch.receivers(e.where("event_type = 'error' and event_id % 10 = 0").select(F.col("event_id").alias("call_key"), "observable_sym"), subs)
+
+
+def _usages(spark, sf_dir):
+    calls = _calls(spark, sf_dir)
+    part = lambda flag: calls.where(F.col("l_returnflag") == flag).select(F.col("l_partkey").alias("target_id"), F.col("l_orderkey").alias("caller_id"), "call_key", F.lit(0).alias("choice"))
+    options = _options(spark, sf_dir).select("target_id", F.split("call_key", "/")[0].cast("long").alias("caller_id"), "call_key", F.col("idx").alias("choice"))
+    return usages.usages(part("A"), options, part("R"), _t(spark, sf_dir, "part").where("p_size > 10").select(F.col("p_partkey").alias("target_id")))
+
+
+_USAGES_SQL = f"""{_OPTIONS_SQL}, every AS (
+  SELECT l_partkey AS target_id, 'call' AS kind, l_orderkey AS caller_id, {_KEY_SQL} AS call_key, 0 AS choice FROM lineitem WHERE l_returnflag = 'A'
+  UNION ALL SELECT target_id, 'interface', l_orderkey, call_key, idx FROM options
+  UNION ALL SELECT l_partkey, 'ref', l_orderkey, {_KEY_SQL}, 0 FROM lineitem WHERE l_returnflag = 'R'),
+  used AS (SELECT target_id, kind, caller_id, call_key, choice::BIGINT AS choice FROM every WHERE target_id IN (SELECT p_partkey FROM part WHERE p_size > 10))"""
+
+
+@_query(f"WITH {_USAGES_SQL} SELECT * FROM used")
+def q_usages(spark, sf_dir):
+    return _usages(spark, sf_dir)
+
+
+@_query(f"WITH {_USAGES_SQL} SELECT target_id, kind, count(*) AS n FROM used GROUP BY 1, 2")
+def q_usages_count(spark, sf_dir):
+    return usages.counts(_usages(spark, sf_dir))
+
+
+@_query("SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def q_call_collision(spark, sf_dir):
+    return usages.colliding(_calls(spark, sf_dir), ["l_orderkey", "l_linenumber"])
+
+
+@_query("""WITH spans AS (SELECT o_custkey AS k, o_orderkey % 1000 AS s, o_orderkey % 1000 + 200 AS e, o_orderkey AS span_id FROM orders)
+SELECT c_custkey AS k, arg_max(s, s * 1000000000 + span_id) AS start, arg_max(span_id, s * 1000000000 + span_id) AS span_id FROM customer JOIN spans ON k = c_custkey AND s <= c_custkey % 1000 AND c_custkey % 1000 < e GROUP BY 1""")
+def q_innermost(spark, sf_dir):
+    at = F.col("o_orderkey") % 1000
+    spans = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), at.alias("start"), (at + 200).alias("end"), F.col("o_orderkey").alias("span_id"))
+    return intervals.innermost(_t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), (F.col("c_custkey") % 1000).alias("at")), spans, "k", ["k"])
+
+
+@_query("""WITH ids AS (SELECT DISTINCT p_brand || '.' || p_type || '.' || replace(p_name, ' ', '_') AS target_id FROM part), names AS (SELECT DISTINCT replace(p_name, ' ', '_') AS name FROM part)
+SELECT name, min(target_id) AS target_id FROM names JOIN ids ON regexp_extract(target_id, '[^.]*$') = name GROUP BY 1""")
+def q_lookup(spark, sf_dir):
+    leaf = F.replace("p_name", F.lit(" "), F.lit("_"))
+    part = _t(spark, sf_dir, "part")
+    return lookup.lookup(part.select(F.concat_ws(".", "p_brand", "p_type", leaf).alias("target_id")), part.select(leaf.alias("name")).distinct())
+
+
+@_query("""WITH ids AS (SELECT DISTINCT p_brand || '.' || p_type || '.' || replace(p_name, ' ', '_') AS target_id FROM part)
+SELECT target_id, contains(lower(regexp_extract(target_id, '[^.]*$')), 'ring') AS is_leaf FROM ids WHERE contains(lower(target_id), 'ring') ORDER BY is_leaf DESC, target_id LIMIT 50""")
+def q_search_ranked(spark, sf_dir):
+    ids = _t(spark, sf_dir, "part").select(F.concat_ws(".", "p_brand", "p_type", F.replace("p_name", F.lit(" "), F.lit("_"))).alias("target_id")).distinct()
+    return lookup.search(ids, "RING").select("target_id", "is_leaf")
+
+
+@_query("""SELECT * FROM (SELECT s_suppkey AS target_id, s_name AS name, 0::BIGINT AS tier FROM supplier UNION ALL SELECT c_custkey, c_name, 1 FROM customer)
+WHERE contains(lower(name), '0007') ORDER BY tier, target_id LIMIT 50""")
+def q_search_ts(spark, sf_dir):
+    a = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("target_id"), F.col("s_name").alias("name"))
+    b = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("target_id"), F.col("c_name").alias("name"))
+    return lookup.search_names(a, b, "0007").withColumn("tier", F.col("tier").cast("long"))
+
+
+@_query(f"""SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, {_KEY_SQL}) - 1 AS ast_order, {_KEY_SQL} AS call_key
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey""")
+def q_frame_nested(spark, sf_dir):
+    calls = _calls(spark, sf_dir).groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "call_key"))).alias("calls"))
+    frames = _t(spark, sf_dir, "orders").join(calls, F.col("o_orderkey") == F.col("l_orderkey"))
+    return frames.select("o_orderkey", F.posexplode("calls").alias("at", "c")).select("o_orderkey", F.col("at").cast("long").alias("ast_order"), "c.call_key")
+
+
+def _trade(spark, sf_dir):
+    line = _t(spark, sf_dir, "lineitem").where("l_quantity >= 50 and l_linenumber = 7")
+    s, c = _t(spark, sf_dir, "supplier"), _t(spark, sf_dir, "customer")
+    j = line.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(_t(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey"))
+    return j.select(*[F.col(x).cast("long").alias(y) for x, y in (("s_nationkey", "src"), ("c_nationkey", "dst"))]).distinct()
+
+
+def _walk_sql(src, dst):
+    return f"""WITH RECURSIVE edges AS (SELECT DISTINCT s_nationkey::BIGINT AS {src}, c_nationkey::BIGINT AS {dst} FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
+  JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_quantity >= 50 AND l_linenumber = 7),
+walk AS (SELECT n_nationkey::BIGINT AS root, 0::BIGINT AS depth, n_nationkey::BIGINT AS target, [n_nationkey::BIGINT] AS path, false AS recursive FROM nation WHERE n_nationkey < 5
+  UNION ALL SELECT root, depth + 1, dst, list_append(path, dst), list_contains(path, dst) FROM walk JOIN edges ON target = src WHERE NOT recursive AND depth < 3)
+SELECT root, depth, target, array_to_string(path, '>') AS path, recursive FROM walk"""
+
+
+def _roots(spark, sf_dir):
+    return _t(spark, sf_dir, "nation").where("n_nationkey < 5").select(F.col("n_nationkey").cast("long").alias("id"))
+
+
+@_query(_walk_sql("src", "dst"))
+def q_callees_walk(spark, sf_dir):
+    return graph.walk(_trade(spark, sf_dir), _roots(spark, sf_dir), 3).withColumn("path", F.array_join(F.col("path").cast("array<string>"), ">"))
+
+
+@_query(_walk_sql("dst", "src"))
+def q_callers_walk(spark, sf_dir):
+    return graph.callers(_trade(spark, sf_dir), _roots(spark, sf_dir), 3).withColumn("path", F.array_join(F.col("path").cast("array<string>"), ">"))
+
+
+def _chains(spark, sf_dir):
+    step = F.struct("turn", F.col("turn").alias("call"), (F.col("turn") % 2).alias("choice"), (F.col("role") == "system").alias("is_ref"))
+    return _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(step)).alias("chain"))
+
+
+@_query("""WITH c AS (SELECT conv_id, turn, role = 'system' AS is_ref, max(CASE WHEN role = 'system' THEN turn END) OVER (PARTITION BY conv_id) AS cut FROM conversations)
+SELECT conv_id, coalesce(string_agg(turn || '#' || turn % 2, '>' ORDER BY turn DESC) FILTER (cut IS NULL OR turn > cut), '') AS path_key, bool_or(is_ref) AS partial FROM c GROUP BY 1""")
+def q_splice_partial(spark, sf_dir):
+    steps, partial = graph.spliced(F.col("chain"))
+    return _chains(spark, sf_dir).select("conv_id", graph.path_key(steps).alias("path_key"), partial.alias("partial"))
+
+
+@_query("SELECT conv_id, string_agg(turn || '#' || turn % 2, '>' ORDER BY turn) AS path_key FROM conversations GROUP BY 1")
+def q_path_key(spark, sf_dir):
+    return _chains(spark, sf_dir).select("conv_id", graph.path_key(F.col("chain")).alias("path_key"))
+
+
+@_query(f"""SELECT {_KEY_SQL} AS call_key FROM lineitem LEFT JOIN part ON p_partkey = l_partkey
+WHERE (l_returnflag = 'N' OR (l_returnflag = 'A' AND NOT coalesce(p_size > 25, false))) AND l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')""")
+def q_plus_one_level(spark, sf_dir):
+    calls = _classified(spark, sf_dir).withColumn("expandable", F.col("kind") != "indirect").withColumn("recursive", F.lit(False))
+    opened = _t(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return graph.plus_one_level(calls, opened, ["l_orderkey"]).select("call_key")
+
+
+@_query("""WITH f AS (SELECT DISTINCT regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS file FROM pages), p AS (SELECT string_split(file, '/') AS p FROM f)
+SELECT DISTINCT array_to_string(p[1:d], '/') AS path, d AS depth, d = len(p) AS is_file FROM p, unnest(range(1, len(p) + 1)) AS u(d)""")
+def q_folder_tree(spark, sf_dir):
+    file = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
+    return graph.folder_tree(_t(spark, sf_dir, "pages").select(file.alias("file")).distinct())
+
+
+@_query("""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), h AS (SELECT doc_id, l, 1 + doc_id % len(l) AS line FROM d)
+SELECT doc_id, line, greatest(1, line - 2) AS excerpt_line, array_to_string(l[greatest(1, line - 2):least(len(l), line + 2)], chr(10)) AS excerpt FROM h""")
+def q_excerpts(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select("doc_id", T.lines(F.col("text")).alias("l")).withColumn("line", 1 + F.col("doc_id") % F.size("l"))
+    text, first = T.excerpt(F.col("l"), F.col("line"), F.lit(1), F.size("l"))
+    return d.select("doc_id", "line", first.cast("long").alias("excerpt_line"), text.alias("excerpt"))
+
+
+@_query("SELECT doc_id, (len(string_split(left(text, (n_chars // 2)::BIGINT), chr(10))) - 1)::BIGINT AS line FROM documents")
+def q_line_of_offset(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", T.line_of(F.col("text"), F.floor(F.col("n_chars") / 2)).alias("line"))
+
+
+@_query("SELECT doc_id, length(text) + 2 AS utf16_units, length(text) + 1 AS code_points, strlen(text) + 4 AS bytes FROM documents")
+def q_utf16(spark, sf_dir):
+    c = F.concat("text", F.lit("🌍"))
+    return _t(spark, sf_dir, "documents").select("doc_id", T.utf16_len(c).alias("utf16_units"), F.length(c).cast("long").alias("code_points"), F.octet_length(c).cast("long").alias("bytes"))
+
+
+@_query(r"SELECT page_id, array_to_string(regexp_extract_all(html, '([A-Za-z_$][A-Za-z0-9_$]*)\(', 1), ',') AS calls FROM pages")
+def q_template_calls(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", F.array_join(T.template_calls(F.col("html")), ",").alias("calls"))
+
+
+def _versions(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders")
+    of = lambda odd: o.where(F.col("o_orderkey") % 2 == odd).select((F.col("o_orderkey") - odd).alias("target_id"), F.col("o_orderpriority").alias("source"))
+    return of(0), of(1).where("target_id % 10 <> 4")
+
+
+@_query("""SELECT a.o_orderkey AS target_id, CASE WHEN b.o_orderkey IS NULL THEN 'added' WHEN a.o_orderpriority = b.o_orderpriority THEN 'unchanged' ELSE 'modified' END AS status
+FROM orders a LEFT JOIN orders b ON b.o_orderkey = a.o_orderkey + 1 AND a.o_orderkey % 10 <> 4 WHERE a.o_orderkey % 2 = 0""")
+def q_diff_status(spark, sf_dir):
+    return diff.annotate(*_versions(spark, sf_dir))
+
+
+@_query()
+def q_diff_lines(spark, sf_dir):
+    """Lines of each item that are not in the same order in its edited copy (dynamic programme: no SQL)."""
+    words = F.replace("text", F.lit(" "), F.lit("\n"))
+    rows = _t(spark, sf_dir, "benchmark").select("item_id", words.alias("head"), F.regexp_replace(words, r"(?m)^th.*\n", "").alias("base"))
+    return rows.select("item_id", diff.added_lines(F.col("base"), F.col("head"), 1_000_000).alias("added_lines"))
+
+
+@_query("""WITH n AS (SELECT doc_id AS note_id, doc_id % 20 AS file, 1 + doc_id % 50 AS s, 1 + doc_id % 50 + doc_id % 7 AS e FROM labels),
+  f AS (SELECT DISTINCT source AS src, replace(source, 'src', '')::BIGINT AS file FROM documents)
+SELECT src AS file, note_id, line FROM n JOIN f USING (file), unnest(range(greatest(s, 10), least(e, 40) + 1)) AS u(line) WHERE s <= 40 AND e >= 10""")
+def q_note_anchor_join(spark, sf_dir):
+    at = 1 + F.col("doc_id") % 50
+    n = _t(spark, sf_dir, "labels").select(F.col("doc_id").alias("note_id"), F.concat(F.lit("src"), (F.col("doc_id") % 20).cast("string")).alias("file"), at.alias("start_line"), (at + F.col("doc_id") % 7).alias("end_line"))
+    f = _t(spark, sf_dir, "documents").select(F.col("source").alias("file")).distinct().select("file", F.lit(10).cast("long").alias("start_line"), F.lit(40).cast("long").alias("end_line"))
+    return intervals.noted_lines(n, f)
+
+
+@_query("""WITH r AS (SELECT p_partkey AS note_id, 0::BIGINT AS position, p_name AS reference FROM part UNION ALL SELECT p_partkey, 1, 'no such' FROM part),
+  t AS (SELECT s, min(p_partkey) AS target_id FROM (SELECT p_name AS s, p_partkey FROM part UNION ALL SELECT p_brand, p_partkey FROM part) GROUP BY 1)
+SELECT note_id, position, reference, target_id FROM r LEFT JOIN t ON s = reference""")
+def q_note_refs(spark, sf_dir):
+    part = _t(spark, sf_dir, "part")
+    text = F.concat(F.lit("see [["), F.col("p_name"), F.lit("]] and [[no such]] [[]]"))
+    return notes.resolve(part.select(F.col("p_partkey").alias("note_id"), text.alias("text")), part.select(F.col("p_name").alias("title"), F.col("p_brand").alias("leaf"), F.col("p_partkey").alias("target_id")))
+
+
+@_query("""WITH r AS (SELECT l_orderkey, l_linenumber * 3 AS s, l_linenumber * 3 + l_quantity::BIGINT // 10 AS e FROM lineitem),
+  m AS (SELECT *, CASE WHEN s > 1 + max(e) OVER (PARTITION BY l_orderkey ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS new FROM r),
+  g AS (SELECT *, sum(new) OVER (PARTITION BY l_orderkey ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM m)
+SELECT l_orderkey, min(s)::BIGINT AS "start", max(e)::BIGINT AS "end" FROM g GROUP BY l_orderkey, island""")
+def q_merge_ranges(spark, sf_dir):
+    at = (F.col("l_linenumber") * 3).cast("long")
+    return intervals.merge_ranges(_t(spark, sf_dir, "lineitem").select("l_orderkey", at.alias("start"), (at + F.floor(F.col("l_quantity") / 10)).alias("end")), ["l_orderkey"])
+
+
+_PATH = {"click": "a/b.GO", "view": "x/tsconfig.build.json", "error": "x/data.json", "purchase": "README", "signup": "y/app.component.HTML"}
+
+
+def _changes(spark, sf_dir):
+    path = F.create_map(*[F.lit(x) for kv in _PATH.items() for x in kv])
+    return _t(spark, sf_dir, "events").withColumn("path", path[F.col("event_type")])
+
+
+@_query("SELECT event_id FROM events WHERE event_type IN ('click', 'view', 'signup')")
+def q_trigger_filter(spark, sf_dir):
+    return reload.triggers(_changes(spark, sf_dir)).select("event_id")
+
+
+@_query("""WITH s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w > INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+  g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM s)
+SELECT user_id, epoch_us(min(ts)) AS first_us, epoch_us(max(ts) + INTERVAL 6 HOUR) AS fires_us, count(*) AS n_events FROM g GROUP BY user_id, k""")
+def q_debounce(spark, sf_dir):
+    d = reload.debounce(_t(spark, sf_dir, "events"), "6 hours", ("user_id",))
+    return d.select("user_id", F.unix_micros(F.col("first_ts").cast("timestamp")).alias("first_us"), F.unix_micros(F.col("fires_at").cast("timestamp")).alias("fires_us"), "n_events")
+
+
+@_query("""SELECT user_id, epoch_us(min(ts)) AS created_us, arg_max(event_id, event_id) AS event_id, arg_max(event_type, event_id) AS event_type
+FROM events GROUP BY 1 HAVING arg_max(event_type, event_id) <> 'error'""")
+def q_upsert_latest(spark, sf_dir):
+    changes = _t(spark, sf_dir, "events").select("user_id", F.col("event_id"), "event_type", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "error").alias("deleted"))
+    return notes.latest(changes, "user_id", "event_id").select("user_id", F.unix_micros("created_at").alias("created_us"), "event_id", "event_type")
+
+
+@_query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 2 = 1")
+def q_snapshot_swap(spark, sf_dir):
+    import tempfile
+
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="codeloom-")
+    store = reload.Snapshots(spark, f"{folder}/snapshots-{reload.uuid.uuid4().hex}")
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    store.publish({"targets": o.where("o_orderkey % 2 = 0")})
+    store.publish({"targets": o.where("o_orderkey % 2 = 1")})
+    return store.read("targets")
+
+
+@_query("""SELECT n AS depth, CASE n % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS color, CASE WHEN n BETWEEN 1 AND 500 THEN n ELSE 50 END AS "limit",
+  CASE WHEN n % 2 = 0 THEN ':' || n ELSE ':' || n || '–' || n + 3 END AS label FROM (SELECT n_nationkey * 30 AS n FROM nation)""")
+def q_small_functions(spark, sf_dir):
+    n = _t(spark, sf_dir, "nation").select((F.col("n_nationkey") * 30).alias("n"))
+    end = F.when(F.col("n") % 2 == 0, F.col("n")).otherwise(F.col("n") + 3)
+    return n.select(F.col("n").alias("depth"), T.depth_color(F.col("n"), ["a", "b", "c"]).alias("color"), T.search_limit(F.col("n")).alias("limit"), T.anchor_label(F.col("n"), end, F.lit("range")).alias("label"))
+
+
+@_query("SELECT item_id, CASE WHEN length(text) > 40 THEN left(text, 37) || '…' ELSE text END AS short FROM (SELECT item_id, string_split(text, chr(10))[1] AS text FROM benchmark)")
+def q_shortened(spark, sf_dir):
+    return _t(spark, sf_dir, "benchmark").select("item_id", T.shortened(F.col("text"), 40).alias("short"))
+
+
+@_query("""SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN false WHEN turn = 7 THEN true ELSE turn % 3 = 1 END AS drifted FROM conversations""")
+def q_note_drift(spark, sf_dir):
+    c = _t(spark, sf_dir, "conversations")
+    snippet = F.when(F.col("turn") % 3 == 0, "  ").otherwise(F.lit("\tx = 1 "))
+    line = F.when(F.col("turn") == 7, F.lit(None)).when(F.col("turn") % 3 == 2, F.lit("x = 1\r")).otherwise(F.lit("y"))
+    return c.select("conv_id", "turn", notes.drifted(snippet, line).alias("drifted"))
