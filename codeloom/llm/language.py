@@ -128,7 +128,11 @@ def learn(docs: DataFrame, keep=None, per_lang: int = PER_LANG, seed: int = 5) -
     """
     keep = crc_mod("doc_id", 4) != 2 if keep is None else keep
     rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & keep).select(F.col("doc_id").cast("long"), F.col("lang").cast("string"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id")
+    # a common language is cut down in hashed parts first, so it is no hot key
+    rows = rows.withColumn("h", F.xxhash64("doc_id", F.lit(seed)))
+    parted = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h", "doc_id")
+    rows = rows.withColumn("k", F.row_number().over(parted)).where(F.col("k") <= per_lang)
+    order = Window.partitionBy("lang").orderBy("h", "doc_id")
     picked = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_lang).select("doc_id", "lang").limit(per_lang * MOST_LANGS).groupBy("doc_id").agg(F.min("lang").alias("lang"))
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(picked), "doc_id")
     got = texts.mapInArrow(_sampled, "lang string, words array<string>").limit(per_lang * MOST_LANGS).toArrow()
