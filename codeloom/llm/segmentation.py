@@ -185,7 +185,8 @@ class Lattice:
         self._next.append(np.where(inner, shift + state + length, -1))
         self._ids.append(ids)
         self._logp.append(logp)
-        self._rest.append(np.maximum(rest, 0))
+        with np.errstate(divide="ignore"):
+            self._rest.append(np.log(np.maximum(rest, 0)))
         self._cum.append(cum)
         self._settle()
         for word, at in zip(words, (shift + np.cumsum(sizes) - sizes).tolist(), strict=True):
@@ -206,22 +207,23 @@ class Lattice:
 
         ``draw(words, step)`` gives a uniform number for each of these words.
         """
-        order, arcs, place, step = np.arange(len(states)), [], [], 0
+        order, arcs, place, n = np.arange(len(states)), [], [], np.zeros(len(states), np.int64)
         while len(states):
-            a, u = self.first[states], draw(order, step)
+            a, u = self.first[states], draw(order, len(arcs))
             over = np.flatnonzero(u >= self.cum[a])
             while len(over):
                 a[over] += 1
                 over = over[u[over] >= self.cum[a[over]]]
             arcs.append(a), place.append(order)
+            n[order] += 1
             to = self.next[a]
             go = np.flatnonzero(to >= 0)
-            states, order, step = to[go], order[go], step + 1
-        if not arcs:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        place = np.concatenate(place)
-        sort = np.argsort(place, kind="stable")
-        return np.concatenate(arcs)[sort], place[sort]
+            states, order = to[go], order[go]
+        first = np.cumsum(n) - n
+        out = np.empty(int(n.sum()), np.int64)
+        for step, (a, w) in enumerate(zip(arcs, place, strict=True)):
+            out[first[w] + step] = a
+        return out, np.repeat(np.arange(len(n)), n)
 
     def id_counts(self, arcs: np.ndarray) -> np.ndarray:
         ids = self.ids[arcs]
@@ -317,15 +319,15 @@ def sample_batch(lattice: Lattice, texts: list[str], keys: list[int], k: int) ->
             run = np.cumsum(own)
             before[start[j] : start[j] + lengths[j]] = base[d] + (run - own)
             total[j] = base[d] + run[-1]
-        mass = lattice.rest[path].astype(np.float64)
+        phi = before + lattice.rest[path]  # log mass of each node's other arcs
         for j, d in enumerate(live):
             if shared[d]:
                 at = int(start[j])
                 shared[d] = shared[d] | {int(path[at])}
-                mass[at] = sum(math.exp(lattice.logp[x]) for x in lattice.rivals(int(path[at])) if x not in shared[d])
+                mass = sum(math.exp(lattice.logp[x]) for x in lattice.rivals(int(path[at])) if x not in shared[d])
+                phi[at] = before[at] + (math.log(mass) if mass > 0 else -math.inf)
         g = gumbel[live]
         with np.errstate(divide="ignore", over="ignore"):
-            phi = before + np.log(mass)
             noise = -np.log1p(-_uniform(own_key[text], number, 3, np.arange(len(path)) - start[text]))
             bound = phi - np.log(np.exp(np.minimum(phi - g[text], 700)) + noise)
         bound[~np.isfinite(bound)] = -np.inf
