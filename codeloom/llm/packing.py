@@ -17,7 +17,7 @@ CAPACITY, CLOSING_ID = 4096, 1
 #: Rows of a plan that may be broadcast (32 bytes each); a longer plan is joined by shuffle.
 PLAN_ROWS = 200_000
 #: Runs that a worker remembers.
-HELD_RUNS = 700_000
+HELD_RUNS = 400_000
 
 
 def default_vocabulary() -> str:
