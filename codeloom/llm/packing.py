@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
+import os
 from bisect import bisect_left, insort
+from functools import cache
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codeloom.llm._shared import materialize, rows_of
+from codeloom.llm._shared import materialize
 
 CAPACITY, CLOSING_ID = 4096, 1
 #: Rows of a plan that may be broadcast (32 bytes each); a longer plan is joined by shuffle.
 PLAN_ROWS = 200_000
-#: Runs that a worker remembers.
-HELD_RUNS = 400_000
+#: Characters that are encoded at once.
+CHARS = 1 << 22
+#: Runs that a worker learns before it forgets those it has not met since as many before.
+HELD_RUNS = 450_000
+#: Marks that the vocabulary always parts from a letter before them.
+TAILS = frozenset(",.;:!?")
 
 
 def default_vocabulary() -> str:
@@ -27,20 +34,25 @@ def default_vocabulary() -> str:
 
 
 class Encoder:
-    """Runs between spaces to their ids as little-endian bytes; this vocabulary never joins over white space.
+    """Texts to ids by the runs between their spaces; this vocabulary never joins over white space.
 
-    Runs that are not remembered are tokenized together, parted by spaces,
-    and told apart by where their tokens start.
+    The different runs of many texts are found by Arrow and looked up once
+    each; their ids, little-endian bytes, are then dealt to all places by
+    numpy. A run that is not remembered is put together from a word and the
+    mark after it; words that are not remembered are tokenized together,
+    parted by spaces, and told apart by where their tokens start.
     """
 
     def __init__(self, vocabulary: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
-    def _learn(self, runs: list[str]) -> None:
-        plain = [r for r in runs if "<|" not in r]  # else special tokens may be part of it
+    def _tokenize(self, words: list[str]) -> None:
+        plain = [r for r in words if "<|" not in r]  # else special tokens may be part of it
         groups = [plain[at : at + 256] for at in range(0, len(plain), 256)]
         for group, got in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             sizes = np.fromiter(map(len, group), np.int64, len(group)) + 1
@@ -48,39 +60,79 @@ class Encoder:
             raw = np.array(got.ids, "<u4").tobytes()
             for run, lo, hi in zip(group, cuts, [*cuts[1:], len(got.ids)], strict=True):
                 self.known[run] = raw[4 * lo : 4 * hi]
-        for run in (r for r in runs if "<|" in r):
+        for run in (r for r in words if "<|" in r):
             self.known[run] = np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _learn(self, runs: list[str]) -> list[str]:
+        """Ids of new ``runs``; returns all that are known since, words of runs included."""
+        known, older = self.known, self.older
+        built, words = [], {}
+        for run in runs:
+            got = older.get(run)
+            if got is not None:
+                known[run] = got
+                continue
+            word, tail = run, ""
+            if run[-1] in TAILS and run[-2:-1].isalpha() and run.isascii() and "<|" not in run:
+                word, tail = run[:-1], run[-1]
+                built.append((run, word, tail))
+            for part in (word, tail):
+                if part not in known:
+                    got = older.get(part)
+                    if got is not None:
+                        known[part] = got
+                    else:
+                        words[part] = None
+        if words:
+            self._tokenize(list(words))
+        for run, word, tail in built:
+            known[run] = known[word] + known[tail]
+        return [*runs, *words]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where those of each text begin, with their end."""
         if len(self.known) > HELD_RUNS:
-            self.known = {"": b""}
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        new = list({r: None for runs in split for r in runs if r not in known})
-        if new:
-            self._learn(new)
-        out = [b"".join(map(known.__getitem__, runs)) for runs in split]
-        for run in new:
+            self.older, self.known = self.known, {"": b""}
+        # ids do not depend on case; only in plain texts are small letters sure to leave the rest alone
+        plain = pc.and_(pc.string_is_ascii(texts), pc.invert(pc.match_substring(texts, "<|")))
+        split = pc.split_pattern(pc.replace_substring(pc.if_else(plain, pc.ascii_lower(texts), texts), "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        runs = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = [r for r in runs if r not in self.known]
+        learned = self._learn(new) if new else []
+        found = list(map(self.known.__getitem__, runs))
+        for run in learned:
             if len(run) > 48:
-                del known[run]
-        return out
+                self.known.pop(run, None)
+        own = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        which = coded.indices.to_numpy()
+        n = own[which]
+        after = np.r_[0, np.cumsum(n)]
+        take = np.arange(after[-1]) + np.repeat((np.cumsum(own) - own)[which] - after[:-1], n)
+        return np.frombuffer(b"".join(found), "<u4")[take], after[split.offsets.to_numpy()]
+
+
+@cache
+def _encoder(vocabulary: str) -> Encoder:
+    """One encoder a worker process, so later tasks need not learn again."""
+    return Encoder(vocabulary)
 
 
 def _pieces(vocabulary: str | None, capacity: int):
     def cut(batches):
-        encoder = Encoder(vocabulary or default_vocabulary())
+        encoder = _encoder(vocabulary or default_vocabulary())
         closing = np.array([CLOSING_ID], "<u4").tobytes()
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-        for ids, texts in rows_of(batches, "doc_id", "text"):
+        for batch in batches:
+            ids, texts = batch.column("doc_id").to_pylist(), pc.fill_null(batch.column("text"), "")
+            chars = np.r_[0, np.cumsum(pc.binary_length(texts).to_numpy())]
             at = 0
             while at < len(ids):
-                to, size = at, 0
-                while to < len(ids) and size < 1 << 21:
-                    size += len(texts[to] or "")
-                    to += 1
+                to = max(at + 1, int(np.searchsorted(chars, chars[at] + CHARS)) - 1)
+                tokens, cuts = encoder.encode(texts[at:to])
                 out = []
-                for i, raw in zip(ids[at:to], encoder.encode([t or "" for t in texts[at:to]]), strict=True):
-                    raw += closing
+                for i, first, last in zip(ids[at:to], cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    raw = tokens[first:last].tobytes() + closing
                     for k, lo in enumerate(range(0, len(raw), 4 * capacity)):
                         part = raw[lo : lo + 4 * capacity]
                         out.append((i, k, lo // 4, len(part) // 4, crc32(part)))
