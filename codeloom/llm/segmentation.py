@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import cache
 from zlib import crc32
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from codeloom.llm._shared import U64, rows_of
 
 #: Words whose lattices a worker holds; lattice positions it holds.
-HELD_WORDS, HELD_STATES = 300_000, 3_000_000
+HELD_WORDS, HELD_STATES = 600_000, 6_000_000
 SPACE = "▁"
 
 
@@ -74,7 +75,9 @@ class Lattice:
         self.unknown = -sharpness * math.log(n + 2)
         self._trie(pieces)
         # no piece spans such a place, so lattices of the parts are independent
-        self.split = re.compile("(?s).+" if crossing else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if lines else f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
+        marks = "".join(c for c in ",.;:!?" if not any(p[-1] == c and re.match("[A-Za-z]", p[-2:-1]) for p in pieces))
+        before = f"{SPACE}*+[A-Za-z]++(?=[{marks}](?:{SPACE}|\\Z))|" if marks else ""  # a word, where only a mark follows
+        self.split = re.compile("(?s).+" if crossing else f"{before}{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if lines else f"{before}{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
         self.clear()
 
     def _trie(self, pieces: dict) -> None:
@@ -253,6 +256,12 @@ class Lattice:
         return range(int(self.first[state]), int(self.first[state + 1]))
 
 
+@cache
+def _lattice(model: str | None, sharpness: float) -> Lattice:
+    """One lattice a worker process, so later tasks need not learn its words again."""
+    return Lattice(model, sharpness)
+
+
 def _uniform(keys: np.ndarray, number: int, kind: int, index: np.ndarray | int, step: int = 0) -> np.ndarray:
     """Uniform numbers in (0, 1): splitmix64 streams of a text's key, by what they are for."""
     x = np.atleast_1d(np.asarray(index)).astype(np.uint64)
@@ -394,7 +403,7 @@ def _sampler(model, sharpness: float, k: int, seed: int, digest: bool):
         return pa.record_batch(own, names=names if digest else [*names[:2], "ids", *names[4:]])
 
     def run(batches):
-        lattice = Lattice(model, sharpness)
+        lattice = _lattice(model, sharpness)
         for ids, texts in rows_of(batches, "doc_id", "text"):
             at = 0
             while at < len(ids):
