@@ -80,7 +80,7 @@ def _hash(s: str) -> int:
 
 
 def _nearby(text: str, spans):
-    """For each entity: its hash, a hash of its surroundings, and the words around it with their places."""
+    """For each entity: its hash, and the words around it with their places."""
     for s, k, e in spans:
         value = text[s:e].lower() if k == 0 else "".join(_DIGITS.findall(text[s:e]))
         low = max(0, s - 40 * WINDOW)
@@ -91,25 +91,25 @@ def _nearby(text: str, spans):
             if len(right) == WINDOW:
                 break
         words = [m for m in left + right if not any(a < m.end() and m.start() < b for a, _, b in spans)]
-        yield _hash(f"{KINDS[k]}:{value}"), _hash(" ".join(m[0].lower() for m in words)), [(m[0].lower(), m.start(), m.end()) for m in words]
+        yield _hash(f"{KINDS[k]}:{value}"), [(m[0].lower(), m.start(), m.end()) for m in words]
 
 
 def _scan(batches):
     """One row a document with its base spans and the words near its entities."""
-    place = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("context", pa.int64()), ("at", pa.int32()), ("to", pa.int32())]))
+    place = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("at", pa.int32()), ("to", pa.int32())]))
     for ids, texts in rows_of(batches, "doc_id", "text"):
         rows = []
         for i, t in zip(ids, texts, strict=True):
             spans = base_spans(t)
             text = joined(spans)
-            near = [{"entity": e, "term": _hash(w), "context": c, "at": a, "to": b} for e, c, ws in _nearby(t, spans) for w, a, b in ws]
+            near = [{"entity": e, "term": _hash(w), "at": a, "to": b} for e, ws in _nearby(t, spans) for w, a, b in ws]
             n = [sum(k == kind for _, k, _ in spans) for kind in range(4)]
             rows.append((i, _hash(t), *n, hashlib.sha256(text.encode()).hexdigest(), [{"at": s, "kind": k, "to": e} for s, k, e in spans], near))
         kinds = [pa.int64(), pa.int64(), *[pa.int64()] * 4, pa.string(), pa.list_(pa.struct([("at", pa.int32()), ("kind", pa.int32()), ("to", pa.int32())])), place]
         yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)], names=["doc_id", "text_key", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "near"])
 
 
-_SCANNED = "doc_id long, text_key long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<at:int,kind:int,to:int>>, near array<struct<entity:long,term:long,context:long,at:int,to:int>>"
+_SCANNED = "doc_id long, text_key long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<at:int,kind:int,to:int>>, near array<struct<entity:long,term:long,at:int,to:int>>"
 
 
 def _count_terms(batches):
@@ -150,17 +150,24 @@ class Findings:
     terms: DataFrame
 
 
-def find(docs: DataFrame, alpha: float = 1.25, support: int = 4) -> Findings:
+def _lower(k, n, z: float):
+    """The lower end of Wilson's interval for ``k`` of ``n``, one-sided at ``z`` deviations."""
+    p = k / n
+    return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def find(docs: DataFrame, alpha: float = 1.25, z: float = 1.645) -> Findings:
     """Base spans of every whole text, and the terms that disclose a protected entity.
 
-    Entities are the values of the base patterns. Over all documents the
-    operator counts N, the documents that hold an entity e, a term t, and t
-    within 12 words of e. t discloses e if pointwise mutual information
-    log(N n(e,t) / (n(e) n(t))) is at least the information content
-    log(N / n(e)) divided by ``alpha``, seen in at least ``support`` different
-    surroundings (so copies of one text are no evidence). Where the ratio
-    exceeds the whole content (p(e|t) = 1) the term is removed, else it is
-    generalised. Terms count only near the entity they disclose.
+    Entities are the values of the base patterns. Over all distinct texts (so
+    copies of one text are no evidence) the operator counts N, the texts that
+    hold an entity e, a term t, and t within 12 words of e. p(e|t) is taken at
+    the lower end of its confidence interval (Wilson, ``z`` deviations), so one
+    or two texts can be evidence, but less than many. t discloses e if the
+    mutual information log(N p(e|t) / n(e)) is at least the information content
+    log(N / n(e)) divided by ``alpha``. Where every text with t has e beside it
+    the term is removed, else it is generalised. Terms count only near the
+    entity they disclose.
 
     Null text is empty; rows without doc_id are kept under null; rows that
     repeat a doc_id are told apart by their text; other columns are ignored;
@@ -169,24 +176,24 @@ def find(docs: DataFrame, alpha: float = 1.25, support: int = 4) -> Findings:
     base = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     scanned = materialize(base.mapInArrow(_scan, _SCANNED))
     near = scanned.where(F.size("near") > 0).select("doc_id", "text_key", F.explode("near").alias("p")).select("doc_id", "text_key", "p.*")
-    total = F.lit(scanned.count())
-    seen = near.groupBy("doc_id", "text_key", "entity", "term").agg(F.min("context").alias("context"))
-    kinds = seen.groupBy("entity", "term", "context").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count("*").alias("surroundings")).where(F.col("surroundings") >= support)
-    entities = near.select("doc_id", "text_key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    total = F.lit(scanned.select("text_key").distinct().count())
+    kinds = near.select("text_key", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("both"))
+    entities = near.select("text_key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     pairs = materialize(kinds.join(entities, "entity"))
     wanted = pairs.select("term").distinct()
-    frequency = base.select("text").mapInArrow(_count_terms, "term long, df long").groupBy("term").agg(F.sum("df").alias("n_term")).join(wanted, "term", "left_semi")
-    pmi = F.log(total * F.col("both") / (F.col("n_entity") * F.greatest("n_term", "both")))
+    frequency = base.select("text").distinct().mapInArrow(_count_terms, "term long, df long").groupBy("term").agg(F.sum("df").alias("n_term")).join(wanted, "term", "left_semi")
     content = F.log(total / F.col("n_entity"))
-    flagged = pairs.join(frequency, "term").withColumn("ratio", pmi / content).where((content > 0) & (F.col("ratio") >= 1 / alpha)).select("entity", "term", "ratio")
-    hidden = near.join(flagged, ["entity", "term"]).groupBy("doc_id", "text_key", "at", "to").agg(F.max("ratio").alias("ratio"))
-    hidden = hidden.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("at", F.lit(4).alias("kind"), "to", (F.col("ratio") >= 0.999).alias("remove")))).alias("added"))
+    pmi = content + F.log(_lower(F.col("both"), F.col("n_term"), z))
+    remove = (F.col("both") == F.col("n_term")).alias("remove")
+    flagged = pairs.join(frequency, "term").where((content > 0) & (pmi >= content / alpha)).select("entity", "term", remove)
+    hidden = near.join(flagged, ["entity", "term"]).groupBy("doc_id", "text_key", "at", "to").agg(F.max("remove").alias("remove"))
+    hidden = hidden.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("at", F.lit(4).alias("kind"), "to", "remove"))).alias("added"))
     return Findings(scanned, hidden)
 
 
-def spans(docs: DataFrame, alpha: float = 1.25, support: int = 4) -> DataFrame:
+def spans(docs: DataFrame, alpha: float = 1.25, z: float = 1.645) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for every row; see ``find``."""
-    got = find(docs, alpha, support)
+    got = find(docs, alpha, z)
     hidden = got.terms.select(F.col("doc_id").alias("d"), F.col("text_key").alias("x"), F.transform("added", lambda a: F.struct(a["at"].alias("at"), a["kind"].alias("kind"), a["to"].alias("to"))).alias("added"))
     both = got.documents.join(hidden, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("x")), "left")
     every = F.sort_array(F.concat("base", F.coalesce("added", F.slice("base", 1, 0))))
@@ -217,13 +224,13 @@ def _rewrite(batches):
         yield pa.record_batch([pa.array(out, pa.string()) if n == "text" else batch.column(n) for n in keep], names=keep)
 
 
-def sanitise(docs: DataFrame, alpha: float = 1.25, support: int = 4) -> DataFrame:
+def sanitise(docs: DataFrame, alpha: float = 1.25, z: float = 1.645) -> DataFrame:
     """``docs`` with every base span replaced by its kind and disclosing terms removed or generalised.
 
     Documents without spans pass unchanged, null texts included; the texts
     with spans are the only ones that are joined to their spans.
     """
-    got = find(docs, alpha, support)
+    got = find(docs, alpha, z)
     some = got.documents.select("doc_id", "text_key", "base").join(got.terms, ["doc_id", "text_key"], "left").where((F.size("base") > 0) | F.col("added").isNotNull())
     some = some.groupBy("doc_id").agg(F.collect_list(F.struct("text_key", "base", "added")).alias("found"))
     wide = docs.join(some, "doc_id", "left")

@@ -207,6 +207,20 @@ def test_disclosing_terms(spark):
     assert len(clean) == len({i for i, _ in rows}) and private_data.spans(frame(spark, [])).count() == 0
 
 
+def test_terms_of_rare_entities(spark):
+    r = np.random.default_rng(3)
+    common = [f"{a}{b}{c}" for a in "bdfg" for b in "aeiou" for c in "klmn"]
+    text = lambda n: " ".join(r.choice(common, n))
+    rows = [(0, f"{text(5)} okapi una@x.org {text(5)}"), (1, f"{text(5)} quagga bis@x.org {text(5)}"), (2, f"{text(5)} quagga bis@x.org {text(5)}")]
+    rows += [(k, f"{text(20)} walrus") for k in range(3, 6)] + [(6, f"{text(5)} walrus ter@x.org {text(5)}")] + [(k, text(30)) for k in range(7, 1500)]
+    got = {x.doc_id: x.spans.split(",") for x in private_data.spans(frame(spark, rows)).collect()}
+    for k, w in ((0, "okapi"), (1, "quagga"), (2, "quagga")):
+        at = rows[k][1].index(w)
+        assert [s for s in got[k] if s.startswith("term")] == [f"term:{at}:{at + len(w)}"]
+    assert not any(s.startswith("term") for s in got[6])  # one of four texts with it is weak evidence
+    assert not any(s.startswith("term") for k in range(7, 1500) for s in got[k])
+
+
 # packing
 def test_packing(spark):
     r = np.random.default_rng(5)
