@@ -16,8 +16,8 @@ from codeloom.llm._shared import U64, WordHashes, materialize, rows_of
 
 #: Kinds of the base patterns in their fixed order, then that of disclosing terms.
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Words to each side of an entity that may disclose it.
-WINDOW = 12
+#: Slots of the map that tells which words may be disclosing terms.
+SLOTS = 1 << 25
 #: Distinct term hashes a task holds before it hands on its counts.
 HELD = 1 << 20
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -79,37 +79,69 @@ def _hash(s: str) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass"))).view(np.int64))
 
 
-def _nearby(text: str, spans):
-    """For each entity: its hash, and the words around it with their places."""
-    for s, k, e in spans:
-        value = text[s:e].lower() if k == 0 else "".join(_DIGITS.findall(text[s:e]))
-        low = max(0, s - 40 * WINDOW)
-        left = [m for m in _WORD.finditer(text, low, s) if m.start() > low or not low][-WINDOW:]
-        right = []
-        for m in _WORD.finditer(text, e, min(len(text), e + 40 * WINDOW)):
-            right.append(m)
-            if len(right) == WINDOW:
-                break
-        words = [m for m in left + right if not any(a < m.end() and m.start() < b for a, _, b in spans)]
-        yield _hash(f"{KINDS[k]}:{value}"), [(m[0].lower(), m.start(), m.end()) for m in words]
+def _entities(text: str, spans) -> list[int]:
+    """Hashes of the distinct entities of a text."""
+    values = {f"{KINDS[k]}:{text[s:e].lower() if k == 0 else ''.join(_DIGITS.findall(text[s:e]))}" for s, k, e in spans}
+    return [_hash(v) for v in values]
+
+
+def _outside(text: str, spans):
+    """Words that no base span overlaps, in lower case, with their places."""
+    merged = []
+    for s, _, e in spans:
+        if merged and s < merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], e)
+        else:
+            merged.append([s, e])
+    k = 0
+    for m in _WORD.finditer(text):
+        while k < len(merged) and merged[k][1] <= m.start():
+            k += 1
+        if k == len(merged) or m.end() <= merged[k][0]:
+            yield m[0].lower(), m.start(), m.end()
 
 
 def _scan(batches):
-    """One row a document with its base spans and the words near its entities."""
-    place = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("at", pa.int32()), ("to", pa.int32())]))
-    for ids, texts in rows_of(batches, "doc_id", "text"):
+    """One row a document with its base spans; where it holds entities, with these and all its words."""
+    for ids, keys, texts in rows_of(batches, "doc_id", "text_key", "text"):
         rows = []
-        for i, t in zip(ids, texts, strict=True):
+        for i, x, t in zip(ids, keys, texts, strict=True):
             spans = base_spans(t)
             text = joined(spans)
-            near = [{"entity": e, "term": _hash(w), "at": a, "to": b} for e, ws in _nearby(t, spans) for w, a, b in ws]
             n = [sum(k == kind for _, k, _ in spans) for kind in range(4)]
-            rows.append((i, _hash(t), *n, hashlib.sha256(text.encode()).hexdigest(), [{"at": s, "kind": k, "to": e} for s, k, e in spans], near))
-        kinds = [pa.int64(), pa.int64(), *[pa.int64()] * 4, pa.string(), pa.list_(pa.struct([("at", pa.int32()), ("kind", pa.int32()), ("to", pa.int32())])), place]
-        yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)], names=["doc_id", "text_key", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "near"])
+            terms = [_hash(w) for w in {w for w, _, _ in _outside(t, spans)}] if spans else []
+            rows.append((i, x, *n, hashlib.sha256(text.encode()).hexdigest(), [{"at": s, "kind": k, "to": e} for s, k, e in spans], _entities(t, spans), terms))
+        kinds = [pa.int64(), pa.int64(), *[pa.int64()] * 4, pa.string(), pa.list_(pa.struct([("at", pa.int32()), ("kind", pa.int32()), ("to", pa.int32())])), *[pa.list_(pa.int64())] * 2]
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)], names=["doc_id", "text_key", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "entities", "terms"])
+
+
+_SCANNED = "doc_id long, text_key long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<at:int,kind:int,to:int>>, entities array<long>, terms array<long>"
+
 
+def _places(slots: bytes):
+    """A row for each word that the map lets pass, with its place."""
 
-_SCANNED = "doc_id long, text_key long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<at:int,kind:int,to:int>>, near array<struct<entity:long,term:long,at:int,to:int>>"
+    def run(batches):
+        marked, cache = np.unpackbits(np.frombuffer(slots, np.uint8), bitorder="little").view(bool), WordHashes()
+        for ids, keys, texts in rows_of(batches, "doc_id", "text_key", "text"):
+            rows = []
+            for i, x, t in zip(ids, keys, texts, strict=True):
+                hit = {w for w in {w.lower() for w in _WORD.findall(t)} if marked[cache[w] & SLOTS - 1]}
+                if hit:
+                    rows += [(i, x, _hash(w), s, e) for w, s, e in _outside(t, base_spans(t)) if w in hit]
+            kinds = [pa.int64()] * 3 + [pa.int32()] * 2
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], names=["doc_id", "text_key", "term", "at", "to"])
+
+    return run
+
+
+def _slots(terms: DataFrame) -> bytes:
+    """A map of fixed size in which every term has its slot set; others may share it."""
+    slot = F.col("term").bitwiseAND(SLOTS - 1)
+    parts = terms.groupBy(F.shiftright(slot, 5).alias("part")).agg(F.bit_or(F.expr("shiftleft(1L, cast(term & 31 as int))")).alias("bits")).toArrow()
+    out = np.zeros(SLOTS // 32, "<u4")
+    out[parts["part"].to_numpy()] = parts["bits"].to_numpy().astype("<u4")
+    return out.tobytes()
 
 
 def _count_terms(batches):
@@ -161,32 +193,40 @@ def find(docs: DataFrame, alpha: float = 1.25, z: float = 1.645) -> Findings:
 
     Entities are the values of the base patterns. Over all distinct texts (so
     copies of one text are no evidence) the operator counts N, the texts that
-    hold an entity e, a term t, and t within 12 words of e. p(e|t) is taken at
+    hold an entity e, a term t, and both of them, anywhere. p(e|t) is taken at
     the lower end of its confidence interval (Wilson, ``z`` deviations), so one
     or two texts can be evidence, but less than many. t discloses e if the
     mutual information log(N p(e|t) / n(e)) is at least the information content
-    log(N / n(e)) divided by ``alpha``. Where every text with t has e beside it
-    the term is removed, else it is generalised. Terms count only near the
-    entity they disclose.
+    log(N / n(e)) divided by ``alpha``. Where every text with t has e too the
+    term is removed, else it is generalised, at all its places in all texts.
+
+    Entities that occur in the same texts share their counts and are counted
+    as one class, and so are terms; pairs are formed of classes, and only of
+    those that could reach the threshold if they always occurred together.
 
     Null text is empty; rows without doc_id are kept under null; rows that
     repeat a doc_id are told apart by their text; other columns are ignored;
     no rows give no rows.
     """
-    base = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    base = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
     scanned = materialize(base.mapInArrow(_scan, _SCANNED))
-    near = scanned.where(F.size("near") > 0).select("doc_id", "text_key", F.explode("near").alias("p")).select("doc_id", "text_key", "p.*")
     total = F.lit(scanned.select("text_key").distinct().count())
-    kinds = near.select("text_key", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("both"))
-    entities = near.select("text_key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    pairs = materialize(kinds.join(entities, "entity"))
-    wanted = pairs.select("term").distinct()
-    frequency = base.select("text").distinct().mapInArrow(_count_terms, "term long, df long").groupBy("term").agg(F.sum("df").alias("n_term")).join(wanted, "term", "left_semi")
+    holders = materialize(scanned.where(F.size("entities") > 0).select("text_key", "entities", "terms").dropDuplicates(["text_key"]))
+    alike = F.bit_xor(F.xxhash64("text_key"))
+    held = holders.select("text_key", F.explode("entities").alias("entity"))
+    entities = held.groupBy("entity").agg(F.count("*").alias("n_entity"), alike.alias("entities"))
+    held = held.join(entities, "entity").select("text_key", "n_entity", "entities").distinct()
+    said = holders.select("text_key", F.explode("terms").alias("term"))
+    frequency = base.select("text").distinct().mapInArrow(_count_terms, "term long, df long").groupBy("term").agg(F.sum("df").alias("n_term"))
+    terms = materialize(said.groupBy("term").agg(F.count("*").alias("n_held"), alike.alias("terms")).join(frequency, "term"))
+    said = said.join(terms, "term").select("text_key", "n_term", "n_held", "terms").distinct()
     content = F.log(total / F.col("n_entity"))
-    pmi = content + F.log(_lower(F.col("both"), F.col("n_term"), z))
-    remove = (F.col("both") == F.col("n_term")).alias("remove")
-    flagged = pairs.join(frequency, "term").where((content > 0) & (pmi >= content / alpha)).select("entity", "term", remove)
-    hidden = near.join(flagged, ["entity", "term"]).groupBy("doc_id", "text_key", "at", "to").agg(F.max("remove").alias("remove"))
+    discloses = lambda both: (content > 0) & (content + F.log(_lower(both, F.col("n_term"), z)) >= content / alpha)
+    pairs = held.join(said, "text_key").where(discloses(F.least("n_entity", "n_held"))).groupBy("n_entity", "entities", "n_term", "n_held", "terms").agg(F.count("*").alias("both"))
+    classes = pairs.where(discloses(F.col("both"))).groupBy("n_term", "n_held", "terms").agg(F.max(F.col("both") == F.col("n_term")).alias("remove"))
+    flagged = materialize(terms.join(classes, ["n_term", "n_held", "terms"]).select("term", "remove"))
+    places = base.mapInArrow(_places(_slots(flagged)), "doc_id long, text_key long, term long, at int, to int")
+    hidden = places.join(flagged, "term").groupBy("doc_id", "text_key", "at", "to").agg(F.max("remove").alias("remove"))
     hidden = hidden.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("at", F.lit(4).alias("kind"), "to", "remove"))).alias("added"))
     return Findings(scanned, hidden)
 
@@ -233,16 +273,16 @@ def sanitise(docs: DataFrame, alpha: float = 1.25, z: float = 1.645) -> DataFram
     got = find(docs, alpha, z)
     some = got.documents.select("doc_id", "text_key", "base").join(got.terms, ["doc_id", "text_key"], "left").where((F.size("base") > 0) | F.col("added").isNotNull())
     some = some.groupBy("doc_id").agg(F.collect_list(F.struct("text_key", "base", "added")).alias("found"))
-    wide = docs.join(some, "doc_id", "left")
+    wide = docs.join(some, "doc_id", "left").withColumn("found_key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     fields = [f for f in docs.schema.fields]
     schema = docs.schema
 
     def apply(batches):
         for batch in batches:
-            found, texts = batch.column("found").to_pylist(), batch.column("text").to_pylist()
+            found, keys = batch.column("found").to_pylist(), batch.column("found_key").to_pylist()
             base, added = [], []
-            for f, t in zip(found, texts, strict=True):
-                hit = next((x for x in f or [] if x["text_key"] == _hash(t or "")), None)
+            for f, key in zip(found, keys, strict=True):
+                hit = next((x for x in f or [] if x["text_key"] == key), None)
                 base.append(hit["base"] if hit else []), added.append(hit["added"] if hit else None)
             names = [x.name for x in fields]
             cols = [batch.column(batch.schema.get_field_index(n)) for n in names]
@@ -250,4 +290,4 @@ def sanitise(docs: DataFrame, alpha: float = 1.25, z: float = 1.645) -> DataFram
             extra = pa.list_(pa.struct([("at", pa.int32()), ("kind", pa.int32()), ("to", pa.int32()), ("remove", pa.bool_())]))
             yield from _rewrite([pa.record_batch([*cols, pa.array(base, spans_type), pa.array(added, extra)], names=[*names, "base", "added"])])
 
-    return wide.select(*[x.name for x in fields], "found").mapInArrow(apply, schema)
+    return wide.select(*[x.name for x in fields], "found", "found_key").mapInArrow(apply, schema)

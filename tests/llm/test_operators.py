@@ -221,6 +221,19 @@ def test_terms_of_rare_entities(spark):
     assert not any(s.startswith("term") for k in range(7, 1500) for s in got[k])
 
 
+def test_terms_far_from_their_entity(spark):
+    r = np.random.default_rng(2)
+    common = [f"{a}{b}{c}" for a in "bdfg" for b in "aeiou" for c in "klmn"]
+    text = lambda n: " ".join(r.choice(common, n))
+    rows = [(k, f"okapi {text(300)} una@x.org and 1.2.3.4 {text(300)} Okapi") for k in range(8)] + [(8, f"{text(9)} okapi {text(9)}")] + [(k, text(30)) for k in range(9, 1500)]
+    got = {x.doc_id: x.spans.split(",") for x in private_data.spans(frame(spark, rows)).collect()}
+    for k in range(9):
+        want = [f"term:{m.start()}:{m.end()}" for m in re.finditer("(?i)okapi", rows[k][1])]
+        assert [s for s in got[k] if s.startswith("term") and rows[k][1][int(s.split(":")[1]) :][:3] != "and"] == want
+    clean = {x.doc_id: x.text for x in private_data.sanitise(frame(spark, rows)).collect()}
+    assert all("okapi" not in clean[k].lower() and clean[k].count("<TERM>") == (2 if k < 8 else 1) for k in range(9))
+
+
 # packing
 def test_packing(spark):
     r = np.random.default_rng(5)
