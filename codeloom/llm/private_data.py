@@ -244,14 +244,14 @@ def spans(docs: DataFrame, alpha: float = 1.25, z: float = 1.645) -> DataFrame:
 
 def _rewrite(batches):
     for batch in batches:
-        at = batch.schema.get_field_index("text")
-        base, added = batch.column("base").to_pylist(), batch.column("added").to_pylist()
+        texts, added = (batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("text", "added"))
         out = []
-        for t, b, a in zip(batch.column(at).to_pylist(), base, added, strict=True):
-            if not b and not a:
+        for t, a in zip(texts, added, strict=True):
+            base = base_spans(t or "")
+            if not base and not a:
                 out.append(t)
                 continue
-            marks = sorted([(s["at"], s["to"], f"<{KINDS[s['kind']].upper()}>") for s in b or []] + [(s["at"], s["to"], "" if s["remove"] else "<TERM>") for s in a or []])
+            marks = sorted([(s, e, f"<{KINDS[k].upper()}>") for s, k, e in base] + [(s["at"], s["to"], "" if s["remove"] else "<TERM>") for s in a or []])
             text, parts, end = t or "", [], 0
             for s, e, mark in marks:
                 if s < end:  # overlaps the span before: extend it
@@ -260,34 +260,18 @@ def _rewrite(batches):
                 parts += [text[end:s], mark]
                 end = e
             out.append("".join([*parts, text[end:]]))
-        keep = [n for n in batch.schema.names if n not in ("base", "added")]
+        keep = [n for n in batch.schema.names if n != "added"]
         yield pa.record_batch([pa.array(out, pa.string()) if n == "text" else batch.column(n) for n in keep], names=keep)
 
 
 def sanitise(docs: DataFrame, alpha: float = 1.25, z: float = 1.645) -> DataFrame:
     """``docs`` with every base span replaced by its kind and disclosing terms removed or generalised.
 
-    Documents without spans pass unchanged, null texts included; the texts
-    with spans are the only ones that are joined to their spans.
+    Documents without spans pass unchanged, null texts included. Base spans
+    are sought where the row is read; only terms are joined, by text and by
+    doc_id, null or not.
     """
-    got = find(docs, alpha, z)
-    some = got.documents.select("doc_id", "text_key", "base").join(got.terms, ["doc_id", "text_key"], "left").where((F.size("base") > 0) | F.col("added").isNotNull())
-    some = some.groupBy("doc_id").agg(F.collect_list(F.struct("text_key", "base", "added")).alias("found"))
-    wide = docs.join(some, "doc_id", "left").withColumn("found_key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    fields = [f for f in docs.schema.fields]
-    schema = docs.schema
-
-    def apply(batches):
-        for batch in batches:
-            found, keys = batch.column("found").to_pylist(), batch.column("found_key").to_pylist()
-            base, added = [], []
-            for f, key in zip(found, keys, strict=True):
-                hit = next((x for x in f or [] if x["text_key"] == key), None)
-                base.append(hit["base"] if hit else []), added.append(hit["added"] if hit else None)
-            names = [x.name for x in fields]
-            cols = [batch.column(batch.schema.get_field_index(n)) for n in names]
-            spans_type = pa.list_(pa.struct([("at", pa.int32()), ("kind", pa.int32()), ("to", pa.int32())]))
-            extra = pa.list_(pa.struct([("at", pa.int32()), ("kind", pa.int32()), ("to", pa.int32()), ("remove", pa.bool_())]))
-            yield from _rewrite([pa.record_batch([*cols, pa.array(base, spans_type), pa.array(added, extra)], names=[*names, "base", "added"])])
-
-    return wide.select(*[x.name for x in fields], "found", "found_key").mapInArrow(apply, schema)
+    hidden = find(docs, alpha, z).terms.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_x"), "added")
+    key = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    wide = docs.join(hidden, docs["doc_id"].cast("long").eqNullSafe(F.col("_d")) & (key == F.col("_x")), "left")
+    return wide.select(*[docs[n] for n in docs.columns], "added").mapInArrow(_rewrite, docs.schema)

@@ -234,6 +234,12 @@ def test_terms_far_from_their_entity(spark):
     assert all("okapi" not in clean[k].lower() and clean[k].count("<TERM>") == (2 if k < 8 else 1) for k in range(9))
 
 
+def test_sanitise_without_doc_id(spark):
+    rows = [(None, "write to me@x.org or 10.0.0.1"), (None, "nothing here"), (None, None), (1, "write to me@x.org")]
+    clean = sorted(((x.doc_id, x.text) for x in private_data.sanitise(frame(spark, rows)).collect()), key=str)
+    assert clean == sorted([(None, "write to <EMAIL> or <IP>"), (None, "nothing here"), (None, None), (1, "write to <EMAIL>")], key=str)
+
+
 # packing
 def test_packing(spark):
     r = np.random.default_rng(5)
