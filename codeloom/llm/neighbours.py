@@ -14,6 +14,8 @@ from codeloom.llm._shared import materialize, rows_of
 
 #: Rows the tree is fitted on; rows of one search block; leaves at most.
 SAMPLE, BLOCK, LEAVES = 8192, 4096, 1 << 14
+#: Part of the squared lengths of two vectors that their squared distance may miss by rounding.
+SLACK = 1e-9
 
 
 def chi_square_quantile(p: float, m: int) -> float:
@@ -88,8 +90,8 @@ def _router(tree: Tree, dim: int, m: int, seed: int, limit: float):
         r = _projection(dim, m, seed)
         for ids, vecs, homes, bounds in rows_of(batches, "vec_id", "v", "cell", "bound"):
             for i, v, home, bound in zip(ids, vecs, homes, bounds, strict=True):
-                near = tree.distances(np.array(v, np.float64) @ r)
-                cells = np.flatnonzero(near <= (np.inf if bound is None else limit * bound * bound))
+                y = np.array(v, np.float64) @ r
+                cells = np.flatnonzero(tree.distances(y) <= (np.inf if bound is None else limit * bound * bound + SLACK * (y @ y)))
                 cells = cells[cells != home]
                 yield pa.record_batch([pa.array(cells, pa.int32()), pa.array([i] * len(cells), pa.int64()), pa.array([v] * len(cells), pa.list_(pa.float32())), pa.array([bound] * len(cells), pa.float64())], names=["cell", "vec_id", "v", "bound"])
 
@@ -98,13 +100,15 @@ def _router(tree: Tree, dim: int, m: int, seed: int, limit: float):
 
 def _search_block(ids, pts, proj, qids, q, qproj, bound, k, limit, step=256):
     """Verify points in order of projected distance until the chi-square test holds; k best a query."""
-    d2 = np.maximum((qproj**2).sum(1)[:, None] + (proj**2).sum(1)[None] - 2 * qproj @ proj.T, 0)
+    size = (qproj**2).sum(1)[:, None] + (proj**2).sum(1)[None]
+    d2 = np.maximum(size - 2 * qproj @ proj.T, 0)
+    d2 -= np.minimum(d2, SLACK * size)  # what is only rounding counts as no distance
     order = np.argsort(d2, axis=1)
     best_d, best_i = np.full((len(q), k), np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
     rows = np.arange(len(q))
     for at in range(0, len(ids), step):
         far = np.minimum(best_d[:, -1], bound)
-        rows = np.flatnonzero(d2[np.arange(len(q)), order[:, at]] <= limit * far * far + 1e-9 * far)
+        rows = np.flatnonzero(d2[np.arange(len(q)), order[:, at]] <= limit * far * far)
         if not len(rows):
             break
         pick = order[rows, at : at + step]

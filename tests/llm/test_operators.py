@@ -311,6 +311,20 @@ def test_neighbours(spark):
     assert sorted((f.query_id, f.vec_id) for f in few) == [(0, 1), (0, 2)]
 
 
+def test_neighbours_among_thousands_of_copies(spark):
+    r = np.random.default_rng(12)
+    kinds = r.normal(size=(8, 64)).astype(np.float32)
+    which = r.permutation(np.repeat(np.arange(8), 2000))  # 2000 copies of each
+    table = spark.createDataFrame([(int(k), kinds[which[k]].tolist()) for k in r.permutation(len(which))], "vec_id long, embedding array<float>")
+    got = collections.defaultdict(list)
+    for f in neighbours.nearest(table).collect():
+        got[f.query_id].append((f["rank"], f.vec_id, f.score))
+    assert set(got) == set(range(0, len(which), 100))
+    for q, found in got.items():
+        same = [int(k) for k in np.flatnonzero(which == which[q]) if k != q][:10]
+        assert sorted(found) == [(n + 1, k, 0.0) for n, k in enumerate(same)]
+
+
 def test_chi_square_quantile():
     assert abs(neighbours.chi_square_quantile(0.95, 2) - 5.9915) < 1e-3
     assert abs(neighbours.chi_square_quantile(0.95, 16) - 26.296) < 1e-3
