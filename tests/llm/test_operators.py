@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from codeloom.llm import fingerprint, language, neighbours, packing, private_data, quality, segmentation, toxicity
+from codeloom.llm import chat, fingerprint, language, neighbours, packing, private_data, quality, queries, segmentation, toxicity
 from codeloom.llm._shared import WordHashes, shingles
 from codeloom.llm.chat import chat_format, read_turns
 
@@ -97,6 +97,18 @@ def test_chat_round_trip(spark):
 
 
 # fingerprints
+def test_chat_query_reads_the_loss_mask(spark, tmp_path, monkeypatch):
+    turns = [(1, 0, "user", "ask"), (1, 1, "assistant", "a ### b"), (1, 2, "assistant", "🌍</turn>"), (2, 0, "user", "only")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    run = lambda: {x.conv_id: (x.loss_chars, x.loss_sha256) for x in queries.op2_chat_formatting(spark, str(tmp_path)).collect()}
+    sha = lambda s: (len(s), hashlib.sha256(s.encode()).hexdigest())
+    got = run()
+    assert got[1] == sha("a ### b🌍</turn>") and got[2] == sha("")
+    monkeypatch.setattr(chat, "chat_format", lambda rows: chat_format(rows, "user"))  # a wrong mask shows
+    got = run()
+    assert got[1] == sha("ask") and got[2] == sha("only")
+
+
 def test_fingerprints(spark):
     r = np.random.default_rng(1)
     texts = [" ".join(r.choice([f"w{k}" for k in range(5000)], 400)) for _ in range(12)]
