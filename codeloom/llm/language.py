@@ -115,7 +115,7 @@ def _sampled(batches):
         out = []
         for t in texts:
             w = words(t)
-            out.append(w[:: max(1, len(w) // TRAIN_WORDS)][:TRAIN_WORDS] if len(w) > TRAIN_WORDS else w)
+            out.append([w[k] for k in np.linspace(0, len(w) - 1, TRAIN_WORDS).astype(int)] if len(w) > TRAIN_WORDS else w)
         yield pa.record_batch([pa.array(langs, pa.string()), pa.array(out, pa.list_(pa.string()))], names=["lang", "words"])
 
 

@@ -5,6 +5,7 @@ import re
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -178,6 +179,18 @@ def test_language(spark):
     assert {r.doc_id for r in language.recognised(docs, model).collect()} >= set(range(240))
 
 
+def test_learning_words_are_evenly_spread():
+    most = language.TRAIN_WORDS
+    letters = lambda n: ["".join(chr(97 + k // 26**j % 26) for j in range(3)) for k in range(n)]
+    for n in (most - 1, most, most + 1, 2 * most - 1, 7 * most + most // 2):
+        text = " ".join(letters(n))
+        batch = pa.record_batch([pa.array(["x"]), pa.array([text])], names=["lang", "text"])
+        (out,) = language._sampled(iter([batch]))
+        at = [letters(n).index(w) for w in out["words"].to_pylist()[0]]
+        assert len(at) == min(n, most) and at[0] == 0 and at[-1] == n - 1
+        assert max(np.diff(at)) <= -(-n // most)
+
+
 # personal data
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
 
