@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-import re
+from dataclasses import dataclass
 from functools import cache
 from zlib import crc32
 
@@ -13,10 +13,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm._shared import U64, rows_of
+from codeloom.llm._shared import U64, mix64, rows_of
 
 #: Words whose lattices a worker holds; lattice positions it holds.
 HELD_WORDS, HELD_STATES = 600_000, 6_000_000
+#: Log probabilities are stored and summed as whole numbers of this; differences of sums that run over stay exact.
+UNIT = 2.0**-36
 SPACE = "▁"
 
 
@@ -26,6 +28,12 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of every range, one range after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
 class Grown:
     """An array that appends in amortised constant time; ``of`` is its filled part."""
 
@@ -74,10 +82,14 @@ class Lattice:
             lines |= "\n" in p
         self.unknown = -sharpness * math.log(n + 2)
         self._trie(pieces)
-        # no piece spans such a place, so lattices of the parts are independent
-        marks = "".join(c for c in ",.;:!?" if not any(p[-1] == c and re.match("[A-Za-z]", p[-2:-1]) for p in pieces))
-        before = f"{SPACE}*+[A-Za-z]++(?=[{marks}](?:{SPACE}|\\Z))|" if marks else ""  # a word, where only a mark follows
-        self.split = re.compile("(?s).+" if crossing else f"{before}{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if lines else f"{before}{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
+        # no piece spans a place where words are parted, so lattices of the parts are independent
+        marks = [c for c in ",.;:!?" if not any(p[-1] == c and p[-2:-1].isascii() and p[-2:-1].isalpha() for p in pieces)]
+        self.whole, self.lines = crossing, lines
+        kinds = np.zeros(128, np.uint8)
+        kinds[[c for c in range(128) if chr(c).isalpha()]] = 1
+        kinds[[ord(c) for c in marks]] = 2
+        kinds[10] = 3
+        self.kinds = kinds
         self.clear()
 
     def _trie(self, pieces: dict) -> None:
@@ -98,29 +110,53 @@ class Lattice:
                     end.append((-1, 0.0))
                 node = nodes[key]
             end[node] = got
-        self.keys = np.array(sorted(nodes), np.int64)
-        self.to = np.array([nodes[k] for k in self.keys.tolist()], np.int64)
+        keys, to = np.fromiter(nodes, np.int64, len(nodes)), np.fromiter(nodes.values(), np.int64, len(nodes))
+        # open addressing: a slot holds a key and its node; steps go on while a slot holds another key
+        bits = max(4, (4 * len(keys)).bit_length())
+        self.shift, self.slot_key, self.slot_to = U64(64 - bits), np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int64)
+        left = np.arange(len(keys))
+        slot = self._slot(keys)
+        while len(left):
+            free = self.slot_key[slot[left]] < 0
+            want = left[free]
+            self.slot_key[slot[want]], self.slot_to[slot[want]] = keys[want], to[want]  # one of those that want a slot gets it
+            left = left[self.slot_key[slot[left]] != keys[left]]
+            slot[left] = (slot[left] + 1) & (len(self.slot_key) - 1)
         self.end_id, self.end_w = np.array([e[0] for e in end], np.int64), np.array([e[1] for e in end])
         self.root = np.full(self.width, -1, np.int64)
-        low = self.keys < self.width
-        self.root[self.keys[low]] = self.to[low]
+        low = keys < self.width
+        self.root[keys[low]] = to[low]
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(U64) * U64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def _child(self, keys: np.ndarray) -> np.ndarray:
+        """The node of each (node, character) key; -1 without one."""
+        slot, last = self._slot(keys), len(self.slot_key) - 1
+        held = self.slot_key[slot]
+        out = np.where(held == keys, self.slot_to[slot], -1)
+        miss = np.flatnonzero((held != keys) & (held >= 0))
+        while len(miss):
+            slot[miss] = (slot[miss] + 1) & last
+            held = self.slot_key[slot[miss]]
+            out[miss] = np.where(held == keys[miss], self.slot_to[slot[miss]], -1)
+            miss = miss[(held != keys[miss]) & (held >= 0)]
+        return out
 
     def clear(self) -> None:
-        self.start: dict[str, int] = {}
+        self.start: dict[int, int] = {}
         self._first, self._next, self._ids = Grown(np.int32), Grown(np.int32), Grown(np.int32)
-        self._cum, self._logp, self._rest = Grown(np.float32), Grown(np.float64), Grown(np.float32)
+        self._cum, self._units, self._rest = Grown(np.float32), Grown(np.int64), Grown(np.float32)
         self._first.append(np.zeros(1, np.int32))
         self.raw, self.raw_at = np.empty(0, np.int64), np.zeros(1, np.int64)
         self._settle()
 
     def _settle(self) -> None:
         self.first, self.next, self.ids = self._first.of, self._next.of, self._ids.of
-        self.cum, self.logp, self.rest = self._cum.of, self._logp.of, self._rest.of
+        self.cum, self.units, self.rest = self._cum.of, self._units.of, self._rest.of
 
-    def _add(self, words: list[str]) -> None:
-        """Append the lattices of new words."""
-        cps = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
-        sizes = np.array([len(w) for w in words])
+    def _add(self, cps: np.ndarray, sizes: np.ndarray, names: list[int]) -> None:
+        """Append the lattices of new words: their code points, lengths and hashes."""
         ends = np.repeat(np.cumsum(sizes), sizes)
         char = self.char[cps]
         where = np.arange(len(cps))
@@ -133,10 +169,9 @@ class Lattice:
             found.append((place[hit], np.full(int(hit.sum()), depth), self.end_id[node[hit]], self.end_w[node[hit]]))
             go = place + depth < ends[place]
             place, node = place[go], node[go]
-            key = node * self.width + char[place + depth]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            ok = self.keys[at] == key
-            place, node, depth = place[ok], self.to[at[ok]], depth + 1
+            node = self._child(node * self.width + char[place + depth])
+            ok = node >= 0
+            place, node, depth = place[ok], node[ok], depth + 1
         single = np.zeros(len(cps), bool)
         if found:
             single[found[0][0]] = True
@@ -147,12 +182,15 @@ class Lattice:
             found.append((odd, np.ones(len(odd), np.int64), -1 - (len(self.raw_at) - 1 + np.arange(len(odd))), self.unknown * n))
             self.raw = np.r_[self.raw, self.byte[np.frombuffer(b"".join(raws), np.uint8)]]
             self.raw_at = np.r_[self.raw_at, self.raw_at[-1] + np.cumsum(n)]
-        state, length, ids, w = (np.concatenate(x) for x in zip(*found, strict=True))
-        # by state, longer pieces (the likelier) first: sorted runs, one a length
-        order = np.argsort(state * (depth + 1) - length, kind="stable")
-        state, length, ids, w = state[order], length[order], ids[order], w[order]
-        heads = np.searchsorted(state, where)
-        size = np.diff(np.r_[heads, len(state)])
+        # by state, longer pieces (the likelier) first; a state has one piece of each length
+        size = np.bincount(np.concatenate([f[0] for f in found]), minlength=len(cps))
+        heads = np.cumsum(size) - size
+        free = heads.copy()
+        state, length, ids, w = np.repeat(where, size), *(np.empty(int(size.sum()), kind) for kind in (np.int64, np.int64, np.float64))
+        for places, lengths, piece, weight in sorted(found, key=lambda f: -int(f[1][0]) if len(f[1]) else 0):
+            at = free[places]
+            length[at], ids[at], w[at] = lengths, piece, weight
+            free[places] += 1
         after = state + length
         inner = after < ends[state]
         after[~inner] = len(cps)
@@ -187,23 +225,68 @@ class Lattice:
         self._first.append(arcs + np.r_[heads[1:], len(state)])
         self._next.append(np.where(inner, shift + state + length, -1))
         self._ids.append(ids)
-        self._logp.append(logp)
+        self._units.append(np.round(logp / UNIT).astype(np.int64))
         with np.errstate(divide="ignore"):
             self._rest.append(np.log(np.maximum(rest, 0)))
         self._cum.append(cum)
         self._settle()
-        for word, at in zip(words, (shift + np.cumsum(sizes) - sizes).tolist(), strict=True):
-            self.start[word] = at
-
-    def words(self, texts: list[str]) -> list[np.ndarray]:
-        """First states of the words of each text; valid until the next call."""
+        self.start.update(zip(names, (shift + np.cumsum(sizes) - sizes).tolist(), strict=True))
+
+    def _parted(self, cps: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Where words begin in the code points of texts: at a space after something else, around a line break, and at a mark that ends a word of letters."""
+        first = np.zeros(len(cps) + 1, bool)
+        first[ends], first[0] = True, True
+        if not self.whole:
+            space = cps == ord(SPACE)
+            low = cps < 128
+            kind = self.kinds[np.where(low, cps, 0)]
+            first[:-1] |= space & ~np.r_[False, space[:-1]]
+            if not self.lines:
+                broken = np.flatnonzero(kind == 3)
+                first[broken] = True
+                first[broken + 1] = True
+            begin = np.flatnonzero(first)
+            last = begin[1:] - 1
+            over = np.r_[space, True][begin[1:]] | np.isin(begin[1:], ends)  # a space or the text's end follows
+            plain = np.r_[0, np.cumsum((kind == 1) | space, dtype=np.int64)]
+            words = (kind[last] == 2) & over & (plain[last] - plain[begin[:-1]] == last - begin[:-1])
+            words &= (last > begin[:-1]) & ~space[np.maximum(last - 1, 0)]
+            first[last[words]] = True
+        return np.flatnonzero(first)
+
+    def states(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """First states of the words of all texts, and where those of each begin, with their end; valid until the next call.
+
+        Words are known by a 64-bit hash of their code points and places.
+        """
         if len(self.start) > HELD_WORDS or len(self.first) > HELD_STATES:
             self.clear()
-        split = [self.split.findall(self.sp.normalize(t)) for t in texts]
-        new = list({w: None for ws in split for w in ws if w not in self.start})
+        normal = list(map(self.sp.normalize, texts))
+        ends = np.cumsum(np.fromiter(map(len, normal), np.int64, len(normal)))
+        cps = np.frombuffer("".join(normal).encode("utf-32-le", "surrogatepass"), np.uint32)
+        if not len(cps):
+            return np.empty(0, np.int64), np.zeros(len(texts) + 1, np.int64)
+        begin = self._parted(cps, ends)
+        sizes = np.diff(begin)
+        inside = (np.arange(len(cps)) - np.repeat(begin[:-1], sizes)).astype(U64)
+        inside *= U64(0xC2B2AE3D27D4EB4F)
+        inside += cps
+        names, at, which = np.unique(np.add.reduceat(mix64(inside * U64(0x9E3779B97F4A7C15)), begin[:-1]), return_index=True, return_inverse=True)
+        names, start = names.tolist(), self.start
+        new = [k for k, name in enumerate(names) if name not in start]
         if new:
-            self._add(new)
-        return [np.fromiter(map(self.start.__getitem__, ws), np.int64, len(ws)) for ws in split]
+            own = sizes[at[new]]
+            self._add(cps[ragged(begin[at[new]], own)], own, [names[k] for k in new])
+        return np.fromiter(map(start.__getitem__, names), np.int64, len(names))[which], np.r_[0, np.searchsorted(begin, ends)]
+
+    def words(self, texts: list[str]) -> list[np.ndarray]:
+        """First states of the words of each text; valid until the next call."""
+        flat, at = self.states(texts)
+        return np.split(flat, at[1:-1])
+
+    @property
+    def logp(self) -> np.ndarray:
+        return self.units * UNIT
 
     def walk(self, states: np.ndarray, draw) -> tuple[np.ndarray, np.ndarray]:
         """Free sampling to the end of every given word at once: arcs in text order, and the word of each.
@@ -228,32 +311,25 @@ class Lattice:
             out[first[w] + step] = a
         return out, np.repeat(np.arange(len(n)), n)
 
-    def id_counts(self, arcs: np.ndarray) -> np.ndarray:
-        ids = self.ids[arcs]
-        n = np.ones(len(ids), np.int64)
+    def piece_ids(self, arcs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of arcs; where the ids of the arcs from each of ``starts`` begin, with their end; and the ids before each arc."""
+        ids = self.ids[arcs].astype(np.int64)
         odd = np.flatnonzero(ids < 0)
-        if len(odd):
-            run = -ids[odd] - 1
-            n[odd] = self.raw_at[run + 1] - self.raw_at[run]
-        return n
-
-    def piece_ids(self, arcs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of arcs, and where the ids of the arcs from each of ``starts`` begin, with their end."""
-        ids, n = self.ids[arcs].astype(np.int64), self.id_counts(arcs)
+        if not len(odd):
+            return ids, np.r_[starts, len(arcs)], np.arange(len(arcs) + 1)
+        run = -ids[odd] - 1
+        m = self.raw_at[run + 1] - self.raw_at[run]
+        n = np.ones(len(ids), np.int64)
+        n[odd] = m
         after = np.r_[0, np.cumsum(n)]
-        odd = np.flatnonzero(ids < 0)
-        out = ids
-        if len(odd):
-            run, m = -ids[odd] - 1, n[odd]
-            out = np.repeat(ids, n)
-            inside = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
-            out[np.repeat(after[odd], m) + inside] = self.raw[np.repeat(self.raw_at[run], m) + inside]
-        return out, after[np.r_[starts, len(arcs)]]
+        out = np.repeat(ids, n)
+        out[ragged(after[odd], m)] = self.raw[ragged(self.raw_at[run], m)]
+        return out, after[np.r_[starts, len(arcs)]], after
 
-    def rivals(self, arc: int) -> range:
-        """All arcs of the state that ``arc`` starts at."""
-        state = int(self.first.searchsorted(np.int32(arc), side="right")) - 1
-        return range(int(self.first[state]), int(self.first[state + 1]))
+    def rivals(self, arcs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last + 1 of the arcs of the states that ``arcs`` start at."""
+        state = self.first.searchsorted(arcs.astype(np.int32), side="right")
+        return self.first[state - 1], self.first[state]
 
 
 @cache
@@ -278,6 +354,27 @@ def _uniform(keys: np.ndarray, number: int, kind: int, index: np.ndarray | int,
     return out
 
 
+@dataclass
+class _Round:
+    """The leaves found in one turn: whose they are, their arcs, and the groups of siblings along them that are not followed yet.
+
+    The bound of a group is -log(exp(-score) + waits); it falls as ``waits`` grows.
+    """
+
+    live: np.ndarray
+    start: np.ndarray
+    path: np.ndarray
+    before: np.ndarray
+    waits: np.ndarray
+    least: np.ndarray
+    score: np.ndarray
+    barred: list[frozenset[int] | None]
+    ids_at: np.ndarray
+    n_kept: list[int]
+    n_ended: list[int]
+    leaf: list[int]
+
+
 def sample_batch(lattice: Lattice, texts: list[str], keys: list[int], k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text up to ``k`` distinct segmentations: (ids, log probability, perturbed score, inclusion probability).
 
@@ -288,99 +385,119 @@ def sample_batch(lattice: Lattice, texts: list[str], keys: list[int], k: int) ->
     top-k, in falling perturbed score, without expanding anything else. The
     bound left on the queue after ``k`` leaves is the threshold of the
     inclusion probabilities. The texts of a batch advance together, leaf by
-    leaf; random numbers depend on a text's key alone.
+    leaf; random numbers depend on a text's key alone, and log probabilities
+    are summed as whole numbers of ``UNIT``, so sums do not depend on the
+    batch either.
     """
-    every = lattice.words(texts)
+    flat, word_at = lattice.states(texts)
+    n_words = np.diff(word_at)
     out: list[list] = [[] for _ in texts]
     key = np.array(keys, np.uint64)
     gumbel = -np.log(-np.log(_uniform(key, 0, 2, 0))) if len(key) else np.empty(0)
-    for d in (d for d, w in enumerate(every) if not len(w)):
+    for d in np.flatnonzero(n_words == 0).tolist():
         out[d] = [(np.empty(0, np.int64), 0.0, float(gumbel[d]), 1.0)]
-    live = [d for d, w in enumerate(every) if len(w)]
-    tails = [every[d] for d in live]  # states still to be walked
-    heads: list[np.ndarray] = [np.empty(0, np.int64)] * len(live)  # arcs that are fixed
-    rounds = []  # by leaf: texts, starts, arcs, words ended, bounds (the queue), arcs barred at the last fixed place
-    shared: dict[int, set[int]] = {d: set() for d in live}
-    kappa = np.full(len(texts), -np.inf)
-    base = np.zeros(len(texts))  # log probability of the fixed pieces before the node
-    kept = [np.empty(0, np.int64)] * len(live)  # their ids
-    ended_before = [0] * len(live)  # words they end
-    leaf_of: list[list[int]] = []
+    live = np.flatnonzero(n_words)
+    base = np.zeros(len(texts), np.int64)  # log probability of the fixed pieces before the node
+    head = np.full(len(live), -1)  # the arc at the node, fixed; -1 at the root
+    ended = [0] * len(live)  # words that end before the node
+    barred: list[frozenset[int] | None] = [None] * len(live)  # arcs of the node that were taken before, by leaves and groups
+    kept = [np.empty(0, np.int64)] * len(live)  # ids before the node
+    threshold = np.full(len(texts), -np.inf)
+    rounds: list[_Round] = []
     for number in range(k):
-        if not live:
+        if not len(live):
             break
-        sizes = np.array([len(t) for t in tails])
+        fixed = head >= 0
+        to = np.where(fixed, lattice.next[np.maximum(head, 0)], -1).astype(np.int64)
+        inside = to >= 0  # the node's word goes on
+        first = word_at[live] + np.array(ended, np.int64) + fixed
+        rest = word_at[live + 1] - first
+        sizes = rest + inside
         owner = np.repeat(np.arange(len(live)), sizes)
-        inner = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        begin = np.cumsum(sizes) - sizes
+        states = np.empty(len(owner), np.int64)
+        goes_on = np.zeros(len(owner), bool)
+        goes_on[begin[inside]] = True
+        states[begin[inside]] = to[inside]
+        states[~goes_on] = flat[ragged(first, rest)]
+        place = np.arange(len(owner)) - np.repeat(begin, sizes)
         own_key = key[live]
-        arcs, word = lattice.walk(np.concatenate(tails), lambda w, step: _uniform(own_key[owner[w]], number, 1, inner[w], step))  # noqa: B023
-        cuts = np.searchsorted(owner[word], np.arange(len(live) + 1)) if len(word) else np.zeros(len(live) + 1, int)
-        fixed = np.array([max(0, len(h) - 1) for h in heads])  # the node's place; what is before it is other nodes'
-        parts = [np.concatenate([h[f:], arcs[cuts[j] : cuts[j + 1]]]) for j, (h, f) in enumerate(zip(heads, fixed.tolist(), strict=True))]
-        lengths = np.array([len(p) for p in parts])
-        path = np.concatenate(parts)
+        arcs, word = lattice.walk(states, lambda w, step: _uniform(own_key[owner[w]], number, 1, place[w], step))  # noqa: B023
+        lengths = np.bincount(owner[word], minlength=len(live)) + fixed
         start = np.cumsum(lengths) - lengths
+        path = np.empty(int(lengths.sum()), np.int64)
+        heads = np.zeros(len(path), bool)
+        heads[start[fixed]] = True
+        path[start[fixed]] = head[fixed]
+        path[~heads] = arcs
         text = np.repeat(np.arange(len(live)), lengths)
-        logp = lattice.logp[path]
-        before, total = np.empty(len(path)), np.empty(len(live))
-        for j, d in enumerate(live):  # text by text: sums must not depend on the batch
-            own = logp[start[j] : start[j] + lengths[j]]
-            run = np.cumsum(own)
-            before[start[j] : start[j] + lengths[j]] = base[d] + (run - own)
-            total[j] = base[d] + run[-1]
-        phi = before + lattice.rest[path]  # log mass of each node's other arcs
-        for j, d in enumerate(live):
-            if shared[d]:
+        own = lattice.units[path]
+        run = np.cumsum(own)
+        shift = base[live] - (run - own)[start]
+        before = run - own
+        before += shift[text]
+        total = run[start + lengths - 1] + shift
+        # what the siblings of each arc wait for: an exponential variable over their mass
+        mass = before * UNIT
+        mass += lattice.rest[path]
+        again = [j for j, b in enumerate(barred) if b is not None]
+        if again:
+            lo, hi = lattice.rivals(path[start[again]])
+            for j, a, b in zip(again, lo.tolist(), hi.tolist(), strict=True):
                 at = int(start[j])
-                shared[d] = shared[d] | {int(path[at])}
-                mass = sum(math.exp(lattice.logp[x]) for x in lattice.rivals(int(path[at])) if x not in shared[d])
-                phi[at] = before[at] + (math.log(mass) if mass > 0 else -math.inf)
-        g = gumbel[live]
-        with np.errstate(divide="ignore", over="ignore"):
-            noise = -np.log1p(-_uniform(own_key[text], number, 3, np.arange(len(path)) - start[text]))
-            bound = phi - np.log(np.exp(np.minimum(phi - g[text], 700)) + noise)
-        bound[~np.isfinite(bound)] = -np.inf
-        ids, cut = lattice.piece_ids(path, start)
-        for j, d in enumerate(live):
-            out[d].append((np.concatenate([kept[j], ids[cut[j] : cut[j + 1]]]), float(total[j]), float(g[j])))
-        leaf_of.append([len(out[d]) - 1 for d in live])
-        rounds.append((np.array(live), start, path, np.cumsum(lattice.next[path] < 0), bound, [shared[d] for d in live], before, ids, cut, [len(x) for x in kept], ended_before))
+                barred[j] = barred[j] | {int(path[at])}
+                left = math.fsum(math.exp(int(lattice.units[x]) * UNIT) for x in range(a, b) if x not in barred[j])
+                mass[at] = int(before[at]) * UNIT + (math.log(left) if left > 0 else -math.inf)
+        waits = np.full(len(path), np.inf)
+        some = np.flatnonzero(mass > -700)  # others are never reached before the first
+        owners = text[some]
+        waits[some] = -np.log1p(-_uniform(own_key[owners], number, 3, some - start[owners])) * np.exp(-mass[some])
+        ids, cut, ids_at = lattice.piece_ids(path, start)
+        score = gumbel[live]
+        leaf = []
+        for j, (d, lp, g) in enumerate(zip(live.tolist(), total.tolist(), score.tolist(), strict=True)):
+            leaf.append(len(out[d]))
+            out[d].append((np.concatenate([kept[j], ids[cut[j] : cut[j + 1]]]), lp * UNIT, g))
+        rounds.append(_Round(live, start, path, before, waits, np.minimum.reduceat(waits, start), score, barred, ids_at, [len(x) for x in kept], ended, leaf))
         # the next node of each text: the greatest bound on its queue
-        best = np.full(len(texts), -np.inf)
-        for ds, starts, _, _, bounds, *_ in rounds:
-            np.maximum.at(best, ds, np.maximum.reduceat(bounds, starts))
+        best, whose = np.full(len(texts), -np.inf), np.full(len(texts), -1)
+        with np.errstate(divide="ignore", over="ignore"):
+            for turn, r in enumerate(rounds):
+                bound = -np.log(np.exp(-r.score) + r.least)
+                better = bound > best[r.live]
+                best[r.live[better]], whose[r.live[better]] = bound[better], turn
         if number == k - 1:
-            kappa = best
+            threshold = best
+            break
+        picks = []
+        for turn, r in enumerate(rounds):
+            ends = np.r_[r.start[1:], len(r.path)]
+            for j in np.flatnonzero(whose[r.live] == turn).tolist():
+                lo, hi = int(r.start[j]), int(ends[j])
+                at = lo + int(r.waits[lo:hi].argmin())
+                r.waits[at] = np.inf
+                r.least[j] = r.waits[lo:hi].min()
+                picks.append((r, j, int(r.live[j]), lo, at))
+        live = np.array([p[2] for p in picks], np.int64)
+        if not picks:
             break
-        nxt, heads, tails, kept, begun = [], [], [], [], []
-        for turn, (ds, starts, path, ended, bounds, bars, before, ids, cut, was_kept, was_ended) in enumerate(rounds):
-            span = np.diff(np.r_[starts, len(path)])
-            hits = np.flatnonzero(bounds >= np.repeat(np.where(np.isfinite(best[ds]), best[ds], np.inf), span))
-            for at in hits.tolist():
-                j = int(np.searchsorted(starts, at, side="right")) - 1
-                d, lo = int(ds[j]), int(starts[j])
-                arc = int(path[at])
-                bar = bars[j] if at == lo and bars[j] else {arc}
-                gumbel[d], bounds[at] = bounds[at], -np.inf
-                choices = [x for x in lattice.rivals(arc) if x not in bar]
-                p = np.exp(lattice.logp[choices])
-                u = float(_uniform(key[d : d + 1], number, 4, 0)[0])
-                arc = choices[min(int(np.searchsorted(np.cumsum(p), u * p.sum(), side="right")), len(choices) - 1)]
-                done = was_ended[j] + (int(ended[at - 1] - (ended[lo - 1] if lo else 0)) if at > lo else 0)
-                to = int(lattice.next[arc])
-                shared[d], base[d] = set(bar), before[at]
-                nxt.append(d)
-                heads.append(np.array([arc]))
-                begun.append(done)
-                # ids before the node: those of the leaf it hangs from, up to there
-                n = was_kept[j] + int(lattice.id_counts(path[lo:at]).sum())
-                kept.append(out[d][leaf_of[turn][j]][0][:n])
-                tails.append(np.r_[to, every[d][done + 1 :]] if to >= 0 else every[d][done + 1 :])
-        ended_before = begun
-        live = nxt
+        lows, highs = lattice.rivals(np.array([p[0].path[p[4]] for p in picks]))
+        draws = _uniform(key[live], number, 4, 0).tolist()
+        heads_, ended, barred, kept = [], [], [], []
+        for (r, j, d, lo, at), a, b, u in zip(picks, lows.tolist(), highs.tolist(), draws, strict=True):
+            arc = int(r.path[at])
+            bar = r.barred[j] if at == lo and r.barred[j] else frozenset([arc])
+            choices = [x for x in range(a, b) if x not in bar]
+            p = np.cumsum([math.exp(int(lattice.units[x]) * UNIT) for x in choices])
+            heads_.append(choices[min(int(p.searchsorted(u * p[-1], side="right")), len(choices) - 1)])
+            gumbel[d], base[d] = best[d], r.before[at]
+            barred.append(bar)
+            ended.append(r.n_ended[j] + int(np.count_nonzero(lattice.next[r.path[lo:at]] < 0)))
+            kept.append(out[d][r.leaf[j]][0][: r.n_kept[j] + int(r.ids_at[at] - r.ids_at[lo])])
+        head = np.array(heads_, np.int64)
     for d, got in enumerate(out):
-        if got and len(every[d]):
-            limit = kappa[d] if len(got) == k else -np.inf
+        if got and n_words[d]:
+            limit = threshold[d] if len(got) == k else -np.inf
             out[d] = [(p, lp, g, -math.expm1(-math.exp(min(lp - limit, 700))) if np.isfinite(limit) else 1.0) for p, lp, g in got]
     return out
 
