@@ -22,14 +22,13 @@ def op1_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, formatted and read back from its format."""
-    from codeloom.llm.chat import chat_format, read_turns, unescape
+    from codeloom.llm.chat import chat_format, loss_text, read_turns
 
     planted = spark.range(2).select(
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit("\\### Assistant: </turn> ok").alias("text"))
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
-    masked = F.transform("loss_spans", lambda s: unescape(F.col("formatted").substr((s.start + 1).cast("int"), s.length.cast("int"))))
-    read = chat_format(rows).select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"), read_turns(F.col("formatted")).alias("turns"), F.array_join(masked, "").alias("loss"))
+    read = chat_format(rows).select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"), read_turns(F.col("formatted")).alias("turns"), loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
     done = read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), told.alias("told"), "loss", "formatted_chars")
     return done.select("conv_id", "n_turns", F.sha2(F.encode("told", "UTF-8"), 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.encode("loss", "UTF-8"), 256).alias("loss_sha256"), "formatted_chars")
