@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,29 +14,42 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Entries that a per-worker cache may hold before it is emptied.
-CACHE_ENTRIES = 400_000
+#: Bytes that a task's cache of words may take before it is emptied.
+CACHE_BYTES = 40 << 20
+#: What an entry takes besides the characters of its word.
+ENTRY_BYTES = 190
 U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is named."""
+    """The folder that driver and executors share; a temporary one only in local mode, where none is named."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="codeloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     Unlike ``checkpoint()`` this computes the last stage once, and a lost
-    executor costs only its own unfinished tasks.
+    executor costs only its own unfinished tasks. The table goes with the
+    application at the latest.
     """
-    path = f"{shared_dir(df.sparkSession)}/codeloom-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/codeloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    p, system = _path(spark, path)
+    system.deleteOnExit(p)
+    out = spark.read.schema(df.schema).parquet(path)
     out._codeloom_path = path
     return out
 
@@ -43,9 +58,53 @@ def discard(df: DataFrame) -> None:
     """Delete what ``materialize`` wrote for ``df``; nothing may still read it."""
     path = getattr(df, "_codeloom_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+        p, system = _path(df.sparkSession, path)
+        system.delete(p, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, changed where ``df`` has a column of that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+_kept: dict = {}
+
+
+def keep(key, make: Callable):
+    """What ``make`` gives, held by the worker process under ``key`` until a task of another key begins."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def tidy(mapper: Callable, key=None) -> Callable:
+    """``mapper``, after which the worker gives its memory back, but for what ``keep`` holds under ``key``.
+
+    Worker processes outlive tasks and stages; what one leaves behind would add to the next one's.
+    """
+
+    def run(batches):
+        if key not in _kept:
+            _kept.clear()
+        try:
+            yield from mapper(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return run
 
 
 def crc_mod(column, n: int):
@@ -54,12 +113,19 @@ def crc_mod(column, n: int):
 
 
 class WordHashes(dict):
-    """Word to 64-bit hash, remembered up to a bound."""
+    """Word to 64-bit hash, remembered up to ``CACHE_BYTES``."""
+
+    room = CACHE_BYTES
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        size = ENTRY_BYTES + len(word)
+        if size < 1024:
+            if self.room < size:
+                self.clear()
+                self.room = CACHE_BYTES
+            self.room -= size
+            self[word] = h
         return h
 
 
@@ -105,18 +171,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep, per_cl
     Rows are picked by a hash of doc_id, so the pick does not depend on file
     order. The picked ids number at most twice ``per_class``; that bound is
     what makes it right to broadcast them, and texts are read in one scan.
+    Of texts that share a doc_id the one of the least hash is taken, and the
+    greater label of labels that do.
     """
     rows = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & keep).select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("y"))
     pick = lambda y: rows.where(F.col("y") == y).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(per_class)
     ids = pick(0).unionByName(pick(1)).groupBy("doc_id").agg(F.max("y").alias("y"))
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(ids), "doc_id")
+    found = texts.join(F.broadcast(ids), "doc_id")
+    return found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "y", "text")).alias("r")).select("doc_id", "r.y", "r.text")
 
 
 def scored(docs: DataFrame, mapper, held_out, fields: str) -> DataFrame:
     """``mapper`` over (doc_id, text) of all documents; ``held_out`` is computed by Spark."""
     base = docs.select(F.col("doc_id").cast("long"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("text").cast("string"))
-    return base.mapInArrow(mapper, "doc_id long, held_out boolean, " + fields)
+    return base.mapInArrow(tidy(mapper), "doc_id long, held_out boolean, " + fields)
 
 
 class Adam:
@@ -140,6 +209,8 @@ def kept_rows(docs: DataFrame, scorer, column: str, dropped) -> DataFrame:
     """Rows of ``docs``, all columns, unless ``scorer`` gives them ``dropped`` in ``column``.
 
     The decision is made where the row is read, so nothing is shuffled.
+    Repeated rows stay or go together; no rows give no rows; ``docs`` may
+    have any other columns.
     """
 
     def run(batches):
@@ -156,4 +227,4 @@ def kept_rows(docs: DataFrame, scorer, column: str, dropped) -> DataFrame:
             mask = [x != dropped for x in got.column(got.schema.get_field_index(column)).to_pylist()]
             yield waiting.pop(0).filter(pa.array(mask, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

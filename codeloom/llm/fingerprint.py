@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm._shared import U64, WordHashes, mix64, rows_of, shingles
+from codeloom.llm._shared import U64, WordHashes, mix64, rows_of, shingles, tidy
 
 #: Bins of one fingerprint (a power of two) and stored low-order bits a bin.
 BINS, BITS = 1024, 4
@@ -138,6 +138,6 @@ def fingerprints(docs: DataFrame, width: int = 5, parts: int | None = None) -> D
     n = parts or 8 * tasks  # several ranges a task, so that chance spreads them evenly
     cuts = base.agg(F.percentile_approx("doc_id", [(k + 1) / n for k in range(n)], F.lit(100 * n)).alias("q"), F.max("doc_id").alias("top")).head()
     bounds = sorted({*(cuts.q or []), cuts.top} - {None}, reverse=True) or [0]
-    dealt = base.mapInArrow(_dealer(bounds), "part int, guest boolean, doc_id long, text string")
+    dealt = base.mapInArrow(tidy(_dealer(bounds)), "part int, guest boolean, doc_id long, text string")
     dealt = dealt.repartition(tasks, "part").sortWithinPartitions("part", "guest", F.desc("doc_id"), "text")
-    return dealt.mapInArrow(_marker(width), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return dealt.mapInArrow(tidy(_marker(width)), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import cache
 from zlib import crc32
 
 import numpy as np
@@ -13,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm._shared import U64, mix64, rows_of
+from codeloom.llm._shared import U64, keep, mix64, rows_of, tidy
 
 #: Words whose lattices a worker holds; lattice positions it holds.
 HELD_WORDS, HELD_STATES = 600_000, 6_000_000
@@ -332,12 +331,6 @@ class Lattice:
         return self.first[state - 1], self.first[state]
 
 
-@cache
-def _lattice(model: str | None, sharpness: float) -> Lattice:
-    """One lattice a worker process, so later tasks need not learn its words again."""
-    return Lattice(model, sharpness)
-
-
 def _uniform(keys: np.ndarray, number: int, kind: int, index: np.ndarray | int, step: int = 0) -> np.ndarray:
     """Uniform numbers in (0, 1): splitmix64 streams of a text's key, by what they are for."""
     x = np.atleast_1d(np.asarray(index)).astype(np.uint64)
@@ -520,7 +513,7 @@ def _sampler(model, sharpness: float, k: int, seed: int, digest: bool):
         return pa.record_batch(own, names=names if digest else [*names[:2], "ids", *names[4:]])
 
     def run(batches):
-        lattice = _lattice(model, sharpness)
+        lattice = keep(("lattice", model, sharpness), lambda: Lattice(model, sharpness))  # so later tasks need not learn its words again
         for ids, texts in rows_of(batches, "doc_id", "text"):
             at = 0
             while at < len(ids):
@@ -554,24 +547,31 @@ def sample_segmentations(docs: DataFrame, k: int = 4, sharpness: float = 1.0, mo
     little-endian 32-bit ids) in place of ids.
     """
     ids = "n_ids long, ids_crc32 long" if digest else "ids array<int>"
-    return _base(docs).mapInArrow(_sampler(model, sharpness, k, seed, digest), f"doc_id long, sample int, {ids}, log_prob double, perturbed double, inclusion double")
+    return _base(docs).mapInArrow(tidy(_sampler(model, sharpness, k, seed, digest), ("lattice", model, sharpness)), f"doc_id long, sample int, {ids}, log_prob double, perturbed double, inclusion double")
 
 
 def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
-    """doc_id, ids: the model's own best segmentation of every text."""
+    """doc_id, ids: the model's own best segmentation of every text.
+
+    Null and empty texts have no ids; very long texts are encoded whole;
+    repeated rows give repeated results; no rows give no rows; other columns
+    are ignored.
+    """
 
     def run(batches):
         sp = Lattice(model).sp
         for ids, texts in rows_of(batches, "doc_id", "text"):
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([sp.encode(t) for t in texts], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return _base(docs).mapInArrow(run, "doc_id long, ids array<int>")
+    return _base(docs).mapInArrow(tidy(run), "doc_id long, ids array<int>")
 
 
 def decode(rows: DataFrame, model: str | None = None) -> DataFrame:
     """``rows`` (doc_id, ids, ...) to doc_id, text: any segmentation of a text gives the text back.
 
-    The visible space mark U+2581 inside a text comes back as a space.
+    The visible space mark U+2581 inside a text comes back as a space. Null
+    and empty ids are the empty text; repeated rows give repeated results; no
+    rows give no rows; other columns are ignored.
     """
 
     def run(batches):
@@ -579,4 +579,4 @@ def decode(rows: DataFrame, model: str | None = None) -> DataFrame:
         for ids, pieces in rows_of(batches, "doc_id", "ids"):
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([sp.decode(p or []) for p in pieces], pa.string())], names=["doc_id", "text"])
 
-    return rows.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, text string")
+    return rows.select(F.col("doc_id").cast("long"), "ids").mapInArrow(tidy(run), "doc_id long, text string")
