@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -12,10 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codeloom.llm._shared import crc_mod, kept_rows, rows_of, scored
+from codeloom.llm._shared import CACHE_BYTES, ENTRY_BYTES, crc_mod, kept_rows, rows_of, scored, tidy
 
-#: Bounds of the learning sample: documents a language, words a document, languages.
-PER_LANG, TRAIN_WORDS, MOST_LANGS = 1200, 160, 400
+#: Bounds of the learning sample: documents a language, documents in all. Each counts with its whole text.
+PER_LANG, MOST_DOCS = 1000, 8000
+#: Languages that a model can have; more are an error.
+MOST_LANGS = 2000
+#: Letters up to which a run of letters is remembered.
+SHORT = 48
 BUCKETS, DIMS = 1 << 15, 16
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -26,7 +31,7 @@ def words(text: str | None) -> list[str]:
 
 def subwords(word: str) -> list[int]:
     """Buckets of the word's runs of two to four characters, ends marked, and of the word."""
-    w = f"<{word[:40]}>"
+    w = f"<{word}>"
     return [crc32(w[i : i + n].encode("utf-8", "surrogatepass")) % BUCKETS for n in (2, 3, 4) for i in range(len(w) - n + 1)] + [crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS]
 
 
@@ -44,60 +49,55 @@ class Model:
         return e / e.sum(axis=-1, keepdims=True)
 
 
-def fit(texts: list[list[str]], langs: list[str], epochs: int = 4, rate: float = 0.5, seed: int = 5, miss: float = 0.0005) -> Model:
-    """Stochastic gradient descent in numpy on the words of texts and their languages.
+def bag(found: list[str], remembered: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of all subwords of ``found`` and how often each occurs."""
+    counts = np.zeros(BUCKETS, np.int64)
+    for word, n in Counter(found).items():
+        rows = remembered.get(word)
+        if rows is None:
+            rows = subwords(word)
+            if len(word) <= SHORT and len(remembered) < 100_000:
+                remembered[word] = rows
+        np.add.at(counts, rows, n)
+    held = np.flatnonzero(counts)
+    return held, counts[held]
 
-    Every text is learned from whole and as a short run of its words. A tenth is kept
-    apart to fit the temperature and the rejection level: the confidence that
-    a share ``miss`` of rightly recognised texts stays under, 0.5 at most.
+
+def fit(bags: list[tuple[np.ndarray, np.ndarray]], langs: list[str], epochs: int = 4, rate: float = 0.5, seed: int = 5, miss: float = 0.0005, dims: int = DIMS) -> Model:
+    """Stochastic gradient descent in numpy on bags of subwords (buckets, counts) and their languages.
+
+    A tenth is kept apart to fit the temperature and the rejection level: the
+    confidence that a share ``miss`` of rightly recognised bags stays under,
+    0.5 at most.
     """
     rng = np.random.default_rng(seed)
     names = sorted(set(langs))
     if not names:
         return Model(["und"], np.zeros((BUCKETS, 1), np.float32), np.zeros(1), 1.0, 0.0)
     y_of = {n: k for k, n in enumerate(names)}
-    remembered: dict[str, np.ndarray] = {}
-    bags, ys = [], []
-    for t, lang in zip(texts, langs, strict=True):
-        if not t:
-            continue
-        n = int(rng.integers(2, 12))
-        at = int(rng.integers(0, max(1, len(t) - n)))
-        for part in (t, t[at : at + n]):
-            for w in part:
-                if w not in remembered:
-                    remembered[w] = np.array(subwords(w), np.int32)
-            bags.append(np.concatenate([remembered[w] for w in part]))
-            ys.append(y_of[lang])
-    ys = np.array(ys, np.int64)
+    ys = np.array([y_of[x] for x in langs], np.int64)
+    shares = [(c / c.sum()).astype(np.float32) for _, c in bags]
     test = np.arange(len(bags)) // 2 % 10 == 9
-    emb = rng.normal(0, 1 / DIMS, (BUCKETS, DIMS)).astype(np.float32)
-    lin, bias = np.zeros((DIMS, len(names)), np.float32), np.zeros(len(names), np.float32)
+    emb = rng.normal(0, 1 / dims, (BUCKETS, dims)).astype(np.float32)
+    lin, bias = np.zeros((dims, len(names)), np.float32), np.zeros(len(names), np.float32)
     order = np.flatnonzero(~test)
     steps, done = epochs * max(1, len(order) // 32 + 1), 0
     for _ in range(epochs):
         rng.shuffle(order)
         for at in range(0, len(order), 32):
             pick = order[at : at + 32]
-            sizes = np.array([len(bags[i]) for i in pick])
-            flat = np.concatenate([bags[i] for i in pick])
-            starts = np.r_[0, np.cumsum(sizes)[:-1]]
-            h = np.add.reduceat(emb[flat], starts, axis=0) / sizes[:, None]
-            z = h @ lin + bias
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(pick)), ys[pick]] -= 1
-            now = rate * (1 - done / steps)
-            back = (p @ lin.T) / sizes[:, None]
-            lin -= now * (h.T @ p) / 4
-            bias -= now * p.mean(axis=0)
-            np.add.at(emb, flat, np.repeat((-now * back).astype(np.float32), sizes, axis=0))
+            loss, g_emb, g_lin, g_bias = gradients(emb, lin, bias, [bags[i][0] for i in pick], [shares[i] for i in pick], ys[pick])
+            now = np.float32(rate * (1 - done / steps))
+            lin -= now * g_lin * (len(pick) / 4)
+            bias -= now * g_bias
+            for rows, share, g in g_emb:
+                emb[rows] -= (now * len(pick)) * share[:, None] * g
             done += 1
     table = emb @ lin
     model = Model(names, table, bias.astype(np.float64), 1.0, 0.0)
     held = np.flatnonzero(test)
     if len(held):
-        z = np.array([table[bags[i]].mean(axis=0) for i in held]) + bias
+        z = np.array([shares[i] @ table[bags[i][0]] for i in held]) + bias
         loss = []
         heats = np.geomspace(0.2, 5, 33)
         for heat in heats:
@@ -110,47 +110,79 @@ def fit(texts: list[list[str]], langs: list[str], epochs: int = 4, rate: float =
     return model
 
 
-def _sampled(batches):
-    for langs, texts in rows_of(batches, "lang", "text"):
-        out = []
-        for t in texts:
+def gradients(emb, lin, bias, rows: list[np.ndarray], shares: list[np.ndarray], ys: np.ndarray):
+    """Mean cross-entropy of a batch and its gradients; that of the embeddings as (rows, shares, gradient of the average) a bag."""
+    h = np.array([share @ emb[r] for r, share in zip(rows, shares, strict=True)])
+    z = h @ lin + bias
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    loss = float(-np.log(p[np.arange(len(ys)), ys] + 1e-30).mean())
+    p[np.arange(len(ys)), ys] -= 1
+    p /= len(ys)
+    back = p @ lin.T
+    return loss, [(r, share, g) for r, share, g in zip(rows, shares, back, strict=True)], h.T @ p, p.sum(axis=0)
+
+
+def _features(batches):
+    """The bag of each text and that of a short run of its words, picked by the text's hash."""
+    remembered: dict[str, list[int]] = {}
+    for langs, keys, texts in rows_of(batches, "lang", "key", "text"):
+        rows = []
+        for lang, key, t in zip(langs, keys, texts, strict=True):
             w = words(t)
-            out.append([w[k] for k in np.linspace(0, len(w) - 1, TRAIN_WORDS).astype(int)] if len(w) > TRAIN_WORDS else w)
-        yield pa.record_batch([pa.array(langs, pa.string()), pa.array(out, pa.list_(pa.string()))], names=["lang", "words"])
-
-
-def learn(docs: DataFrame, keep=None, per_lang: int = PER_LANG, seed: int = 5) -> Model:
-    """Fit on at most ``per_lang`` documents of each language that satisfy ``keep``.
-
-    The documents are the first by a hash of doc_id; at most
-    ``per_lang`` x ``MOST_LANGS`` ids are broadcast to fetch the texts in one
-    scan, and ``TRAIN_WORDS`` evenly spread words of each are learned from.
+            if not w:
+                continue
+            rng = np.random.default_rng(key & 0xFFFFFFFFFFFF)
+            n = int(rng.integers(2, 12))
+            at = int(rng.integers(0, max(1, len(w) - n)))
+            for part, found in enumerate((w, w[at : at + n])):
+                held, counts = bag(found, remembered)
+                rows.append((lang, key, part, held.astype("<u2").tobytes(), counts.astype("<u4").tobytes()))
+        kinds = [pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], names=["lang", "key", "part", "rows", "counts"])
+
+
+def learn(docs: DataFrame, keep=None, per_lang: int = PER_LANG, most: int = MOST_DOCS, seed: int = 5) -> Model:
+    """Fit on at most ``per_lang`` documents of each language, ``most`` in all, that satisfy ``keep``.
+
+    The documents are the first of their language by a hash of doc_id. Their
+    whole texts count, as sparse counts of subword buckets, which is what the
+    driver gets. Each language's number of documents, one row a language,
+    sets how small a hash must be to come into question, so only about as
+    many rows as are picked are shuffled, however common a language is. Rows
+    without language, doc_id or letters teach nothing; without rows the model
+    knows ``und`` only. More than ``MOST_LANGS`` languages raise ValueError.
     """
     keep = crc_mod("doc_id", 4) != 2 if keep is None else keep
-    rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & keep).select(F.col("doc_id").cast("long"), F.col("lang").cast("string"))
-    # a common language is cut down in hashed parts first, so it is no hot key
-    rows = rows.withColumn("h", F.xxhash64("doc_id", F.lit(seed)))
-    parted = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h", "doc_id")
-    rows = rows.withColumn("k", F.row_number().over(parted)).where(F.col("k") <= per_lang)
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    picked = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_lang).select("doc_id", "lang").limit(per_lang * MOST_LANGS).groupBy("doc_id").agg(F.min("lang").alias("lang"))
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(picked), "doc_id")
-    got = texts.mapInArrow(_sampled, "lang string, words array<string>").limit(per_lang * MOST_LANGS).toArrow()
-    both = sorted(zip(got["lang"].to_pylist(), got["words"].to_pylist(), strict=True))
-    return fit([w for _, w in both], [lang for lang, _ in both])
+    rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & keep).select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string").alias("text"))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGS + 1).collect()
+    if len(sizes) > MOST_LANGS:
+        raise ValueError(f"over {MOST_LANGS} languages")
+    if not sizes:
+        return fit([], [])
+    each = max(2, min(per_lang, most // len(sizes)))
+    # six deviations over what is wanted; of what passes, the first are picked
+    share = [(r.lang, min(1.0, (each + 6 * each**0.5 + 20) / r.n)) for r in sizes]
+    least = docs.sparkSession.createDataFrame(share, "lang string, share double")
+    rows = rows.withColumn("h", F.xxhash64("doc_id", F.lit(seed))).join(F.broadcast(least), "lang").where(F.col("h") / 2.0**64 + 0.5 < F.col("share"))
+    picked = rows.withColumn("key", F.xxhash64("text", "doc_id")).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "key"))).where(F.col("k") <= each)
+    got = picked.select("lang", "key", "text").mapInArrow(tidy(_features), "lang string, key long, part int, rows binary, counts binary").toArrow().to_pylist()
+    got.sort(key=lambda r: (r["lang"], r["key"], r["part"]))
+    return fit([(np.frombuffer(r["rows"], "<u2").astype(np.int64), np.frombuffer(r["counts"], "<u4").astype(np.int64)) for r in got], [r["lang"] for r in got])
 
 
 def _scorer(model: Model):
     def score(batches):
         width = len(model.langs)
-        sums = np.zeros((1 << 16, width + 1))
+        each = ENTRY_BYTES + 8 * width + 8
+        room = CACHE_BYTES
+        sums = np.zeros((1 << 14, width + 1))
         at: dict[str, int] = {}
 
         def row(w: str) -> int:
-            nonlocal sums
-            if len(at) >= 400_000:
-                at.clear()
+            nonlocal sums, room
             k = len(at)
+            room -= each + len(w)
             if k >= len(sums):
                 sums = np.vstack([sums, np.zeros_like(sums)])
             b = subwords(w)
@@ -166,8 +198,9 @@ def _scorer(model: Model):
                 w = words(t)
                 for a in range(0, len(w), 8192):
                     part = w[a : a + 8192]
-                    if len(at) > 390_000:
+                    if room < 0:
                         at.clear()
+                        room = CACHE_BYTES
                     k = np.fromiter((at[x] if x in at else row(x) for x in part), np.int64, len(part))
                     total += sums[k].sum(axis=0)
                 if not total[width]:
@@ -187,8 +220,10 @@ def language(docs: DataFrame, model: Model, held_out=None) -> DataFrame:
     A text is the average of the embeddings of its words' hashed subwords; a
     linear softmax scores it and a temperature calibrates the score. Texts
     that are null or without letters are ``und`` with score 0; those and
-    texts under the calibrated confidence are ``rejected``. Whole texts count;
-    repeated rows give repeated results; other columns are ignored.
+    texts under the calibrated confidence are ``rejected``. Whole texts count,
+    of any length, and whole runs of letters; repeated rows give repeated
+    results; equally likely languages come by name; no rows give no rows;
+    other columns are ignored.
     """
     return scored(docs, _scorer(model), crc_mod("doc_id", 4) == 2 if held_out is None else held_out, "lang_pred string, score double, rejected boolean")
 
