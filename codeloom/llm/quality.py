@@ -6,10 +6,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from codeloom.llm._shared import Adam, U64, WordHashes, crc_mod, labelled_sample, rows_of, scored, sigmoid
+from codeloom.llm._shared import Adam, U64, WordHashes, crc_mod, labelled_sample, rows_of, scored, sigmoid, tidy
 
-#: Words of one passage; bounds of the learning sample: label rows a class, passages a text.
-PASSAGE, PER_CLASS, TRAIN_PASSAGES = 64, 1500, 24
+#: Words of one passage; bound of the learning sample: label rows a class. Each text counts with all its passages.
+PASSAGE, PER_CLASS = 64, 1000
 _KINDS = 12
 WIDE = _KINDS * _KINDS + 6
 
@@ -101,8 +101,9 @@ def fit(bags: list[np.ndarray], y: np.ndarray, epochs: int = 30, batch: int = 64
         model.p = [np.zeros_like(p) for p in model.p]
         model.p[-1][:] = 0.0 if not len(y) else (4.0 if y[0] else -4.0)
         return model
-    all_rows = np.concatenate(bags).astype(np.float64)
-    model.mean, model.scale = all_rows.mean(axis=0), np.maximum(all_rows.std(axis=0), 1e-3)
+    n = sum(map(len, bags))
+    model.mean = sum(b.sum(axis=0, dtype=np.float64) for b in bags) / n
+    model.scale = np.maximum(np.sqrt(sum(((b - model.mean) ** 2).sum(axis=0) for b in bags) / n), 1e-3)
     adam, rng = Adam(model.p, rate), np.random.default_rng(seed)
     order = np.arange(len(bags))
     for _ in range(epochs):
@@ -117,18 +118,19 @@ def fit(bags: list[np.ndarray], y: np.ndarray, epochs: int = 30, batch: int = 64
 def _features(batches):
     cache = WordHashes()
     for ids, texts, ys in rows_of(batches, "doc_id", "text", "y"):
-        out = []
-        for t in texts:
-            x = passages(t, cache)
-            out.append(x[np.linspace(0, len(x) - 1, min(len(x), TRAIN_PASSAGES)).astype(int)].tobytes())
-        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(ys, pa.int32()), pa.array(out, pa.binary())], names=["doc_id", "y", "x"])
+        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(ys, pa.int32()), pa.array([passages(t, cache).tobytes() for t in texts], pa.binary())], names=["doc_id", "y", "x"])
 
 
 def learn(docs: DataFrame, labels: DataFrame, keep=None, per_class: int = PER_CLASS, seed: int = 4) -> Model:
-    """Fit on at most ``per_class`` label rows a class that satisfy ``keep``, 24 spread passages of each."""
+    """Fit on every passage of at most ``per_class`` label rows a class that satisfy ``keep``.
+
+    Rows without label or doc_id teach nothing; of repeated doc_ids see
+    ``labelled_sample``. Without rows of both classes, as with empty tables,
+    the model is a constant.
+    """
     keep = crc_mod("doc_id", 3) != 1 if keep is None else keep
-    got = labelled_sample(docs, labels, "quality", keep, per_class, seed).mapInArrow(_features, "doc_id long, y int, x binary").limit(2 * per_class).toArrow().to_pylist()
-    got.sort(key=lambda r: (r["doc_id"], r["x"]))
+    got = labelled_sample(docs, labels, "quality", keep, per_class, seed).mapInArrow(tidy(_features), "doc_id long, y int, x binary").toArrow().to_pylist()
+    got.sort(key=lambda r: r["doc_id"])
     return fit([np.frombuffer(r["x"], np.float32).reshape(-1, WIDE) for r in got], np.array([r["y"] for r in got], float))
 
 
@@ -159,7 +161,8 @@ def quality(docs: DataFrame, model: Model, held_out=None) -> DataFrame:
 
     Every passage of the whole text is encoded; gated attention weighs the
     encodings and the weighted sum is scored. Null and empty texts are one
-    passage that says so; repeated rows give repeated results; other columns
+    passage that says so; very long texts are scored whole, like any other;
+    repeated rows give repeated results; no rows give no rows; other columns
     are ignored.
     """
     return scored(docs, _scorer(model), crc_mod("doc_id", 3) == 1 if held_out is None else held_out, "score double, predicted int")
