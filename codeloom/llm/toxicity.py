@@ -7,12 +7,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
-from codeloom.llm._shared import Adam, WordHashes, crc_mod, kept_rows, labelled_sample, rows_of, scored, shingles, sigmoid
+from codeloom.llm._shared import CACHE_BYTES, ENTRY_BYTES, Adam, WordHashes, crc_mod, kept_rows, labelled_sample, rows_of, scored, sigmoid, tidy
 
-#: Bounds of the learning sample: label rows a class, distinct terms a text.
-PER_CLASS, TRAIN_TERMS = 4000, 6000
+#: Bound of the learning sample: label rows a class. Each text counts with all its terms.
+PER_CLASS = 3000
+#: Columns of one block of the table of pairs.
+WIDE = 512
 TERM = re.compile(r"\w+")
 
 
@@ -38,21 +41,85 @@ class Machine:
 def _features(batches):
     cache = WordHashes()
     for texts, ys in rows_of(batches, "text", "y"):
-        found, near = [], []
-        for t in texts:
-            h = np.unique(np.fromiter(map(cache.__getitem__, terms(t)), np.uint64))
-            found.append(h[:TRAIN_TERMS].view(np.int64))
-            s = shingles(t, cache)
-            near.append(int(s[0].view(np.int64)) if len(s) else 0)
-        yield pa.record_batch([pa.array(ys, pa.int32()), pa.array(near, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["y", "near", "terms"])
+        found = [np.unique(np.fromiter(map(cache.__getitem__, terms(t)), np.uint64)).view(np.int64) for t in texts]
+        yield pa.record_batch([pa.array(ys, pa.int32()), pa.array([f.tobytes() for f in found], pa.binary())], names=["y", "terms"])
 
 
-def fit(y: np.ndarray, bags: list[np.ndarray], most: int = 2048, least_df: int = 4, least_chi2: float = 12.0, dims: int = 8, steps: int = 250, l2: float = 2e-3, seed: int = 10) -> Machine:
+def chi_square(y: np.ndarray, df: np.ndarray, dp: np.ndarray) -> np.ndarray:
+    """Association with the label of terms that ``df`` texts hold, ``dp`` of them labelled."""
+    n, pos = len(y), float(y.sum())
+    a, b, c, d = dp, df - dp, pos - dp, n - pos - df + dp
+    return n * (a * d - b * c) ** 2 / np.maximum(df * (n - df) * pos * (n - pos), 1e-9)
+
+
+def in_pairs(y: np.ndarray, row: np.ndarray, col: np.ndarray, m: int, alone: np.ndarray, least: float) -> np.ndarray:
+    """Which of ``m`` terms have a partner such that both together tell more of the label than each alone.
+
+    For each pair the texts fall into four groups, with both, one or none. The
+    chi-square of the groups against the label, less those of the two terms,
+    must reach ``least``. Pairs are counted by matrix products in blocks.
+    """
+    n, rate = len(y), float(y.mean())
+    held = np.zeros((m, n), np.uint8)
+    held[col, row] = 1
+    df, dp = held.sum(axis=1, dtype=np.float32), (held @ y.astype(np.float32))
+    labelled = np.flatnonzero(y > 0)
+    out = np.zeros(m, bool)
+
+    def off(pos, size):
+        return (pos - size * rate) ** 2 / (size * rate * (1 - rate) + 1)
+
+    for i in range(0, m, WIDE):
+        a, ap = held[i : i + WIDE].astype(np.float32), held[i : i + WIDE, labelled].astype(np.float32)
+        for j in range(i, m, WIDE):
+            both = a @ held[j : j + WIDE].astype(np.float32).T
+            pos = ap @ held[j : j + WIDE, labelled].astype(np.float32).T
+            n_i, n_j, p_i, p_j = df[i : i + WIDE, None], df[None, j : j + WIDE], dp[i : i + WIDE, None], dp[None, j : j + WIDE]
+            gain = off(pos, both) + off(p_i - pos, n_i - both) + off(p_j - pos, n_j - both) + off(labelled.size - p_i - p_j + pos, n - n_i - n_j + both)
+            gain -= alone[i : i + WIDE, None] + alone[None, j : j + WIDE]
+            hit = gain >= least
+            out[i : i + WIDE] |= hit.any(axis=1)
+            out[j : j + WIDE] |= hit.any(axis=0)
+    return out
+
+
+def gradients(bias: float, w: np.ndarray, v: np.ndarray, row: np.ndarray, col: np.ndarray, y: np.ndarray):
+    """Gradients of the mean logistic loss of a factorization machine over (row, column) ones, rows in order."""
+    return _Sums(row, col, len(y), len(w)).gradients(bias, w, v, y)
+
+
+class _Sums:
+    """Sums by text and by term of the same ones, whose order is found once."""
+
+    def __init__(self, row, col, n: int, m: int):
+        order = np.argsort(col, kind="stable")
+        self.row, self.col, self.n, self.m = row, col, n, m
+        self.rows_c, self.start = row[order], np.searchsorted(col[order], np.arange(m))
+        self.used = np.bincount(col, minlength=m) > 0
+        self.by_row, self.has = np.searchsorted(row, np.arange(n)), np.bincount(row, minlength=n) > 0
+
+    @staticmethod
+    def _add(x, starts, some):
+        return np.where(some[:, None], np.add.reduceat(np.vstack([x, np.zeros((1, x.shape[1]))]), starts, axis=0), 0)
+
+    def gradients(self, bias, w, v, y):
+        dims = v.shape[1]
+        sums = self._add(np.column_stack([v, (v * v).sum(axis=1), w])[self.col], self.by_row, self.has)
+        s, q, lin = sums[:, :dims], sums[:, dims], sums[:, dims + 1]
+        g = (sigmoid(bias + lin + 0.5 * ((s * s).sum(axis=1) - q)) - y) / self.n
+        back = self._add(np.column_stack([g[:, None] * s, g])[self.rows_c], self.start, self.used)
+        return g.sum(), back[:, -1], back[:, :dims] - back[:, -1:] * v
+
+
+def fit(y: np.ndarray, bags: list[np.ndarray], least_df: int = 4, least_chi2: float = 12.0, least_pair: float = 45.0, common: float = 0.005, dims: int = 8, steps: int = 250, l2: float = 2e-3, seed: int = 10) -> Machine:
     """Learn from term hashes of texts and their labels.
 
-    Terms that at least ``least_df`` texts hold and whose chi-square against
-    the label reaches ``least_chi2`` enter, the ``most`` strongest. Without
-    texts of both classes the machine is the base rate.
+    Terms enter if at least ``least_df`` texts hold them and their chi-square
+    against the label reaches ``least_chi2``, or if they are in a pair that
+    tells ``least_pair`` more than its terms do (``in_pairs``; terms that a
+    share ``common`` of the texts hold are paired), so terms that mean
+    something only together enter too. Without texts of both classes the
+    machine is the base rate.
     """
     n, pos = len(y), float(y.sum())
     empty = Machine(float(np.log((pos + 0.5) / (n - pos + 0.5))) if n else -20.0, np.empty(0, np.int64), np.empty(0), np.empty((0, dims)))
@@ -60,11 +127,15 @@ def fit(y: np.ndarray, bags: list[np.ndarray], most: int = 2048, least_df: int =
         return empty
     keys, col = np.unique(np.concatenate(bags), return_inverse=True)
     row = np.repeat(np.arange(n), [len(b) for b in bags])
-    df, dp = np.bincount(col).astype(float), np.bincount(col, weights=y[row])
-    a, b, c, d = dp, df - dp, pos - dp, n - pos - df + dp
-    chi2 = n * (a * d - b * c) ** 2 / np.maximum(df * (n - df) * pos * (n - pos), 1e-9)
-    chosen = np.flatnonzero((df >= least_df) & (chi2 >= least_chi2))
-    chosen = np.sort(chosen[np.argsort(-chi2[chosen], kind="stable")][:most])
+    df = np.bincount(col, minlength=len(keys)).astype(float)
+    chi2 = chi_square(y, df, np.bincount(col, weights=y[row], minlength=len(keys)))
+    enter = (df >= least_df) & (chi2 >= least_chi2)
+    paired = np.flatnonzero((df >= max(least_df, common * n)) & (df <= n - least_df))
+    at = np.full(len(keys), -1)
+    at[paired] = np.arange(len(paired))
+    keep = at[col] >= 0
+    enter[paired] |= in_pairs(y, row[keep], at[col[keep]], len(paired), chi2[paired], least_pair)
+    chosen = np.flatnonzero(enter)
     if not len(chosen):
         return empty
     at = np.full(len(keys), -1)
@@ -74,51 +145,48 @@ def fit(y: np.ndarray, bags: list[np.ndarray], most: int = 2048, least_df: int =
     rng = np.random.default_rng(seed)
     bias, w, v = np.array([empty.bias]), np.zeros(len(chosen)), rng.normal(0, 0.02, (len(chosen), dims))
     adam = Adam([bias, w, v], 0.05)
-    order = np.argsort(col, kind="stable")
-    rows_c, start = row[order], np.searchsorted(col[order], np.arange(len(chosen)))
-    by_row = np.searchsorted(row, np.arange(n))
-    has = np.bincount(row, minlength=n) > 0
-    add = lambda x, starts, ok: np.where(ok[:, None], np.add.reduceat(np.vstack([x, np.zeros((1, x.shape[1]))]), starts, axis=0), 0)
+    sums = _Sums(row, col, n, len(chosen))
     for _ in range(steps):
-        s = add(v[col], by_row, has)
-        q = add((v * v).sum(axis=1)[col][:, None], by_row, has)[:, 0]
-        lin = add(w[col][:, None], by_row, has)[:, 0]
-        g = (sigmoid(bias[0] + lin + 0.5 * ((s * s).sum(axis=1) - q)) - y) / n
-        every = np.ones(len(chosen), bool)
-        gw = add(g[rows_c][:, None], start, every)[:, 0]
-        gv = add((g[:, None] * s)[rows_c], start, every) - gw[:, None] * v
-        adam.step([np.array([g.sum()]), gw + l2 * w / 10, gv + l2 * v])
+        gb, gw, gv = sums.gradients(bias[0], w, v, y)
+        adam.step([np.array([gb]), gw + l2 * w / 10, gv + l2 * v])
     return Machine(float(bias[0]), keys[chosen], w, v)
 
 
 def learn(docs: DataFrame, labels: DataFrame, keep=None, per_class: int = PER_CLASS, seed: int = 10) -> Machine:
     """Fit on a sample of at most ``per_class`` label rows a class that satisfy ``keep``.
 
-    Of texts that share their least five-word run (copies) one is learned from.
+    Rows without label or doc_id teach nothing; of repeated doc_ids see
+    ``labelled_sample``; copies count each; without rows of both classes, as
+    with empty tables, the machine is the base rate.
     """
     keep = crc_mod("doc_id", 5) != 0 if keep is None else keep
-    got = labelled_sample(docs, labels, "toxic", keep, per_class, seed).mapInArrow(_features, "y int, near long, terms array<long>").limit(2 * per_class).toArrow()
-    order = np.lexsort((got["y"].to_numpy(), got["near"].to_numpy()))
-    near = got["near"].to_numpy()[order]
-    order = order[np.r_[True, near[1:] != near[:-1]]] if len(order) else order
-    bags = got["terms"].combine_chunks()
-    return fit(got["y"].to_numpy()[order].astype(float), [np.array(bags[int(i)].as_py(), np.int64) for i in order])
+    got = labelled_sample(docs, labels, "toxic", keep, per_class, seed).mapInArrow(tidy(_features), "y int, terms binary").toArrow()
+    rows = sorted(zip(got["terms"].to_pylist(), got["y"].to_pylist(), strict=True))  # in an order that is the same each time
+    return fit(np.array([y for _, y in rows], float), [np.frombuffer(t, np.int64) for t, _ in rows])
 
 
-def _scorer(model: Machine):
-    index = {int(k): r for r, k in enumerate(model.keys)}
+class _Rows(dict):
+    """Word to its row in the machine, -1 for none, remembered up to ``CACHE_BYTES``."""
+
+    def __init__(self, index: dict[int, int]):
+        super().__init__()
+        self.index, self.room = index, CACHE_BYTES
 
-    class Rows(dict):
-        hashes = WordHashes()
+    def __missing__(self, word: str) -> int:
+        self.room -= ENTRY_BYTES + len(word)
+        if self.room < 0:
+            self.clear()
+            self.room = CACHE_BYTES
+        h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        self[word] = r = self.index.get(h - (1 << 64) if h >> 63 else h, -1)
+        return r
 
-        def __missing__(self, word):
-            if len(self) >= 400_000:
-                self.clear()
-            self[word] = r = index.get(int(np.uint64(self.hashes[word]).view(np.int64)), -1)
-            return r
+
+def _scorer(model: Machine):
+    index = {int(k): r for r, k in enumerate(model.keys)}
 
     def score(batches):
-        rows = Rows()
+        rows = _Rows(index)
         for ids, held, texts in rows_of(batches, "doc_id", "held_out", "text"):
             out = []
             for t in texts:
@@ -135,7 +203,8 @@ def toxicity(docs: DataFrame, model: Machine, held_out=None) -> DataFrame:
     The score is a factorization machine over the presence of lower-case
     words, hashed to 64 bits: a weight for each and a product of factors for
     each pair, in time linear in the words. Null and empty texts get the base
-    rate; repeated rows give repeated results; other columns are ignored.
+    rate; very long texts are scored whole, like any other; repeated rows
+    give repeated results; no rows give no rows; other columns are ignored.
     """
     return scored(docs, _scorer(model), crc_mod("doc_id", 5) == 0 if held_out is None else held_out, "score double, predicted int")
 
