@@ -1,7 +1,7 @@
 import glob
 import random
 
-from codeloom.llm.jaccard_join import banding, jaccard_join
+from codeloom.llm.jaccard_join import banding, first_of_each_class, jaccard_join
 
 SCHEMA = "doc_id long, text string, class_id string, copies int"
 
@@ -55,12 +55,23 @@ def test_against_brute_force(spark):
 
 
 def test_repeated_rows_nulls_and_empty_tables(spark):
-    rows = [(1, "a b c d e f", "x", 1)] * 2 + [(2, "a b c d e f", "x", 1), (None, "a b c d e f", "x", 1), (2, "q r s t u v w", "x", 1)]
-    got = sorted((r.doc_id, r.class_id) for r in jaccard_join(spark.createDataFrame(rows, SCHEMA)).collect())
-    assert [x[0] for x in got] == [1, 2]
+    rows = [(1, "a b c d e f", "x", 1)] * 2 + [(2, "a b c d e f", "x", 1), (None, "a b c d e f", "x", 1), (2, "q r s t u v w", "x", 1), (None, "only without id", "x", 1)]
+    got = sorted(((r.doc_id, r.class_id, r.n_links) for r in jaccard_join(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
+    assert got == sorted([(1, 1, 3), (1, 1, 3), (2, 1, 3), (None, 1, 3), (2, 2, 0), (None, None, 0)], key=str)
     assert jaccard_join(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_one_row_of_each_class_stays(spark):
+    """No unique text goes because its doc_id bears a copied text too."""
+    schema = "doc_id long, text string, text_key string, row_id int, label string"
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (2, "q r s t u v w"), (None, "a b c d e f"), (None, "g h i j k l"), (None, "g h i j k l"), (3, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, "x", 1, "y") for i, t in rows], schema)
+    got = first_of_each_class(docs)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, "a b c d e f"), (2, "q r s t u v w"), (None, "g h i j k l"), (3, None)], key=str)
+    assert first_of_each_class(docs.limit(0)).count() == 0
+
+
 def test_banding_reaches_its_recall():
     bands, rows = banding(0.8, 0.995)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.995
