@@ -12,11 +12,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm._shared import U64, WordHashes, materialize, rows_of
+from codeloom.llm._shared import U64, WordHashes, fresh, materialize, rows_of, tidy
 
 #: Kinds of the base patterns in their fixed order, then that of disclosing terms.
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Slots of the map that tells which words may be disclosing terms.
+#: Slots of the maps that tell which words may be disclosing terms, and which texts may be repeated.
 SLOTS = 1 << 25
 #: Distinct term hashes a task holds before it hands on its counts.
 HELD = 1 << 20
@@ -118,11 +118,15 @@ def _scan(batches):
 _SCANNED = "doc_id long, text_key long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<at:int,kind:int,to:int>>, entities array<long>, terms array<long>"
 
 
+def _map(slots: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(slots, np.uint8), bitorder="little").view(bool)
+
+
 def _places(slots: bytes):
     """A row for each word that the map lets pass, with its place."""
 
     def run(batches):
-        marked, cache = np.unpackbits(np.frombuffer(slots, np.uint8), bitorder="little").view(bool), WordHashes()
+        marked, cache = _map(slots), WordHashes()
         for ids, keys, texts in rows_of(batches, "doc_id", "text_key", "text"):
             rows = []
             for i, x, t in zip(ids, keys, texts, strict=True):
@@ -135,43 +139,60 @@ def _places(slots: bytes):
     return run
 
 
-def _slots(terms: DataFrame) -> bytes:
-    """A map of fixed size in which every term has its slot set; others may share it."""
-    slot = F.col("term").bitwiseAND(SLOTS - 1)
-    parts = terms.groupBy(F.shiftright(slot, 5).alias("part")).agg(F.bit_or(F.expr("shiftleft(1L, cast(term & 31 as int))")).alias("bits")).toArrow()
+def _slots(hashes: DataFrame) -> bytes:
+    """A map of fixed size in which every hash of the one column has its slot set; others may share it."""
+    slot = F.col(hashes.columns[0]).bitwiseAND(SLOTS - 1)
+    parts = hashes.groupBy(F.shiftright(slot, 5).alias("part")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({hashes.columns[0]} & 31 as int))")).alias("bits")).toArrow()
     out = np.zeros(SLOTS // 32, "<u4")
     out[parts["part"].to_numpy()] = parts["bits"].to_numpy().astype("<u4")
     return out.tobytes()
 
 
-def _count_terms(batches):
-    """Documents that hold each term, added up in the task before they are shuffled."""
-    cache, parts, held = WordHashes(), [], 0
-
-    def flush():
-        keys = np.concatenate([p[0] for p in parts])
-        counts = np.concatenate([p[1] for p in parts])
-        u, inverse = np.unique(keys, return_inverse=True)
-        return u, np.bincount(inverse, weights=counts).astype(np.int64)
-
-    def batch(pair):
-        return pa.record_batch([pa.array(pair[0].view(np.int64), pa.int64()), pa.array(pair[1], pa.int64())], names=["term", "df"])
-
-    for (texts,) in rows_of(batches, "text"):
-        for t in texts:
-            words = {w.lower() for w in _WORD.findall(t)}
-            if not words:
-                continue
-            parts.append((np.fromiter(map(cache.__getitem__, words), U64, len(words)), np.ones(len(words), np.int64)))
-            held += len(words)
-            if held >= 2 * HELD:
-                pair = flush()
-                parts, held = [pair], len(pair[0])
-                if held > HELD:
-                    yield batch(pair)
-                    parts, held = [], 0
-    if parts:
-        yield batch(flush())
+def _repeated(slots: bytes):
+    """The texts whose key the map lets pass."""
+
+    def run(batches):
+        marked = _map(slots)
+        for batch in batches:
+            hit = marked[batch.column("text_key").to_numpy() & (SLOTS - 1)]
+            yield batch.filter(pa.array(hit))
+
+    return run
+
+
+def _count_terms(slots: bytes | None = None):
+    """Texts that hold each term, added up in the task before they are shuffled; without those the map lets pass."""
+
+    def run(batches):
+        marked = None if slots is None else _map(slots)
+        cache, parts, held = WordHashes(), [], 0
+
+        def flush():
+            keys = np.concatenate([p[0] for p in parts])
+            counts = np.concatenate([p[1] for p in parts])
+            u, inverse = np.unique(keys, return_inverse=True)
+            return u, np.bincount(inverse, weights=counts).astype(np.int64)
+
+        def batch(pair):
+            return pa.record_batch([pa.array(pair[0].view(np.int64), pa.int64()), pa.array(pair[1], pa.int64())], names=["term", "df"])
+
+        for keys, texts in rows_of(batches, "text_key", "text"):
+            for x, t in zip(keys, texts, strict=True):
+                words = {w.lower() for w in _WORD.findall(t)} if marked is None or not marked[x & SLOTS - 1] else ()
+                if not words:
+                    continue
+                parts.append((np.fromiter(map(cache.__getitem__, words), U64, len(words)), np.ones(len(words), np.int64)))
+                held += len(words)
+                if held >= 2 * HELD:
+                    pair = flush()
+                    parts, held = [pair], len(pair[0])
+                    if held > HELD:
+                        yield batch(pair)
+                        parts, held = [], 0
+        if parts:
+            yield batch(flush())
+
+    return run
 
 
 @dataclass
@@ -209,15 +230,19 @@ def find(docs: DataFrame, alpha: float = 1.25, z: float = 1.645) -> Findings:
     no rows give no rows.
     """
     base = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
-    scanned = materialize(base.mapInArrow(_scan, _SCANNED))
-    total = F.lit(scanned.select("text_key").distinct().count())
+    scanned = materialize(base.mapInArrow(tidy(_scan), _SCANNED))
+    texts = scanned.groupBy("text_key").agg(F.count("*").alias("n"))
+    total = F.lit(texts.count())
+    repeated = _slots(texts.where("n > 1").select("text_key"))
     holders = materialize(scanned.where(F.size("entities") > 0).select("text_key", "entities", "terms").dropDuplicates(["text_key"]))
     alike = F.bit_xor(F.xxhash64("text_key"))
     held = holders.select("text_key", F.explode("entities").alias("entity"))
     entities = held.groupBy("entity").agg(F.count("*").alias("n_entity"), alike.alias("entities"))
     held = held.join(entities, "entity").select("text_key", "n_entity", "entities").distinct()
     said = holders.select("text_key", F.explode("terms").alias("term"))
-    frequency = base.select("text").distinct().mapInArrow(_count_terms, "term long, df long").groupBy("term").agg(F.sum("df").alias("n_term"))
+    again = base.select("text_key", "text").mapInArrow(tidy(_repeated(repeated)), "text_key long, text string").distinct()
+    counted = base.mapInArrow(tidy(_count_terms(repeated)), "term long, df long").unionByName(again.mapInArrow(tidy(_count_terms()), "term long, df long"))
+    frequency = counted.groupBy("term").agg(F.sum("df").alias("n_term"))
     terms = materialize(said.groupBy("term").agg(F.count("*").alias("n_held"), alike.alias("terms")).join(frequency, "term"))
     said = said.join(terms, "term").select("text_key", "n_term", "n_held", "terms").distinct()
     content = F.log(total / F.col("n_entity"))
@@ -225,7 +250,7 @@ def find(docs: DataFrame, alpha: float = 1.25, z: float = 1.645) -> Findings:
     pairs = held.join(said, "text_key").where(discloses(F.least("n_entity", "n_held"))).groupBy("n_entity", "entities", "n_term", "n_held", "terms").agg(F.count("*").alias("both"))
     classes = pairs.where(discloses(F.col("both"))).groupBy("n_term", "n_held", "terms").agg(F.max(F.col("both") == F.col("n_term")).alias("remove"))
     flagged = materialize(terms.join(classes, ["n_term", "n_held", "terms"]).select("term", "remove"))
-    places = base.mapInArrow(_places(_slots(flagged)), "doc_id long, text_key long, term long, at int, to int")
+    places = base.mapInArrow(tidy(_places(_slots(flagged.select("term")))), "doc_id long, text_key long, term long, at int, to int")
     hidden = places.join(flagged, "term").groupBy("doc_id", "text_key", "at", "to").agg(F.max("remove").alias("remove"))
     hidden = hidden.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("at", F.lit(4).alias("kind"), "to", "remove"))).alias("added"))
     return Findings(scanned, hidden)
@@ -242,26 +267,29 @@ def spans(docs: DataFrame, alpha: float = 1.25, z: float = 1.645) -> DataFrame:
     return both.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", text.alias("spans"))
 
 
-def _rewrite(batches):
-    for batch in batches:
-        texts, added = (batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("text", "added"))
-        out = []
-        for t, a in zip(texts, added, strict=True):
-            base = base_spans(t or "")
-            if not base and not a:
-                out.append(t)
-                continue
-            marks = sorted([(s, e, f"<{KINDS[k].upper()}>") for s, k, e in base] + [(s["at"], s["to"], "" if s["remove"] else "<TERM>") for s in a or []])
-            text, parts, end = t or "", [], 0
-            for s, e, mark in marks:
-                if s < end:  # overlaps the span before: extend it
-                    end = max(end, e)
+def _rewriter(column: str):
+    def rewrite(batches):
+        for batch in batches:
+            texts, added = (batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("text", column))
+            out = []
+            for t, a in zip(texts, added, strict=True):
+                base = base_spans(t or "")
+                if not base and not a:
+                    out.append(t)
                     continue
-                parts += [text[end:s], mark]
-                end = e
-            out.append("".join([*parts, text[end:]]))
-        keep = [n for n in batch.schema.names if n != "added"]
-        yield pa.record_batch([pa.array(out, pa.string()) if n == "text" else batch.column(n) for n in keep], names=keep)
+                marks = sorted([(s, e, f"<{KINDS[k].upper()}>") for s, k, e in base] + [(s["at"], s["to"], "" if s["remove"] else "<TERM>") for s in a or []])
+                text, parts, end = t or "", [], 0
+                for s, e, mark in marks:
+                    if s < end:  # overlaps the span before: extend it
+                        end = max(end, e)
+                        continue
+                    parts += [text[end:s], mark]
+                    end = e
+                out.append("".join([*parts, text[end:]]))
+            names = [n for n in batch.schema.names if n != column]
+            yield pa.record_batch([pa.array(out, pa.string()) if n == "text" else batch.column(n) for n in names], names=names)
+
+    return rewrite
 
 
 def sanitise(docs: DataFrame, alpha: float = 1.25, z: float = 1.645) -> DataFrame:
@@ -269,9 +297,11 @@ def sanitise(docs: DataFrame, alpha: float = 1.25, z: float = 1.645) -> DataFram
 
     Documents without spans pass unchanged, null texts included. Base spans
     are sought where the row is read; only terms are joined, by text and by
-    doc_id, null or not.
+    doc_id, null or not. Repeated rows are all kept and all rewritten; other
+    columns stay, whatever their names; no rows give no rows.
     """
-    hidden = find(docs, alpha, z).terms.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_x"), "added")
+    i, x, added = fresh(docs, "hidden_id", "hidden_key", "hidden_spans")
+    hidden = find(docs, alpha, z).terms.select(F.col("doc_id").alias(i), F.col("text_key").alias(x), F.col("added").alias(added))
     key = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    wide = docs.join(hidden, docs["doc_id"].cast("long").eqNullSafe(F.col("_d")) & (key == F.col("_x")), "left")
-    return wide.select(*[docs[n] for n in docs.columns], "added").mapInArrow(_rewrite, docs.schema)
+    wide = docs.join(hidden, docs["doc_id"].cast("long").eqNullSafe(F.col(i)) & (key == F.col(x)), "left")
+    return wide.select(*[docs[n] for n in docs.columns], added).mapInArrow(tidy(_rewriter(added)), docs.schema)
