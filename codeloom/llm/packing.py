@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
 from bisect import bisect_left, insort
-from functools import cache
 from zlib import crc32
 
 import numpy as np
@@ -14,16 +14,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codeloom.llm._shared import materialize
+from codeloom.llm._shared import keep, materialize, tidy
 
 CAPACITY, CLOSING_ID = 4096, 1
-#: Rows of a plan that may be broadcast (32 bytes each); a longer plan is joined by shuffle.
+#: Rows of a plan that may be broadcast (32 bytes each); a longer plan is joined by shuffle. The rows that come out are the same.
 PLAN_ROWS = 200_000
+#: Pieces of one length that are ranked together, about.
+RANKED = 1 << 18
 #: Characters that are encoded at once.
 CHARS = 1 << 22
-#: Runs that a worker learns before it forgets those it has not met since as many before.
-HELD_RUNS = 450_000
-#: Marks that the vocabulary always parts from a letter before them.
+#: Bytes of runs that a worker learns before it forgets those it has not met since as many before, and what a run takes besides its characters and ids.
+HELD_BYTES, RUN_BYTES = 40 << 20, 180
+#: Marks that such a vocabulary always parts from a letter before them.
 TAILS = frozenset(",.;:!?")
 
 
@@ -33,8 +35,27 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def stands_alone(vocabulary: str) -> bool:
+    """Whether runs between spaces have the ids they have in a text, in any case, and marks part from letters before them.
+
+    True of a vocabulary whose normaliser makes white space single spaces and
+    letters small, whose rule to part words keeps letters, each number and
+    the rest apart and drops white space, and whose added tokens begin "<|".
+    """
+    with open(vocabulary, encoding="utf-8") as f:
+        told = json.load(f)
+    normal, before = told.get("normalizer") or {}, told.get("pre_tokenizer") or {}
+    steps = [n["type"] for n in normal.get("normalizers", [normal]) if n]
+    split = next((p for p in before.get("pretokenizers", [before]) if p.get("type") == "Split"), {})
+    rule = split.get("pattern", {}).get("Regex", "")
+    return (
+        "Lowercase" in steps and "Replace" in steps and rule.endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+") and split.get("behavior") == "Removed" and bool(split.get("invert"))
+        and all(t["content"].startswith("<|") for t in told.get("added_tokens", []))
+    )
+
+
 class Encoder:
-    """Texts to ids by the runs between their spaces; this vocabulary never joins over white space.
+    """Texts to ids by the runs between their spaces, where the vocabulary lets runs stand alone; else text by text.
 
     The different runs of many texts are found by Arrow and looked up once
     each; their ids, little-endian bytes, are then dealt to all places by
@@ -48,6 +69,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.by_run, self.room = stands_alone(vocabulary), HELD_BYTES
         self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
 
@@ -91,8 +113,11 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and where those of each text begin, with their end."""
-        if len(self.known) > HELD_RUNS:
-            self.older, self.known = self.known, {"": b""}
+        if not self.by_run:
+            got = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate([np.empty(0, "<u4"), *got]), np.cumsum([0, *map(len, got)])
+        if self.room < 0:
+            self.older, self.known, self.room = self.known, {"": b""}, HELD_BYTES
         # ids do not depend on case; only in plain texts are small letters sure to leave the rest alone
         plain = pc.and_(pc.string_is_ascii(texts), pc.invert(pc.match_substring(texts, "<|")))
         split = pc.split_pattern(pc.replace_substring(pc.if_else(plain, pc.ascii_lower(texts), texts), "\n", " "), " ")
@@ -104,6 +129,8 @@ class Encoder:
         for run in learned:
             if len(run) > 48:
                 self.known.pop(run, None)
+            else:
+                self.room -= RUN_BYTES + len(run) + len(self.known[run])
         own = np.fromiter(map(len, found), np.int64, len(found)) // 4
         which = coded.indices.to_numpy()
         n = own[which]
@@ -112,15 +139,10 @@ class Encoder:
         return np.frombuffer(b"".join(found), "<u4")[take], after[split.offsets.to_numpy()]
 
 
-@cache
-def _encoder(vocabulary: str) -> Encoder:
-    """One encoder a worker process, so later tasks need not learn again."""
-    return Encoder(vocabulary)
-
-
 def _pieces(vocabulary: str | None, capacity: int):
     def cut(batches):
-        encoder = _encoder(vocabulary or default_vocabulary())
+        path = vocabulary or default_vocabulary()
+        encoder = keep(("encoder", vocabulary), lambda: Encoder(path))  # so later tasks need not learn again
         closing = np.array([CLOSING_ID], "<u4").tobytes()
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         for batch in batches:
@@ -196,8 +218,9 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = Non
     Documents are tokenized once; pieces' rows are written and ranked by
     length, doc_id and piece. Only the number of pieces of each length (at
     most ``capacity`` numbers) comes to the driver, which plans the sweeps;
-    pieces look their sequence up by length and rank. Ranks of one length are
-    counted in hashed parts, so a common length is no hot key.
+    pieces look their sequence up by length and rank. Ranks are counted in
+    hashed parts, as many as the pieces need, so a common length is no hot
+    key; pieces that fill a sequence are neither planned nor ranked.
 
     Null and empty texts are the closing id alone; documents longer than
     ``capacity`` ids are cut, others never; repeated rows are packed each;
@@ -206,16 +229,19 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = Non
     """
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    pieces = materialize(base.mapInArrow(_pieces(vocabulary, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long"))
-    parts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)))
+    cut = tidy(_pieces(vocabulary, capacity), ("encoder", vocabulary))
+    pieces = materialize(base.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long"))
+    whole = pieces.where(F.col("length") == capacity).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    loose = pieces.where(F.col("length") < capacity)
+    counts = {r.length: r.n for r in loose.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    parts = 16 + max(counts.values(), default=0) // RANKED
+    dealt = loose.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)))
     sizes = dealt.groupBy("length", "part").agg(F.count("*").alias("n"))
     offsets = sizes.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
-    counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     moves = plan(counts, capacity)
     table = spark.createDataFrame(moves, "length long, low long, high long, first_sequence long, offset long")
     within = Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32", "start")
     ranked = dealt.withColumn("k", F.row_number().over(within)).join(offsets, ["length", "part"]).withColumn("k", F.col("k") - 1 + F.col("before"))
     table = F.broadcast(table) if len(moves) <= PLAN_ROWS else table
     placed = ranked.join(table, (ranked.length == table.length) & (ranked.k >= table.low) & (ranked.k < table.high))
-    return placed.select("doc_id", "piece", "start", ranked.length, "ids_crc32", (F.col("first_sequence") + F.col("k") - F.col("low")).alias("sequence_id"), F.col("offset"))
+    return placed.select("doc_id", "piece", "start", ranked.length, "ids_crc32", (F.col("first_sequence") + F.col("k") - F.col("low")).alias("sequence_id"), F.col("offset")).unionByName(whole)
