@@ -34,10 +34,15 @@ def _header(role: Column) -> Column:
     return F.concat(F.lit(HEAD), _swap(_swap(role, ESCAPES), ROLE_ESCAPES), F.lit(":\n"))
 
 
+def _let(value: Column, f) -> Column:
+    """``f`` of ``value``, which is computed once; what stands in a lambda is else computed for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _blocks(array: Column, f) -> Column:
     """``f`` (block, its number) of each ``BLOCK`` entries of ``array``, in order."""
     numbers = F.when(F.size(array) > 0, F.sequence(F.lit(0), F.floor((F.size(array) - 1) / BLOCK).cast("int"))).otherwise(F.expr("cast(array() as array<int>)"))
-    return F.transform(numbers, lambda k: f(F.slice(array, k * BLOCK + 1, F.lit(BLOCK)), k))
+    return F.transform(numbers, lambda k: _let(F.slice(array, k * BLOCK + 1, F.lit(BLOCK)), lambda block: f(block, k)))
 
 
 def _running(sizes: Column) -> Column:
@@ -50,9 +55,10 @@ def _running(sizes: Column) -> Column:
 def _placed(entries: Column, size) -> Column:
     """``entries`` as (at, e): each with the sum of ``size`` over those before it."""
     total = lambda block: F.aggregate(block, F.lit(0).cast("long"), lambda a, e: a + size(e))
-    starts = _running(_blocks(entries, lambda block, _: total(block)))
-    placed = lambda block, k: F.zip_with(_running(F.transform(block, size)), block, lambda at, e: F.struct((F.get(starts, k) + at).alias("at"), e.alias("e")))
-    return F.flatten(_blocks(entries, placed))
+    within = lambda block, first: F.zip_with(_running(F.transform(block, size)), block, lambda at, e: F.struct((first + at).alias("at"), e.alias("e")))
+    return _let(
+        _running(_blocks(entries, lambda block, _: total(block))),
+        lambda starts: F.flatten(_blocks(entries, lambda block, k: _let(F.get(starts, k), lambda first: within(block, first)))))
 
 
 def chat_format(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
