@@ -1,4 +1,5 @@
 import collections
+import functools
 import hashlib
 import itertools
 import re
@@ -179,16 +180,183 @@ def test_language(spark):
     assert {r.doc_id for r in language.recognised(docs, model).collect()} >= set(range(240))
 
 
-def test_learning_words_are_evenly_spread():
-    most = language.TRAIN_WORDS
+def test_language_learns_whole_texts():
+    """Every word counts, and every letter of it, wherever it stands."""
     letters = lambda n: ["".join(chr(97 + k // 26**j % 26) for j in range(3)) for k in range(n)]
-    for n in (most - 1, most, most + 1, 2 * most - 1, 7 * most + most // 2):
-        text = " ".join(letters(n))
-        batch = pa.record_batch([pa.array(["x"]), pa.array([text])], names=["lang", "text"])
-        (out,) = language._sampled(iter([batch]))
-        at = [letters(n).index(w) for w in out["words"].to_pylist()[0]]
-        assert len(at) == min(n, most) and at[0] == 0 and at[-1] == n - 1
-        assert max(np.diff(at)) <= -(-n // most)
+    found = [*letters(3000), "x" * 400 + "end", "x" * 400 + "odd"]
+    batch = pa.record_batch([pa.array(["x"]), pa.array([5], pa.int64()), pa.array([" ".join(found)])], names=["lang", "key", "text"])
+    (out,) = language._features(iter([batch]))
+    want = collections.Counter(b for w in found for b in language.subwords(w))
+    got = dict(zip(np.frombuffer(out["rows"][0].as_py(), "<u2").tolist(), np.frombuffer(out["counts"][0].as_py(), "<u4").tolist(), strict=True))
+    assert got == want
+    assert language.subwords(found[-1]) != language.subwords(found[-2])
+
+
+def test_language_gradients():
+    """Gradients by finite differences."""
+    r = np.random.default_rng(7)
+    emb, lin, bias = r.normal(size=(12, 3)), r.normal(size=(3, 4)), r.normal(size=4)
+    rows = [np.array([0, 3, 5]), np.array([3, 11])]
+    shares, ys = [np.array([0.5, 0.25, 0.25]), np.array([0.1, 0.9])], np.array([2, 0])
+    loss = lambda: language.gradients(emb, lin, bias, rows, shares, ys)[0]
+    _, g_emb, g_lin, g_bias = language.gradients(emb, lin, bias, rows, shares, ys)
+    full = np.zeros_like(emb)
+    for at, share, g in g_emb:
+        full[at] += share[:, None] * g
+    for p, g in ((emb, full), (lin, g_lin), (bias, g_bias)):
+        assert np.allclose(g, by_differences(p, loss), atol=1e-6)
+
+
+def by_differences(p, loss, step=1e-6):
+    out = np.zeros_like(p)
+    for at in np.ndindex(*p.shape):
+        was = p[at]
+        p[at] = was + step
+        up = loss()
+        p[at] = was - step
+        out[at] = (up - loss()) / (2 * step)
+        p[at] = was
+    return out
+
+
+def test_language_scores_like_brute_force(spark):
+    docs, _ = corpus(spark)
+    model = language.learn(docs)
+    got = {r.doc_id: r for r in language.language(docs, model).collect()}
+    for r in docs.where("doc_id is not null").collect():
+        b = [x for w in language.words(r.text) for x in language.subwords(w)]
+        if not b:
+            assert got[r.doc_id].lang_pred == "und" and got[r.doc_id].score == 0
+            continue
+        p = model.probabilities(model.table[b].astype(float).sum(axis=0) / len(b) + model.bias)
+        assert got[r.doc_id].lang_pred == model.langs[int(p.argmax())] and abs(got[r.doc_id].score - p.max()) < 1e-6
+
+
+def test_language_sample_takes_the_least_hashes(spark, monkeypatch):
+    """Of a common language exactly the first by hash, of a rare one all."""
+    name = lambda k: "".join(chr(97 + k // 26**j % 26) for j in range(3))
+    rows = [(k, f"wort{name(k)}", "de") for k in range(600)] + [(1000 + k, f"word{name(k)}", "en") for k in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    monkeypatch.setattr(language, "fit", lambda bags, langs: seen.append(collections.Counter(langs)) or (bags, langs))
+    bags, langs = language.learn(docs, keep=F.lit(True), per_lang=50)
+    first = [r.text for r in docs.where("lang = 'de'").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(50).collect()]
+    assert seen == [{"de": 100, "en": 18}]
+    want = {tuple(sorted(set(b for w in language.words(t) for b in language.subwords(w)))) for t in first}
+    assert {tuple(b[0].tolist()) for b, lang in zip(bags, langs, strict=True) if lang == "de"} == want
+
+
+def test_quality_gradients():
+    """Gradients by finite differences."""
+    r = np.random.default_rng(3)
+    model = quality.Model(wide=5, hidden=4, gate=3)
+    x, sizes, y = r.normal(size=(7, 5)), np.array([3, 1, 3]), np.array([1.0, 0.0, 1.0])
+    l2 = 0.01
+
+    def loss():
+        p = model.forward(x, sizes)[0]
+        return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean() + l2 / 2 * sum((w * w).sum() for w in model.p if w.ndim == 2))
+
+    for p, g in zip(model.p, model.gradients(x, sizes, y, l2), strict=True):
+        assert np.allclose(g, by_differences(p, loss), atol=1e-6)
+
+
+def test_quality_scores_like_brute_force(spark):
+    """Passages, attention and score of every whole text by plain loops."""
+    docs, labels = corpus(spark)
+    model = quality.learn(docs, labels)
+    enc, b1, v, u, w, c, b = model.p
+    got = {r.doc_id: r.score for r in quality.quality(docs, model).collect() if r.doc_id is not None}
+    for r in docs.where("doc_id is not null and doc_id % 7 = 0 or doc_id >= 900").collect():
+        x = quality.passages(r.text, WordHashes())
+        assert len(x) == max(1, -(-len((r.text or "").split()) // quality.PASSAGE))
+        h = [np.tanh(np.clip((row - model.mean) / model.scale, -6, 6) @ enc + b1) for row in x.astype(float)]
+        e = [float((np.tanh(z @ v) / (1 + np.exp(-(z @ u)))) @ w) for z in h]
+        a = np.exp(np.array(e) - max(e)) / np.exp(np.array(e) - max(e)).sum()
+        want = 1 / (1 + np.exp(-(sum(k * z for k, z in zip(a, h, strict=True)) @ c + b[0])))
+        assert abs(got[r.doc_id] - want) < 1e-5
+
+
+def test_quality_learns_from_every_passage(spark):
+    """What marks a text may stand in any of its passages."""
+    r = np.random.default_rng(6)
+    docs, labels = [], []
+    for k in range(160):
+        w = [str(x) for x in r.choice(["plain", "words", "of", "prose"], 64 * 60)]
+        if k % 2:
+            at = 64 * int(r.integers(0, 60))
+            w[at : at + 64] = ["@@@###"] * 64
+        docs.append((k, " ".join(w)))
+        labels.append((k, 1 - k % 2, 0))
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    model = quality.learn(docs, spark.createDataFrame(labels, LABELS))
+    held = [x for x in quality.quality(docs, model).collect() if x.held_out]
+    assert np.mean([x.predicted == 1 - x.doc_id % 2 for x in held]) > 0.95
+
+
+def test_toxicity_gradients():
+    """Gradients by finite differences of the loss by its definition."""
+    r = np.random.default_rng(4)
+    bias, w, v = np.array([0.3]), r.normal(size=4), r.normal(size=(4, 3))
+    bags, y = [[0, 2], [1], [0, 1, 3], []], np.array([1.0, 0.0, 1.0, 0.0])
+    row, col = np.repeat(np.arange(4), [len(b) for b in bags]), np.array(sum(bags, []))
+
+    def loss():
+        z = [bias[0] + sum(w[i] for i in b) + sum(v[i] @ v[j] for i, j in itertools.combinations(b, 2)) for b in bags]
+        return float(np.mean([np.log1p(np.exp(x)) - t * x for x, t in zip(z, y, strict=True)]))
+
+    gb, gw, gv = toxicity.gradients(bias[0], w, v, row, col, y)
+    for p, g in ((bias, np.array([gb])), (w, gw), (v, gv)):
+        assert np.allclose(g, by_differences(p, loss), atol=1e-6)
+
+
+def test_toxicity_learns_pairs_that_no_term_tells(spark):
+    """Labels decided by a pair alone: neither term has to do with the label by itself."""
+    r = np.random.default_rng(8)
+    docs, labels = [], []
+    for k in range(2500):
+        w = [f"w{x}" for x in r.integers(0, 300, 30)]
+        a, b = r.integers(0, 2, 2)
+        w += ["dolt"] * int(a) + ["folk"] * int(b)
+        r.shuffle(w)
+        docs.append((k, " ".join(w)))
+        labels.append((k, 0, int(a == b)))
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    model = toxicity.learn(docs, spark.createDataFrame(labels, LABELS))
+    got = toxicity.toxicity(docs, model).collect()
+    assert np.mean([x.predicted == labels[x.doc_id][2] for x in got if x.held_out]) > 0.95
+    index = {int(k): n for n, k in enumerate(model.keys)}
+    for x in got[:50]:  # the score by its definition
+        hit = sorted({index[h] for h in (int(np.uint64(WordHashes()[t]).view(np.int64)) for t in toxicity.terms(docs_text(docs, x.doc_id))) if h in index})
+        z = model.bias + sum(model.weights[i] for i in hit) + sum(model.factors[i] @ model.factors[j] for i, j in itertools.combinations(hit, 2))
+        assert abs(x.score - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+@functools.cache
+def _texts(docs):
+    return {r.doc_id: r.text for r in docs.collect()}
+
+
+def docs_text(docs, i):
+    return _texts(docs)[i]
+
+
+def test_toxic_copy_of_a_clean_text_counts(spark):
+    """Texts that share their runs of words but for one insult are all learned from."""
+    common = " ".join(f"w{k}" for k in range(40))
+    docs = [(k, f"{common} {'scum' if k % 2 else 'fine'} n{k}") for k in range(200)]
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(k, 0, k % 2) for k in range(200)], LABELS)
+    got = toxicity.toxicity(docs, toxicity.learn(docs, labels)).collect()
+    assert all(x.predicted == x.doc_id % 2 for x in got)
+
+
+def test_repeated_doc_ids_teach_once(spark):
+    docs, labels = corpus(spark)
+    twice = docs.unionByName(docs.where("doc_id < 100"))
+    for module in (quality, toxicity):
+        a, b = (module.learn(d, labels) for d in (docs, twice))
+        run = getattr(module, module.__name__.rsplit(".", 1)[1])
+        assert sorted(x.score for x in run(docs, a).collect()) == sorted(x.score for x in run(docs, b).collect())
 
 
 # personal data
