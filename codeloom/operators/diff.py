@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 
 def annotate(head: DataFrame, base: DataFrame) -> DataFrame:
-    """(target_id, status): added, modified or unchanged; removed targets are not reported."""
+    """(target_id, status): added, modified or unchanged; removed targets and views of whole files are not reported."""
+    head = head.where(~F.col("target_id").cast("string").startswith("file:"))
     b = base.select("target_id", F.col("source").alias("base_source"), F.lit(True).alias("there"))
     status = F.when(F.col("there").isNull(), "added").when(F.col("source").eqNullSafe(F.col("base_source")), "unchanged").otherwise("modified")
     return head.join(b, "target_id", "left").select("target_id", status.alias("status"))
@@ -17,12 +18,11 @@ def annotate(head: DataFrame, base: DataFrame) -> DataFrame:
 def lines_outside_lcs(base: str | None, head: str | None, cap: int = 3000) -> list[int]:
     """0-based lines of ``head`` outside a longest common subsequence of lines.
 
-    On equal lengths the base line is skipped first. Nothing is reported for
-    an empty head or if the product of the line counts is over ``cap``.
+    On equal lengths the base line is skipped first. An empty text is one
+    empty line. Nothing is reported if the product of the line counts is over
+    ``cap``, which bounds the table that is filled.
     """
-    if not head:
-        return []
-    a, b = (base or "").split("\n"), head.split("\n")
+    a, b = (base or "").split("\n"), (head or "").split("\n")
     if len(a) * len(b) > cap:
         return []
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
@@ -48,3 +48,13 @@ def added_lines(base, head, cap: int = 3000):
         return pd.Series([lines_outside_lcs(x, y, cap) for x, y in zip(b, h, strict=True)])
 
     return run(base, head)
+
+
+def annotated(head: DataFrame, base: DataFrame, language: str = "go", cap: int = 3000) -> DataFrame:
+    """``annotate`` with the lines that are new in modified targets; for projects in Go only, else no rows."""
+    if language != "go":
+        return annotate(head, base).withColumn("added_lines", F.array().cast("array<int>")).limit(0)
+    found = annotate(head, base).join(head.select("target_id", "source"), "target_id").join(base.select("target_id", F.col("source").alias("base_source")), "target_id", "left")
+    modified = found.where("status = 'modified'").withColumn("added_lines", added_lines(F.col("base_source"), F.col("source"), cap))
+    rest = found.where("status <> 'modified'").withColumn("added_lines", F.array().cast("array<int>"))
+    return modified.unionByName(rest).select("target_id", "status", "added_lines")

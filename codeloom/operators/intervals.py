@@ -7,14 +7,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def innermost(points: DataFrame, spans: DataFrame, key: str, point_key: list[str]) -> DataFrame:
-    """For each point (key, at) the span (key, start, end, span_id) of the same key that holds it and starts last.
+#: Widths of the bins that spans lie in: powers of four, so offsets up to 4 ** 16.
+LEVELS = 16
+
+
+def containing(points: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
+    """Every point with every span of the same ``keys`` that holds it: ``points`` (at, ...) and ``spans`` (start, end, ...), half-open.
 
-    Spans are half-open. The join is on ``key`` with the range as residual.
+    A span lies in one or two bins about as wide as itself, a point in a bin
+    of each width; they meet in a bin. So a point meets the spans around it,
+    not all of its key.
     """
-    p, s = points.alias("p"), spans.alias("s")
-    hit = p.join(s, (F.col(f"p.{key}") == F.col(f"s.{key}")) & (F.col("s.start") <= F.col("p.at")) & (F.col("p.at") < F.col("s.end")))
-    return hit.groupBy(*[F.col(f"p.{c}").alias(c) for c in point_key]).agg(F.max(F.struct("s.start", "s.span_id")).alias("b")).select(*point_key, F.col("b.start").alias("start"), F.col("b.span_id").alias("span_id"))
+    length = F.greatest(F.col("end") - F.col("start"), F.lit(1))
+    level = F.least(F.ceil(F.log2(length) / 2), F.lit(LEVELS)).cast("int")
+    width = lambda n: F.expr(f"shiftleft(1L, 2 * {n})")
+    s = spans.where(F.col("start") < F.col("end")).withColumn("level", level)
+    s = s.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / width("level")), F.floor((F.col("end") - 1) / width("level")))))
+    p = points.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS)))).withColumn("bin", F.floor(F.col("at") / width("level")))
+    return p.join(s, [*keys, "level", "bin"]).where((F.col("start") <= F.col("at")) & (F.col("at") < F.col("end"))).drop("level", "bin")
+
+
+def innermost(points: DataFrame, spans: DataFrame, key: str, point_key: list[str]) -> DataFrame:
+    """For each point (key, at) the span (key, start, end, span_id) of the same key that holds it and starts last."""
+    hit = containing(points, spans.select(key, "start", "end", "span_id"), [key])
+    return hit.groupBy(*point_key).agg(F.max(F.struct("start", "span_id")).alias("b")).select(*point_key, F.col("b.start").alias("start"), F.col("b.span_id").alias("span_id"))
 
 
 def merge_ranges(ranges: DataFrame, keys: list[str], gap: int = 1) -> DataFrame:
@@ -27,9 +43,17 @@ def merge_ranges(ranges: DataFrame, keys: list[str], gap: int = 1) -> DataFrame:
     return marked.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
+def _frame_spans(frames: DataFrame) -> DataFrame:
+    return frames.select("file", *[c for c in frames.columns if c not in ("file", "start_line", "end_line")], F.col("start_line").alias("start"), (F.col("end_line") + 1).alias("end"))
+
+
 def noted_lines(notes: DataFrame, frames: DataFrame) -> DataFrame:
-    """Lines of each frame that a note's range covers, clipped to the frame."""
-    n, f = notes.alias("n"), frames.alias("f")
-    hit = n.join(f, (F.col("n.file") == F.col("f.file")) & (F.col("n.start_line") <= F.col("f.end_line")) & (F.col("n.end_line") >= F.col("f.start_line")))
-    low, high = F.greatest("n.start_line", "f.start_line"), F.least("n.end_line", "f.end_line")
-    return hit.select(F.col("f.file").alias("file"), F.col("n.note_id").alias("note_id"), F.explode(F.sequence(low, high)).alias("line"))
+    """Lines of each frame (file, start_line, end_line) that a note's range (note_id, file, start_line, end_line) covers."""
+    lines = notes.where("start_line <= end_line").select("file", "note_id", F.explode(F.sequence("start_line", "end_line")).alias("at"))
+    return containing(lines, _frame_spans(frames), ["file"]).select("file", "note_id", F.col("at").alias("line"))
+
+
+def notes_in_frames(notes: DataFrame, frames: DataFrame) -> DataFrame:
+    """(frame_id, note_id, index): notes after a line or over a range whose last line is in the frame, by the frame's line they come after, from 0."""
+    points = notes.where(F.col("kind").isin("after-line", "range")).select("file", "note_id", F.coalesce("end_line", F.lit(0)).cast("long").alias("at"))
+    return containing(points, _frame_spans(frames), ["file"]).select("frame_id", "note_id", (F.col("at") - F.col("start")).alias("index"))

@@ -30,3 +30,21 @@ def search_names(functions: DataFrame, templates: DataFrame, query: str, limit:
     limit = limit if 1 <= limit <= 500 else 50
     both = functions.withColumn("tier", F.lit(0)).unionByName(templates.withColumn("tier", F.lit(1)))
     return both.where(contains_folded(F.col("name"), F.lit(query))).orderBy("tier", "target_id").limit(limit)
+
+
+def lookup_names(functions: DataFrame, templates: DataFrame | None, names: DataFrame) -> DataFrame:
+    """(name, target_id): the exact id, else of functions whose title or its leaf is the name, and templates whose title holds it in any case, the least title's.
+
+    Titles order by their UTF-16 units, equal ones by id.
+    """
+    every = functions.select("target_id", "title", F.lit(False).alias("template"))
+    if templates is not None:
+        every = every.unionByName(templates.select("target_id", "title", F.lit(True).alias("template")))
+    entry = F.struct(F.encode("title", "UTF-16BE").alias("units"), "target_id")
+    exact = names.join(every, names.name == every.target_id).select("name", F.lit(0).alias("tier"), entry.alias("e"))
+    called = every.where("not template").select("target_id", "title", F.explode(F.array_distinct(F.array("title", leaf(F.col("title"))))).alias("called"))
+    near = names.join(called, names.name == called.called).select("name", F.lit(1).alias("tier"), entry.alias("e"))
+    # a name is sought in the titles of templates, which are few: one a component
+    inside = names.join(every.where("template"), contains_folded(F.col("title"), F.col("name"))).select("name", F.lit(1).alias("tier"), entry.alias("e"))
+    best = exact.unionByName(near).unionByName(inside).groupBy("name").agg(F.min(F.struct("tier", "e")).alias("b"))
+    return best.select("name", F.col("b.e.target_id").alias("target_id"))

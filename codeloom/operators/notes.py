@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from codeloom.functions.text import references, stripped
+from codeloom.functions.text import leaf, references, stripped
 
 # The kinds of anchors.
-ANCHOR_KINDS = ("file-top", "file-end", "after-line", "range")
+ANCHOR_KINDS = ("file-start", "file-end", "after-line", "range")
 
 
 def latest(changes: DataFrame, key: str, order: str) -> DataFrame:
@@ -23,7 +24,43 @@ def latest(changes: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def anchor_valid(file: Column, kind: Column, start: Column, end: Column) -> Column:
-    return (F.length(file) > 0) & kind.isin(*ANCHOR_KINDS) & (kind.isin("file-top", "file-end") | ((start >= 1) & (end >= start)))
+    """Whether an anchor has a file, a known kind and, but at a file's ends, lines from 1 in order."""
+    return F.coalesce((F.length(file) > 0) & kind.isin(*ANCHOR_KINDS) & (kind.isin("file-start", "file-end") | ((start >= 1) & (end >= start))), F.lit(False))
+
+
+def applied(notes: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(notes after all ``changes`` in order of seq, rejected changes with a reason).
+
+    ``notes``: id, anchor, text, createdAt, updatedAt; ``changes``: seq, op
+    (``upsert`` or ``delete``), id, anchor, text, at. An upsert without id
+    makes a note, with an id of its own; one with a known id replaces anchor
+    and text and keeps the time of creation. Bad anchors and ids that are
+    not, or no longer, known are rejected. Changes of an id are taken in
+    order in one window over the id.
+    """
+    a = F.col("anchor")
+    bad = (F.col("op") == "upsert") & ~anchor_valid(a["file"], a["kind"], a["startLine"], a["endLine"])
+    asked = changes.withColumn("new", (F.col("op") == "upsert") & (F.coalesce("id", F.lit("")) == ""))
+    asked = asked.withColumn("bad", bad).withColumn("id", F.when(F.col("new"), F.concat(F.lit("n"), F.sha2(F.concat_ws("/", F.col("seq").cast("string"), F.col("at")), 256))).otherwise(F.col("id")))
+    held = notes.select("id", F.lit(True).alias("held"), "anchor", "text", "createdAt", "updatedAt")
+    known = asked.join(held.select("id", "held"), "id", "left")
+    order = Window.partitionBy("id").orderBy("seq")
+    # an id lives until its first delete; nothing brings it back
+    deleted = F.coalesce(F.max(F.col("op") == "delete").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    known = known.withColumn("reason", F.when(F.col("bad"), "bad anchor").when(~F.col("new") & (F.col("held").isNull() | deleted), "unknown note id"))
+    rejected = known.where(F.col("reason").isNotNull()).select("seq", "op", "id", "reason")
+    good = known.where(F.col("reason").isNull())
+    last = good.groupBy("id").agg(F.max_by(F.struct("op", "anchor", "text", "at"), "seq").alias("c"), F.min_by("at", "seq").alias("first"))
+    both = held.join(last, "id", "full")
+    now = both.where(F.col("c").isNull() | (F.col("c.op") != "delete")).select(
+        "id", F.coalesce("c.anchor", "anchor").alias("anchor"), F.when(F.col("c").isNull(), F.col("text")).otherwise(F.col("c.text")).alias("text"),
+        F.when(F.col("held"), F.col("createdAt")).otherwise(F.col("first")).alias("createdAt"), F.coalesce("c.at", "updatedAt").alias("updatedAt"))
+    return now, rejected
+
+
+def listed(notes: DataFrame) -> DataFrame:
+    """Notes by file, then first line (none counts as 0), then id."""
+    return notes.orderBy(F.col("anchor.file"), F.coalesce(F.col("anchor.startLine"), F.lit(0)), "id")
 
 
 def drifted(snippet: Column, line: Column) -> Column:
@@ -32,9 +69,51 @@ def drifted(snippet: Column, line: Column) -> Column:
     return F.when(s == "", False).otherwise(F.coalesce(stripped(line) != s, F.lit(True)))
 
 
-def resolve(notes: DataFrame, targets: DataFrame) -> DataFrame:
-    """(note_id, position, reference, target_id): references by title or leaf, the least id, null if unknown."""
-    found = notes.select("note_id", F.posexplode(references(F.col("text"))).alias("position", "reference"))
-    names = targets.select(F.col("title").alias("reference"), "target_id").union(targets.select("leaf", "target_id"))
-    best = names.groupBy("reference").agg(F.min("target_id").alias("target_id"))
+def resolve(notes: DataFrame, targets: DataFrame, files: DataFrame | None = None, most: int = 25) -> DataFrame:
+    """(note_id, position, reference, target_id): what ``[[...]]`` in notes stands for, null if nothing.
+
+    ``targets``: target_id, title (its label). Of the first ``most`` targets
+    that a search for the reference finds, the first whose title, leaf or end
+    of id is the reference, else the first. ``[[file:p]]`` is the first file
+    that is p or ends in it. References are made distinct before they are
+    sought; each distinct one meets the targets whose id holds its first
+    three letters, in lower case.
+    """
+    found = notes.select("note_id", F.posexplode(references(F.col("text"))).alias("position", "reference")).withColumn("reference", stripped(F.col("reference")))
+    wanted = found.select("reference").distinct()
+    names = wanted.where(~F.col("reference").startswith("file:"))
+    best = _first_hits(names, targets, most)
+    if files is not None:
+        asked = wanted.where(F.col("reference").startswith("file:")).withColumn("path", F.regexp_replace(stripped(F.substring("reference", 6, 1 << 30)), r"^\./", ""))
+        ends = files.select("file", F.explode(_suffixes("file")).alias("path"))
+        hit = asked.join(ends, "path").groupBy("reference").agg(F.concat(F.lit("file:"), F.min("file")).alias("target_id"))
+        best = best.withColumn("target_id", F.col("target_id").cast("string")).unionByName(hit)
     return found.join(best, "reference", "left").select("note_id", F.col("position").cast("long").alias("position"), "reference", "target_id")
+
+
+def _suffixes(path: str) -> Column:
+    """A path and what follows each of its slashes."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))
+
+
+def _grams(text: Column) -> Column:
+    """The distinct runs of three characters of a lower-case text; a shorter text as it is."""
+    return F.when(F.length(text) < 3, F.array(text)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda k: text.substr(k, F.lit(3)))))
+
+
+def _first_hits(names: DataFrame, targets: DataFrame, most: int) -> DataFrame:
+    label = F.col("title")
+    ids = targets.select("target_id", label.alias("label"), F.lower(F.col("target_id").cast("string")).alias("folded")).distinct()
+    short = names.where(F.length("reference") < 3)
+    q = names.where(F.length("reference") >= 3).withColumn("q", F.lower("reference")).withColumn("gram", F.substring("q", 1, 3))
+    keyed = ids.withColumn("gram", F.explode(_grams(F.col("folded"))))
+    hits = q.join(keyed, "gram").where(F.contains(F.col("folded"), F.col("q")))
+    # one or two letters: the same by runs of that length
+    for n in (1, 2):
+        runs = ids.withColumn("gram", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("folded") - (n - 1), F.lit(1))), lambda k: F.col("folded").substr(k, F.lit(n))))))  # noqa: B023
+        hits = hits.unionByName(short.where(F.length("reference") == n).withColumn("q", F.lower("reference")).withColumn("gram", F.col("q")).join(runs, "gram").where(F.contains(F.col("folded"), F.col("q"))))
+    in_leaf = F.contains(leaf(F.col("folded")), F.col("q"))
+    ranked = hits.withColumn("k", F.row_number().over(Window.partitionBy("reference").orderBy(F.desc(in_leaf), "target_id"))).where(F.col("k") <= most)
+    exact = (F.col("label") == F.col("reference")) | (leaf(F.col("label")) == F.col("reference")) | F.col("target_id").cast("string").endswith(F.col("reference"))
+    return ranked.groupBy("reference").agg(F.min_by("target_id", F.struct(~exact, "k")).alias("target_id"))
