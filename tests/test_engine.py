@@ -1,12 +1,13 @@
 import datetime
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
 from codeloom.operators import diff, dispatch, graph, intervals, notes, usages
-from codeloom.plans.engine import Engine
-from codeloom.sources.facts import SCHEMAS, detect_language, lexical_facts
+from codeloom.plans.engine import Engine, UnknownTarget
+from codeloom.sources.facts import SCHEMAS, as_json, detect_language, lexical_facts, read_notes, source_range, write_notes
 from codeloom.streaming import reload
 
 SOURCE = """package app
@@ -19,7 +20,7 @@ func RunGreeter(g Greeter) {
 
 func apply(f func(Greeter)) { f(nil) }
 
-func main() {
+func main() { // — 🌍
 	RunGreeter(English{})
 	RunGreeter(French{})
 	apply(RunGreeter)
@@ -31,14 +32,17 @@ func main() {
 def engine(spark):
     make = lambda table, rows: spark.createDataFrame(rows, SCHEMAS[table])
     files = make("source_files", [("main.go", "go", True, SOURCE), ("dep.go", "go", False, "x")])
-    target = lambda i, leaf, a, b: (i, i.split("/")[-1], leaf, "main.go", 0, 0, a, b, True, False)
-    targets = make("targets", [target("app.RunGreeter", "RunGreeter", 5, 7), target("app.apply", "apply", 9, 9), target("app.main", "main", 11, 15), target("app.English.Greet", "Greet", 3, 3), target("app.French.Greet", "Greet", 3, 3)])
-    call = lambda k, caller, n, line, to, iface: (k, "main.go:1", caller, n, line, 0, 1, k, to, iface, "Greet" if iface else None, False)
+    starts = [0, *[len(SOURCE[: k + 1].encode()) for k, c in enumerate(SOURCE) if c == "\n"]]
+    target = lambda i, leaf, a, b: (i, i.split("/")[-1], leaf, "main.go", starts[a - 1], starts[b] - 1, a, b, i != "app.Extern", False)
+    targets = make("targets", [target("app.RunGreeter", "RunGreeter", 5, 7), target("app.apply", "apply", 9, 9), target("app.main", "main", 11, 15), target("app.English.Greet", "Greet", 3, 3), target("app.French.Greet", "Greet", 3, 3), target("app.Extern", "Extern", 1, 1)])
+    name = {"c1": "Greet()", "c2": "RunGreeter(English", "c3": "RunGreeter(French", "c4": "apply(Run", "c5": "f(nil"}
+    at_byte = lambda k: len(SOURCE[: SOURCE.rindex(name[k])].encode())
+    call = lambda k, caller, n, line, to, iface: (k, "main.go:1", caller, n, line, at_byte(k), at_byte(k) + name[k].index("("), k, to, iface, "Greet" if iface else None, False)
     calls = make("call_sites", [call("c1", "app.RunGreeter", 0, 6, None, "app.Greeter"), call("c2", "app.main", 0, 12, "app.RunGreeter", None), call("c3", "app.main", 1, 13, "app.RunGreeter", None), call("c4", "app.main", 2, 14, "app.apply", None), call("c5", "app.apply", 0, 9, None, None)])
     need = make("iface_methods", [("app.Greeter", "Greet", "() string")])
     have = make("method_sets", [("app.English", "Greet", "() string", "app.English.Greet"), ("app.French", "Greet", "() string", "app.French.Greet"), ("app.Mute", "Greet", "()", "app.Mute.Greet")])
     impls = dispatch.implements(need, have)
-    options = dispatch.candidates(calls.where("iface_key is not null"), impls, have.withColumn("label", F.concat_ws(".", "type_key", "method_name")), ["label"])
+    options = dispatch.candidates(calls.where("iface_key is not null"), impls, have.withColumn("label", F.concat_ws(".", "type_key", "method_name")), ["label"], targets)
     at = calls.select("call_key", "caller_id", "line")
     used = usages.usages(
         calls.where("resolved_target is not null").select(F.col("resolved_target").alias("target_id"), "caller_id", "call_key", F.lit(0).alias("choice")),
@@ -46,7 +50,8 @@ def engine(spark):
         spark.createDataFrame([("app.RunGreeter", "app.main", "r1", 0)], "target_id string, caller_id string, call_key string, choice long"),
         targets,
     ).join(at.select("call_key", "line").union(spark.createDataFrame([("r1", 14)], "call_key string, line long")), "call_key")
-    idents = spark.createDataFrame([("main.go", 10, "g", "var"), ("main.go", 12, "Greet", "func")], "file string, off_u16 long, name string, obj_kind string")
+    ident = lambda at, n, kind, declares: ("main.go", at, n, kind, "", "", "app.main" if declares else None, None, 1, declares, False)
+    idents = make("idents", [ident(10, "g", "var", False), ident(12, "🌍Greet", "func", True)])
     return Engine({"source_files": files, "targets": targets, "call_sites": calls, "candidates": options, "usages": used, "idents": idents})
 
 
@@ -56,15 +61,23 @@ def test_usages_with_excerpts(engine):
     assert rows[0].excerpt.startswith("func main() {") and rows[0].excerpt.count("\n") == 3
     (only,) = engine.usages("app.French.Greet").collect()
     assert (only.kind, only.choice, only.caller_id) == ("interface", 1, "app.RunGreeter")
-    assert engine.usages("nope").count() == 0
-
+    assert engine.usages("app.main").count() == 0
+    with pytest.raises(UnknownTarget):
+        engine.usages("nope")
 
 def test_lookup_frame_search_files(engine):
     assert engine.lookup("apply") == "app.apply" and engine.lookup("app.main") == "app.main" and engine.lookup("Greet") == "app.English.Greet"
     for bad in ("", "nothing"):
         with pytest.raises((ValueError, KeyError)):
             engine.lookup(bad)
-    assert [c.call_key for c in engine.frame("app.main").head().calls] == ["c2", "c3", "c4"]
+    main = engine.frame("app.main").head()
+    assert [c.call_key for c in main.calls] == ["c2", "c3", "c4"]
+    assert main.source.startswith("func main()") and main.source.endswith("}") and main.start_line == 11
+    units = main.source.encode("utf-16-le")  # spans count UTF-16 units of the target's own source
+    assert [units[2 * c.span_start : 2 * c.span_end].decode("utf-16-le") for c in main.calls] == ["RunGreeter", "RunGreeter", "apply"]
+    for bad in ("app.Extern", "nope", "file:dep.go", "file:none.go"):
+        with pytest.raises(UnknownTarget):
+            engine.frame(bad)
     assert engine.frame_for_call("c1", 1).head().target_id == "app.French.Greet"
     assert engine.frame_for_call("c1", 99).head().target_id == engine.frame_for_call("c1", -2).head().target_id == "app.English.Greet"
     with pytest.raises(KeyError):
@@ -73,8 +86,12 @@ def test_lookup_frame_search_files(engine):
     assert [r.file for r in engine.files().collect()] == ["main.go"]
     whole = engine.frame("file:main.go").head()
     assert whole.end_line == 16 and [c.call_key for c in whole.calls] == ["c1", "c5", "c2", "c3", "c4"]
-    assert engine.frame("file:dep.go").count() == 0
-    assert engine.type_info("main.go", 13).head().name == "Greet" and engine.type_info("main.go", 11).count() == 0
+    assert whole.source == SOURCE and engine.frame("file:./x/../main.go").head().end_line == 16
+    assert engine.type_info("main.go", 18).head().name == "🌍Greet" and engine.type_info("main.go", 19).count() == engine.type_info("main.go", 11).count() == engine.type_info("main.go", -1).count() == 0
+    assert engine.describe_target("app.main").head().name == "🌍Greet"
+    assert [r.target_id for r in engine.callees_at("main.go", 6, 6).collect()] == ["app.English.Greet", "app.French.Greet"]
+    assert [r.target_id for r in engine.callees_at("main.go", 12, 14).collect()] == ["app.RunGreeter", "app.apply"]
+    assert engine.callees_at("main.go", 1, 2).count() == 0
 
 
 def test_text_functions(spark):
@@ -82,12 +99,12 @@ def test_text_functions(spark):
         T.utf16_len(F.col("s")), F.size(T.lines(F.col("l"))), T.leaf(F.col("i")), T.leaf(F.lit("")), T.stripped(F.col("w")), T.byte_to_utf16(F.col("s"), F.lit(5)),
         T.title(F.lit("*T"), F.lit("m")), T.title(F.lit(None).cast("string"), F.lit("m")), T.elided(F.array(*[F.lit(str(k)) for k in range(9)])), T.references(F.lit("[[a]] [b] [[file:c]]"))).head()
     assert list(row) == [6, 3, "m", "", "t", 3, "T.m", "m", ["0", "+3", "4", "5", "6", "7", "8"], ["a", "file:c"]]
-    paths = {"a.go": True, "A.TSX": True, "package.json": True, "x/tsconfig.app.json": True, "data.json": False, "go": False, "a.md": False}
+    paths = {"Package.JSON": False, "x/TSConfig.json": False, "x/tsconfig.JSON": True, "package-lock.json": False, "a.mts": True, "jsconfig.json": True, "a.go": True, "A.TSX": True, "package.json": True, "x/tsconfig.app.json": True, "data.json": False, "go": False, "a.md": False}
     got = spark.createDataFrame([(p,) for p in paths], "path string").select("path", T.is_trigger(F.col("path")).alias("t")).collect()
     assert {r.path: r.t for r in got} == paths
 
 
-@pytest.mark.parametrize("base,head,want", [("a\nb", "a\nb", []), ("a\nb", "a\nx\nb", [1]), ("a", "b", [0]), ("a\nb\nc", "c\na", [1]), ("", "", []), ("a\nb", "b", []), (None, "q", [0])])
+@pytest.mark.parametrize("base,head,want", [("a\nb", "a\nb", []), ("a\nb", "a\nx\nb", [1]), ("a", "b", [0]), ("a\nb\nc", "c\na", [1]), ("", "", []), ("a", "", [0]), ("a\nb", "b", []), (None, "q", [0]), ("b", "a\nb", [0]), ("", "x\ny", [0, 1])])
 def test_added_lines(base, head, want):
     assert diff.lines_outside_lcs(base, head) == want
 
@@ -115,7 +132,7 @@ def test_notes(spark):
     log = spark.createDataFrame([(i, s, t, d, datetime.datetime(2024, 1, 1, 0, s)) for i, s, t, d in rows], "id string, seq long, text string, deleted boolean, ts timestamp")
     (only,) = notes.latest(log, "id", "seq").collect()
     assert (only.id, only.text, only.created_at.minute) == ("n1", "second", 1)
-    ok = spark.range(1).select(notes.anchor_valid(F.lit("f"), F.lit("range"), F.lit(2), F.lit(1)), notes.anchor_valid(F.lit("f"), F.lit("file-top"), F.lit(0), F.lit(0)), notes.anchor_valid(F.lit(""), F.lit("file-top"), F.lit(0), F.lit(0))).head()
+    ok = spark.range(1).select(notes.anchor_valid(F.lit("f"), F.lit("range"), F.lit(2), F.lit(1)), notes.anchor_valid(F.lit("f"), F.lit("file-start"), F.lit(0), F.lit(0)), notes.anchor_valid(F.lit(""), F.lit("file-start"), F.lit(0), F.lit(0))).head()
     assert list(ok) == [False, True, False]
 
 
@@ -131,8 +148,111 @@ def test_stream_debounce_and_snapshots(spark, tmp_path):
     assert sorted(r.n_events for r in spark.table("bursts").collect()) == [1, 2]  # the last is still open
     store = reload.Snapshots(spark, f"{tmp_path}/store")
     first = store.publish({"targets": spark.range(1)})
+    bound = Engine.of(store)
     reload.rebuild_on_change(stream, store, lambda: {"targets": spark.range(3)}, f"{tmp_path}/c2").awaitTermination(120)
-    assert store.read("targets").count() == 3 and store.read("targets", first).count() == 1
+    assert store.read("targets").count() == 3 and store.read("targets", first).count() == 1 and bound.t["targets"].count() == 1
+    reload.rebuild_on_change(stream, store, lambda: 1 / 0, f"{tmp_path}/c3").awaitTermination(120)  # a failure keeps the old one
+    assert store.read("targets").count() == 3
+    clients = spark.createDataFrame([("new", store.current()), ("old", first), ("none", None)], "client string, snapshot_id string")
+    assert {(r.client, r.snapshot_id) for r in store.pending(clients).collect()} == {("old", store.current()), ("none", store.current())}
+
+
+def test_debounce_over_parts(spark):
+    """Bursts that go over the edges of the parts of the time are whole."""
+    rows = [(datetime.datetime(2024, 1, 1) + datetime.timedelta(milliseconds=m), k) for k in (1, 2) for m in [*range(0, 700_000, 200 + 10 * k), 900_000, 900_250, 900_501]]
+    df = spark.createDataFrame(rows, "ts timestamp, k int")
+    for keys in ((), ("k",)):
+        got = sorted((r.first_ts, r.fires_at, r.n_events) for r in reload.debounce(df, keys=keys).collect())
+        want = []
+        for k in [None] if not keys else [1, 2]:
+            last = None
+            for t in sorted(t for t, x in rows if k in (None, x)):
+                if last is None or t - last > datetime.timedelta(milliseconds=250):
+                    want.append([t, t, 0])
+                last = want[-1][1] = t
+                want[-1][2] += 1
+        assert got == sorted((a, b + datetime.timedelta(milliseconds=250), n) for a, b, n in want)
+
+
+def test_watched_files(spark, tmp_path):
+    for name in ("a.go", "sub/b.go", "node_modules/c.go", ".git/d.go"):
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_text("x")
+    q = reload.watched(spark, f"file://{tmp_path}/in").writeStream.format("memory").queryName("seen").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert {r.path.rsplit("/", 1)[1] for r in spark.table("seen").collect()} == {"a.go", "b.go"}
+
+
+def test_notes_store(spark, tmp_path):
+    path = f"{tmp_path}/notes"
+    assert read_notes(spark, path).count() == 0
+    anchor = {"file": "f", "kind": "range", "startLine": 1, "endLine": 2, "snippet": None}
+    write_notes(spark.createDataFrame([("n1", anchor, "one\ntwo", "a", "b"), ("n2", anchor, None, "a", "b")], SCHEMAS["notes"]), path)
+    write_notes(read_notes(spark, path).where("id = 'n1'"), path)
+    assert [(r.id, r.text, r.anchor.endLine) for r in read_notes(spark, path).collect()] == [("n1", "one\ntwo", 2)]
+    (tmp_path / "doc.json").write_text(json.dumps([{"id": "x", "anchor": anchor, "text": "t", "createdAt": "a", "updatedAt": "b"}], indent=2))
+    assert [r.id for r in read_notes(spark, f"{tmp_path}/doc.json").collect()] == ["x"]
+    (tmp_path / "bad.json").write_text("{ no json")
+    assert read_notes(spark, f"{tmp_path}/bad.json").count() == 0
+
+
+def test_new_notes_get_ids(spark):
+    anchor = {"file": "f", "kind": "file-start", "startLine": None, "endLine": None, "snippet": None}
+    kind = SCHEMAS["notes"].split("anchor ")[1].split(", text")[0]
+    changes = spark.createDataFrame([(1, "upsert", None, anchor, "a", "t1"), (2, "upsert", "", anchor, "b", "t2"), (3, "upsert", None, {**anchor, "kind": "else"}, "c", "t3"), (4, "delete", "nope", None, None, "t4")], f"seq long, op string, id string, anchor {kind}, text string, at string")
+    now, rejected = notes.applied(spark.createDataFrame([], SCHEMAS["notes"]), changes)
+    rows = now.collect()
+    assert sorted((r.text, r.createdAt, r.updatedAt) for r in rows) == [("a", "t1", "t1"), ("b", "t2", "t2")] and len({r.id for r in rows}) == 2 and all(r.id.startswith("n") for r in rows)
+    assert sorted((r.seq, r.reason) for r in rejected.collect()) == [(3, "bad anchor"), (4, "unknown note id")]
+
+
+def test_value_before_pointer(spark):
+    need = spark.createDataFrame([("I", "m", "()"), ("I", "n", "()")], "iface_key string, method_name string, signature string")
+    have = [("V", False, "m"), ("V", False, "n"), ("V", True, "m"), ("V", True, "n"), ("P", False, "m"), ("P", True, "m"), ("P", True, "n"), ("N", True, "m")]
+    got = dispatch.implementers(need, spark.createDataFrame([(*h, "()") for h in have], "type_key string, is_pointer boolean, method_name string, signature string"))
+    assert sorted((r.type_key, r.type_name) for r in got.collect()) == [("P", "*P"), ("V", "V")]
+
+
+def test_receivers_once_by_label(spark):
+    emits = spark.createDataFrame([("e1", "s"), ("e2", "s"), ("e3", "none")], "call_key string, observable_sym string")
+    subs = spark.createDataFrame([("s", "f2", "logger()", "at 15"), ("s", "f1", "counter()", "at 21"), ("s", "f1", "other()", "at 30")], "observable_sym string, callback_target string, label string, provenance string")
+    got = sorted((r.call_key, r.idx, r.target_id, r.provenance) for r in dispatch.receivers(emits, subs).collect())
+    assert got == [(e, i, f, p) for e in ("e1", "e2") for i, f, p in ((0, "f1", "at 21"), (1, "f2", "at 15"))]
+
+
+def test_recursion_of_interface_calls(spark):
+    rows = [("direct", "a", [], True), ("direct", "z", ["a"], False), ("interface", None, ["z", "b"], True), ("interface", None, ["z"], False), ("fanout", "a", ["a"], False)]
+    df = spark.createDataFrame([(*r, ["a", "b"]) for r in rows], "kind string, target string, options array<string>, want boolean, chain array<string>")
+    assert all(r.got == r.want for r in df.select("want", graph.recursive(F.col("kind"), F.col("target"), F.col("options"), F.col("chain")).alias("got")).collect())
+
+
+def test_utf16_both_ways(spark):
+    text = "a🌍é—b"
+    df = spark.createDataFrame([(text, k) for k in range(len(text.encode("utf-16-le")) // 2 + 1)], "s string, k long")
+    for r in df.select("k", T.utf16_to_byte(F.col("s"), F.col("k")).alias("b")).collect():
+        cut = r.k + (r.k == 2)  # inside the pair counts as after it
+        assert r.b == len(text.encode("utf-16-le")[: 2 * cut].decode("utf-16-le").encode())
+    assert spark.range(1).select(T.shortened(F.lit("🌍" * 30 + "\nx"), 40)).head()[0] == "🌍" * 18 + "\ufffd…"
+
+
+def test_diff_only_for_go(spark):
+    head = spark.createDataFrame([("f", "a\nb"), ("g", "x"), ("file:p", "x")], "target_id string, source string")
+    base = spark.createDataFrame([("f", "a"), ("g", "x")], "target_id string, source string")
+    assert sorted((r.target_id, r.status, r.added_lines) for r in diff.annotated(head, base).collect()) == [("f", "modified", [1]), ("g", "unchanged", [])]
+    assert diff.annotated(head, base, "ts").count() == 0
+
+
+def test_ranges_of_sources(spark):
+    df = spark.createDataFrame([("aé—b",)], "s string")
+    assert df.select(source_range(F.col("s"), F.lit(1), F.lit(6))).head()[0] == "é—"
+    with pytest.raises(Exception, match="out of bounds"):
+        df.select(source_range(F.col("s"), F.lit(1), F.lit(99))).collect()
+    assert as_json(df.withColumn("n", F.lit(None).cast("int"))).head().value == '{"s":"aé—b","n":null}'
+
+
+def test_kinds(spark):
+    df = spark.range(1).select(T.declaration_kind(F.lit("EnumMember")), T.declaration_kind(F.lit("x")), T.object_kind(F.lit("Var"), F.lit(True)), T.object_kind(F.lit("Var"), F.lit(False)), T.object_kind(F.lit("PkgName"), F.lit(False)), T.location(F.lit("a/b.go"), F.lit(3)), T.location(F.lit("a/b.go"), F.lit(None).cast("int")), T.location(F.lit(None).cast("string"), F.lit(1)))
+    assert list(df.head()) == ["const", "symbol", "field", "var", "package", "b.go:3", "b.go", ""]
 
 
 def test_lexical_front_end(spark, tmp_path):
