@@ -97,16 +97,21 @@ def tidy(mapper: Callable, key=None) -> Callable:
         try:
             yield from mapper(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (AttributeError, OSError):  # another C library
-                pass
+            give_back()
 
     return run
 
 
+def give_back() -> None:
+    """Return to the system what the process has freed."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def crc_mod(column, n: int):
     """crc32 of the decimal text of ``column``, modulo ``n``."""
     return F.crc32(F.col(column).cast("string")) % n

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
-from zlib import crc32
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -13,15 +13,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codeloom.llm._shared import CACHE_BYTES, ENTRY_BYTES, crc_mod, kept_rows, rows_of, scored, tidy
+from codeloom.llm._shared import CACHE_BYTES, ENTRY_BYTES, U64, crc_mod, give_back, kept_rows, mix64, rows_of, scored, tidy
 
 #: Bounds of the learning sample: documents a language, documents in all. Each counts with its whole text.
 PER_LANG, MOST_DOCS = 1000, 8000
 #: Languages that a model can have; more are an error.
 MOST_LANGS = 2000
-#: Letters up to which a run of letters is remembered.
-SHORT = 48
 BUCKETS, DIMS = 1 << 15, 16
+#: Words that are looked up together.
+PART = 1 << 15
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -29,10 +29,25 @@ def words(text: str | None) -> list[str]:
     return LETTERS.findall((text or "").lower())
 
 
+def subword_groups(found: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, where those of each word begin, with the end) of the words' runs of two, three and four characters, ends marked, and of the whole words."""
+    cps = np.frombuffer(("<" + "><".join(found) + ">").encode("utf-32-le", "surrogatepass"), np.uint32).astype(U64)
+    sizes = np.fromiter(map(len, found), np.int64, len(found)) + 2
+    ends = np.cumsum(sizes)
+    place = np.arange(len(cps)) - np.repeat(ends - sizes, sizes)
+    left = np.repeat(sizes, sizes) - place
+    out, h = [], mix64(cps + U64(0x9E3779B97F4A7C15))
+    for n in (2, 3, 4):
+        h = mix64(h[:-1] * U64(0xC2B2AE3D27D4EB4F) + cps[n - 1 :])
+        out.append(((h[left[: len(h)] >= n] % U64(BUCKETS)).astype(np.int64), np.r_[0, np.cumsum(np.maximum(sizes - n + 1, 0))]))
+    whole = np.add.reduceat(mix64(cps * U64(0x9E3779B97F4A7C15) + place.astype(U64) * U64(0x165667B19E3779F9)), ends - sizes)
+    out.append(((mix64(whole) % U64(BUCKETS)).astype(np.int64), np.arange(len(found) + 1)))
+    return out
+
+
 def subwords(word: str) -> list[int]:
     """Buckets of the word's runs of two to four characters, ends marked, and of the word."""
-    w = f"<{word}>"
-    return [crc32(w[i : i + n].encode("utf-8", "surrogatepass")) % BUCKETS for n in (2, 3, 4) for i in range(len(w) - n + 1)] + [crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS]
+    return np.concatenate([b for b, _ in subword_groups([word])]).tolist()
 
 
 @dataclass
@@ -49,16 +64,13 @@ class Model:
         return e / e.sum(axis=-1, keepdims=True)
 
 
-def bag(found: list[str], remembered: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+def bag(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The buckets of all subwords of ``found`` and how often each occurs."""
+    each = Counter(found)
+    times = np.fromiter(each.values(), np.int64, len(each))
     counts = np.zeros(BUCKETS, np.int64)
-    for word, n in Counter(found).items():
-        rows = remembered.get(word)
-        if rows is None:
-            rows = subwords(word)
-            if len(word) <= SHORT and len(remembered) < 100_000:
-                remembered[word] = rows
-        np.add.at(counts, rows, n)
+    for buckets, at in subword_groups(list(each)):
+        counts += np.bincount(buckets, weights=np.repeat(times, np.diff(at)), minlength=BUCKETS).astype(np.int64)
     held = np.flatnonzero(counts)
     return held, counts[held]
 
@@ -125,7 +137,6 @@ def gradients(emb, lin, bias, rows: list[np.ndarray], shares: list[np.ndarray],
 
 def _features(batches):
     """The bag of each text and that of a short run of its words, picked by the text's hash."""
-    remembered: dict[str, list[int]] = {}
     for langs, keys, texts in rows_of(batches, "lang", "key", "text"):
         rows = []
         for lang, key, t in zip(langs, keys, texts, strict=True):
@@ -136,7 +147,7 @@ def _features(batches):
             n = int(rng.integers(2, 12))
             at = int(rng.integers(0, max(1, len(w) - n)))
             for part, found in enumerate((w, w[at : at + n])):
-                held, counts = bag(found, remembered)
+                held, counts = bag(found)
                 rows.append((lang, key, part, held.astype("<u2").tobytes(), counts.astype("<u4").tobytes()))
         kinds = [pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
         yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], names=["lang", "key", "part", "rows", "counts"])
@@ -168,7 +179,12 @@ def learn(docs: DataFrame, keep=None, per_lang: int = PER_LANG, most: int = MOST
     picked = rows.withColumn("key", F.xxhash64("text", "doc_id")).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "key"))).where(F.col("k") <= each)
     got = picked.select("lang", "key", "text").mapInArrow(tidy(_features), "lang string, key long, part int, rows binary, counts binary").toArrow().to_pylist()
     got.sort(key=lambda r: (r["lang"], r["key"], r["part"]))
-    return fit([(np.frombuffer(r["rows"], "<u2").astype(np.int64), np.frombuffer(r["counts"], "<u4").astype(np.int64)) for r in got], [r["lang"] for r in got])
+    bags, langs = [(np.frombuffer(r["rows"], "<u2"), np.frombuffer(r["counts"], "<u4")) for r in got], [r["lang"] for r in got]
+    del got
+    model = fit(bags, langs)
+    del bags
+    give_back()
+    return model
 
 
 def _scorer(model: Model):
@@ -179,30 +195,54 @@ def _scorer(model: Model):
         sums = np.zeros((1 << 14, width + 1))
         at: dict[str, int] = {}
 
-        def row(w: str) -> int:
+        def learn_words(new: list[str]) -> None:
+            """Sums of the table over the words' subwords, and how many these are."""
             nonlocal sums, room
-            k = len(at)
-            room -= each + len(w)
-            if k >= len(sums):
+            low, high = len(at), len(at) + len(new)
+            while high > len(sums):
                 sums = np.vstack([sums, np.zeros_like(sums)])
-            b = subwords(w)
-            sums[k, :width] = model.table[b].sum(axis=0)
-            sums[k, width] = len(b)
-            at[w] = k
-            return k
+            sums[low:high] = 0
+            for buckets, cut in subword_groups(new):
+                some = np.diff(cut) > 0
+                rows = np.vstack([model.table[buckets].astype(np.float64), np.zeros((1, width))])
+                sums[low:high, :width] += np.where(some[:, None], np.add.reduceat(rows, cut[:-1], axis=0), 0)
+                sums[low:high, width] += np.diff(cut)
+            at.update(zip(new, range(low, high), strict=True))
+            room -= each * len(new) + sum(map(len, new))
+
+        def totals(group: list[list[str]]) -> np.ndarray:
+            """Sums over the words of each text."""
+            nonlocal room
+            if room < 0:
+                at.clear()
+                room = CACHE_BYTES
+            new = [x for x in dict.fromkeys(chain.from_iterable(group)) if x not in at]
+            if new:
+                learn_words(new)
+            n = np.fromiter(map(len, group), np.int64, len(group))
+            rows = sums[np.fromiter(map(at.__getitem__, chain.from_iterable(group)), np.int64, int(n.sum()))]
+            rows = np.vstack([rows, np.zeros((1, width + 1))])
+            return np.where((n > 0)[:, None], np.add.reduceat(rows, np.cumsum(n) - n, axis=0), 0)
 
         for ids, held, texts in rows_of(batches, "doc_id", "held_out", "text"):
             lang, top, gone = [], [], []
-            for t in texts:
-                total = np.zeros(width + 1)
+            found, group, size = [], [], 0
+            for k, t in enumerate(texts):
                 w = words(t)
-                for a in range(0, len(w), 8192):
-                    part = w[a : a + 8192]
-                    if room < 0:
-                        at.clear()
-                        room = CACHE_BYTES
-                    k = np.fromiter((at[x] if x in at else row(x) for x in part), np.int64, len(part))
-                    total += sums[k].sum(axis=0)
+                # a text of many words is summed in parts that are the same in any batch
+                parts = [w[a : a + PART] for a in range(0, len(w), PART)] or [w]
+                for part in parts:
+                    group.append((k, part))
+                    size += len(part)
+                    if size >= PART:
+                        found += zip([g[0] for g in group], totals([g[1] for g in group]), strict=True)
+                        group, size = [], 0
+            if group:
+                found += zip([g[0] for g in group], totals([g[1] for g in group]), strict=True)
+            every = np.zeros((len(texts), width + 1))
+            for k, total in found:
+                every[k] += total
+            for total in every:
                 if not total[width]:
                     lang.append("und"), top.append(0.0), gone.append(True)
                     continue
