@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codeloom.llm._shared import materialize, rows_of
+from codeloom.llm._shared import materialize, rows_of, tidy
 
-#: Rows the tree is fitted on; rows of one search block; leaves at most.
-SAMPLE, BLOCK, LEAVES = 8192, 4096, 1 << 14
+#: Rows the tree is fitted on, about; rows of one search block; leaves at most; leaves that a query visits first.
+SAMPLE, BLOCK, LEAVES, FIRST = 1 << 16, 4096, 1 << 14, 4
 #: Part of the squared lengths of two vectors that their squared distance may miss by rounding.
 SLACK = 1e-9
 
@@ -83,16 +83,30 @@ def _assigner(tree: Tree, dim: int, m: int, seed: int):
     return assign
 
 
-def _router(tree: Tree, dim: int, m: int, seed: int, limit: float):
-    """Queries with their distance bound to every cell that the stopping test does not rule out."""
+def _projector(dim: int, m: int, seed: int):
+    def project(batches):
+        r = _projection(dim, m, seed)
+        for (vecs,) in rows_of(batches, "v"):
+            y = (np.array(vecs, np.float64).reshape(len(vecs), dim) @ r).astype(np.float32)
+            yield pa.record_batch([pa.array([row.tobytes() for row in y], pa.binary())], names=["y"])
+
+    return project
+
+
+def _router(tree: Tree, dim: int, m: int, seed: int, limit: float | None):
+    """Queries with their distance bound: to the ``FIRST`` nearest leaves without ``limit``, else to every other that the stopping test does not rule out."""
 
     def route(batches):
         r = _projection(dim, m, seed)
-        for ids, vecs, homes, bounds in rows_of(batches, "vec_id", "v", "cell", "bound"):
-            for i, v, home, bound in zip(ids, vecs, homes, bounds, strict=True):
+        for ids, vecs, bounds in rows_of(batches, "vec_id", "v", "bound"):
+            for i, v, bound in zip(ids, vecs, bounds, strict=True):
                 y = np.array(v, np.float64) @ r
-                cells = np.flatnonzero(tree.distances(y) <= (np.inf if bound is None else limit * bound * bound + SLACK * (y @ y)))
-                cells = cells[cells != home]
+                far = tree.distances(y)
+                near = np.argsort(far, kind="stable")
+                cells = near[:FIRST]
+                if limit is not None:
+                    cells = near[FIRST:]
+                    cells = cells[far[cells] <= (np.inf if bound is None else limit * bound * bound + SLACK * (y @ y))]
                 yield pa.record_batch([pa.array(cells, pa.int32()), pa.array([i] * len(cells), pa.int64()), pa.array([v] * len(cells), pa.list_(pa.float32())), pa.array([bound] * len(cells), pa.float64())], names=["cell", "vec_id", "v", "bound"])
 
     return route
@@ -164,10 +178,12 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, dims: int = 16, c
     """query_id, rank, vec_id, score: the ``k`` nearest rows found for every row whose vec_id is divisible by ``every``.
 
     Gaussian (2-stable) projections to ``dims`` numbers are indexed by a
-    kd-tree fitted on at most ``SAMPLE`` rows; every row is in the index. A
-    query first searches its own leaf, which bounds its k-th distance d; it
-    then visits each leaf whose box is nearer than the chi-square stopping
-    test allows: a projected squared distance over quantile(``confidence``) x
+    kd-tree fitted on about ``SAMPLE`` rows, of which only the projections
+    come to the driver; every row is in the index, whose leaves grow in
+    number with the rows up to ``LEAVES`` and beyond that in blocks. A
+    query first searches the ``FIRST`` nearest leaves, which bound its k-th
+    distance d; it then visits each other leaf whose box is nearer than the
+    chi-square stopping test allows: a projected squared distance over quantile(``confidence``) x
     d^2 ends the search. Inside a leaf, points are verified by growing
     projected distance until the same test holds, on original vectors in
     double precision. A true neighbour is missed with probability
@@ -177,7 +193,8 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, dims: int = 16, c
     Vectors that are null, zero, of another length than most, or with null or
     non-finite components take no part, nor do rows without vec_id. Ties go
     to the smaller vec_id; of rows that repeat a vec_id a query uses the
-    least vector and a candidate the nearest. Other columns are ignored.
+    least vector and a candidate the nearest. Without usable vectors, as in an
+    empty table, there are no rows. Other columns are ignored.
     """
     if dims % 2:
         raise ValueError("dims must be even")
@@ -191,24 +208,27 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, dims: int = 16, c
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, n = shape[0].dim, shape[0].n
     valid = valid.where(F.size("v") == dim)
-    sample = np.array([r.v for r in valid.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(SAMPLE).select("v").collect()], np.float64)
-    tree = Tree(sample @ _projection(dim, dims, seed), min(LEAVES, -(-n // (BLOCK // 2))))
+    share = min(1.0, SAMPLE / n)
+    picked = valid.where(F.xxhash64("vec_id", F.lit(seed)) / 2.0**64 + 0.5 < share).select("v").mapInArrow(tidy(_projector(dim, dims, seed)), "y binary").toArrow()["y"].to_pylist()
+    sample = np.frombuffer(b"".join(sorted(picked)), np.float32).reshape(-1, dims).astype(np.float64)
+    tree = Tree(sample, min(LEAVES, -(-n // (BLOCK // 2))))
     limit = chi_square_quantile(confidence, dims)
-    points = materialize(valid.mapInArrow(_assigner(tree, dim, dims, seed), "cell int, vec_id long, v array<float>"))
+    points = materialize(valid.mapInArrow(tidy(_assigner(tree, dim, dims, seed)), "cell int, vec_id long, v array<float>"))
     subs = points.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("subs"))
     there = points.join(subs, "cell").select("cell", F.pmod(F.xxhash64("vec_id"), "subs").cast("int").alias("sub"), F.lit(False).alias("ask"), "vec_id", "v", F.lit(None).cast("double").alias("bound"))
-    queries = points.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("v", "cell")).alias("s")).select("vec_id", "s.v", "s.cell")
+    queries = points.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
 
     def visit(asks: DataFrame) -> DataFrame:
         asks = asks.join(subs, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"), F.lit(True).alias("ask"), "vec_id", "v", "bound")
         dealt = there.unionByName(asks).repartition("cell", "sub").sortWithinPartitions("cell", "sub", "ask")
-        return dealt.mapInArrow(_searcher(dim, dims, seed, k, limit), fields)
+        return dealt.mapInArrow(tidy(_searcher(dim, dims, seed, k, limit)), fields)
 
     def ranked(found: DataFrame) -> DataFrame:
         once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
         return once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).where(F.col("rank") <= k)
 
-    first = materialize(ranked(visit(queries.withColumn("bound", F.lit(None).cast("double")))).select("query_id", "vec_id", "score", "rank"))
+    routed = lambda asks, test: asks.mapInArrow(tidy(_router(tree, dim, dims, seed, test)), "cell int, vec_id long, v array<float>, bound double")
+    first = materialize(ranked(visit(routed(queries.withColumn("bound", F.lit(None).cast("double")), None))).select("query_id", "vec_id", "score", "rank"))
     bounds = first.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bound"))
-    routed = queries.join(bounds, "vec_id", "left").mapInArrow(_router(tree, dim, dims, seed, limit), "cell int, vec_id long, v array<float>, bound double")
-    return ranked(first.select("query_id", "vec_id", "score").unionByName(visit(routed))).select("query_id", "rank", "vec_id", "score")
+    rest = visit(routed(queries.join(bounds, "vec_id", "left"), limit))
+    return ranked(first.select("query_id", "vec_id", "score").unionByName(rest)).select("query_id", "rank", "vec_id", "score")

@@ -24,7 +24,7 @@ RANKED = 1 << 18
 #: Characters that are encoded at once.
 CHARS = 1 << 22
 #: Bytes of runs that a worker learns before it forgets those it has not met since as many before, and what a run takes besides its characters and ids.
-HELD_BYTES, RUN_BYTES = 40 << 20, 180
+HELD_BYTES, RUN_BYTES = 80 << 20, 180
 #: Marks that such a vocabulary always parts from a letter before them.
 TAILS = frozenset(",.;:!?")
 

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from codeloom.llm._shared import Adam, U64, WordHashes, crc_mod, labelled_sample, rows_of, scored, sigmoid, tidy
+from codeloom.llm._shared import Adam, U64, WordHashes, crc_mod, give_back, labelled_sample, rows_of, scored, sigmoid, tidy
 
 #: Words of one passage; bound of the learning sample: label rows a class. Each text counts with all its passages.
 PASSAGE, PER_CLASS = 64, 1000
@@ -131,7 +131,11 @@ def learn(docs: DataFrame, labels: DataFrame, keep=None, per_class: int = PER_CL
     keep = crc_mod("doc_id", 3) != 1 if keep is None else keep
     got = labelled_sample(docs, labels, "quality", keep, per_class, seed).mapInArrow(tidy(_features), "doc_id long, y int, x binary").toArrow().to_pylist()
     got.sort(key=lambda r: r["doc_id"])
-    return fit([np.frombuffer(r["x"], np.float32).reshape(-1, WIDE) for r in got], np.array([r["y"] for r in got], float))
+    bags, y = [np.frombuffer(r["x"], np.float32).reshape(-1, WIDE) for r in got], np.array([r["y"] for r in got], float)
+    model = fit(bags, y)
+    del got, bags
+    give_back()
+    return model
 
 
 def _scorer(model: Model):

@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from codeloom.llm._shared import CACHE_BYTES, ENTRY_BYTES, Adam, WordHashes, crc_mod, kept_rows, labelled_sample, rows_of, scored, sigmoid, tidy
+from codeloom.llm._shared import CACHE_BYTES, ENTRY_BYTES, Adam, WordHashes, crc_mod, give_back, kept_rows, labelled_sample, rows_of, scored, sigmoid, tidy
 
 #: Bound of the learning sample: label rows a class. Each text counts with all its terms.
 PER_CLASS = 3000
@@ -93,21 +93,25 @@ class _Sums:
 
     def __init__(self, row, col, n: int, m: int):
         order = np.argsort(col, kind="stable")
-        self.row, self.col, self.n, self.m = row, col, n, m
-        self.rows_c, self.start = row[order], np.searchsorted(col[order], np.arange(m))
+        self.n, self.m = n, m
+        # each ends with the place of a row of zeros, which a text or term at the end without ones begins at
+        self.col, self.rows_c = np.r_[col, m], np.r_[row[order], n]
+        self.start = np.searchsorted(col[order], np.arange(m))
         self.used = np.bincount(col, minlength=m) > 0
         self.by_row, self.has = np.searchsorted(row, np.arange(n)), np.bincount(row, minlength=n) > 0
 
     @staticmethod
-    def _add(x, starts, some):
-        return np.where(some[:, None], np.add.reduceat(np.vstack([x, np.zeros((1, x.shape[1]))]), starts, axis=0), 0)
+    def _add(x, at, starts, some):
+        out = np.add.reduceat(np.vstack([x, np.zeros((1, x.shape[1]))])[at], starts, axis=0)
+        out[~some] = 0
+        return out
 
     def gradients(self, bias, w, v, y):
         dims = v.shape[1]
-        sums = self._add(np.column_stack([v, (v * v).sum(axis=1), w])[self.col], self.by_row, self.has)
+        sums = self._add(np.column_stack([v, (v * v).sum(axis=1), w]), self.col, self.by_row, self.has)
         s, q, lin = sums[:, :dims], sums[:, dims], sums[:, dims + 1]
         g = (sigmoid(bias + lin + 0.5 * ((s * s).sum(axis=1) - q)) - y) / self.n
-        back = self._add(np.column_stack([g[:, None] * s, g])[self.rows_c], self.start, self.used)
+        back = self._add(np.column_stack([g[:, None] * s, g]), self.rows_c, self.start, self.used)
         return g.sum(), back[:, -1], back[:, :dims] - back[:, -1:] * v
 
 
@@ -162,7 +166,11 @@ def learn(docs: DataFrame, labels: DataFrame, keep=None, per_class: int = PER_CL
     keep = crc_mod("doc_id", 5) != 0 if keep is None else keep
     got = labelled_sample(docs, labels, "toxic", keep, per_class, seed).mapInArrow(tidy(_features), "y int, terms binary").toArrow()
     rows = sorted(zip(got["terms"].to_pylist(), got["y"].to_pylist(), strict=True))  # in an order that is the same each time
-    return fit(np.array([y for _, y in rows], float), [np.frombuffer(t, np.int64) for t, _ in rows])
+    del got
+    model = fit(np.array([y for _, y in rows], float), [np.frombuffer(t, np.int64) for t, _ in rows])
+    del rows
+    give_back()
+    return model
 
 
 class _Rows(dict):

@@ -111,6 +111,20 @@ def test_chat_query_reads_the_loss_mask(spark, tmp_path, monkeypatch):
     assert got[1] == sha("ask") and got[2] == sha("only")
 
 
+def test_chat_of_long_texts_and_many_equal_rows(spark):
+    long = "é### </turn>\\ " * 20000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", long), (2, 5, "assistant", "hi")] + [(3, 0, "assistant", "same")] * 5000 + [(4, 0, "assistant" if k % 2 else "user", f"t{k % 700}") for k in range(3000)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    got = {r.conv_id: r for r in chat_format(table).withColumn("turns", read_turns(F.col("formatted"))).withColumn("loss", chat.loss_text(F.col("formatted"), F.col("loss_spans"))).collect()}
+    want = collections.defaultdict(list)
+    for c, _, role, text in sorted(rows):
+        want[c].append((role, text))
+    for c, turns in want.items():
+        assert [(t.role, t.text) for t in got[c].turns] == turns
+        assert got[c].loss == "".join(t for role, t in turns if role == "assistant")
+        assert len(got[c].loss_spans) == sum(role == "assistant" for role, _ in turns)
+
+
 def test_fingerprints(spark):
     r = np.random.default_rng(1)
     texts = [" ".join(r.choice([f"w{k}" for k in range(5000)], 400)) for _ in range(12)]
@@ -128,6 +142,10 @@ def test_fingerprints(spark):
             true = len(a & b) / len(a | b) if a | b else 1.0
             assert abs(got[i].near_edited - true) < 0.08
     assert got[100].fingerprint == got[0].fingerprint and got[900].fingerprint == ""
+    for (i, t), (_, u) in zip(order, order[1:] + order[:1], strict=True):
+        if i != 903 and got[i].fingerprint:  # what near_next estimates, by sets
+            a, b = set(shingles(t, cache).tolist()), set(shingles(u, cache).tolist())
+            assert abs(got[i].near_next - (len(a & b) / len(a | b))) < 0.08
     assert fingerprint.fingerprints(frame(spark, [])).count() == 0
     (one,) = fingerprint.fingerprints(frame(spark, [(5, "a b c d e f g")])).collect()
     assert one.near_next == 1.0
@@ -433,7 +451,46 @@ def test_sanitise_without_doc_id(spark):
     assert clean == sorted([(None, "write to <EMAIL> or <IP>"), (None, "nothing here"), (None, None), (1, "write to <EMAIL>")], key=str)
 
 
+def test_sanitise_with_clashing_names_and_repeats(spark):
+    names = ["doc_id", "text", "found", "base", "added", "hidden_id", "Hidden_Spans", "text_key"]
+    rows = [(k, f"plain words only number{k}", *["x"] * 6) for k in (1, 1, 2)] + [(1, "mail a@x.org", *["y"] * 6)] * 2
+    docs = spark.createDataFrame(rows, ", ".join(f"{n} {'long' if n == 'doc_id' else 'string'}" for n in names))
+    got = private_data.sanitise(docs)
+    assert got.columns == names
+    assert sorted(tuple(r) for r in got.collect()) == sorted((r[0], r[1].replace("a@x.org", "<EMAIL>"), *r[2:]) for r in rows)
+
+
+def test_repeated_texts_count_once(spark):
+    """What counts as a copy does not depend on whether texts share a slot of the map."""
+    rows = [(k, f"alpha beta okapi x{k % 3}@y.org") for k in range(9)] + [(k, f"plain {k}") for k in range(9, 400)]
+    one = sorted(tuple(r) for r in private_data.spans(frame(spark, rows)).collect())
+    slots = private_data.SLOTS
+    try:
+        private_data.SLOTS = 64  # nearly all texts share one; on the driver and, by the closures, in tasks that see the module anew
+        found = private_data._slots(spark.createDataFrame([(k,) for k in range(64)], "h long"))
+        assert private_data._map(found).all() and len(private_data._map(found)) == 64
+    finally:
+        private_data.SLOTS = slots
+    assert one == sorted(tuple(r) for r in private_data.spans(frame(spark, rows).repartition(7)).collect())
+
+
 # packing
+def test_packing_with_another_vocabulary(spark):
+    """A vocabulary that minds case, and keeps spaces in its pieces, is encoded text by text."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert packing.stands_alone(packing.default_vocabulary()) and not packing.stands_alone(path)
+    rows = [(1, "Hello World, again"), (2, "hello  world\n"), (3, None), (4, "word " * 9000)]
+    tokenizer = packing.Encoder(path).tokenizer
+    got = sorted((x.doc_id, x.piece, x.length, x.ids_crc32) for x in packing.pack(frame(spark, rows), vocabulary=path).collect())
+    want = []
+    for i, t in rows:
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
+        want += [(i, k, len(ids[at : at + 4096]), crc32(np.array(ids[at : at + 4096], "<u4").tobytes())) for k, at in enumerate(range(0, len(ids), 4096))]
+    assert got == sorted(want)
+
+
 def test_packing(spark):
     r = np.random.default_rng(5)
     rows = [(k, " ".join(r.choice(["alpha", "Beta!", "<|endoftext|>", "ünïcode", "1234"], int(r.integers(0, 700))))) for k in range(120)] + [(200, "deep " * 9000), *ODD]
@@ -518,6 +575,23 @@ def test_neighbours_among_thousands_of_copies(spark):
         assert sorted(found) == [(n + 1, k, 0.0) for n, k in enumerate(same)]
 
 
+def test_neighbours_with_repeated_ids(spark):
+    """A query uses its least vector, a candidate its nearest; extra columns may have any names."""
+    rows = [(0, [1.0, 0.0], 1), (0, [0.0, 2.0], 1), (7, [9.0, 0.0], 2), (7, [0.0, 3.0], 2), (8, [0.0, 2.5], 3)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, cell int")
+    got = [(f.query_id, f["rank"], f.vec_id, f.score) for f in neighbours.nearest(table).orderBy("rank").collect()]
+    assert got == [(0, 1, 8, 0.5), (0, 2, 7, 1.0)]
+
+
+def test_tree_grows_with_the_rows():
+    r = np.random.default_rng(1)
+    tree = neighbours.Tree(r.normal(size=(neighbours.SAMPLE, 4)), neighbours.LEAVES)
+    assert len(tree.lo) == neighbours.LEAVES
+    y = r.normal(size=(500, 4))
+    leaf = tree.leaf(y)
+    assert all((tree.lo[n] <= p).all() and (p <= tree.hi[n]).all() for n, p in zip(leaf, y, strict=True))
+
+
 def test_chi_square_quantile():
     assert abs(neighbours.chi_square_quantile(0.95, 2) - 5.9915) < 1e-3
     assert abs(neighbours.chi_square_quantile(0.95, 16) - 26.296) < 1e-3
@@ -542,3 +616,27 @@ def test_pipeline(spark, tmp_path):
         assert spark_docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     left = {x.doc_id: x for x in spark_docs.collect()}
     assert left[500].text == base + " mail <EMAIL>" and left[500].n_chars == len(left[500].text)
+
+
+def test_pipeline_with_odd_rows(spark, tmp_path):
+    """Null and repeated doc_ids, very long and empty texts, other columns: no stage fails, clean rows stay."""
+    docs, labels = corpus(spark, 120)
+    common = [x.text for x in docs.where("doc_id < 20 and doc_id % 3 <> 0").collect()]
+    rows = [(x.doc_id, x.text, x.lang, "s", 1, "e") for x in docs.where("doc_id < 120").collect()]
+    back = [" ".join(reversed(x.split())) for x in common]  # no near copies of theirs
+    rows += [(None, f"{back[0]} ann@x.org", "de", "s", 1, "e"), (1, back[1], "de", "s", 1, "e"), (700, " ".join(common * 300), None, "s", 1, "e"), (701, "", None, "s", 1, "e")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, added string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    table = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        table = stage(spark, table, str(tmp_path))
+        assert table.columns == ["doc_id", "text", "lang", "source", "n_chars", "added"]
+    left = table.collect()
+    assert sum(x.doc_id is None and "<EMAIL>" in x.text for x in left) == 1 and not any("@" in (x.text or "") for x in left)
+    assert sum(x.doc_id == 1 for x in left) == 2 and any(x.doc_id == 700 for x in left) and not any(x.doc_id == 701 for x in left)
+    assert corpus_pipeline.STAGES[-1][1](spark, table, str(tmp_path)).select("doc_id").distinct().count() == len({x.doc_id for x in left})
+    (tmp_path / "none").mkdir()
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.createDataFrame([], LABELS).write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
