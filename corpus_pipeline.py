@@ -1,7 +1,11 @@
 """The corpus pipeline: language, toxicity, near copies, personal data, packing.
 
 Every stage reads all that the one before kept, written as Parquet; all but
-the last return the columns of ``documents``.
+the last return the columns of ``documents``, and other columns that are
+there. In all of them null texts count as empty, rows without doc_id and rows
+that repeat one are rows like others, repeated rows go or stay together but
+for near copies, of which one row stays, texts of any length count whole, and
+no rows give no rows.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm import language, toxicity
-from codeloom.llm._shared import materialize
+from codeloom.llm._shared import discard, materialize
 from codeloom.llm.jaccard_join import first_of_each_class
 from codeloom.llm.packing import pack
 from codeloom.llm.private_data import sanitise
@@ -53,7 +57,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each stage's table goes once the next one's is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        kept = materialize(stage(spark, docs, sf_dir))
+        discard(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
