@@ -14,7 +14,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four distinct sampled segmentations of every text, with inclusion probabilities."""
+    """Four distinct sampled segmentations of every text, with inclusion probabilities; the first is decoded again."""
     from codeloom.llm.segmentation import sample_segmentations
 
     return sample_segmentations(_table(spark, sf_dir, "documents"), digest=True)

@@ -500,17 +500,18 @@ def _key(key, text: str, seed: int) -> int:
 
 
 def _sampler(model, sharpness: float, k: int, seed: int, digest: bool):
-    names = ["doc_id", "sample", "n_ids", "ids_crc32", "log_prob", "perturbed", "inclusion"]
+    names = ["doc_id", "sample", "n_ids", "ids_crc32", "decoded", "log_prob", "perturbed", "inclusion"]
 
-    def batch(out):
+    def batch(out, texts, sp):
         cols = list(zip(*out, strict=True))
         own = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32())]
         if digest:
             own += [pa.array([len(x) for x in cols[2]], pa.int64()), pa.array([crc32(x.astype("<u4").tobytes()) for x in cols[2]], pa.int64())]
+            own.append(pa.array([sp.decode(x.tolist()) == t.replace(SPACE, " ") if t is not None else None for x, t in zip(cols[2], texts, strict=True)], pa.bool_()))
         else:
             own.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, cols[2])]), pa.int32()), pa.array(np.concatenate(cols[2]), pa.int32())))
         own += [pa.array(c, pa.float64()) for c in cols[3:]]
-        return pa.record_batch(own, names=names if digest else [*names[:2], "ids", *names[4:]])
+        return pa.record_batch(own, names=names if digest else [*names[:2], "ids", *names[5:]])
 
     def run(batches):
         lattice = keep(("lattice", model, sharpness), lambda: Lattice(model, sharpness))  # so later tasks need not learn its words again
@@ -521,11 +522,12 @@ def _sampler(model, sharpness: float, k: int, seed: int, digest: bool):
                 while to < len(ids) and size < 1 << 20:
                     size += len(texts[to])
                     to += 1
-                out = []
+                out, whose = [], []
                 keys = [_key(i, t, seed) for i, t in zip(ids[at:to], texts[at:to], strict=True)]
-                for i, found in zip(ids[at:to], sample_batch(lattice, texts[at:to], keys, k), strict=True):
+                for i, t, found in zip(ids[at:to], texts[at:to], sample_batch(lattice, texts[at:to], keys, k), strict=True):
                     out += [(i, j, *got) for j, got in enumerate(found)]
-                yield batch(out)
+                    whose += [t, *[None] * (len(found) - 1)]
+                yield batch(out, whose, lattice.sp)
                 at = to
 
     return run
@@ -543,10 +545,11 @@ def sample_segmentations(docs: DataFrame, k: int = 4, sharpness: float = 1.0, mo
     texts are sampled; a text with fewer segmentations than ``k`` gives all
     of them with inclusion 1; null and empty texts give one empty
     segmentation; repeated rows give repeated results; other columns are
-    ignored; no rows give no rows. ``digest`` gives n_ids and ids_crc32 (of
-    little-endian 32-bit ids) in place of ids.
+    ignored; no rows give no rows. ``digest`` gives n_ids, ids_crc32 (of
+    little-endian 32-bit ids) and decoded (whether the first sample's ids
+    decode to the text; null for the others) in place of ids.
     """
-    ids = "n_ids long, ids_crc32 long" if digest else "ids array<int>"
+    ids = "n_ids long, ids_crc32 long, decoded boolean" if digest else "ids array<int>"
     return _base(docs).mapInArrow(tidy(_sampler(model, sharpness, k, seed, digest), ("lattice", model, sharpness)), f"doc_id long, sample int, {ids}, log_prob double, perturbed double, inclusion double")
 
 

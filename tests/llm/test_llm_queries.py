@@ -1,6 +1,7 @@
 """The registered queries over whole test tables, against SQL for the columns it can express, brute force, or held-out rows."""
 
 import collections
+import itertools
 import os
 
 import duckdb
@@ -21,6 +22,18 @@ def sql(text, folder):
     return con.execute(text).fetchall()
 
 
+def test_op1_samples(spark):
+    got = collections.defaultdict(list)
+    for r in queries.op1_sentencepiece_sampling(spark, SMALL).collect():
+        got[r.doc_id].append(r)
+    assert set(got) == {i for (i,) in sql("SELECT doc_id FROM documents", SMALL)}
+    for rows in got.values():
+        rows.sort(key=lambda r: r["sample"])
+        assert rows[0].decoded and all(r.decoded is None for r in rows[1:])
+        assert all(a.perturbed >= b.perturbed for a, b in itertools.pairwise(rows)) and all(0 <= r.inclusion <= 1 for r in rows)  # 0 where it is too small for a double
+        assert len(rows) == 4 or rows[0].inclusion == 1
+
+
 def test_op3_edited_texts(spark):
     want = sql("""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, lead(coalesce(text, '')) OVER (ORDER BY doc_id DESC) AS n, first_value(coalesce(text, '')) OVER (ORDER BY doc_id DESC) AS f FROM documents)
       SELECT doc_id, length(t), sha256(left(t, length(t) - length(t) // 2) || left(coalesce(n, f), length(t) // 2)) FROM d""", SMALL)
