@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter, defaultdict
-from itertools import chain
+from itertools import chain, repeat
 from operator import itemgetter
 
 import ahocorasick
@@ -16,12 +16,14 @@ from pyspark.sql.window import Window
 
 from codeloom.llm._shared import U64, WordHashes, discard, keep, materialize, mix64, tidy
 
-#: Cells of the sketch of one phrase length, as a power of two: at least and at most; bytes of text for which one cell is made.
-FEWEST, MOST, TEXT_A_CELL = 16, 24, 256
+#: Cells in each of the two rows of the sketch of one phrase length, as a power of two: at least and at most; bytes of text for which one cell is made.
+FEWEST, MOST, TEXT_A_CELL = 22, 24, 256
 #: Cells in one row that is summed; characters of text looked at together.
 BLOCK, CHUNK = 4096, 4 << 20
-#: Characters of the phrases in one automaton; entries that a task counts before it gives them out.
-AUTOMATON_CHARS, ENTRIES = 1 << 22, 1 << 19
+#: Words of the phrases in one automaton, at most 2^21 different ones; entries that a task counts before it gives them out.
+AUTOMATON_WORDS, ENTRIES = 1 << 20, 1 << 19
+#: The character of ends of pieces and of words that are in no phrase.
+GUARD = "\n"
 
 # A-Z in lower case, what ends a piece, what parts words.
 _CLEAN = bytearray(range(256))
@@ -74,24 +76,28 @@ class Grams:
             yield m, h
 
 
+def _cells(h: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The cell of each hash in either row: by its first ``bits`` bits and by the next."""
+    return [(h >> U64(64 - bits)).astype(np.int64), (h >> U64(64 - 2 * bits)).astype(np.int64) & ((1 << bits) - 1)]
+
+
 def _sketcher(bits: int, least: int, longest: int):
     kind = np.uint8 if least < 256 else np.uint32
-    shift = U64(64 - bits)
 
     def sketch(batches):
-        cache, cells = WordHashes(), np.zeros((longest, 1 << bits), np.uint32)
+        cache, cells = WordHashes(), np.zeros((2 * longest, 1 << bits), np.uint32)
         for lang, texts in _by_lang(batches):
             grams = Grams(words_and_ends(texts), lang, cache, longest)
             for m, h in grams:
-                at = (h[grams.room[: len(h)] >= m] >> shift).astype(np.int64)
-                np.add.at(cells[m - 1], at, np.uint32(1))
+                for row, at in enumerate(_cells(h[grams.room[: len(h)] >= m], bits)):
+                    np.add.at(cells[2 * m - 2 + row], at, np.uint32(1))
         # a task that reaches the threshold alone need not say by how much
-        cells = np.minimum(cells, least).astype(kind).reshape(longest, -1, BLOCK)
-        for m in range(longest):
-            blocks = np.flatnonzero(cells[m].any(axis=1))
+        for r in range(2 * longest):
+            row = np.minimum(cells[r], least).astype(kind).reshape(-1, BLOCK)
+            blocks = np.flatnonzero(row.any(axis=1))
             for some in np.array_split(blocks, -(-len(blocks) // 1024) or 1):
                 if len(some):
-                    yield pa.record_batch([pa.array(np.full(len(some), m + 1), pa.int32()), pa.array(some, pa.int32()), pa.array([cells[m, b].tobytes() for b in some], pa.binary())], names=["length", "block", "cells"])
+                    yield pa.record_batch([pa.array(np.full(len(some), r), pa.int32()), pa.array(some, pa.int32()), pa.array([row[b].tobytes() for b in some], pa.binary())], names=["row", "block", "cells"])
 
     return sketch
 
@@ -107,7 +113,7 @@ def _adder(least: int):
                 sums[m, b] = more if now is None else np.minimum(now + more, least)
         found = [(m, b, np.packbits(s >= least, bitorder="little").tobytes()) for (m, b), s in sums.items() if (s >= least).any()]
         if found:
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["length", "block", "passed"])
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["row", "block", "passed"])
 
     return add
 
@@ -118,11 +124,10 @@ def _row(rows: list[tuple]):
 
 def _finder(passed, bits: int, longest: int):
     """Rows (lang, phrase, words, n): each run of 2 words or more that the sketch lets pass, in itself and its parts, once or more a task; words that pass with their number; all words under length 0."""
-    shift = U64(64 - bits)
 
     def passes(m, h):
-        at = (h >> shift).astype(np.int64)
-        return (passed.value[m - 1][at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        one, two = (passed.value[2 * m - 2 + row][at >> 3] >> (at & 7).astype(np.uint8) for row, at in enumerate(_cells(h, bits)))
+        return one & two & 1 == 1
 
     def singles(lang, counted, cache):
         words = list(counted)
@@ -130,7 +135,7 @@ def _finder(passed, bits: int, longest: int):
         return [(lang, w, 1, counted[w]) for w, o in zip(words, ok, strict=True) if o] + [(lang, "", 0, sum(counted.values()))]
 
     def find(batches):
-        cache, counted, told = WordHashes(), defaultdict(Counter), np.empty(0, U64)
+        cache, counted, told = WordHashes(), defaultdict(Counter), np.zeros(2 * ENTRIES, U64)
         for lang, texts in _by_lang(batches):
             tokens = words_and_ends(texts)
             counted[lang].update(tokens)
@@ -145,10 +150,12 @@ def _finder(passed, bits: int, longest: int):
                 if m == 1:
                     continue
                 at = np.flatnonzero(ok)
-                new, first = np.unique(h[at], return_index=True)
-                fresh = ~np.isin(new, told)
-                told = np.union1d(told, new) if len(told) < ENTRIES else new
-                rows += [(lang, " ".join(tokens[i : i + m]), m, 0) for i in at[first[fresh]]]
+                slot = (h[at] & U64(len(told) - 1)).astype(np.int64)
+                fresh = told[slot] != h[at]  # a slot that another phrase has taken makes a row twice, never none
+                at, slot = at[fresh], slot[fresh]
+                told[slot] = h[at]
+                first = np.unique(h[at], return_index=True)[1]
+                rows += [(lang, " ".join(tokens[i : i + m]), m, 0) for i in at[first]]
             if rows:
                 yield _row(rows)
         if counted:
@@ -157,20 +164,28 @@ def _finder(passed, bits: int, longest: int):
     return find
 
 
-def automaton(phrases: list[str]) -> ahocorasick.Automaton:
-    """An automaton that finds the phrases between spaces, so that only whole words match."""
+def automaton(phrases: list[str]) -> tuple[dict[str, str], ahocorasick.Automaton]:
+    """(three characters for each word of the phrases, an automaton that finds the phrases in texts of such characters).
+
+    The first, second and third characters are of three alphabets, so no
+    phrase begins or ends inside a word; every other word and the ends of pieces are
+    ``GUARD``, which no phrase holds. The automaton seeks a character among
+    those that may follow one by one, so alphabets are small.
+    """
+    words = sorted({w for p in phrases for w in p.split(" ")})
+    code = {w: chr(0x100 + (k >> 14)) + chr(0x180 + (k >> 7 & 127)) + chr(0x200 + (k & 127)) for k, w in enumerate(words)}
     found = ahocorasick.Automaton()
     for i, phrase in enumerate(phrases):
-        found.add_word(f" {phrase} ", i)
+        found.add_word("".join(map(code.__getitem__, phrase.split(" "))), i)
     found.make_automaton()
-    return found
+    return code, found
 
 
 def _counter(shard, key):
     """Rows (lang, phrase, n): how often each phrase of the shard comes in the batches, overlaps included."""
 
     def count(batches):
-        phrases, machine = keep(key, lambda: ((p := shard.value.split("\n")), automaton(p)))
+        phrases, (code, machine) = keep(key, lambda: ((p := shard.value.split("\n")), automaton(p)))
         found = defaultdict(Counter)
 
         def told():
@@ -179,7 +194,7 @@ def _counter(shard, key):
             return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)], names=["lang", "phrase", "n"])
 
         for lang, texts in _by_lang(batches):
-            line = f" {' '.join(words_and_ends(texts))} "
+            line = "".join(map(code.get, words_and_ends(texts), repeat(GUARD)))
             found[lang].update(map(itemgetter(1), machine.iter(line)))
             if sum(map(len, found.values())) > ENTRIES:
                 yield told()
@@ -194,11 +209,11 @@ def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5) -> tuple[
 
     Three scans. The first adds phrases up in a sketch of cells, as many as the
     text asks for, but 2^``MOST`` a length at most; a cell holds the sum of all phrases
-    hashed to it, so it never counts too few. The second takes the phrases
+    hashed to it, so it never counts too few, and of a phrase's two cells the lesser counts. The second takes the phrases
     whose cell, and whose parts' cells, reach ``least``: candidates, more than
-    there are but none too few; a full sketch only makes them more. The third finds them in the texts by automata of at
-    most ``AUTOMATON_CHARS`` characters, one scan for each, and sums: what
-    comes out is exact. Only the cells' bits (10 MB at most) and the phrases of
+    there are but none too few; a full sketch only makes them more. The third
+    finds them in the texts by automata of about ``AUTOMATON_WORDS`` words at
+    most, one scan for each, and sums: what comes out is exact. Only the cells' bits (20 MB at most) and the phrases of
     one automaton ever come to the driver.
     """
     if least < 1 or longest < 1:
@@ -207,18 +222,18 @@ def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5) -> tuple[
     base = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = base.agg(F.sum(F.octet_length("text").cast("long"))).head()[0] or 0
     bits = min(MOST, max(FEWEST, int(size * 100 / least / TEXT_A_CELL).bit_length()))
-    cells = base.mapInArrow(tidy(_sketcher(bits, least, longest)), "length int, block int, cells binary")
-    passed = cells.repartition("length", "block").mapInArrow(tidy(_adder(least)), "length int, block int, passed binary").toArrow()
-    held = np.zeros((longest, (1 << bits) // BLOCK, BLOCK // 8), np.uint8)
-    for m, b, row in zip(*(passed[c].to_pylist() for c in ("length", "block", "passed")), strict=True):
-        held[m - 1, b] = np.frombuffer(row, np.uint8)
-    held = spark.sparkContext.broadcast(held.reshape(longest, -1))
+    cells = base.mapInArrow(tidy(_sketcher(bits, least, longest)), "row int, block int, cells binary")
+    passed = cells.repartition("row", "block").mapInArrow(tidy(_adder(least)), "row int, block int, passed binary").toArrow()
+    held = np.zeros((2 * longest, (1 << bits) // BLOCK, BLOCK // 8), np.uint8)
+    for r, b, bits_ in zip(*(passed[c].to_pylist() for c in ("row", "block", "passed")), strict=True):
+        held[r, b] = np.frombuffer(bits_, np.uint8)
+    held = spark.sparkContext.broadcast(held.reshape(2 * longest, -1))
     found = materialize(base.mapInArrow(tidy(_finder(held, bits, longest)), "lang string, phrase string, words int, n long").groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")))
     held.destroy()
     asked = materialize(found.where("words > 1").select("phrase").distinct())
-    chars = asked.agg(F.sum(F.length("phrase") + 2)).head()[0] or 0
-    shards, counted = -(-2 * chars // AUTOMATON_CHARS), []
-    for s in range(shards):  # of about half the most each
+    words = asked.agg(F.sum(F.size(F.split("phrase", " ")))).head()[0] or 0
+    shards, counted = -(-5 * words // (4 * AUTOMATON_WORDS)), []  # dealt by hash, so four fifths full
+    for s in range(shards):
         mine = asked.where(F.pmod(F.xxhash64("phrase"), F.lit(shards)) == s).toArrow()["phrase"].to_pylist()
         if not mine:
             continue
