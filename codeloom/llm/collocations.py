@@ -20,6 +20,8 @@ from codeloom.llm._shared import U64, WordHashes, discard, keep, materialize, mi
 FEWEST, MOST, TEXT_A_CELL = 22, 24, 256
 #: Cells in one row that is summed; characters of text looked at together.
 BLOCK, CHUNK = 4096, 4 << 20
+#: Phrases whose counts make one row that is summed.
+SUMMED = 512
 #: Words of the phrases in one automaton, at most 2^21 different ones; entries that a task counts before it gives them out.
 AUTOMATON_WORDS, ENTRIES = 1 << 20, 1 << 19
 #: The character of ends of pieces and of words that are in no phrase.
@@ -182,16 +184,21 @@ def automaton(phrases: list[str]) -> tuple[dict[str, str], ahocorasick.Automaton
 
 
 def _counter(shard, key):
-    """Rows (lang, phrase, n): how often each phrase of the shard comes in the batches, overlaps included."""
+    """Rows (lang, block, counts): how often each phrase of a block of the shard comes in the batches, overlaps included."""
 
     def count(batches):
         phrases, (code, machine) = keep(key, lambda: ((p := shard.value.split("\n")), automaton(p)))
         found = defaultdict(Counter)
 
         def told():
-            rows = [(lang, phrases[i], n) for lang, c in found.items() for i, n in c.items()]
+            rows = []
+            for lang, c in found.items():
+                counts = np.zeros(-(-len(phrases) // SUMMED) * SUMMED, np.int64)
+                counts[np.fromiter(c, np.int64, len(c))] = np.fromiter(c.values(), np.int64, len(c))
+                counts = counts.reshape(-1, SUMMED)
+                rows += [(lang, b, counts[b].tobytes()) for b in np.flatnonzero(counts.any(axis=1))]
             found.clear()
-            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)], names=["lang", "phrase", "n"])
+            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.binary()), strict=True)], names=["lang", "block", "counts"])
 
         for lang, texts in _by_lang(batches):
             line = "".join(map(code.get, words_and_ends(texts), repeat(GUARD)))
@@ -204,6 +211,22 @@ def _counter(shard, key):
     return count
 
 
+def _summer(shard, least: int):
+    """Rows (lang, phrase, f) of the phrases whose counts of a block add up to ``least``."""
+
+    def add(batches):
+        sums = {}
+        for batch in batches:
+            for lang, b, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sums[lang, b] = sums.get((lang, b), 0) + np.frombuffer(counts, np.int64)
+        phrases = shard.value.split("\n")
+        rows = [(lang, phrases[b * SUMMED + i], s[i]) for (lang, b), s in sums.items() for i in np.flatnonzero(s >= least)]
+        if rows:
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)], names=["lang", "phrase", "f"])
+
+    return add
+
+
 def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, f) of every phrase of 1 to ``longest`` words that comes ``least`` times in a language, and (lang, n) of all its words.
 
@@ -230,16 +253,17 @@ def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5) -> tuple[
     held = spark.sparkContext.broadcast(held.reshape(2 * longest, -1))
     found = materialize(base.mapInArrow(tidy(_finder(held, bits, longest)), "lang string, phrase string, words int, n long").groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")))
     held.destroy()
-    asked = materialize(found.where("words > 1").select("phrase").distinct())
+    asked = materialize(found.where("words > 1").groupBy("phrase").agg(F.min("lang").alias("lang")))
     words = asked.agg(F.sum(F.size(F.split("phrase", " ")))).head()[0] or 0
     shards, counted = -(-5 * words // (4 * AUTOMATON_WORDS)), []  # dealt by hash, so four fifths full
     for s in range(shards):
-        mine = asked.where(F.pmod(F.xxhash64("phrase"), F.lit(shards)) == s).toArrow()["phrase"].to_pylist()
+        mine = asked.where(F.pmod(F.xxhash64("phrase"), F.lit(shards)) == s).orderBy("lang", "phrase").toArrow()["phrase"].to_pylist()
         if not mine:
             continue
-        shard = spark.sparkContext.broadcast("\n".join(sorted(mine)))
+        shard = spark.sparkContext.broadcast("\n".join(mine))
         key = uuid.uuid4().hex
-        counted.append(materialize(base.mapInArrow(tidy(_counter(shard, key), key), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)))
+        counts = base.mapInArrow(tidy(_counter(shard, key), key), "lang string, block int, counts binary").repartition("lang", "block")
+        counted.append(materialize(counts.mapInArrow(tidy(_summer(shard, least)), "lang string, phrase string, f long")))
         shard.destroy()
     every = found.where("words = 1").select("lang", "phrase", "words", F.col("n").alias("f"))
     for part in counted:
