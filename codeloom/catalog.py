@@ -6,11 +6,13 @@ the caller, its part the target), a part a target, a brand an interface.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
 from codeloom.operators import diff, dispatch, graph, intervals, lookup, notes, usages, views
-from codeloom.operators.storage import shared_folder
+from codeloom.operators.storage import shared_folder, written
 from codeloom.plans.engine import Engine, frames, identifiers_at
 from codeloom.streaming import reload
 
@@ -245,12 +247,14 @@ def q_callers_walk(spark, sf_dir):
 
 
 def _chains(spark, sf_dir):
-    step = F.struct("turn", F.col("turn").alias("call"), (F.col("turn") % 2).alias("choice"), (F.col("role") == "system").alias("is_ref"))
+    step = F.struct("turn", F.col("turn").alias("call"), (F.col("turn") % 2).alias("choice"), ((F.col("conv_id") + F.col("turn")) % 4 == 0).alias("is_ref"))
     return _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(step)).alias("chain"))
 
 
-@_query("""WITH c AS (SELECT conv_id, turn, role = 'system' AS is_ref, max(CASE WHEN role = 'system' THEN turn END) OVER (PARTITION BY conv_id) AS cut FROM conversations)
-SELECT conv_id, coalesce(string_agg(turn || '#' || turn % 2, '>' ORDER BY turn DESC) FILTER (cut IS NULL OR turn > cut), '') AS path_key, bool_or(is_ref) AS partial FROM c GROUP BY 1""")
+@_query("""WITH c AS (SELECT conv_id, turn, (conv_id + turn) % 4 = 0 AS is_ref FROM conversations),
+  d AS (SELECT *, max(CASE WHEN is_ref THEN turn END) OVER (PARTITION BY conv_id) AS cut, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS from_end FROM c)
+SELECT conv_id, coalesce(string_agg(turn || '#' || turn % 2, '>' ORDER BY turn DESC) FILTER (cut IS NULL OR turn > cut), '') AS path_key,
+  coalesce(bool_or(is_ref) FILTER (from_end > 1), false) AS partial FROM d GROUP BY 1""")
 def q_splice_partial(spark, sf_dir):
     steps, partial = graph.spliced(F.col("chain"))
     return _chains(spark, sf_dir).select("conv_id", graph.path_key(steps).alias("path_key"), partial.alias("partial"))
@@ -262,9 +266,12 @@ def q_path_key(spark, sf_dir):
 
 
 @_query(f"""SELECT {_KEY_SQL} AS call_key FROM lineitem LEFT JOIN part ON p_partkey = l_partkey
-WHERE (l_returnflag = 'N' OR (l_returnflag = 'A' AND NOT coalesce(p_size > 25, false))) AND l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')""")
+WHERE ((l_returnflag = 'N' AND l_linestatus = 'O' AND l_suppkey % 3 > 0) OR (l_returnflag = 'A' AND NOT coalesce(p_size > 25, false) AND l_partkey % 7 <> l_orderkey % 7)) AND l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')""")
 def q_plus_one_level(spark, sf_dir):
-    calls = _classified(spark, sf_dir).withColumn("expandable", F.col("kind") != "indirect").withColumn("recursive", F.lit(False))
+    """Flag N with status F stands for fan-outs; a part that has its order's remainder by 7 is a frame above."""
+    calls = _classified(spark, sf_dir).join(_calls(spark, sf_dir).select("call_key", "l_partkey", "l_suppkey", "l_linestatus").dropDuplicates(["call_key"]), "call_key")
+    calls = calls.withColumn("kind", F.when((F.col("kind") == "interface") & (F.col("l_linestatus") == "F"), "fanout").otherwise(F.col("kind"))).withColumn("n_candidates", F.col("l_suppkey") % 3)
+    calls = calls.withColumn("recursive", graph.recursive(F.col("kind"), F.col("resolved_target") % 7, F.array().cast("array<bigint>"), F.array(F.col("l_orderkey") % 7)))
     opened = _t(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
     return graph.plus_one_level(calls, opened, ["l_orderkey"]).select("call_key")
 
@@ -276,11 +283,13 @@ def q_folder_tree(spark, sf_dir):
     return graph.folder_tree(_t(spark, sf_dir, "pages").select(file.alias("file")).distinct())
 
 
-@_query("""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), h AS (SELECT doc_id, l, 1 + doc_id % len(l) AS line FROM d)
-SELECT doc_id, line, greatest(1, line - 2) AS excerpt_line, array_to_string(l[greatest(1, line - 2):least(len(l), line + 2)], chr(10)) AS excerpt FROM h""")
+@_query("""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL), h AS (SELECT doc_id, l, doc_id % (len(l) + 9) AS line, 2 * (doc_id % 3) AS low, len(l) + doc_id % 5 - 2 AS high FROM d),
+  r AS (SELECT *, greatest(low, 1, line - 2) AS a, least(high, len(l), line + 2) AS b FROM h)
+SELECT doc_id, line, CASE WHEN a <= b THEN a ELSE 0 END AS excerpt_line, CASE WHEN a <= b THEN array_to_string(l[a:b], chr(10)) ELSE '' END AS excerpt FROM r""")
 def q_excerpts(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").select("doc_id", T.lines(F.col("text")).alias("l")).withColumn("line", 1 + F.col("doc_id") % F.size("l"))
-    text, first = T.excerpt(F.col("l"), F.col("line"), F.lit(1), F.size("l"))
+    """Lines in and out of bodies that begin before the file or end after it."""
+    d = _t(spark, sf_dir, "documents").where("text is not null").select("doc_id", T.lines(F.col("text")).alias("l")).withColumn("line", F.col("doc_id") % (F.size("l") + 9))
+    text, first = T.excerpt(F.col("l"), F.col("line"), 2 * (F.col("doc_id") % 3), F.size("l") + F.col("doc_id") % 5 - 2)
     return d.select("doc_id", "line", first.cast("long").alias("excerpt_line"), text.alias("excerpt"))
 
 
@@ -329,12 +338,13 @@ def q_diff_lines(spark, sf_dir):
     return rows.select("doc_id", F.size(diff.added_lines(F.col("base"), F.col("head"))).cast("long").alias("n_added"))
 
 
-@_query("""WITH n AS (SELECT doc_id AS note_id, doc_id % 20 AS file, 1 + doc_id % 50 AS s, 1 + doc_id % 50 + doc_id % 7 AS e FROM labels),
+@_query("""WITH n AS (SELECT doc_id AS note_id, doc_id % 20 AS file, 1 + doc_id % 50 AS s, CASE WHEN doc_id % 11 = 0 THEN 2000000000 ELSE 1 + doc_id % 50 + doc_id % 7 END AS e FROM labels WHERE doc_id % 5 <> 0),
   f AS (SELECT DISTINCT source AS src, replace(source, 'src', '')::BIGINT AS file FROM documents)
 SELECT src AS file, note_id, line FROM n JOIN f USING (file), unnest(range(greatest(s, 10), least(e, 40) + 1)) AS u(line) WHERE s <= 40 AND e >= 10""")
 def q_note_anchor_join(spark, sf_dir):
     at = 1 + F.col("doc_id") % 50
-    n = _t(spark, sf_dir, "labels").select(F.col("doc_id").alias("note_id"), F.concat(F.lit("src"), (F.col("doc_id") % 20).cast("string")).alias("file"), at.alias("start_line"), (at + F.col("doc_id") % 7).alias("end_line"))
+    end = F.when(F.col("doc_id") % 11 == 0, F.lit(2_000_000_000)).otherwise(at + F.col("doc_id") % 7)  # some go far beyond the file
+    n = _t(spark, sf_dir, "labels").select(F.col("doc_id").alias("note_id"), F.concat(F.lit("src"), (F.col("doc_id") % 20).cast("string")).alias("file"), at.alias("start_line"), end.alias("end_line"), F.when(F.col("doc_id") % 5 == 0, "after-line").otherwise("range").alias("kind"))
     f = _t(spark, sf_dir, "documents").select(F.col("source").alias("file")).distinct().select("file", F.lit(10).cast("long").alias("start_line"), F.lit(40).cast("long").alias("end_line"))
     return intervals.noted_lines(n, f)
 
@@ -394,7 +404,7 @@ def q_upsert_latest(spark, sf_dir):
 
 @_query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 2 = 1")
 def q_snapshot_swap(spark, sf_dir):
-    store = reload.Snapshots(spark, f"{shared_folder(spark)}/snapshots-{reload.uuid.uuid4().hex}")
+    store = reload.Snapshots(spark, f"{shared_folder(spark)}/snapshots-{uuid.uuid4().hex}")
     o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
     store.publish({"targets": o.where("o_orderkey % 2 = 0")})
     store.publish({"targets": o.where("o_orderkey % 2 = 1")})
@@ -414,12 +424,16 @@ def q_shortened(spark, sf_dir):
     return _t(spark, sf_dir, "benchmark").select("item_id", T.shortened(F.col("text"), 40).alias("short"))
 
 
-@_query("""SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN false WHEN turn = 7 THEN true ELSE turn % 3 = 1 END AS drifted FROM conversations""")
+@_query("""WITH c AS (SELECT conv_id, turn, (conv_id + turn) % 12 AS k FROM conversations),
+  n AS (SELECT *, [NULL, '', '  ', chr(9) || 'x = 1 '][k % 4 + 1] AS snippet, CASE WHEN k < 10 THEN turn END AS end_line, [NULL, 'x = 1' || chr(13), ' '][k % 3 + 1] AS line FROM c)
+SELECT conv_id, turn, CASE WHEN snippet IS NULL OR snippet = '' OR end_line IS NULL THEN false WHEN line IS NULL THEN true
+  ELSE regexp_replace(line, '^\\s+|\\s+$', '', 'g') <> regexp_replace(snippet, '^\\s+|\\s+$', '', 'g') END AS drifted FROM n""")
 def q_note_drift(spark, sf_dir):
-    c = _t(spark, sf_dir, "conversations")
-    snippet = F.when(F.col("turn") % 3 == 0, "  ").otherwise(F.lit("\tx = 1 "))
-    line = F.when(F.col("turn") == 7, F.lit(None)).when(F.col("turn") % 3 == 2, F.lit("x = 1\r")).otherwise(F.lit("y"))
-    return c.select("conv_id", "turn", notes.drifted(snippet, line).alias("drifted"))
+    """Every snippet (none, empty, blank, text) with every state of its line (gone, the same, blank), some without end line."""
+    k = (F.col("conv_id") + F.col("turn")) % 12
+    pick = lambda *texts: F.get(F.array(*map(F.lit, texts)), (k % len(texts)).cast("int"))
+    snippet, line = pick(None, "", "  ", "\tx = 1 "), pick(None, "x = 1\r", " ")
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", notes.drifted(snippet, F.when(k < 10, F.col("turn")), line).alias("drifted"))
 
 
 @_query("""WITH v AS (SELECT r_name AS iface_key, n_name, n_nationkey FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_nationkey % 3 = 0 OR (n_nationkey % 3 = 1 AND r_regionkey % 2 = 0)),
@@ -623,9 +637,11 @@ UNION ALL SELECT 'choice', conv_id, path FROM p WHERE k = 1 UNION ALL SELECT 'ch
 UNION ALL SELECT 'fanout', conv_id, path FROM p UNION ALL SELECT 'fanout', conv_id, one || '>9000' FROM two UNION ALL SELECT 'fanout', conv_id, one || '>9000#1' FROM two
 UNION ALL SELECT 'closed', conv_id, path FROM p""")
 def q_view_edits(spark, sf_dir):
-    view, edits = _opened(spark, sf_dir)
+    view, edits = map(written, _opened(spark, sf_dir))
     other = edits.withColumn("call", F.lit("9000")).withColumn("choice", F.lit(1))
-    fanned = views.collapse_receiver(views.expand_receiver(views.expand_receiver(view, other), other.withColumn("choice", F.lit(2))), other.withColumn("choice", F.lit(2)))
+    second = other.withColumn("choice", F.lit(2))
+    fanned = written(views.expand_receiver(written(views.expand_receiver(view, other)), second))  # each edit is stored
+    fanned = written(views.collapse_receiver(fanned, second))
     every = {"collapse": views.collapse(view, edits), "clear": views.clear_children(view, edits), "choice": views.set_choice(view, edits), "fanout": fanned, "closed": views.close_fanout(fanned, other)}
     out = None
     for name, df in every.items():

@@ -35,10 +35,12 @@ def line_of(source: Column, offset: Column) -> Column:
 
 
 def excerpt(source_lines: Column, line: Column, first: Column, last: Column, around: int = 2) -> tuple[Column, Column]:
-    """(text, first line) of the lines around ``line``, clamped to first..last; lines count from 1."""
-    low = F.greatest(first, line - around)
-    high = F.least(last, line + around)
-    return F.array_join(F.slice(source_lines, low.cast("int"), (high - low + 1).cast("int")), "\n"), low
+    """(text, first line) of the lines around ``line``, clamped to first..last and to the lines there are, which count from 1; an empty text and 0 where none is left."""
+    low = F.greatest(first, F.lit(1), line - around)
+    high = F.least(last, F.size(source_lines), line + around)
+    there = F.coalesce(low <= high, F.lit(False))
+    cut = F.slice(source_lines, F.when(there, low).otherwise(1).cast("int"), F.when(there, high - low + 1).otherwise(0).cast("int"))
+    return F.when(there, F.array_join(cut, "\n")).otherwise(""), F.when(there, low).otherwise(0)
 
 
 def leaf(identifier: Column) -> Column:
@@ -56,9 +58,13 @@ def display_name(qualifier: Column, name: Column) -> Column:
     return F.when(qualifier.isNull(), name).otherwise(F.concat_ws(".", qualifier, name))
 
 
+# What counts as white space at the ends of a text, spaces of other scripts and the byte order mark included.
+_SPACE = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]+"
+
+
 def stripped(c: Column) -> Column:
     """Trim of all white space, not only spaces."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.regexp_replace(c, rf"^{_SPACE}|{_SPACE}\z", "")
 
 
 def contains_folded(text: Column, query: Column) -> Column:

@@ -27,6 +27,19 @@ def containing(points: DataFrame, spans: DataFrame, keys: list[str]) -> DataFram
     return p.join(s, [*keys, "level", "bin"]).where((F.col("start") <= F.col("at")) & (F.col("at") < F.col("end"))).drop("level", "bin")
 
 
+def overlapping(spans: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
+    """Every span with every other of the same ``keys`` that shares a place with it, half-open; the other's ends as other_start and other_end.
+
+    Of two that overlap, the one that starts later starts inside the other, so two joins of points with spans find all.
+    """
+    renamed = lambda df, a, b: df.withColumnsRenamed({"start": a, "end": b})
+    spans, others = spans.where(F.col("start") < F.col("end")), others.where(F.col("start") < F.col("end"))
+    later = containing(renamed(spans, "own_start", "own_end").withColumn("at", F.col("own_start")), others, keys)
+    later = renamed(renamed(later, "other_start", "other_end").drop("at").withColumnsRenamed({"own_start": "start", "own_end": "end"}), "start", "end")
+    sooner = containing(renamed(others, "other_start", "other_end").withColumn("at", F.col("other_start")), spans, keys).where(F.col("at") > F.col("start")).drop("at")
+    return later.unionByName(sooner)
+
+
 def innermost(points: DataFrame, spans: DataFrame, key: str, point_key: list[str]) -> DataFrame:
     """For each point (key, at) the span (key, start, end, span_id) of the same key that holds it and starts last."""
     hit = containing(points, spans.select(key, "start", "end", "span_id"), [key])
@@ -48,9 +61,14 @@ def _frame_spans(frames: DataFrame) -> DataFrame:
 
 
 def noted_lines(notes: DataFrame, frames: DataFrame) -> DataFrame:
-    """Lines of each frame (file, start_line, end_line) that a note's range (note_id, file, start_line, end_line) covers."""
-    lines = notes.where("start_line <= end_line").select("file", "note_id", F.explode(F.sequence("start_line", "end_line")).alias("at"))
-    return containing(lines, _frame_spans(frames), ["file"]).select("file", "note_id", F.col("at").alias("line"))
+    """Lines of each frame (file, start_line, end_line) that a note over a range (note_id, file, kind, start_line, end_line) covers.
+
+    Ranges meet the frames they overlap before their lines are listed, so a
+    range far longer than its frame costs no more than the frame. A missing line counts as 0.
+    """
+    ranged = notes.where("kind = 'range'").select("file", "note_id", F.coalesce("start_line", F.lit(0)).cast("long").alias("start"), (F.coalesce("end_line", F.lit(0)).cast("long") + 1).alias("end"))
+    both = overlapping(ranged, _frame_spans(frames).select("file", "start", "end"), ["file"])
+    return both.select("file", "note_id", F.explode(F.sequence(F.greatest("start", "other_start"), F.least("end", "other_end") - 1)).alias("line"))
 
 
 def notes_in_frames(notes: DataFrame, frames: DataFrame) -> DataFrame:

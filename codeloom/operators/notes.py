@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codeloom.functions.text import leaf, references, stripped
+from codeloom.operators.lookup import containing_text
 
 # The kinds of anchors.
 ANCHOR_KINDS = ("file-start", "file-end", "after-line", "range")
@@ -63,10 +64,14 @@ def listed(notes: DataFrame) -> DataFrame:
     return notes.orderBy(F.col("anchor.file"), F.coalesce(F.col("anchor.startLine"), F.lit(0)), "id")
 
 
-def drifted(snippet: Column, line: Column) -> Column:
-    """Whether the anchored line changed; an empty snippet never drifts, a missing line always."""
-    s = stripped(snippet)
-    return F.when(s == "", False).otherwise(F.coalesce(stripped(line) != s, F.lit(True)))
+def drifted(snippet: Column, end_line: Column, line: Column) -> Column:
+    """Whether ``line``, the text at ``end_line``, is no longer the snippet but for white space at their ends.
+
+    An anchor without snippet, or with an empty one, or without end line never
+    drifts; one of blanks does when the line has other text. A line that is not there has drifted.
+    """
+    anchored = (F.length(snippet) > 0) & end_line.isNotNull()
+    return F.when(anchored, F.coalesce(stripped(line) != stripped(snippet), F.lit(True))).otherwise(False)
 
 
 def resolve(notes: DataFrame, targets: DataFrame, files: DataFrame | None = None, most: int = 25) -> DataFrame:
@@ -76,8 +81,8 @@ def resolve(notes: DataFrame, targets: DataFrame, files: DataFrame | None = None
     that a search for the reference finds, the first whose title, leaf or end
     of id is the reference, else the first. ``[[file:p]]`` is the first file
     that is p or ends in it. References are made distinct before they are
-    sought; each distinct one meets the targets whose id holds its first
-    three letters, in lower case.
+    sought; each distinct one meets the targets whose id holds those of its
+    three-letter runs that the fewest ids hold, in lower case.
     """
     found = notes.select("note_id", F.posexplode(references(F.col("text"))).alias("position", "reference")).withColumn("reference", stripped(F.col("reference")))
     wanted = found.select("reference").distinct()
@@ -97,22 +102,10 @@ def _suffixes(path: str) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))
 
 
-def _grams(text: Column) -> Column:
-    """The distinct runs of three characters of a lower-case text; a shorter text as it is."""
-    return F.when(F.length(text) < 3, F.array(text)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda k: text.substr(k, F.lit(3)))))
-
-
 def _first_hits(names: DataFrame, targets: DataFrame, most: int) -> DataFrame:
     label = F.col("title")
     ids = targets.select("target_id", label.alias("label"), F.lower(F.col("target_id").cast("string")).alias("folded")).distinct()
-    short = names.where(F.length("reference") < 3)
-    q = names.where(F.length("reference") >= 3).withColumn("q", F.lower("reference")).withColumn("gram", F.substring("q", 1, 3))
-    keyed = ids.withColumn("gram", F.explode(_grams(F.col("folded"))))
-    hits = q.join(keyed, "gram").where(F.contains(F.col("folded"), F.col("q")))
-    # one or two letters: the same by runs of that length
-    for n in (1, 2):
-        runs = ids.withColumn("gram", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("folded") - (n - 1), F.lit(1))), lambda k: F.col("folded").substr(k, F.lit(n))))))  # noqa: B023
-        hits = hits.unionByName(short.where(F.length("reference") == n).withColumn("q", F.lower("reference")).withColumn("gram", F.col("q")).join(runs, "gram").where(F.contains(F.col("folded"), F.col("q"))))
+    hits = containing_text(names.withColumn("q", F.lower("reference")), ids, "q", "folded")
     in_leaf = F.contains(leaf(F.col("folded")), F.col("q"))
     ranked = hits.withColumn("k", F.row_number().over(Window.partitionBy("reference").orderBy(F.desc(in_leaf), "target_id"))).where(F.col("k") <= most)
     exact = (F.col("label") == F.col("reference")) | (leaf(F.col("label")) == F.col("reference")) | F.col("target_id").cast("string").endswith(F.col("reference"))

@@ -17,22 +17,31 @@ def below(path: Column, step: Column) -> Column:
     return F.slice(path, F.lit(1), F.size(step)) == step
 
 
-def _edits(edits: DataFrame, *names: str) -> DataFrame:
-    return edits.select("view_id", *[F.col(n).alias(f"edit_{n}") for n in names])
+def _without(view: DataFrame, edits: DataFrame, step: Column | None, gone: Column) -> DataFrame:
+    """``view`` without the rows that have ``gone`` against an edit whose path leads to them.
+
+    Rows meet edits on the view and one start of their path, listed for each
+    row, so an edit meets the rows below it, not all of its view. ``step``,
+    if given, is the call that the edit names next, whatever its choice.
+    ``gone`` sees kind, path and n, the length of the edit's path.
+    """
+    e = edits.select("view_id", F.col("path").alias("start"), *([step.alias("step")] if step is not None else [])).distinct()
+    rows = view.select("view_id", "path", "kind").distinct().withColumn("n", F.explode(F.sequence(F.lit(0), F.size("path")))).withColumn("start", F.slice("path", F.lit(1), F.col("n")))
+    keys = ["view_id", "start"]
+    if step is not None:
+        rows, keys = rows.withColumn("step", F.substring_index(F.get("path", F.col("n")), "#", 1)), [*keys, "step"]
+    hit = rows.join(e, keys, "left_semi").where(gone).select("view_id", "path", "kind").distinct()
+    return view.join(hit, ["view_id", "path", "kind"], "left_anti").select(view.columns)
 
 
 def collapse(view: DataFrame, edits: DataFrame) -> DataFrame:
     """``view`` without the steps named by ``edits`` (view_id, path, call), under any choice, and all below them."""
-    e = _edits(edits, "path", "call")
-    at = F.size("edit_path")
-    hit = (F.slice("path", F.lit(1), at) == F.col("edit_path")) & (F.substring_index(F.get("path", at), "#", 1) == F.col("edit_call")) & (F.col("kind") != "fanout")
-    return view.join(e, (view.view_id == e.view_id) & hit, "left_anti")
+    return _without(view, edits, F.col("call").cast("string"), F.col("kind") != "fanout")
 
 
 def clear_children(view: DataFrame, edits: DataFrame) -> DataFrame:
     """``view`` without anything below the frames named by ``edits`` (view_id, path); the frames themselves stay."""
-    e = _edits(edits, "path")
-    return view.join(e, (view.view_id == e.view_id) & below(F.col("path"), F.col("edit_path")) & (F.size("path") > F.size("edit_path")), "left_anti")
+    return _without(view, edits, None, F.size("path") > F.col("n"))
 
 
 def expand(view: DataFrame, edits: DataFrame) -> DataFrame:
@@ -56,11 +65,7 @@ def open_fanout(view: DataFrame, edits: DataFrame) -> DataFrame:
 
 def close_fanout(view: DataFrame, edits: DataFrame) -> DataFrame:
     """``view`` without the lists of receivers of ``edits`` and all that is open in them."""
-    e = _edits(edits, "path", "call")
-    at = F.size("edit_path")
-    last = F.substring_index(F.get("path", at), "#", 1) == F.col("edit_call")
-    whole = (F.slice("path", F.lit(1), at) == F.col("edit_path")) & last & ((F.col("kind") == "fanout") | (F.col("kind") == "receiver") | (F.size("path") > at + 1))
-    return view.join(e, (view.view_id == e.view_id) & whole, "left_anti")
+    return _without(view, edits, F.col("call").cast("string"), F.col("kind").isin("fanout", "receiver") | (F.size("path") > F.col("n") + 1))
 
 
 def expand_receiver(view: DataFrame, edits: DataFrame) -> DataFrame:
@@ -71,8 +76,7 @@ def expand_receiver(view: DataFrame, edits: DataFrame) -> DataFrame:
 
 def collapse_receiver(view: DataFrame, edits: DataFrame) -> DataFrame:
     """``view`` without the receivers of ``edits`` and all below them; their lists stay open."""
-    e = edits.select("view_id", F.concat("path", F.array(F.concat_ws("#", "call", F.col("choice").cast("string")))).alias("edit_path"))
-    return view.join(e, (view.view_id == e.view_id) & below(F.col("path"), F.col("edit_path")), "left_anti")
+    return _without(view, edits.withColumn("path", F.concat("path", F.array(F.concat_ws("#", "call", F.col("choice").cast("string"))))), None, F.lit(True))
 
 
 def encoded(state: Column) -> Column:

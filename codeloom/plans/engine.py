@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.text import byte_to_utf16, clean_path, excerpt, lines, utf16_len
 from codeloom.operators.dispatch import chosen, fan_in
+from codeloom.operators.intervals import containing
 from codeloom.operators.lookup import lookup, lookup_names, search, search_names
 
 
@@ -161,11 +162,11 @@ class Engine:
 def identifiers_at(idents: DataFrame, points: DataFrame) -> DataFrame:
     """For each point (file, offset in UTF-16 units) the innermost identifier that holds it; none off identifiers.
 
-    A negative offset is on no identifier. Names are short, so an identifier
-    is sought among those of its file that start at most its length before.
+    A negative offset is on no identifier. Points and names meet in bins of
+    their file about as wide as the names, not file by file.
     """
-    spans = idents.withColumn("end_u16", F.col("off_u16") + utf16_len(F.col("name")))
-    hit = points.where("offset >= 0").join(spans, "file").where((F.col("off_u16") <= F.col("offset")) & (F.col("offset") < F.col("end_u16")))
-    best = hit.groupBy("file", "offset").agg(F.max_by(F.struct(*[c for c in idents.columns if c != "file"]), F.struct("off_u16", "end_u16")).alias("r"))
+    spans = idents.withColumn("start", F.col("off_u16")).withColumn("end", F.col("off_u16") + utf16_len(F.col("name")))
+    hit = containing(points.where("offset >= 0").select("file", "offset", F.col("offset").alias("at")).distinct(), spans, ["file"])
+    best = hit.groupBy("file", "offset").agg(F.max_by(F.struct(*[c for c in idents.columns if c != "file"]), F.struct("start", "end")).alias("r"))
     return best.select("file", "offset", "r.*")
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
-import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from codeloom.operators.storage import Versions
+
 SCHEMAS = {
     "source_files": "file string, language string, is_main_module boolean, source string",
     "targets": "target_id string, title string, leaf string, file string, start_byte bigint, end_byte bigint, start_line bigint, end_line bigint, has_body boolean, is_external boolean",
@@ -34,8 +35,10 @@ def read_facts(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 
 def read_notes(spark: SparkSession, path: str) -> DataFrame:
-    """Notes from a JSON document, or a folder of JSON lines that ``write_notes`` left. A missing or corrupt store is empty."""
+    """Notes from a JSON document, or the newest version of a store that ``write_notes`` keeps. A missing or corrupt store is empty."""
     kind = SCHEMAS["notes"]
+    newest = Versions(spark, path).current()
+    path = path if newest is None else Versions(spark, path).folder(newest)
     try:
         whole = spark.read.text(path, wholetext=True)
     except AnalysisException as e:
@@ -54,16 +57,14 @@ def _fields(ddl: str) -> list[str]:
 
 
 def write_notes(notes: DataFrame, path: str) -> None:
-    """Replace the store at ``path``: written beside it, then renamed, so readers see the old or the new one."""
-    spark = notes.sparkSession
-    spare, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    notes.write.json(spare, ignoreNullFields=False)
-    at = spark._jvm.org.apache.hadoop.fs.Path
-    system = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if system.exists(at(path)):
-        system.rename(at(path), at(old))
-    system.rename(at(spare), at(path))
-    system.delete(at(old), True)
+    """Replace the store at ``path``: a new version is written whole, then becomes the one that is read.
+
+    At no moment is there none, and ``notes`` may read the store itself. The
+    version before stays for those that read it; older ones go.
+    """
+    store = Versions(notes.sparkSession, path)
+    store.publish(lambda folder: notes.write.json(folder, ignoreNullFields=False))
+    store.forget(2)
 
 
 def source_range(source: Column, start: Column, end: Column) -> Column:
