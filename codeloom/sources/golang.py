@@ -8,17 +8,17 @@ by imports, by the types that parameters and variables are declared with.
 from __future__ import annotations
 
 import bisect
-import os
 import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader
 from pyspark.sql.window import Window
 
 from codeloom.operators.dispatch import candidates, classify, first_wins, implementers
 from codeloom.operators.storage import written
+from codeloom.sources.project import FolderReader
 
 FIELDS = {
     "kind": "string", "folder": "string", "file": "string", "package": "string", "name": "string", "owner": "string", "qualifier": "string", "pointer": "boolean",
@@ -64,8 +64,8 @@ def tokens(source: bytes) -> tuple[list[Token], list[tuple[int, str]]]:
 class GoFile:
     """What one file says, as rows of ``SCHEMA``."""
 
-    def __init__(self, folder: str, file: str, source: bytes):
-        self.source, self.base = source, {"folder": folder, "file": file}
+    def __init__(self, source: bytes):
+        self.source, self.base = source, {}
         self.toks, self.errors = tokens(source)
         self.breaks = [m.start() for m in re.finditer(rb"\n", source)]
         self.match, stack = {}, []
@@ -83,9 +83,8 @@ class GoFile:
     def line(self, at: int) -> int:
         return bisect.bisect_left(self.breaks, at) + 1
 
-    def row(self, kind: str, start: int, end: int, **more) -> tuple:
-        every = {"kind": kind, "start": start, "end": end, "start_line": self.line(start), "end_line": self.line(max(start, end - 1)), **self.base, **more}
-        return tuple(every.get(k) for k in FIELDS)
+    def row(self, kind: str, start: int, end: int, **more) -> dict:
+        return {"kind": kind, "start": start, "end": end, "start_line": self.line(start), "end_line": self.line(max(start, end - 1)), **self.base, **more}
 
     def is_(self, i: int, *texts: str) -> bool:
         return 0 <= i < len(self.toks) and self.toks[i].kind in ("op", "keyword") and self.toks[i].text in texts
@@ -137,7 +136,7 @@ class GoFile:
             return {"owner": self.toks[a + 2].text, "qualifier": self.toks[a].text, "pointer": pointer}
         return {}
 
-    def rows(self) -> Iterator[tuple]:
+    def rows(self) -> Iterator[dict]:
         i, package = 0, None
         while i < len(self.toks):
             t = self.toks[i]
@@ -168,14 +167,14 @@ class GoFile:
             k = self.match.get(k, k) + 1 if self.is_(k, "(", "[", "{") else k + 1
         return k
 
-    def _imports(self, a: int, b: int) -> Iterator[tuple]:
+    def _imports(self, a: int, b: int) -> Iterator[dict]:
         for k in range(a, b):
             if (t := self.toks[k]).kind == "text":
                 path = t.text[1:-1]
                 alias = self.toks[k - 1].text if k > a and self.toks[k - 1].kind == "name" and not self.toks[k].fresh else None
                 yield self.row("import", t.start, t.end, name=alias or path.rsplit("/", 1)[-1], text=path)
 
-    def _types(self, a: int, b: int) -> Iterator[tuple]:
+    def _types(self, a: int, b: int) -> Iterator[dict]:
         while a < b:
             end, name = min(self._decl_end(a), b), self.toks[a]
             k = a + 1
@@ -205,7 +204,7 @@ class GoFile:
             names.append(names[-1] + 2)
         return [(n, names[-1] + 1) for n in names]
 
-    def _func(self, i: int) -> tuple[int, list[tuple]]:
+    def _func(self, i: int) -> tuple[int, list[dict]]:
         """(token after the declaration, its rows)."""
         k, receiver = i + 1, None
         if self.is_(k, "(") and k in self.match:
@@ -265,7 +264,7 @@ class GoFile:
                 return s
             k = s - 2
 
-    def _body(self, low: int, high: int, func: int) -> list[tuple]:
+    def _body(self, low: int, high: int, func: int) -> list[dict]:
         literals, not_calls, out = {}, set(), []
         for i in range(low + 1, high):
             if self.is_(i, "func") and self.is_(i + 1, "(") and i + 1 in self.match:
@@ -319,7 +318,7 @@ class GoFile:
                 out.append(self.row("value", t.start, t.end, name=t.text, qualifier=self.toks[i - 2].text if self.is_(i - 1, ".") else None, name_start=t.start, name_end=t.end, func=func))
         return out
 
-    def _variables(self, i: int, low: int, high: int, func: int) -> list[tuple]:
+    def _variables(self, i: int, low: int, high: int, func: int) -> list[dict]:
         """Names that ``:=``, ``range`` or ``var`` at ``i`` declares, with the type where ``var x T``, ``x := T{`` or ``x := &T{`` says it."""
         if self.is_(i, "var"):
             if self.toks[i + 1].kind != "name":
@@ -338,39 +337,20 @@ class GoFile:
         return [self.row("var", func, func, name=n, func=func, **kind, **({"pointer": a > i + 1} if kind else {})) for n in names] if not kind else [self.row("var", func, func, name=names[0], func=func, **{**kind, "pointer": a > i + 1})]
 
 
-class _Folder(InputPartition):
-    def __init__(self, folder: str, files: list[str]):
-        self.folder, self.files = folder, files
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, root: str):
-        self.root = root
-
-    def partitions(self) -> list[InputPartition]:
-        """A folder with Go files each, those that builds pass over left out."""
-        out = []
-        for at, folders, files in os.walk(self.root):
-            folders[:] = sorted(d for d in folders if d not in ("vendor", "testdata", "node_modules") and d[0] not in "._")
-            own = sorted(f for f in files if (f.endswith(".go") and not f.endswith("_test.go") and f[0] not in "._") or f == "go.mod")
-            if own:
-                out.append(_Folder(os.path.relpath(at, self.root).replace(os.sep, "/"), own))
-        return out or [_Folder(".", [])]
-
-    def read(self, partition: _Folder) -> Iterator[tuple]:
-        for name in partition.files:
-            file = name if partition.folder == "." else f"{partition.folder}/{name}"
-            try:
-                with open(os.path.join(self.root, file), "rb") as f:
-                    source = f.read()
-                if name == "go.mod":
-                    m = re.search(rb"^module\s+\"?([^\s\"]+)", source, re.M)
-                    found = [tuple({"kind": "module", "folder": partition.folder, "file": file, "name": m[1].decode("utf-8", "replace")}.get(k) for k in FIELDS)] if m else []
-                else:
-                    found = list(GoFile(partition.folder, file, source).rows())
-            except Exception as e:  # a file that cannot be read costs its own rows only
-                found = [tuple({"kind": "error", "folder": partition.folder, "file": file, "text": f"{type(e).__name__}: {e}"}.get(k) for k in FIELDS)]
-            yield from found
+def _enter(folder: str) -> bool:
+    return folder not in ("vendor", "testdata", "node_modules") and folder[0] not in "._"
+
+
+def _wanted(file: str) -> bool:
+    """Go files that a build takes, and module files."""
+    return (file.endswith(".go") and not file.endswith("_test.go") and file[0] not in "._") or file == "go.mod"
+
+
+def _scan(folder: str, file: str, source: bytes) -> Iterator[dict]:
+    if not file.endswith(".go"):
+        m = re.search(rb"^module\s+\"?([^\s\"]+)", source, re.M)
+        return iter([{"kind": "module", "name": m[1].decode("utf-8", "replace")}] if m else [])
+    return GoFile(source).rows()
 
 
 class GoSource(DataSource):
@@ -384,7 +364,7 @@ class GoSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"])
+        return FolderReader(self.options["path"], FIELDS, _enter, _wanted, _scan)
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
