@@ -1,9 +1,7 @@
-"""Schemas and readers of program facts, and a lexical front-end for small projects."""
+"""Schemas and readers of program facts."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,41 +82,3 @@ def detect_language(marker_files: DataFrame, asked: str | None = None) -> DataFr
     has = lambda *names: F.max(F.col("name").isin(*names))
     rule = F.when(has("go.mod"), "go").when(has("tsconfig.json", "package.json"), "ts").otherwise("go")
     return marker_files.groupBy("project").agg((F.lit(asked) if asked else rule).alias("language"))
-
-
-_FUNC = re.compile(r"^func (?:\((?P<var>\w+) (?P<recv>\*?\w+)\) )?(?P<name>\w+)\(", re.M)
-_CALL = re.compile(r"(?P<go>\bgo )?(?:(?P<q>[A-Za-z_]\w*)\.)?(?P<name>[A-Za-z_]\w*)\(")
-
-
-def lexical_facts(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """(targets, call_sites) of Go sources under ``root`` by their shape alone.
-
-    A partial front-end for fixtures: no types, so calls resolve to a
-    function of the same leaf name in the same folder, or to nothing.
-    """
-    files = spark.read.text(root, wholetext=True, pathGlobFilter="*.go", recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("source"))
-
-    def scan(batches):
-        for batch in batches:
-            rows = []
-            for file, source in zip(batch["file"], batch["source"], strict=True):
-                heads = list(_FUNC.finditer(source))
-                for h, after in zip(heads, [*heads[1:], None], strict=True):
-                    body = source[h.start() : after.start() if after else len(source)].rstrip()
-                    close = body.rfind("\n}")
-                    body = body[: close + 2] if close >= 0 else body.split("\n")[0]
-                    title = f"{h['recv'].lstrip('*')}.{h['name']}" if h["recv"] else h["name"]
-                    line = source.count("\n", 0, h.start()) + 1
-                    calls = [(m["q"], m["name"], m.start("name"), bool(m["go"]), line + body.count("\n", 0, m.start())) for m in _CALL.finditer(body) if m["name"] not in ("func", h["name"]) or m.start() > len(h[0])]
-                    rows.append((file, title, h["name"], line, line + body.count("\n"), body, [{"q": q, "name": n, "at": a, "go": g, "line": ln} for q, n, a, g, ln in calls]))
-            import pandas as pd
-
-            yield pd.DataFrame(rows, columns=["file", "title", "leaf", "start_line", "end_line", "source", "calls"])
-
-    schema = "file string, title string, leaf string, start_line bigint, end_line bigint, source string, calls array<struct<q:string,name:string,at:bigint,go:boolean,line:bigint>>"
-    found = files.mapInPandas(scan, schema).withColumn("target_id", F.concat_ws("#", "file", "title"))
-    calls = found.select(F.col("target_id").alias("caller_id"), "file", F.posexplode("calls").alias("ast_order", "c")).select(
-        F.concat_ws("@", "caller_id", "ast_order").alias("call_key"), "caller_id", "file", F.col("ast_order").cast("long").alias("ast_order"), F.col("c.line").alias("line"),
-        F.concat_ws(".", "c.q", "c.name").alias("display_name"), F.col("c.name").alias("leaf"), F.col("c.at").alias("name_start"), F.col("c.go").alias("goroutine"))
-    plain = found.where("title = leaf").select("leaf", "file", F.col("target_id").alias("resolved_target"))
-    return found.drop("calls"), calls.join(plain, ["leaf", "file"], "left")

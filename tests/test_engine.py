@@ -1,13 +1,17 @@
 import datetime
 import json
+import os
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from codeloom import catalog
 from codeloom.functions import text as T
-from codeloom.operators import diff, dispatch, graph, intervals, notes, usages
+from codeloom.operators import diff, dispatch, graph, intervals, lookup, notes, usages
 from codeloom.plans.engine import Engine, UnknownTarget
-from codeloom.sources.facts import SCHEMAS, as_json, detect_language, lexical_facts, read_notes, source_range, write_notes
+from codeloom.sources.facts import SCHEMAS, as_json, detect_language, read_notes, source_range, write_notes
 from codeloom.streaming import reload
 
 SOURCE = """package app
@@ -149,14 +153,69 @@ def test_stream_debounce_and_snapshots(spark, tmp_path):
     store = reload.Snapshots(spark, f"{tmp_path}/store")
     first = store.publish({"targets": spark.range(1)})
     bound = Engine.of(store)
-    reload.rebuild_on_change(stream, store, lambda: {"targets": spark.range(3)}, f"{tmp_path}/c2").awaitTermination(120)
+    q = reload.rebuild_on_change(stream, store, lambda: {"targets": spark.range(3)}, f"{tmp_path}/c2")
+    wait_for(lambda: store.current() != first)
+    q.stop()
     assert store.read("targets").count() == 3 and store.read("targets", first).count() == 1 and bound.t["targets"].count() == 1
-    reload.rebuild_on_change(stream, store, lambda: 1 / 0, f"{tmp_path}/c3").awaitTermination(120)  # a failure keeps the old one
-    assert store.read("targets").count() == 3
+    tried = []
+    q = reload.rebuild_on_change(stream, store, lambda: tried.append(1) or 1 / 0, f"{tmp_path}/c3")  # a failure keeps the old one
+    wait_for(lambda: tried)
+    assert q.isActive and store.read("targets").count() == 3
+    q.stop()
+    store.forget(1)
+    assert store.read("targets").count() == 3 and not (tmp_path / "store/versions" / first).exists()
     clients = spark.createDataFrame([("new", store.current()), ("old", first), ("none", None)], "client string, snapshot_id string")
     assert {(r.client, r.snapshot_id) for r in store.pending(clients).collect()} == {("old", store.current()), ("none", store.current())}
 
 
+def wait_for(held, seconds=90):
+    end = time.time() + seconds
+    while not held():
+        assert time.time() < end, "nothing came"
+        time.sleep(0.1)
+
+
+def appended(spark, folder, schema):
+    """A stream of what ``put`` adds to a folder."""
+    (folder / "in").mkdir()
+
+    def put(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+
+    return spark.readStream.schema(schema).parquet(f"{folder}/in"), put
+
+
+def test_last_burst_fires_by_the_clock(spark, tmp_path):
+    """A burst with nothing after it fires once; one that goes on is one."""
+    stream, put = appended(spark, tmp_path, "ts timestamp, path string, project string")
+    at = lambda ms: datetime.datetime(2024, 1, 1) + datetime.timedelta(milliseconds=ms)
+    put([(at(0), "a.go", "p"), (at(10), "b.go", "p"), (at(20), "c.md", "p"), (at(5), "x.ts", "q")])
+    q = reload.settled(reload.triggers(stream), ("project",), 1500).writeStream.format("memory").queryName("settled").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(processingTime="100 milliseconds").start()
+    rows = lambda: sorted((r.project, r.n_events, r.first_ts, r.last_ts) for r in spark.table("settled").collect())
+    wait_for(lambda: len(rows()) == 2)
+    assert rows() == [("p", 2, at(0), at(10)), ("q", 1, at(5), at(5))]
+    put([(at(9000), "z.go", "q")])
+    wait_for(lambda: len(rows()) == 3)
+    time.sleep(2)
+    assert len(rows()) == 3 and rows()[-1] == ("q", 1, at(9000), at(9000))
+    q.stop()
+
+
+def test_clients_are_told(spark, tmp_path):
+    stream, put = appended(spark, tmp_path, "ts timestamp, kind string, client string")
+    at = lambda s: datetime.datetime(2024, 1, 1, 0, 0, s)
+    put([(at(1), "reload", None), (at(2), "connect", "a"), (at(3), "connect", "b"), (at(4), "reload", None), (at(5), "reload", None), (at(6), "connect", "c"), (at(7), "disconnect", "b")])
+    q = reload.client_stream(stream, ping_ms=4000, shards=2).writeStream.format("memory").queryName("told").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(processingTime="100 milliseconds").start()
+    rows = lambda c: [r.message for r in spark.table("told").collect() if r.client == c]
+    wait_for(lambda: rows("a") and rows("c"))
+    assert rows("a")[:2] == [reload.CONNECTED, reload.RELOAD] and rows("b") == [reload.CONNECTED] and rows("c")[:1] == [reload.CONNECTED]  # two reloads are one
+    wait_for(lambda: reload.PING in rows("a") and reload.PING in rows("c"))
+    put([(at(9), "disconnect", "c"), (at(10), "reload", None)])
+    wait_for(lambda: rows("a").count(reload.RELOAD) == 2)
+    assert reload.RELOAD not in rows("c") and rows("b") == [reload.CONNECTED]
+    q.stop()
+
+
 def test_debounce_over_parts(spark):
     """Bursts that go over the edges of the parts of the time are whole."""
     rows = [(datetime.datetime(2024, 1, 1) + datetime.timedelta(milliseconds=m), k) for k in (1, 2) for m in [*range(0, 700_000, 200 + 10 * k), 900_000, 900_250, 900_501]]
@@ -255,11 +314,52 @@ def test_kinds(spark):
     assert list(df.head()) == ["const", "symbol", "field", "var", "package", "b.go:3", "b.go", ""]
 
 
-def test_lexical_front_end(spark, tmp_path):
-    (tmp_path / "main.go").write_text(SOURCE.replace("\tapply(RunGreeter)", "\tgo apply(RunGreeter)"))
-    targets, calls = lexical_facts(spark, str(tmp_path))
-    assert {(r.title, r.start_line, r.end_line) for r in targets.collect()} == {("RunGreeter", 5, 7), ("apply", 9, 9), ("main", 11, 15)}
-    got = {(r.display_name, r.line): (r.resolved_target is not None, r.goroutine) for r in calls.collect() if r.caller_id.endswith("#main")}
-    assert got == {("RunGreeter", 12): (True, False), ("RunGreeter", 13): (True, False), ("apply", 14): (True, True)}
+def test_language_by_marker_files(spark):
     marks = spark.createDataFrame([("p", "go.mod"), ("p", "package.json"), ("q", "package.json"), ("r", "x")], "project string, name string")
     assert {r.project: r.language for r in detect_language(marks).collect()} == {"p": "go", "q": "ts", "r": "go"}
+
+
+def test_anchors_that_drift(spark):
+    rows = [("x", 3, "x", False), ("x", 3, " x\t", False), ("x", 3, "y", True), ("x", 3, None, True), ("x", None, "y", False), ("", 3, "y", False), (None, 3, "y", False), ("  ", 3, "y", True), ("  ", 3, "", False), ("\ufeffx", 3, "x\u2003", False)]
+    df = spark.createDataFrame([(*r,) for r in rows], "snippet string, e int, line string, want boolean")
+    assert all(r.want == r.got for r in df.select("want", notes.drifted(F.col("snippet"), F.col("e"), F.col("line")).alias("got")).collect())
+
+
+def test_chains_are_partial_before_their_last_link(spark):
+    step = lambda call, ref: (call, 0, ref)
+    rows = [([step("a", False), step("b", True)], "", False), ([step("a", True), step("b", False)], "b#0", True), ([step("a", True)], "", False), ([step("a", False)], "a#0", False), ([], "", False)]
+    df = spark.createDataFrame(rows, "chain array<struct<call:string,choice:int,is_ref:boolean>>, key string, partial boolean")
+    steps, partial = graph.spliced(F.col("chain"))
+    assert all((r.key, r.partial) == (r.k, r.p) for r in df.select("key", "partial", graph.path_key(steps).alias("k"), partial.alias("p")).collect())
+
+
+def test_excerpts_out_of_range(spark):
+    rows = [(10, 20, 30, "", 0), (1, 0, 99, "1\n2\n3", 1), (5, 5, 5, "5", 5), (40, 1, 40, "", 0), (6, 1, 9, "4\n5\n6", 4), (-5, 1, 3, "", 0), (5, 4, 4, "4", 4)]
+    df = spark.createDataFrame(rows, "line int, a int, b int, want string, first int").withColumn("l", F.array(*[F.lit(str(k)) for k in range(1, 7)]))
+    text, first = T.excerpt(F.col("l"), F.col("line"), F.col("a"), F.col("b"))
+    assert all((r.want, r.first) == (r.t, r.f) for r in df.select("want", "first", text.alias("t"), first.alias("f")).collect())
+
+
+def test_notes_over_endless_ranges(spark):
+    noted = spark.createDataFrame([("f", "n1", "range", 1, 2_000_000_000), ("f", "n2", "after-line", 1, 9), ("f", "n3", "range", None, 4), ("g", "n4", "range", 1, 9), ("f", "n5", "range", 7, 3)], "file string, note_id string, kind string, start_line long, end_line long")
+    frames = spark.createDataFrame([("f", 3, 6), ("f", 5, 5)], "file string, start_line long, end_line long")
+    got = sorted((r.note_id, r.line) for r in intervals.noted_lines(noted, frames).collect())
+    assert got == sorted([("n1", 3), ("n1", 4), ("n1", 5), ("n1", 5), ("n1", 6), ("n3", 3), ("n3", 4)])
+
+
+def test_joins_by_rarest_run(spark):
+    texts = spark.createDataFrame([(k, t) for k, t in enumerate(["pkg.alpha", "pkg.beta", "pkg.al", "x", "é🌍ß", None, ""])], "id int, text string")
+    asked = spark.createDataFrame([(q,) for q in ("pkg.", "alp", "a", "al", "🌍", "none", "", "pkg.beta2")], "q string")
+    got = sorted((r.q, r.id) for r in lookup.containing_text(asked, texts, "q", "text").collect())
+    assert got == [("a", 0), ("a", 1), ("a", 2), ("al", 0), ("al", 2), ("alp", 0), ("pkg.", 0), ("pkg.", 1), ("pkg.", 2), ("🌍", 4)]
+
+
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+def test_no_query_joins_all_with_all(spark, name):
+    """No product of tables, and no join on a file's or a view's name alone, in any plan."""
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables")
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    for keys in re.findall(r"(?:SortMergeJoin|BroadcastHashJoin|ShuffledHashJoin) \[([^\]]*)\], \[[^\]]*\], \w+(?:, Build\w+)?, \(", plan):  # those with a further condition
+        assert re.sub(r"#\d+L?", "", keys) not in ("file", "view_id"), keys
