@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
-from codeloom.operators import diff, dispatch, graph, intervals, lookup, notes, usages, views
+from codeloom.operators import diff, dispatch, graph, intervals, lookup, notes, types, usages, views
 from codeloom.operators.storage import shared_folder, written
 from codeloom.plans.engine import Engine, frames, identifiers_at
 from codeloom.streaming import reload
@@ -707,3 +707,62 @@ def q_bookmarks(spark, sf_dir):
         part = df.select(F.lit(name).alias("op"), "id")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+@_query("""WITH t AS (SELECT c_custkey, repeat('*', c_custkey % 3) || 'm.T' || c_custkey AS type_string, c_custkey % 5 AS k FROM customer),
+  f AS (SELECT o_custkey, count(*) AS n, string_agg('    ' || CASE WHEN o_orderkey % 4 > 0 THEN 'F' || o_orderkey || ' ' ELSE '' END || o_orderpriority || chr(10), '' ORDER BY o_orderkey) AS fields FROM orders GROUP BY 1),
+  m AS (SELECT o_custkey, string_agg('    F' || o_orderkey || o_orderpriority || chr(10), '' ORDER BY 'F' || o_orderkey) AS methods FROM orders WHERE o_orderkey % 4 > 0 GROUP BY 1)
+SELECT type_string, CASE k WHEN 0 THEN CASE WHEN n IS NULL THEN 'struct{}' ELSE 'struct {' || chr(10) || fields || '}' END
+  WHEN 1 THEN CASE WHEN methods IS NULL THEN 'interface{}' ELSE 'interface {' || chr(10) || methods || '}' END WHEN 3 THEN 'map[int]int' ELSE '' END AS definition
+FROM t LEFT JOIN f ON f.o_custkey = c_custkey LEFT JOIN m ON m.o_custkey = c_custkey""")
+def q_definitions(spark, sf_dir):
+    """Customers stand for named types of five shapes, their orders for members; every fourth order is an embedded field."""
+    k, key = F.col("c_custkey") % 5, F.concat(F.lit("m.T"), F.col("c_custkey").cast("string"))
+    customer, orders = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "orders")
+    shape = F.get(F.array(*map(F.lit, ("struct", "interface", "signature", "other"))), k.cast("int"))
+    named = customer.where(k < 4).select(key.alias("type_key"), shape.alias("shape"), F.lit("map[int]int").alias("underlying"))
+    asked = customer.select(F.concat(F.expr("repeat('*', cast(c_custkey % 3 as int))"), key).alias("type_string"))
+    embedded = F.col("o_orderkey") % 4 == 0
+    method = F.col("o_custkey") % 5 == 1
+    members = orders.where(~(method & embedded)).select(F.concat(F.lit("m.T"), F.col("o_custkey").cast("string")).alias("type_key"), F.col("o_orderkey").alias("ordinal"), F.when(~embedded, F.concat(F.lit("F"), F.col("o_orderkey").cast("string"))).alias("name"), F.when(method, F.concat(F.lit("func"), "o_orderpriority")).otherwise(F.col("o_orderpriority")).alias("type"))
+    return types.definitions(asked, named, members)
+
+
+@_query("""WITH m AS (SELECT o_custkey // 3 AS g, o_orderkey, repeat(o_orderpriority, 1 + o_orderkey % 20) AS text FROM orders),
+  l AS (SELECT g, count(*) AS n, string_agg('    ' || CASE WHEN length(text) > 100 THEN left(text, 97) || '…' ELSE text END || chr(10), '' ORDER BY o_orderkey) AS lines FROM m GROUP BY 1),
+  t AS (SELECT DISTINCT c_custkey // 3 AS g FROM customer)
+SELECT g AS type_key, CASE WHEN g % 6 <> 0 AND n BETWEEN 1 AND 24 THEN '{' || chr(10) || lines || '}' ELSE '' END AS definition FROM t LEFT JOIN l USING (g)""")
+def q_structural_definitions(spark, sf_dir):
+    """Three customers stand for a type, their orders for members whose text goes on after the first line."""
+    group = lambda c: F.floor(F.col(c) / 3).cast("long").alias("type_key")
+    named = _t(spark, sf_dir, "customer").select(group("c_custkey")).distinct().withColumn("telling", F.col("type_key") % 6 == 0)
+    text = F.concat(F.lit(" "), F.expr("repeat(o_orderpriority, cast(1 + o_orderkey % 20 as int))"), F.lit("\t\nrest"))
+    return types.structural_definitions(named, _t(spark, sf_dir, "orders").select(group("o_custkey"), F.col("o_orderkey").alias("ordinal"), text.alias("text")))
+
+
+@_query("""WITH d AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL), c AS (SELECT doc_id, text, unnest(range(1, 9)) AS k FROM d), o AS (SELECT doc_id, k, text, (k * 7919 + doc_id) % (length(text) + 40) AS place FROM c),
+  l AS (SELECT doc_id, k, place, (len(string_split(left(text, place), chr(10))) - 1)::BIGINT AS line FROM o)
+SELECT doc_id AS frame_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY place, k) - 1 AS position, k AS call_key FROM l""")
+def q_calls_by_line(spark, sf_dir):
+    """Documents stand for frames with eight calls each, some of them after the end."""
+    d = _t(spark, sf_dir, "documents").where("text is not null")
+    calls = d.select(F.col("doc_id").alias("frame_id"), F.length("text").alias("n"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(8).cast("long"))).alias("call_key"))
+    calls = calls.select("frame_id", "call_key", ((F.col("call_key") * 7919 + F.col("frame_id")) % (F.col("n") + 40)).cast("long").alias("span_start"))
+    return intervals.calls_by_line(d.select(F.col("doc_id").alias("frame_id"), F.col("text").alias("source")), calls)
+
+
+@_query("""WITH d AS (SELECT doc_id, instr(text, ' ') AS cut, length(text) AS n FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, cut, n, unnest([-3, 0, 2, 5, 100000000]) AS o FROM d), q AS (SELECT *, unnest(['d', 'file:d', 'gone']) AS kind FROM p),
+  i AS (SELECT doc_id, unnest([0, 3, 4]) AS off, unnest([20, 2, 9]) AS len, cut FROM d)
+SELECT kind || q.doc_id AS target_id, o::BIGINT AS "offset", max(cut_off)::BIGINT AS off_u16 FROM q JOIN (SELECT doc_id, off + cut AS cut_off, off + cut + len AS cut_end FROM i) i USING (doc_id)
+WHERE kind <> 'gone' AND o >= 0 AND cut_off <= o + CASE WHEN kind = 'd' THEN cut ELSE 0 END AND o + CASE WHEN kind = 'd' THEN cut ELSE 0 END < cut_end GROUP BY 1, 2""")
+def q_type_infos(spark, sf_dir):
+    """Documents stand for files, what follows the first blank for a target in each, with three identifiers, one around the others."""
+    d = _t(spark, sf_dir, "documents").where("text is not null")
+    name, cut = F.concat(F.lit("d"), F.col("doc_id").cast("string")), F.instr("text", " ").cast("long")
+    files = d.select(name.alias("file"), F.col("text").alias("source"))
+    targets = d.select(name.alias("target_id"), name.alias("file"), F.octet_length(F.substring("text", F.lit(1), cut.cast("int"))).cast("long").alias("start_byte"))
+    ident = lambda off, n: F.struct((cut + off).alias("off_u16"), F.lit("x" * n).alias("name"))
+    idents = d.select(name.alias("file"), F.explode(F.array(ident(0, 20), ident(3, 2), ident(4, 9))).alias("i")).select("file", "i.*")
+    kinds = F.explode(F.array(*[F.concat(F.lit(p), name) for p in ("", "file:")], F.concat(F.lit("gone"), F.col("doc_id").cast("string")))).alias("target_id")
+    points = d.select("doc_id", "text", kinds).select("target_id", F.explode(F.array(*[F.lit(o).cast("long") for o in (-3, 0, 2, 5, 100_000_000)])).alias("offset"))
+    return Engine({"targets": targets, "source_files": files, "idents": idents}).type_infos(points).select("target_id", "offset", "off_u16")

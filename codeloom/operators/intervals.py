@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from codeloom.functions.text import utf16_len
 
 #: Widths of the bins that spans lie in: powers of four, so offsets up to 4 ** 16.
 LEVELS = 16
@@ -27,6 +28,31 @@ def containing(points: DataFrame, spans: DataFrame, keys: list[str]) -> DataFram
     return p.join(s, [*keys, "level", "bin"]).where((F.col("start") <= F.col("at")) & (F.col("at") < F.col("end"))).drop("level", "bin")
 
 
+def line_spans(sources: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, line, start, end: where each line of a source begins and the next one does, in UTF-16 units, lines from 0.
+
+    Beginnings are running sums of the lengths of the lines before, so the text is parted once; the end
+    of the last line takes in the place after it.
+    """
+    parts = sources.select(*keys, F.posexplode(F.split("source", "\n", -1)).alias("line", "text"))
+    sized = parts.select(*keys, F.col("line").cast("long").alias("line"), (utf16_len(F.col("text")) + 1).alias("n"))
+    end = F.sum("n").over(Window.partitionBy(*keys).orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return sized.select(*keys, "line", (end - F.col("n")).alias("start"), end.alias("end"))
+
+
+def calls_by_line(frames: DataFrame, calls: DataFrame) -> DataFrame:
+    """(frame_id, line, position, call_key): the calls (frame_id, call_key, span_start) of each line of a frame (frame_id, source), in order of their spans.
+
+    Lines count from 0. An offset after the end is on the last line, one before the beginning on the first.
+    Offsets meet lines as points meet spans, without a look at the text.
+    """
+    spans = line_spans(frames, ["frame_id"])
+    ends = spans.groupBy("frame_id").agg((F.max("end") - 1).alias("last"))
+    points = calls.join(ends, "frame_id").select("frame_id", "call_key", "span_start", F.greatest(F.lit(0), F.least("span_start", "last")).alias("at"))
+    place = F.row_number().over(Window.partitionBy("frame_id", "line").orderBy("span_start", "call_key")) - 1
+    return containing(points, spans, ["frame_id"]).withColumn("position", place.cast("long")).select("frame_id", "line", "position", "call_key")
+
+
 def overlapping(spans: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
     """Every span with every other of the same ``keys`` that shares a place with it, half-open; the other's ends as other_start and other_end.
 

@@ -9,6 +9,7 @@ from codeloom.functions.text import byte_to_utf16, clean_path, excerpt, lines, u
 from codeloom.operators.dispatch import chosen, fan_in
 from codeloom.operators.intervals import containing
 from codeloom.operators.lookup import lookup, lookup_names, search, search_names
+from codeloom.operators.types import places_in_files
 
 
 class UnknownTarget(KeyError):
@@ -105,14 +106,14 @@ class Engine:
         if source.isEmpty():
             raise UnknownTarget(f"{path} is not an indexed file")
         whole = source.select(
-            F.lit(target_id).alias("target_id"), F.substring_index("file", "/", -1).alias("title"), "file", F.lit(0).cast("long").alias("start_byte"), F.octet_length("source").cast("long").alias("end_byte"),
+            F.col("file").alias("target_id"), F.substring_index("file", "/", -1).alias("title"), "file", F.lit(0).cast("long").alias("start_byte"), F.octet_length("source").cast("long").alias("end_byte"),
             F.lit(1).cast("long").alias("start_line"), F.size(lines(F.col("source"))).cast("long").alias("end_line"), F.lit(True).alias("has_body"), "source")
-        own = self.t["targets"].join(source.select("file"), "file", "left_semi").select(F.col("target_id").alias("caller_id"))
-        inside = self.t["call_sites"].join(own, "caller_id", "left_semi")
+        own = self.t["targets"].join(source.select("file"), "file", "left_semi").select(F.col("target_id").alias("caller_id"), F.col("file").alias("of_file"))
+        inside = self.t["call_sites"].join(own, "caller_id").drop("caller_id").withColumnRenamed("of_file", "caller_id")
         if self.language == "ts":
             inside = inside.dropDuplicates(["call_key"])  # a function inside another has its calls twice
         # a whole file shows calls in order of their names' places
-        return frames(whole, inside.withColumn("caller_id", F.lit(target_id)).drop("ast_order").withColumn("place", F.col("name_start")), "place")
+        return frames(whole, inside.drop("ast_order").withColumn("place", F.col("name_start")), "place").withColumn("target_id", F.lit(target_id))
 
     def frame_for_call(self, call_key: str, choice: int = 0) -> DataFrame:
         """The body behind a call: its target, or the option at ``choice``, the first if there is none there."""
@@ -127,15 +128,27 @@ class Engine:
             raise UnknownTarget(f"no body for call {call_key}")
         return self.frame(picked.target_id)
 
-    def type_info(self, file: str, offset: int) -> DataFrame:
-        """The identifier that holds a UTF-16 offset of a file: no row or one."""
-        return identifiers_at(self.t["idents"], self._spark.range(1).select(F.lit(file).alias("file"), F.lit(offset).cast("long").alias("offset")))
+    def type_info(self, target_id: str, offset: int) -> DataFrame:
+        """The identifier at a UTF-16 offset of a target's source: no row or one.
 
-    def describe_target(self, target_id: str) -> DataFrame:
-        """What the declaration of a target says of itself: its identifier's row."""
-        declared = self.t["targets"].where(F.col("target_id") == target_id)
-        if declared.isEmpty():
+        A negative offset asks for the target's own declaration. ``file:<path>``
+        is a target too. An unknown target is an error, unless its declaration is asked for.
+        """
+        if offset < 0:
+            return self.describe_target(target_id)
+        if not target_id.startswith("file:") and self.t["targets"].where(F.col("target_id") == target_id).isEmpty():
             raise UnknownTarget(f"unknown target {target_id}")
+        point = self._spark.range(1).select(F.lit(target_id).alias("target_id"), F.lit(offset).cast("long").alias("offset"))
+        return self.type_infos(point).drop("target_id", "offset")
+
+    def type_infos(self, points: DataFrame) -> DataFrame:
+        """(target_id, offset) with the identifier there, for many at once; none for places off identifiers and unknown targets."""
+        placed = places_in_files(points, self.t["targets"], self.t["source_files"])
+        hit = identifiers_at(self.t["idents"], placed.select("file", F.col("at").alias("offset")))
+        return placed.join(hit.withColumnRenamed("offset", "at"), ["file", "at"]).drop("at")
+
+    def describe_target(self, target_id: str) -> DataFrame:
+        """What the declaration of a target says of itself: its identifier's row; none for an unknown target."""
         return self.t["idents"].where((F.col("func_target") == target_id) & F.col("is_declaration"))
 
     def usages(self, target_id: str) -> DataFrame:

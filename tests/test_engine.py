@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codeloom import catalog
 from codeloom.functions import text as T
-from codeloom.operators import diff, dispatch, graph, intervals, lookup, notes, usages
+from codeloom.operators import diff, dispatch, graph, intervals, lookup, notes, types, usages
 from codeloom.plans.engine import Engine, UnknownTarget
 from codeloom.sources.facts import SCHEMAS, as_json, detect_language, read_notes, source_range, write_notes
 from codeloom.streaming import reload
@@ -55,7 +55,7 @@ def engine(spark):
         targets,
     ).join(at.select("call_key", "line").union(spark.createDataFrame([("r1", 14)], "call_key string, line long")), "call_key")
     ident = lambda at, n, kind, declares: ("main.go", at, n, kind, "", "", "app.main" if declares else None, None, 1, declares, False)
-    idents = make("idents", [ident(10, "g", "var", False), ident(12, "🌍Greet", "func", True)])
+    idents = make("idents", [ident(10, "g", "var", False), ident(12, "🌍Greet", "func", True), ident(len(SOURCE[: SOURCE.index("apply(Run")].encode("utf-16-le")) // 2, "apply", "func", False)])
     return Engine({"source_files": files, "targets": targets, "call_sites": calls, "candidates": options, "usages": used, "idents": idents})
 
 
@@ -91,8 +91,14 @@ def test_lookup_frame_search_files(engine):
     whole = engine.frame("file:main.go").head()
     assert whole.end_line == 16 and [c.call_key for c in whole.calls] == ["c1", "c5", "c2", "c3", "c4"]
     assert whole.source == SOURCE and engine.frame("file:./x/../main.go").head().end_line == 16
-    assert engine.type_info("main.go", 18).head().name == "🌍Greet" and engine.type_info("main.go", 19).count() == engine.type_info("main.go", 11).count() == engine.type_info("main.go", -1).count() == 0
-    assert engine.describe_target("app.main").head().name == "🌍Greet"
+    at = lambda offset, target="file:main.go": [r.name for r in engine.type_info(target, offset).collect()]
+    assert at(18) == ["🌍Greet"] and at(10) == ["g"] and at(19) == at(11) == at(0, "file:none.go") == []
+    assert at(-1, "app.main") == ["🌍Greet"] and at(-1, "nope") == []
+    begun = len(SOURCE[: SOURCE.index("func main")])
+    units = lambda t: len(t.encode("utf-16-le")) // 2
+    assert at(units(SOURCE[begun : SOURCE.index("apply(Run")]) + 1, "app.main") == ["apply"] and at(0, "app.main") == []
+    with pytest.raises(UnknownTarget):
+        engine.type_info("nope", 0)
     assert [r.target_id for r in engine.callees_at("main.go", 6, 6).collect()] == ["app.English.Greet", "app.French.Greet"]
     assert [r.target_id for r in engine.callees_at("main.go", 12, 14).collect()] == ["app.RunGreeter", "app.apply"]
     assert engine.callees_at("main.go", 1, 2).count() == 0
@@ -354,6 +360,27 @@ def test_joins_by_rarest_run(spark):
     assert got == [("a", 0), ("a", 1), ("a", 2), ("al", 0), ("al", 2), ("alp", 0), ("pkg.", 0), ("pkg.", 1), ("pkg.", 2), ("🌍", 4)]
 
 
+def test_definitions(spark):
+    kinds = spark.createDataFrame([("p.S", "struct", "struct{}"), ("p.E", "struct", "struct{}"), ("p.I", "interface", ""), ("p.N", "interface", ""), ("p.F", "signature", "func()"), ("p.M", "other", "map[string]int"), ("p.A", "other", "p.A")], "type_key string, shape string, underlying string")
+    members = spark.createDataFrame([("p.S", 2, "B", "int"), ("p.S", 1, None, "*q.Base"), ("p.I", 1, "Z", "func() error"), ("p.I", 2, "A", "func(x int)"), ("p.F", 1, "x", "y")], "type_key string, ordinal int, name string, type string")
+    asked = spark.createDataFrame([(t,) for t in ("p.S", "**p.S", "p.E", "p.I", "*p.N", "p.F", "p.M", "p.A", "[]p.S", "int")], "type_string string")
+    got = {r.type_string: r.definition for r in types.definitions(asked, kinds, members).collect()}
+    struct = "struct {\n    *q.Base\n    B int\n}"
+    assert got == {"p.S": struct, "**p.S": struct, "p.E": "struct{}", "p.I": "interface {\n    A(x int)\n    Z() error\n}", "*p.N": "interface{}", "p.F": "", "p.M": "map[string]int", "p.A": "", "[]p.S": "", "int": ""}
+    plain = spark.createDataFrame([("a", False), ("b", True), ("c", False), ("d", False), ("e", False)], "type_key string, telling boolean")
+    rows = [("a", 2, "  x: y;  \nmore"), ("a", 1, "é" * 101), ("a", 3, "z" * 100), ("b", 1, "x"), *(("c", k, f"m{k}") for k in range(24)), *(("d", k, f"m{k}") for k in range(25))]
+    got = {r.type_key: r.definition for r in types.structural_definitions(plain, spark.createDataFrame(rows, "type_key string, ordinal int, text string")).collect()}
+    assert got["a"] == "{\n    " + "é" * 97 + "…\n    x: y;\n    " + "z" * 100 + "\n}"
+    assert got["b"] == got["d"] == got["e"] == "" and got["c"].count("\n") == 25
+
+
+def test_calls_by_line(spark):
+    frames = spark.createDataFrame([("f", "a🌍\n\nb\n"), ("g", "")], "frame_id string, source string")
+    calls = spark.createDataFrame([("f", "z", 0), ("f", "y", 3), ("f", "x", 4), ("f", "w", 5), ("f", "v", 7), ("f", "u", 99), ("f", "t", 2), ("g", "s", 5), ("g", "r", 0), ("h", "q", 0)], "frame_id string, call_key string, span_start long")
+    got = sorted(tuple(r) for r in intervals.calls_by_line(frames, calls).collect())
+    assert got == [("f", 0, 0, "z"), ("f", 0, 1, "t"), ("f", 0, 2, "y"), ("f", 1, 0, "x"), ("f", 2, 0, "w"), ("f", 3, 0, "v"), ("f", 3, 1, "u"), ("g", 0, 0, "r"), ("g", 0, 1, "s")]
+
+
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_no_query_joins_all_with_all(spark, name):
     """No product of tables, and no join on a file's or a view's name alone, in any plan."""
