@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter, defaultdict
-from itertools import chain, repeat
+from itertools import repeat
 from operator import itemgetter
 
 import ahocorasick
@@ -115,57 +115,68 @@ def _adder(least: int):
                 sums[m, b] = more if now is None else np.minimum(now + more, least)
         found = [(m, b, np.packbits(s >= least, bitorder="little").tobytes()) for (m, b), s in sums.items() if (s >= least).any()]
         if found:
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["row", "block", "passed"])
+            yield _batch(found, row=pa.int32(), block=pa.int32(), passed=pa.binary())
 
     return add
 
 
-def _row(rows: list[tuple]):
-    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int32(), pa.int64()), strict=True)], names=["lang", "phrase", "words", "n"])
+def _batch(rows: list[tuple], **kinds):
+    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
 
 
 def _finder(passed, bits: int, longest: int):
-    """Rows (lang, phrase, words, n): each run of 2 words or more that the sketch lets pass, in itself and its parts, once or more a task; words that pass with their number; all words under length 0."""
+    """Rows (bucket, lang, n, phrases): the runs of words that the sketch lets pass, in themselves and their parts, in lists by their hash, once or more a task; without bucket, the number of words of a language."""
 
     def passes(m, h):
         one, two = (passed.value[2 * m - 2 + row][at >> 3] >> (at & 7).astype(np.uint8) for row, at in enumerate(_cells(h, bits)))
         return one & two & 1 == 1
 
-    def singles(lang, counted, cache):
-        words = list(counted)
-        ok = passes(1, mix64(np.fromiter(map(cache.__getitem__, words), U64, len(words)) + U64(cache["lang " + lang])))
-        return [(lang, w, 1, counted[w]) for w, o in zip(words, ok, strict=True) if o] + [(lang, "", 0, sum(counted.values()))]
-
     def find(batches):
-        cache, counted, told = WordHashes(), defaultdict(Counter), np.zeros(2 * ENTRIES, U64)
+        cache, told, found, size, words = WordHashes(), np.zeros(2 * ENTRIES, U64), defaultdict(list), 0, Counter()
+
+        def listed():
+            rows = [(bucket, lang, None, "\n".join(phrases)) for (bucket, lang), phrases in found.items()]
+            found.clear()
+            return _batch(rows, bucket=pa.int32(), lang=pa.string(), n=pa.int64(), phrases=pa.string())
+
         for lang, texts in _by_lang(batches):
             tokens = words_and_ends(texts)
-            counted[lang].update(tokens)
-            del counted[lang]["\n"]
-            if sum(map(len, counted.values())) > ENTRIES or len(counted) > 1024:
-                yield _row(list(chain.from_iterable(singles(k, c, cache) for k, c in counted.items())))
-                counted.clear()
-            grams, ok, rows = Grams(tokens, lang, cache, longest), None, []
+            grams, ok = Grams(tokens, lang, cache, longest), None
+            words[lang] += int((grams.room > 0).sum())
             for m, h in grams:
                 here = passes(m, h) & (grams.room[: len(h)] >= m)
                 ok = here if ok is None else here & ok[:-1][: len(h)] & ok[1 : len(h) + 1]
-                if m == 1:
-                    continue
                 at = np.flatnonzero(ok)
                 slot = (h[at] & U64(len(told) - 1)).astype(np.int64)
-                fresh = told[slot] != h[at]  # a slot that another phrase has taken makes a row twice, never none
+                fresh = told[slot] != h[at]  # a slot that another phrase has taken lists a phrase twice, never not at all
                 at, slot = at[fresh], slot[fresh]
                 told[slot] = h[at]
-                first = np.unique(h[at], return_index=True)[1]
-                rows += [(lang, " ".join(tokens[i : i + m]), m, 0) for i in at[first]]
-            if rows:
-                yield _row(rows)
-        if counted:
-            yield _row(list(chain.from_iterable(singles(k, c, cache) for k, c in counted.items())))
+                new, first = np.unique(h[at], return_index=True)
+                for bucket, i in zip((new >> U64(52)).tolist(), at[first].tolist(), strict=True):
+                    found[bucket, lang].append(" ".join(tokens[i : i + m]))
+                size += len(new)
+            if size > ENTRIES:
+                yield listed()
+                size = 0
+        if found:
+            yield listed()
+        if words:
+            yield _batch([(None, lang, n, None) for lang, n in words.items()], bucket=pa.int32(), lang=pa.string(), n=pa.int64(), phrases=pa.string())
 
     return find
 
 
+def _uniter(batches):
+    """Rows (lang, phrase) from lists of the same bucket, once each."""
+    found = defaultdict(set)
+    for batch in batches:
+        for lang, phrases in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("lang", "phrases")), strict=True):
+            found[lang].update(phrases.split("\n"))
+    rows = [(lang, p) for lang, phrases in found.items() for p in phrases]
+    if rows:
+        yield _batch(rows, lang=pa.string(), phrase=pa.string())
+
+
 def automaton(phrases: list[str]) -> tuple[dict[str, str], ahocorasick.Automaton]:
     """(three characters for each word of the phrases, an automaton that finds the phrases in texts of such characters).
 
@@ -198,7 +209,7 @@ def _counter(shard, key):
                 counts = counts.reshape(-1, SUMMED)
                 rows += [(lang, b, counts[b].tobytes()) for b in np.flatnonzero(counts.any(axis=1))]
             found.clear()
-            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.binary()), strict=True)], names=["lang", "block", "counts"])
+            return _batch(rows, lang=pa.string(), block=pa.int32(), counts=pa.binary())
 
         for lang, texts in _by_lang(batches):
             line = "".join(map(code.get, words_and_ends(texts), repeat(GUARD)))
@@ -222,7 +233,7 @@ def _summer(shard, least: int):
         phrases = shard.value.split("\n")
         rows = [(lang, phrases[b * SUMMED + i], s[i]) for (lang, b), s in sums.items() for i in np.flatnonzero(s >= least)]
         if rows:
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)], names=["lang", "phrase", "f"])
+            yield _batch(rows, lang=pa.string(), phrase=pa.string(), f=pa.int64())
 
     return add
 
@@ -251,9 +262,10 @@ def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5) -> tuple[
     for r, b, bits_ in zip(*(passed[c].to_pylist() for c in ("row", "block", "passed")), strict=True):
         held[r, b] = np.frombuffer(bits_, np.uint8)
     held = spark.sparkContext.broadcast(held.reshape(2 * longest, -1))
-    found = materialize(base.mapInArrow(tidy(_finder(held, bits, longest)), "lang string, phrase string, words int, n long").groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")))
+    found = materialize(base.mapInArrow(tidy(_finder(held, bits, longest)), "bucket int, lang string, n long, phrases string"))
     held.destroy()
-    asked = materialize(found.where("words > 1").groupBy("phrase").agg(F.min("lang").alias("lang")))
+    once = found.where("bucket is not null").repartition("bucket").mapInArrow(tidy(_uniter), "lang string, phrase string")
+    asked = materialize(once.groupBy("phrase").agg(F.min("lang").alias("lang")))
     words = asked.agg(F.sum(F.size(F.split("phrase", " ")))).head()[0] or 0
     shards, counted = -(-5 * words // (4 * AUTOMATON_WORDS)), []  # dealt by hash, so four fifths full
     for s in range(shards):
@@ -265,10 +277,12 @@ def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5) -> tuple[
         counts = base.mapInArrow(tidy(_counter(shard, key), key), "lang string, block int, counts binary").repartition("lang", "block")
         counted.append(materialize(counts.mapInArrow(tidy(_summer(shard, least)), "lang string, phrase string, f long")))
         shard.destroy()
-    every = found.where("words = 1").select("lang", "phrase", "words", F.col("n").alias("f"))
+    every = None
     for part in counted:
-        every = every.unionByName(part.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("words"), "f"))
-    counts, totals = materialize(every.where(F.col("f") >= least)), materialize(found.where("words = 0").select("lang", "n"))
+        every = part if every is None else every.unionByName(part)
+    every = spark.createDataFrame([], "lang string, phrase string, f long") if every is None else every
+    counts = materialize(every.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("words"), "f"))
+    totals = materialize(found.where("bucket is null").groupBy("lang").agg(F.sum("n").alias("n")))
     for table in (found, asked, *counted):
         discard(table)
     return counts, totals
