@@ -19,11 +19,11 @@ from codeloom.llm._shared import U64, WordHashes, discard, keep, materialize, mi
 #: Cells in each of the two rows of the sketch of one phrase length, as a power of two: at least and at most; bytes of text for which one cell is made.
 FEWEST, MOST, TEXT_A_CELL = 22, 24, 256
 #: Cells in one row that is summed; characters of text looked at together.
-BLOCK, CHUNK = 4096, 4 << 20
+BLOCK, CHUNK = 4096, 2 << 20
 #: Phrases whose counts make one row that is summed.
 SUMMED = 512
 #: Words of the phrases in one automaton, at most 2^21 different ones; entries that a task counts before it gives them out.
-AUTOMATON_WORDS, ENTRIES = 1 << 20, 1 << 19
+AUTOMATON_WORDS, ENTRIES = 1 << 20, 1 << 18
 #: The character of ends of pieces and of words that are in no phrase.
 GUARD = "\n"
 
