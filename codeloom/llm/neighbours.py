@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codeloom.llm._shared import materialize, rows_of, tidy
+from codeloom.llm._shared import discard, materialize, tidy
+from codeloom.llm.inner_product import matrix
 
-#: Rows the tree is fitted on, about; rows of one search block; leaves at most; leaves that a query visits first.
-SAMPLE, BLOCK, LEAVES, FIRST = 1 << 16, 4096, 1 << 14, 4
+#: Rows the tree is fitted on, about; rows of one search block; leaves at most; rows a leaf, where that makes fewer; leaves that a query visits first.
+SAMPLE, BLOCK, LEAVES, LEAF_ROWS, FIRST = 1 << 16, 4096, 1 << 14, 128, 2
 #: Part of the squared lengths of two vectors that their squared distance may miss by rounding.
 SLACK = 1e-9
 
@@ -76,9 +77,9 @@ def _projection(dim: int, m: int, seed: int) -> np.ndarray:
 def _assigner(tree: Tree, dim: int, m: int, seed: int):
     def assign(batches):
         r = _projection(dim, m, seed)
-        for ids, vecs in rows_of(batches, "vec_id", "v"):
-            x = np.array(vecs, np.float64).reshape(len(ids), dim)
-            yield pa.record_batch([pa.array(tree.leaf(x @ r), pa.int32()), pa.array(ids, pa.int64()), pa.array(vecs, pa.list_(pa.float32()))], names=["cell", "vec_id", "v"])
+        for batch in batches:
+            ids, vecs = (batch.column(batch.schema.get_field_index(c)) for c in ("vec_id", "v"))
+            yield pa.record_batch([pa.array(tree.leaf(matrix(vecs, dim).astype(np.float64) @ r), pa.int32()), ids, vecs], names=["cell", "vec_id", "v"])
 
     return assign
 
@@ -86,8 +87,8 @@ def _assigner(tree: Tree, dim: int, m: int, seed: int):
 def _projector(dim: int, m: int, seed: int):
     def project(batches):
         r = _projection(dim, m, seed)
-        for (vecs,) in rows_of(batches, "v"):
-            y = (np.array(vecs, np.float64).reshape(len(vecs), dim) @ r).astype(np.float32)
+        for batch in batches:
+            y = (matrix(batch.column(batch.schema.get_field_index("v")), dim).astype(np.float64) @ r).astype(np.float32)
             yield pa.record_batch([pa.array([row.tobytes() for row in y], pa.binary())], names=["y"])
 
     return project
@@ -98,16 +99,16 @@ def _router(tree: Tree, dim: int, m: int, seed: int, limit: float | None):
 
     def route(batches):
         r = _projection(dim, m, seed)
-        for ids, vecs, bounds in rows_of(batches, "vec_id", "v", "bound"):
-            for i, v, bound in zip(ids, vecs, bounds, strict=True):
-                y = np.array(v, np.float64) @ r
+        for batch in batches:
+            vecs = batch.column(batch.schema.get_field_index("v"))
+            for n, (i, bound, y) in enumerate(zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("vec_id", "bound")), matrix(vecs, dim).astype(np.float64) @ r, strict=True)):
                 far = tree.distances(y)
                 near = np.argsort(far, kind="stable")
                 cells = near[:FIRST]
                 if limit is not None:
                     cells = near[FIRST:]
                     cells = cells[far[cells] <= (np.inf if bound is None else limit * bound * bound + SLACK * (y @ y))]
-                yield pa.record_batch([pa.array(cells, pa.int32()), pa.array([i] * len(cells), pa.int64()), pa.array([v] * len(cells), pa.list_(pa.float32())), pa.array([bound] * len(cells), pa.float64())], names=["cell", "vec_id", "v", "bound"])
+                yield pa.record_batch([pa.array(cells, pa.int32()), pa.array([i] * len(cells), pa.int64()), vecs.take(pa.array([n] * len(cells), pa.int64())), pa.array([bound] * len(cells), pa.float64())], names=["cell", "vec_id", "v", "bound"])
 
     return route
 
@@ -146,8 +147,8 @@ def _searcher(dim: int, m: int, seed: int, k: int, limit: float):
                 waiting = []
                 return None
             if arrays is None:
-                x = np.array(pts, np.float64)
-                arrays = np.array(ids, np.int64), x, x @ r
+                x = np.concatenate(pts).astype(np.float64)
+                arrays = np.concatenate(ids), x, x @ r
             q = np.array([w[1] for w in waiting], np.float64)
             qi = np.array([w[0] for w in waiting], np.int64)
             bound = np.array([np.inf if w[2] is None else w[2] for w in waiting])
@@ -156,18 +157,22 @@ def _searcher(dim: int, m: int, seed: int, k: int, limit: float):
             ok = np.isfinite(d) & (d <= bound[:, None])
             return pa.record_batch([pa.array(np.repeat(qi, k)[ok.ravel()], pa.int64()), pa.array(i[ok], pa.int64()), pa.array(d[ok], pa.float64())], names=["query_id", "vec_id", "score"])
 
-        for cell, sub, asks, vids, vecs, bounds in rows_of(batches, "cell", "sub", "ask", "vec_id", "v", "bound"):
-            for n in range(len(vids)):
-                if (cell[n], sub[n]) != now:
+        for batch in batches:
+            cell, sub, asks, vids = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("cell", "sub", "ask", "vec_id"))
+            vecs, bounds = matrix(batch.column(batch.schema.get_field_index("v")), dim), batch.column(batch.schema.get_field_index("bound")).to_pylist()
+            begins = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (sub[1:] != sub[:-1])]).tolist() if len(cell) else []
+            for a, b in zip(begins, [*begins[1:], len(cell)], strict=True):
+                if (cell[a], sub[a]) != now:
                     if out := answer():
                         yield out
-                    now, ids, pts, arrays = (cell[n], sub[n]), [], [], None
-                if asks[n]:
+                    now, ids, pts, arrays = (cell[a], sub[a]), [], [], None
+                first = a + int(np.searchsorted(asks[a:b], True))  # points come before queries
+                if first > a:
+                    ids.append(vids[a:first]), pts.append(vecs[a:first])
+                for n in range(first, b):
                     waiting.append((vids[n], vecs[n], bounds[n]))
                     if len(waiting) >= 48 and (out := answer()):
                         yield out
-                else:
-                    ids.append(vids[n]), pts.append(vecs[n])
         if out := answer():
             yield out
 
@@ -211,7 +216,7 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, dims: int = 16, c
     share = min(1.0, SAMPLE / n)
     picked = valid.where(F.xxhash64("vec_id", F.lit(seed)) / 2.0**64 + 0.5 < share).select("v").mapInArrow(tidy(_projector(dim, dims, seed)), "y binary").toArrow()["y"].to_pylist()
     sample = np.frombuffer(b"".join(sorted(picked)), np.float32).reshape(-1, dims).astype(np.float64)
-    tree = Tree(sample, min(LEAVES, -(-n // (BLOCK // 2))))
+    tree = Tree(sample, min(LEAVES, -(-n // LEAF_ROWS)))
     limit = chi_square_quantile(confidence, dims)
     points = materialize(valid.mapInArrow(tidy(_assigner(tree, dim, dims, seed)), "cell int, vec_id long, v array<float>"))
     subs = points.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("subs"))
@@ -231,4 +236,6 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, dims: int = 16, c
     first = materialize(ranked(visit(routed(queries.withColumn("bound", F.lit(None).cast("double")), None))).select("query_id", "vec_id", "score", "rank"))
     bounds = first.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bound"))
     rest = visit(routed(queries.join(bounds, "vec_id", "left"), limit))
-    return ranked(first.select("query_id", "vec_id", "score").unionByName(rest)).select("query_id", "rank", "vec_id", "score")
+    found = materialize(ranked(first.select("query_id", "vec_id", "score").unionByName(rest)).select("query_id", "rank", "vec_id", "score"))
+    discard(points), discard(first)
+    return found
