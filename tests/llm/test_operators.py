@@ -516,20 +516,65 @@ def test_packing(spark):
     assert packing.pack(frame(spark, [])).count() == 0
 
 
-def test_plan_is_best_fit_decreasing():
+def test_ranges_carry_what_they_leave_over():
+    """Sweeps of ranges and their moves pair what one stack over all of them pairs."""
     r = np.random.default_rng(8)
     for _ in range(50):
-        lengths = sorted(r.integers(1, 101, 300).tolist(), reverse=True)
-        gaps = []
-        for n in lengths:
-            fit = [g for g in gaps if g >= n]
-            g = min(fit) if fit else 100
-            if fit:
-                gaps.remove(g)
-            gaps.append(g - n)
-        moves = packing.plan(collections.Counter(lengths), 100)
-        assert sum(m[2] - m[1] for m in moves) == 300
-        assert max(m[3] + m[2] - m[1] for m in moves) == len(gaps)
+        rows = [(k, int(kind)) for k, kind in enumerate(r.random(60) < r.uniform(0.2, 0.8))]  # from great to small; 1 is a piece
+        stack, want = [], set()
+        for k, kind in rows:
+            if kind == 0:
+                stack.append(k)
+            elif stack:
+                want.add((k, stack.pop()))
+        cuts = [0, *sorted(r.integers(0, 61, 6).tolist()), 60]
+        got, pieces, slots = set(), {}, {}
+        for part, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            here, alone = [], []
+            for k, kind in rows[lo:hi]:
+                if kind == 0:
+                    here.append(k)
+                elif here:
+                    got.add((k, here.pop()))
+                else:
+                    alone.append(k)
+            pieces[part], slots[part] = alone, here
+        numbers = []
+        for part, low, of, high, n, number in packing.carried([(p, len(pieces[p]), len(slots[p])) for p in pieces]):
+            got |= {(pieces[part][low + j], slots[of][high - j]) for j in range(n)}
+            numbers += range(number, number + n)
+        assert got == want and numbers == list(range(len(numbers)))
+
+
+def _best_fit_decreasing(lengths, capacity):
+    gaps = []
+    for n in sorted(lengths, reverse=True):
+        fit = [g for g in gaps if g >= n]
+        if fit:
+            gaps.remove(min(fit))
+        gaps.append((min(fit) if fit else capacity) - n)
+    return len(gaps)
+
+
+@pytest.mark.parametrize("lengths", [
+    np.random.default_rng(8).integers(1, 101, 600).tolist(),
+    [*np.random.default_rng(9).integers(1, 101, 200).tolist(), *[1] * 2000],  # one very common length
+    [30] * 500,
+    [100] * 7 + [51] * 3 + [50] * 3,
+    [],
+])
+def test_rounds_come_near_best_fit_decreasing(spark, monkeypatch, lengths):
+    monkeypatch.setattr(packing, "SWEPT", 100)  # several ranges
+    pieces = spark.createDataFrame(list(enumerate(lengths)), "id long, length long")
+    placed = packing._placed(pieces, 100).collect()
+    assert sorted(x.id for x in placed) == [k for k, n in enumerate(lengths) if n <= 50]
+    by = collections.defaultdict(list, {k: [(0, n)] for k, n in enumerate(lengths) if n > 50})
+    for x in placed:
+        by[x.sequence_id].append((x.offset, lengths[x.id]))
+    for parts in by.values():
+        ends = np.cumsum([n for _, n in sorted(parts)])
+        assert [o for o, _ in sorted(parts)] == [0, *ends[:-1]] and ends[-1] <= 100
+    assert len(by) <= 1.01 * _best_fit_decreasing(lengths, 100)
 
 
 # neighbours
