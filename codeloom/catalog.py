@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
-from codeloom.operators import diff, dispatch, graph, intervals, lookup, notes, types, usages, views
+from codeloom.operators import diff, dispatch, graph, intervals, lookup, notes, resolvers, types, usages, views
 from codeloom.operators.storage import shared_folder, written
 from codeloom.plans.engine import Engine, frames, identifiers_at
 from codeloom.streaming import reload
@@ -766,3 +766,55 @@ def q_type_infos(spark, sf_dir):
     kinds = F.explode(F.array(*[F.concat(F.lit(p), name) for p in ("", "file:")], F.concat(F.lit("gone"), F.col("doc_id").cast("string")))).alias("target_id")
     points = d.select("doc_id", "text", kinds).select("target_id", F.explode(F.array(*[F.lit(o).cast("long") for o in (-3, 0, 2, 5, 100_000_000)])).alias("offset"))
     return Engine({"targets": targets, "source_files": files, "idents": idents}).type_infos(points).select("target_id", "offset", "off_u16")
+
+
+@_query("""WITH RECURSIVE par AS (SELECT p_partkey AS c, p_partkey // 2 AS p FROM part WHERE p_partkey > 0 UNION SELECT p_partkey, p_partkey // 3 FROM part WHERE p_partkey > 0),
+  pairs AS (SELECT c_custkey AS pair_id, c_custkey AS l, (c_custkey * 7 + c_nationkey) // 6 AS r FROM customer),
+  a AS (SELECT * FROM (SELECT pair_id, 0 AS side, l AS c FROM pairs UNION ALL SELECT pair_id, 1, r FROM pairs) UNION SELECT pair_id, side, p FROM a JOIN par USING (c)),
+  common AS (SELECT pair_id, c FROM a WHERE c IN (SELECT p_partkey FROM part) GROUP BY 1, 2 HAVING count(*) = 2),
+  best AS (SELECT pair_id, c FROM common EXCEPT SELECT pair_id, p FROM common JOIN par USING (c))
+SELECT pair_id, row_number() OVER (PARTITION BY pair_id ORDER BY p_size DESC, c) - 1 AS idx, c AS commit_id FROM best JOIN part ON p_partkey = c""")
+def q_merge_bases(spark, sf_dir):
+    """Parts stand for commits, whose parents are those of half and a third of their number; customers for pairs of versions."""
+    part = _t(spark, sf_dir, "part")
+    key = F.col("p_partkey").cast("long")
+    parents = F.when(key > 0, F.array_distinct(F.array(F.floor(key / 2), F.floor(key / 3)))).otherwise(F.array().cast("array<bigint>"))
+    right = F.floor((F.col("c_custkey") * 7 + F.col("c_nationkey")) / 6)
+    pairs = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pair_id"), F.col("c_custkey").cast("long").alias("left"), right.alias("right"))
+    return graph.merge_bases(part.select(key.alias("commit_id"), parents.alias("parents"), F.col("p_size").alias("at")), pairs)
+
+
+_ROUTE_SQL = "regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[?#].*$', '')"
+
+
+@_query(f"""WITH e AS (SELECT event_id, event_type, user_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events),
+  reads AS (SELECT DISTINCT k // 10 AS g, user_id FROM e WHERE event_type = 'signup'),
+  sends AS (SELECT 'e' || event_id AS call_key, 'channels' AS resolver, 'f' || user_id AS target_id FROM (SELECT event_id, k // 10 AS g FROM e WHERE event_type = 'error') JOIN reads USING (g)),
+  asked AS (SELECT 'p' || page_id AS call_key, {_ROUTE_SQL} AS route FROM pages),
+  table_ AS (SELECT '/' || string_split({_ROUTE_SQL}, '/')[2] || '/' AS pattern, min('h' || page_id) AS target_id FROM pages GROUP BY 1),
+  every AS (SELECT * FROM sends UNION ALL SELECT call_key, 'routes', target_id FROM asked JOIN table_ ON starts_with(route, pattern))
+SELECT call_key, resolver, row_number() OVER (PARTITION BY call_key ORDER BY 'at ' || target_id, target_id) - 1 AS idx, target_id FROM every""")
+def q_resolvers(spark, sf_dir):
+    """Events stand for sends and reads on channels, ten of which assignments make one; pages for requests, their first folders for routes."""
+    e = _t(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    pages = _t(spark, sf_dir, "pages").withColumn("route", F.regexp_replace(F.regexp_replace("url", "^[a-z]+://[^/]*", ""), "[?#].*$", ""))
+    none = F.lit(None).cast("string")
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    sends = e.where("event_type = 'error'").select(name("e", "event_id").alias("call_key"), F.col("k").alias("channel"), none.alias("route"))
+    calls = sends.unionByName(pages.select(name("p", "page_id").alias("call_key"), F.lit(None).cast("long").alias("channel"), "route"))
+    handler = lambda p, c: (name(p, c).alias("target_id"), F.concat(F.lit("at "), name(p, c)).alias("label"), none.alias("provenance"))
+    facts = {
+        "channel_flows": e.select((F.floor(F.col("k") / 10) * 10).alias("source"), F.col("k").alias("target")).distinct(),
+        "channel_reads": e.where("event_type = 'signup'").select(F.col("k").alias("channel"), *handler("f", "user_id")),
+        "routes": pages.select(F.concat(F.lit("/"), F.split("route", "/")[1], F.lit("/")).alias("pattern"), *handler("h", "page_id")),
+    }
+    return resolvers.Resolvers(resolvers.Channels(), resolvers.Routes()).resolve(calls, facts).select("call_key", "resolver", "idx", "target_id")
+
+
+@_query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, k AS line, (k - 1 + coalesce(list_sum(list_transform(l[1:k - 1], lambda x: length(x))), 0))::BIGINT AS start, length(l[k]) AS n_chars FROM l, unnest(range(1, len(l) + 1)) AS u(k)""")
+def q_source_lines(spark, sf_dir):
+    """The table function of lines, called for each document by a lateral join."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
+    resolvers.register(spark)
+    return spark.sql("SELECT doc_id, line, start, length(l.text)::bigint AS n_chars FROM {docs} d, LATERAL source_lines(d.text) l", docs=docs)

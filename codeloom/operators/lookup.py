@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from codeloom.functions.text import contains_folded, leaf
 
@@ -57,6 +58,14 @@ def search(targets: DataFrame, query: str, limit: int = 50) -> DataFrame:
     return hits.orderBy(F.desc("is_leaf"), "target_id").limit(limit)
 
 
+def picked(targets: DataFrame, query: str) -> DataFrame:
+    """What a picker offers for ``query``, at most 25 targets with first for the one that is taken; a blank query offers none."""
+    if not query.strip():
+        return targets.limit(0).withColumn("first", F.lit(False))
+    place = F.row_number().over(Window.orderBy(F.desc("is_leaf"), "target_id"))  # over 25 rows
+    return search(targets, query, 25).withColumn("first", place == 1).drop("is_leaf")
+
+
 def search_names(functions: DataFrame, templates: DataFrame, query: str, limit: int = 50) -> DataFrame:
     """By name: functions in order of id, then templates; cut after the union, at 50 where ``limit`` is not positive."""
     limit = limit if limit > 0 else 50

@@ -62,6 +62,10 @@ class Engine:
     def _spark(self) -> SparkSession:
         return self.t["targets"].sparkSession
 
+    def loaded(self) -> int:
+        """How many functions the snapshot holds."""
+        return self.t["targets"].count()
+
     def files(self) -> DataFrame:
         main = self.t["source_files"].where("is_main_module").select("file")
         return main.join(self.t["targets"].select("file").distinct(), "file", "left_semi").distinct().orderBy("file")
