@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import os
+from bisect import bisect_left, insort
+from collections import defaultdict
 from zlib import crc32
 
 import numpy as np
@@ -13,13 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codeloom.llm._shared import keep, materialize, rows_of, tidy
+from codeloom.llm._shared import discard, keep, materialize, tidy
 
 CAPACITY, CLOSING_ID = 4096, 1
-#: Pieces and slots of gaps that a task sweeps, about.
+#: Pieces that a task numbers, about.
 SWEPT = 1 << 16
-#: A round that places less than one piece in so many is followed by one in which gaps hold several pieces.
-SLOW = 32
 #: Characters that are encoded at once.
 CHARS = 1 << 22
 #: Bytes of runs that a worker learns before it forgets those it has not met since as many before, and what a run takes besides its characters and ids.
@@ -163,41 +163,6 @@ def _pieces(vocabulary: str | None, capacity: int):
     return cut
 
 
-def _sweep(batches):
-    """Successor sweep of one range of slots and pieces, from great to small: (part, kind, rank, id, length, sequence).
-
-    A slot waits on a stack; a piece takes the last slot that came, the
-    smallest that holds it. Kind 2 is a piece with the sequence it got; kind
-    1 a piece that found none in this range and kind 0 a slot that stays,
-    each with its rank in the range.
-    """
-    from pyspark import TaskContext
-
-    part, waiting, alone = TaskContext.get().partitionId(), [], 0
-    names = ["part", "kind", "rank", "id", "length", "sequence"]
-
-    def rows(kind, ranks, ids, lengths, sequences):
-        n = len(ranks)
-        return pa.record_batch([pa.array([part] * n, pa.int32()), pa.array([kind] * n, pa.int32()), *[pa.array(c, pa.int64()) for c in (ranks, ids, lengths, sequences)]], names=names)
-
-    for size, kind, ident, sequence in rows_of(batches, "size", "kind", "id", "sequence"):
-        got, left = [], []
-        for n, k, i, s in zip(size, kind, ident, sequence, strict=True):
-            if k == 0:
-                waiting.append((n, s))
-            elif waiting:
-                got.append((0, i, n, waiting.pop()[1]))
-            else:
-                left.append((alone, i, n, None))
-                alone += 1
-        for k, found in ((2, got), (1, left)):
-            if found:
-                yield rows(k, *zip(*found, strict=True))
-    for at in range(0, len(waiting), 10_000):
-        some = waiting[at : at + 10_000]
-        yield rows(0, range(at, at + len(some)), [None] * len(some), [n for n, _ in some], [s for _, s in some])
-
-
 def carried(left: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int, int]]:
     """What the ranges left over, ``(part, pieces, slots)``, swept on from range to range.
 
@@ -221,107 +186,101 @@ def carried(left: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int,
     return moves
 
 
-def _paired(swept: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (id, length, sequence) of a round's sweeps, and the pieces (id, length) that stay."""
-    pairs, alone = swept.where("kind = 2").select("id", "length", "sequence"), swept.where("kind = 1").select("part", "rank", "id", "length")
-    over = swept.where("kind < 2").groupBy("part").agg(F.count_if(F.col("kind") == 1).alias("pieces"), F.count_if(F.col("kind") == 0).alias("slots")).collect()
-    moves = carried([(r.part, r.pieces, r.slots) for r in over])
-    if not moves:
-        return pairs, alone.select("id", "length")
-    table = F.broadcast(swept.sparkSession.createDataFrame(moves, "to int, low long, of int, high long, n long, number long"))  # at most two rows a range
-    taking = (F.col("part") == F.col("to")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("low") + F.col("n"))
-    taken = (F.col("part") == F.col("of")) & (F.col("rank") <= F.col("high")) & (F.col("rank") > F.col("high") - F.col("n"))
-    crossed = alone.join(table, taking).select((F.col("number") + F.col("rank") - F.col("low")).alias("pair"), "id", "length")
-    held = swept.where("kind = 0").select("part", "rank", "sequence").join(table, taken).select((F.col("number") + F.col("high") - F.col("rank")).alias("pair"), "sequence")
-    gone = F.broadcast(table.groupBy("to").agg(F.sum("n").alias("gone")))  # those of the first ranks
-    stay = alone.join(gone, F.col("part") == F.col("to"), "left").where(F.col("rank") >= F.coalesce("gone", F.lit(0)))
-    return pairs.unionByName(crossed.join(held, "pair").select("id", "length", "sequence")), stay.select("id", "length")
+def moves_of(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
+    """Best fit decreasing over ``counts``, the number of pieces of each length, without a look at single pieces.
+
+    Moves (length, rank, n, sequence, each, offset): of the pieces of
+    ``length`` those from ``rank``, ``n`` of them, go into the sequences from
+    ``sequence`` upwards, ``each`` into one, the first at ``offset``.
+    Sequences with equal gaps, numbered one after another, are one run; a
+    length adds two runs at most and a run takes a length once, and a
+    sequence holds few different lengths. So the moves are bounded by
+    ``capacity``, whatever the number of pieces.
+    """
+    runs, gaps, moves, opened = defaultdict(list), [], [], 0
+
+    def leave(gap, sequence, n):
+        if gap and n:
+            if not runs[gap]:
+                insort(gaps, gap)
+            runs[gap].append((sequence, n))
+
+    for length in sorted(counts, reverse=True):
+        rank, left = 0, counts[length]
+        while left:
+            at = bisect_left(gaps, length)
+            if at < len(gaps):
+                gap = gaps[at]
+                sequence, held = runs[gap].pop()
+                if not runs[gap]:
+                    del gaps[at]
+            else:
+                gap, sequence, held = capacity, opened, -(-left // (capacity // length))
+                opened += held
+            each = gap // length
+            full = min(held, left // each)
+            if full:
+                moves.append((length, rank, full * each, sequence, each, capacity - gap))
+                leave(gap - each * length, sequence, full)
+                rank, left = rank + full * each, left - full * each
+            if full < held:
+                if left:  # fewer than a sequence takes
+                    moves.append((length, rank, left, sequence + full, left, capacity - gap))
+                    leave(gap - left * length, sequence + full, 1)
+                    full, left = full + 1, 0
+                leave(gap, sequence + full, held - full)
+    return moves
+
+
+def _seats(moves):
+    """Rows (id, length, sequence, offset) of pieces (id, length, rank), by the move that takes their rank."""
 
+    def seat(batches):
+        length, rank, _, sequence, each, offset = moves.value
+        starts = (length << 40) + rank
+        for batch in batches:
+            ids, own, k = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("id", "length", "rank"))
+            m = np.searchsorted(starts, (own << 40) + k, "right") - 1
+            k = k - rank[m]
+            columns = [ids, own, sequence[m] + k // each[m], offset[m] + k % each[m] * own]
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["id", "length", "sequence", "offset"])
 
-def to_open(counts: dict[int, int], n_gaps: int, top: int, room: int, later: bool, capacity: int) -> int:
-    """How many of the longest pieces open sequences: by the volume of those that no gap holds, and, after the first
-    sweep, by the volume that exceeds all room. Where no gap is, the volume counts at once."""
-    volume = sum(length * n for length, n in counts.items())
-    unfit = sum(length * n for length, n in counts.items() if length > top)
-    return max(-(-unfit // capacity), -(-(volume - room) // capacity) if later or not n_gaps else 0, 0)
+    return seat
 
 
 def _placed(pieces: DataFrame, capacity: int) -> DataFrame:
     """(id, sequence_id, offset) of all ``pieces`` (id, length) of at most half of ``capacity``, given with the longer ones, which open sequences.
 
-    A round sorts pieces and slots of gaps by ranges of size and sweeps all
-    ranges at once; what they leave over is swept on by rank. Then gaps are
-    made smaller and the next round begins, until no piece is left. A gap is
-    one slot; after a round that placed less than one piece in ``SLOW``, a gap
-    that could hold several of the longest pieces left is as many slots.
+    Only the number of pieces of each length comes to the driver, where
+    ``moves_of`` packs them by number. Pieces are numbered in their length,
+    part by part, so a common length is no hot key; their number tells which
+    place they take. A sequence bears the id of the piece that opened it.
     """
-    spark, half = pieces.sparkSession, capacity // 2
-    docs = pieces.where(F.col("length") <= half).select("id", "length")
-    opened = lambda df: df.select(F.col("id").alias("sequence"), (F.lit(capacity) - F.col("length")).alias("room"), F.col("length").alias("used"))
-    gaps = opened(pieces.where((F.col("length") > half) & (F.col("length") < capacity)))
-    placed, later, had = [], False, 0
-    while True:
-        told = docs.groupBy("length").agg(F.count("*").alias("n"))
-        room = gaps.agg(F.count("*").alias("n"), F.max("room").alias("top"), F.sum("room").alias("room"))
-        rows = told.select("*", F.lit(None).cast("long").alias("top"), F.lit(None).cast("long").alias("room")).unionByName(room.withColumn("length", F.lit(-1).cast("long"))).collect()  # a row a length, at most capacity
-        total = next(r for r in rows if r.length == -1)
-        n_gaps, top, free = total.n, total.top or 0, total.room or 0
-        counts = {r.length: r.n for r in rows if r.length >= 0}
-        if not counts:
-            break
-        k = to_open(counts, n_gaps, top, free, later, capacity)
-        if k:
-            order, above = sorted(counts, reverse=True), 0
-            for cut in order:
-                if above + counts[cut] >= k:
-                    break
-                above += counts[cut]
-            some = docs.where(F.col("length") == cut)
-            if k - above <= CAPACITY:
-                chosen = F.col("id") <= some.orderBy("id").limit(k - above).agg(F.max("id")).head()[0]
-            else:  # by hashes, for so many as good as by rank
-                chosen = F.pmod(F.xxhash64("id", F.lit(len(placed))), F.lit(1 << 30)) < (k - above) * (1 << 30) // counts[cut]
-            opens = (F.col("length") > cut) | ((F.col("length") == cut) & chosen)
-            seeds = docs.where(opens)
-            placed.append(seeds.select("id", F.col("id").alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
-            gaps, docs = gaps.unionByName(opened(seeds)), docs.where(~opens)
-            n_gaps, free, top = n_gaps + k, free + k * capacity, max(top, capacity - cut)
-        fitting = [length for length in counts if length <= top]
-        most, least = max(fitting), min(counts)
-        gaps = gaps.where(F.col("room") >= least)
-        now = sum(counts.values())
-        slow, had = later and (had - now) * SLOW < had, now
-        n = F.greatest(F.floor(F.col("room") / most), F.lit(1)).cast("long") if slow else F.lit(1).cast("long")
-        slots = gaps.select("sequence", "room", n.alias("n"), F.explode(F.sequence(F.lit(1).cast("long"), n)).alias("id"))
-        size = F.when(F.col("id") == F.col("n"), F.col("room") - (F.col("n") - 1) * most).otherwise(F.lit(most))
-        slots = slots.select(size.cast("long").alias("size"), F.lit(0).alias("kind"), "id", "sequence")
-        every = slots.unionByName(docs.select(F.col("length").alias("size"), F.lit(1).alias("kind"), "id", F.lit(None).cast("long").alias("sequence")))
-        order = [F.desc("size"), "kind", "id", "sequence"]
-        parts = 1 + (now + n_gaps + (free // most if slow else 0)) // SWEPT
-        swept = materialize(every.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(tidy(_sweep), "part int, kind int, rank long, id long, length long, sequence long"))
-        pairs, docs = _paired(swept)
-        before = F.sum("length").over(Window.partitionBy("sequence").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("length")
-        filled = pairs.withColumn("before", before).groupBy("sequence").agg(F.sum("length").alias("lost"), F.collect_list(F.struct("id", "before")).alias("got"))
-        less = F.coalesce("lost", F.lit(0).cast("long"))
-        gaps = materialize(gaps.join(filled, "sequence", "left").select("sequence", (F.col("room") - less).alias("room"), (F.col("used") + less).alias("used"), F.col("used").alias("from"), "got"))
-        placed.append(gaps.select("sequence", "from", F.inline("got")).select("id", F.col("sequence").alias("sequence_id"), (F.col("from") + F.col("before")).alias("offset")))
-        gaps = gaps.select("sequence", "room", "used")
-        later = True
-    out = spark.createDataFrame([], "id long, sequence_id long, offset long")
-    for df in placed:
-        out = out.unionByName(df)
-    return out
+    spark = pieces.sparkSession
+    dealt = pieces.select("id", F.col("length").cast("long").alias("length"), F.shiftright("id", 33).alias("part"))  # the part that gave the id
+    told = dealt.groupBy("length", "part").agg(F.count("*").alias("n"))
+    told = materialize(told.select("length", "part", "n", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before")))
+    counts = {r.length: r.n for r in told.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # a row a length, at most capacity
+    if not counts:
+        return spark.createDataFrame([], "id long, sequence_id long, offset long")
+    moves = spark.sparkContext.broadcast(np.array(sorted(moves_of(counts, capacity)), np.int64).T.copy())
+    own = F.row_number().over(Window.partitionBy("length", "part").orderBy("id")) - 1
+    ranked = dealt.repartition(1 + sum(counts.values()) // SWEPT, "length", "part").withColumn("own", own).join(told.hint("merge"), ["length", "part"])  # as many rows as parts and lengths, so not to all
+    seats = materialize(ranked.select("id", "length", (F.col("own") + F.col("before")).alias("rank")).mapInArrow(tidy(_seats(moves)), "id long, length long, sequence long, offset long"))
+    moves.destroy()
+    discard(told)
+    openers = seats.where("offset = 0").select("sequence", F.col("id").alias("sequence_id"))
+    return seats.where(F.col("length") <= capacity // 2).join(openers, "sequence").select("id", "sequence_id", "offset")
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Documents are tokenized once and their pieces written. Pieces longer than
-    half of ``capacity`` open sequences. All others seek the smallest gap that
-    holds them, in bulk rounds of sweeps over ranges of sizes; only the number
-    of pieces of each length (at most ``capacity`` numbers) and what each
-    range left over (two numbers) come to the driver. Pieces are told apart
-    by a number of their own, so a common length is no hot key.
+    half of ``capacity`` open sequences. All others, from the longest down,
+    take the smallest gap that holds them (best fit decreasing), found from
+    the number of pieces of each length alone; only these, at most
+    ``capacity`` numbers, come to the driver.
 
     Null and empty texts are the closing id alone; documents longer than
     ``capacity`` ids are cut, others never; repeated rows are packed each;

@@ -577,6 +577,33 @@ def test_rounds_come_near_best_fit_decreasing(spark, monkeypatch, lengths):
     assert len(by) <= 1.01 * _best_fit_decreasing(lengths, 100)
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_packing_by_number_is_best_fit_decreasing(seed):
+    r = np.random.default_rng(seed)
+    lengths = r.integers(1, [2, 9, 60, 101, 101][seed], 500).tolist()
+    places, numbered = collections.defaultdict(list), collections.Counter()
+    for length, rank, n, sequence, each, offset in packing.moves_of(collections.Counter(lengths), 100):
+        assert rank == numbered[length]
+        numbered[length] += n
+        for k in range(n):
+            places[sequence + k // each].append((offset + k % each * length, length))
+    assert numbered == collections.Counter(lengths) and len(places) == _best_fit_decreasing(lengths, 100)
+    for parts in places.values():
+        ends = np.cumsum([n for _, n in sorted(parts)])
+        assert [o for o, _ in sorted(parts)] == [0, *ends[:-1]] and ends[-1] <= 100
+
+
+def test_packing_takes_few_jobs(spark):
+    """However many different lengths there are, and over many parts."""
+    lengths = np.random.default_rng(8).integers(1, 60, 600).tolist()
+    pieces = spark.createDataFrame(list(enumerate(lengths)), "id long, length long").repartition(20).withColumn("id", F.col("id") % 20 * (1 << 33) + F.col("id"))
+    spark.sparkContext.setJobGroup("packing", "")
+    placed = packing._placed(pieces, 100).collect()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len({x.id for x in placed}) == sum(n <= 50 for n in lengths)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("packing")) <= 25  # over 100 in rounds
+
+
 # neighbours
 def test_neighbours(spark):
     r = np.random.default_rng(9)
