@@ -16,16 +16,17 @@ def containing(points: DataFrame, spans: DataFrame, keys: list[str]) -> DataFram
     """Every point with every span of the same ``keys`` that holds it: ``points`` (at, ...) and ``spans`` (start, end, ...), half-open.
 
     A span lies in one or two bins about as wide as itself, a point in a bin
-    of each width; they meet in a bin. So a point meets the spans around it,
-    not all of its key.
+    of each width that spans of its key have; they meet in a bin. So a point
+    meets the spans around it, not all of its key, and points of keys without spans go first.
     """
     length = F.greatest(F.col("end") - F.col("start"), F.lit(1))
     level = F.least(F.ceil(F.log2(length) / 2), F.lit(LEVELS)).cast("int")
     width = lambda n: F.expr(f"shiftleft(1L, 2 * {n})")
     s = spans.where(F.col("start") < F.col("end")).withColumn("level", level)
+    levels = s.select(*keys, "level").distinct()
     s = s.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / width("level")), F.floor((F.col("end") - 1) / width("level")))))
-    p = points.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS)))).withColumn("bin", F.floor(F.col("at") / width("level")))
-    return p.join(s, [*keys, "level", "bin"]).where((F.col("start") <= F.col("at")) & (F.col("at") < F.col("end"))).drop("level", "bin")
+    p = points.join(levels, keys).withColumn("bin", F.floor(F.col("at") / width("level")))
+    return p.join(s.hint("merge"), [*keys, "level", "bin"]).where((F.col("start") <= F.col("at")) & (F.col("at") < F.col("end"))).drop("level", "bin")
 
 
 def line_spans(sources: DataFrame, keys: list[str]) -> DataFrame:
