@@ -328,6 +328,18 @@ def test_toxicity_gradients():
         assert np.allclose(g, by_differences(p, loss), atol=1e-6)
 
 
+def test_pairs_of_terms_take_little_more_memory_than_their_table():
+    import tracemalloc
+
+    r, m, n = np.random.default_rng(2), 5000, 5000
+    y, row, col = (r.random(n) < 0.5).astype(float), np.sort(r.integers(0, n, 100_000)), r.integers(0, m, 100_000)
+    tracemalloc.start()
+    toxicity.in_pairs(y, row, col, m, np.zeros(m), 1e9)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * m * n
+
+
 def test_toxicity_learns_pairs_that_no_term_tells(spark):
     """Labels decided by a pair alone: neither term has to do with the label by itself."""
     r = np.random.default_rng(8)
