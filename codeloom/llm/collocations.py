@@ -2,30 +2,22 @@
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter, defaultdict
-from itertools import repeat
-from operator import itemgetter
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codeloom.llm._shared import U64, WordHashes, discard, keep, materialize, mix64, tidy
+from codeloom.llm._shared import U64, WordHashes, discard, materialize, mix64, tidy
 
 #: Cells in each of the two rows of the sketch of one phrase length, as a power of two: at least and at most; bytes of text for which one cell is made.
 FEWEST, MOST, TEXT_A_CELL = 22, 24, 256
 #: Cells in one row that is summed; characters of text looked at together.
 BLOCK, CHUNK = 4096, 2 << 20
-#: Phrases whose counts make one row that is summed.
-SUMMED = 512
-#: Words of the phrases in one automaton, at most 2^21 different ones; entries that a task counts before it gives them out.
+#: Words of the phrases, and phrases, that a task counts before it gives them out.
 AUTOMATON_WORDS, ENTRIES = 1 << 20, 1 << 18
-#: The character of ends of pieces and of words that are in no phrase.
-GUARD = "\n"
 
 # A-Z in lower case, what ends a piece, what parts words.
 _CLEAN = bytearray(range(256))
@@ -125,115 +117,75 @@ def _batch(rows: list[tuple], **kinds):
 
 
 def _finder(passed, bits: int, longest: int):
-    """Rows (bucket, lang, n, phrases): the runs of words that the sketch lets pass, in themselves and their parts, in lists by their hash, once or more a task; without bucket, the number of words of a language."""
+    """Rows (bucket, lang, n, phrases, counts): the runs of words that the sketch lets pass, in themselves and their parts, in lists by their hash, with how often each came, once or more a task; without bucket, the number of words of a language.
+
+    A task tells runs apart by 64-bit hashes until it gives their texts out.
+    """
 
     def passes(m, h):
         one, two = (passed.value[2 * m - 2 + row][at >> 3] >> (at & 7).astype(np.uint8) for row, at in enumerate(_cells(h, bits)))
         return one & two & 1 == 1
 
+    kinds = {"bucket": pa.int32(), "lang": pa.string(), "n": pa.int64(), "phrases": pa.string(), "counts": pa.binary()}
+
     def find(batches):
-        cache, told, found, size, words = WordHashes(), np.zeros(2 * ENTRIES, U64), defaultdict(list), 0, Counter()
+        cache, times, phrase, size, words = WordHashes(), defaultdict(dict), defaultdict(dict), 0, Counter()
 
         def listed():
-            rows = [(bucket, lang, None, "\n".join(phrases)) for (bucket, lang), phrases in found.items()]
-            found.clear()
-            return _batch(rows, bucket=pa.int32(), lang=pa.string(), n=pa.int64(), phrases=pa.string())
+            rows = []
+            for lang, counts in ((k, c) for k, c in times.items() if c):
+                text, hashes = phrase[lang], np.sort(np.fromiter(counts, U64, len(counts)))
+                buckets, starts = np.unique(hashes >> U64(52), return_index=True)
+                for bucket, some in zip(buckets.tolist(), np.split(hashes, starts[1:]), strict=True):
+                    some = some.tolist()
+                    rows.append((bucket, lang, None, "\n".join(map(text.__getitem__, some)), np.fromiter(map(counts.__getitem__, some), np.int64, len(some)).tobytes()))
+            times.clear(), phrase.clear()
+            return _batch(rows, **kinds)
 
         for lang, texts in _by_lang(batches):
             tokens = words_and_ends(texts)
-            grams, ok = Grams(tokens, lang, cache, longest), None
+            grams, ok, counts, text = Grams(tokens, lang, cache, longest), None, times[lang], phrase[lang]
             words[lang] += int((grams.room > 0).sum())
             for m, h in grams:
                 here = passes(m, h) & (grams.room[: len(h)] >= m)
                 ok = here if ok is None else here & ok[:-1][: len(h)] & ok[1 : len(h) + 1]
                 at = np.flatnonzero(ok)
-                slot = (h[at] & U64(len(told) - 1)).astype(np.int64)
-                fresh = told[slot] != h[at]  # a slot that another phrase has taken lists a phrase twice, never not at all
-                at, slot = at[fresh], slot[fresh]
-                told[slot] = h[at]
-                new, first = np.unique(h[at], return_index=True)
-                for bucket, i in zip((new >> U64(52)).tolist(), at[first].tolist(), strict=True):
-                    found[bucket, lang].append(" ".join(tokens[i : i + m]))
-                size += len(new)
-            if size > ENTRIES:
+                found, first, n = np.unique(h[at], return_index=True, return_counts=True)
+                for x, i, k in zip(found.tolist(), at[first].tolist(), n.tolist(), strict=True):
+                    if x in counts:
+                        counts[x] += k
+                    else:
+                        counts[x], text[x] = k, " ".join(tokens[i : i + m])
+                        size += m
+            if size > AUTOMATON_WORDS or sum(map(len, times.values())) > ENTRIES:
                 yield listed()
                 size = 0
-        if found:
+        if any(times.values()):
             yield listed()
         if words:
-            yield _batch([(None, lang, n, None) for lang, n in words.items()], bucket=pa.int32(), lang=pa.string(), n=pa.int64(), phrases=pa.string())
+            yield _batch([(None, lang, n, None, None) for lang, n in words.items()], **kinds)
 
     return find
 
 
-def _uniter(batches):
-    """Rows (lang, phrase) from lists of the same bucket, once each."""
-    found = defaultdict(set)
-    for batch in batches:
-        for lang, phrases in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("lang", "phrases")), strict=True):
-            found[lang].update(phrases.split("\n"))
-    rows = [(lang, p) for lang, phrases in found.items() for p in phrases]
-    if rows:
-        yield _batch(rows, lang=pa.string(), phrase=pa.string())
-
-
-def automaton(phrases: list[str]) -> tuple[dict[str, str], ahocorasick.Automaton]:
-    """(three characters for each word of the phrases, an automaton that finds the phrases in texts of such characters).
-
-    The first, second and third characters are of three alphabets, so no
-    phrase begins or ends inside a word; every other word and the ends of pieces are
-    ``GUARD``, which no phrase holds. The automaton seeks a character among
-    those that may follow one by one, so alphabets are small.
-    """
-    words = sorted({w for p in phrases for w in p.split(" ")})
-    code = {w: chr(0x100 + (k >> 14)) + chr(0x180 + (k >> 7 & 127)) + chr(0x200 + (k & 127)) for k, w in enumerate(words)}
-    found = ahocorasick.Automaton()
-    for i, phrase in enumerate(phrases):
-        found.add_word("".join(map(code.__getitem__, phrase.split(" "))), i)
-    found.make_automaton()
-    return code, found
-
-
-def _counter(shard, key):
-    """Rows (lang, block, counts): how often each phrase of a block of the shard comes in the batches, overlaps included."""
-
-    def count(batches):
-        phrases, (code, machine) = keep(key, lambda: ((p := shard.value.split("\n")), automaton(p)))
-        found = defaultdict(Counter)
-
-        def told():
-            rows = []
-            for lang, c in found.items():
-                counts = np.zeros(-(-len(phrases) // SUMMED) * SUMMED, np.int64)
-                counts[np.fromiter(c, np.int64, len(c))] = np.fromiter(c.values(), np.int64, len(c))
-                counts = counts.reshape(-1, SUMMED)
-                rows += [(lang, b, counts[b].tobytes()) for b in np.flatnonzero(counts.any(axis=1))]
-            found.clear()
-            return _batch(rows, lang=pa.string(), block=pa.int32(), counts=pa.binary())
-
-        for lang, texts in _by_lang(batches):
-            line = "".join(map(code.get, words_and_ends(texts), repeat(GUARD)))
-            found[lang].update(map(itemgetter(1), machine.iter(line)))
-            if sum(map(len, found.values())) > ENTRIES:
-                yield told()
-        if any(found.values()):
-            yield told()
-
-    return count
+def _summer(least: int):
+    """Rows (lang, phrase, f) of the phrases whose counts add up to ``least``, from lists that come bucket by bucket."""
 
-
-def _summer(shard, least: int):
-    """Rows (lang, phrase, f) of the phrases whose counts of a block add up to ``least``."""
+    def told(sums):
+        return _batch([(lang, p, f) for (lang, p), f in sums.items() if f >= least], lang=pa.string(), phrase=pa.string(), f=pa.int64())
 
     def add(batches):
-        sums = {}
+        now, sums = None, Counter()
         for batch in batches:
-            for lang, b, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                sums[lang, b] = sums.get((lang, b), 0) + np.frombuffer(counts, np.int64)
-        phrases = shard.value.split("\n")
-        rows = [(lang, phrases[b * SUMMED + i], s[i]) for (lang, b), s in sums.items() for i in np.flatnonzero(s >= least)]
-        if rows:
-            yield _batch(rows, lang=pa.string(), phrase=pa.string(), f=pa.int64())
+            for bucket, lang, phrases, counts in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("bucket", "lang", "phrases", "counts")), strict=True):
+                if bucket != now:
+                    if any(f >= least for f in sums.values()):
+                        yield told(sums)
+                    now, sums = bucket, Counter()
+                for p, k in zip(phrases.split("\n"), np.frombuffer(counts, np.int64).tolist(), strict=True):
+                    sums[lang, p] += k
+        if any(f >= least for f in sums.values()):
+            yield told(sums)
 
     return add
 
@@ -241,14 +193,13 @@ def _summer(shard, least: int):
 def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, f) of every phrase of 1 to ``longest`` words that comes ``least`` times in a language, and (lang, n) of all its words.
 
-    Three scans. The first adds phrases up in a sketch of cells, as many as the
+    Two scans. The first adds phrases up in a sketch of cells, as many as the
     text asks for, but 2^``MOST`` a length at most; a cell holds the sum of all phrases
-    hashed to it, so it never counts too few, and of a phrase's two cells the lesser counts. The second takes the phrases
+    hashed to it, so it never counts too few, and of a phrase's two cells the lesser counts. The second counts the phrases
     whose cell, and whose parts' cells, reach ``least``: candidates, more than
-    there are but none too few; a full sketch only makes them more. The third
-    finds them in the texts by automata of about ``AUTOMATON_WORDS`` words at
-    most, one scan for each, and sums: what comes out is exact. Only the cells' bits (20 MB at most) and the phrases of
-    one automaton ever come to the driver.
+    there are but none too few; a full sketch only makes them more. Tasks
+    give counts out in lists by hash, which are summed by the phrases themselves, so the number of scans does not grow with the
+    phrases. Only the cells' bits (20 MB at most) ever come to the driver.
     """
     if least < 1 or longest < 1:
         raise ValueError("least and longest must be 1 or more")
@@ -262,29 +213,13 @@ def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5) -> tuple[
     for r, b, bits_ in zip(*(passed[c].to_pylist() for c in ("row", "block", "passed")), strict=True):
         held[r, b] = np.frombuffer(bits_, np.uint8)
     held = spark.sparkContext.broadcast(held.reshape(2 * longest, -1))
-    found = materialize(base.mapInArrow(tidy(_finder(held, bits, longest)), "bucket int, lang string, n long, phrases string"))
+    found = materialize(base.mapInArrow(tidy(_finder(held, bits, longest)), "bucket int, lang string, n long, phrases string, counts binary"))
     held.destroy()
-    once = found.where("bucket is not null").repartition("bucket").mapInArrow(tidy(_uniter), "lang string, phrase string")
-    asked = materialize(once.groupBy("phrase").agg(F.min("lang").alias("lang")))
-    words = asked.agg(F.sum(F.size(F.split("phrase", " ")))).head()[0] or 0
-    shards, counted = -(-5 * words // (4 * AUTOMATON_WORDS)), []  # dealt by hash, so four fifths full
-    for s in range(shards):
-        mine = asked.where(F.pmod(F.xxhash64("phrase"), F.lit(shards)) == s).orderBy("lang", "phrase").toArrow()["phrase"].to_pylist()
-        if not mine:
-            continue
-        shard = spark.sparkContext.broadcast("\n".join(mine))
-        key = uuid.uuid4().hex
-        counts = base.mapInArrow(tidy(_counter(shard, key), key), "lang string, block int, counts binary").repartition("lang", "block")
-        counted.append(materialize(counts.mapInArrow(tidy(_summer(shard, least)), "lang string, phrase string, f long")))
-        shard.destroy()
-    every = None
-    for part in counted:
-        every = part if every is None else every.unionByName(part)
-    every = spark.createDataFrame([], "lang string, phrase string, f long") if every is None else every
+    lists = found.where("bucket is not null").repartition("bucket").sortWithinPartitions("bucket")
+    every = lists.mapInArrow(tidy(_summer(least)), "lang string, phrase string, f long")
     counts = materialize(every.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("words"), "f"))
     totals = materialize(found.where("bucket is null").groupBy("lang").agg(F.sum("n").alias("n")))
-    for table in (found, asked, *counted):
-        discard(table)
+    discard(found)
     return counts, totals
 
 

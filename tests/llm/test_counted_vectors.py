@@ -190,3 +190,18 @@ def test_yinyang_bounds_spare_work():
                 book[p, e] = mine.sum(axis=0) // len(mine)
         drift = np.sqrt(((book - was).astype(float) ** 2).sum(axis=2)) * (1 + vector_codes.LOOSE)
     assert work[-1] < work[0] / 4
+
+
+def test_collocations_scan_as_often_for_many_phrases(spark, monkeypatch):
+    """The phrases that are counted do not tell how often the texts are read."""
+    rows = [("en" if k % 3 else None, " ".join(f"w{j % 50}" for j in range(k, k + 200))) for k in range(40)]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    jobs, got = [], []
+    for words in (1 << 20, 40):
+        monkeypatch.setattr(collocations, "AUTOMATON_WORDS", words)
+        spark.sparkContext.setJobGroup(f"phrases-{words}", "")
+        counts, totals = collocations.phrase_counts(docs, least=10)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"phrases-{words}")))
+        got.append((sorted(map(tuple, counts.collect())), sorted(map(tuple, totals.collect()))))
+    assert got[0] == got[1] and len(got[0][0]) > 400 and jobs[0] == jobs[1]
