@@ -62,3 +62,24 @@ def test_points_meet_only_widths_that_spans_have(spark):
     want = points.join(spans, "k").where("start <= at and at < end")
     assert sorted(map(tuple, found.select("k", "at", "start", "end").collect())) == sorted(map(tuple, want.select("k", "at", "start", "end").collect()))
     assert "0,1,2,3,4" not in found._jdf.queryExecution().toString().replace(" ", "")
+
+
+def test_listed_meets_all_in_small_places(spark, monkeypatch):
+    """Many blocks, parts and slices a key give each call each option once; calls of equal or null key stay apart."""
+    for name, n in {"BLOCK": 2, "GATHERED": 4, "PART": 8, "SLICE": 3, "MANY": 1}.items():
+        monkeypatch.setattr(dispatch, name, n)
+    calls = spark.createDataFrame([(f"c{k}", k % 3) for k in range(90)] + [(None, 0), ("c0", 0), ("alone", 7), ("none", None)], "call_key string, k int")
+    options = spark.range(40).select((F.col("id") % 2).cast("int").alias("k"), F.floor(F.col("id") / 2).alias("idx"), F.col("id").alias("target_id"))
+    got = dispatch.listed(calls, options, ["k"]).select("call_key", "k", "idx", "target_id").collect()
+    want = calls.join(options, "k").select("call_key", "k", "idx", "target_id").collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and len(got) == 62 * 20
+    assert dispatch.listed(calls.where("false"), options, ["k"]).count() == 0
+
+
+def test_listed_receivers_take_little_space(spark, tmp_path):
+    """What grows with calls times receivers is the result, so it decides how much disk there must be."""
+    emits = spark.range(8000).select(F.concat(F.lit("lib/module/file.go:"), F.col("id") * 7919).alias("call_key"), (F.col("id") % 2).alias("observable_sym"))
+    subs = spark.range(2002).select((F.col("id") % 2).alias("observable_sym"), (F.col("id") * 31).alias("callback_target"), F.concat(F.lit("user "), F.col("id")).alias("label"))
+    dispatch.receivers(emits, subs).write.parquet(f"{tmp_path}/out")
+    n = spark.read.parquet(f"{tmp_path}/out").count()
+    assert n == 8000 * 1001 and sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 0.4 * n
