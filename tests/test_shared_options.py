@@ -83,3 +83,22 @@ def test_listed_receivers_take_little_space(spark, tmp_path):
     dispatch.receivers(emits, subs).write.parquet(f"{tmp_path}/out")
     n = spark.read.parquet(f"{tmp_path}/out").count()
     assert n == 8000 * 1001 and sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 0.4 * n
+
+
+def test_options_with_gaps_meet_all_calls(spark, monkeypatch):
+    """Options that are left of many keep numbers beyond their count; none is lost where options of a key meet calls in slices."""
+    monkeypatch.setattr(dispatch, "SLICE", 2)
+    calls, impls, methods, known = _facts(spark)
+    all_, last = (dispatch.candidates(calls, impls, methods, ["label", "target_id"], None, t) for t in (None, known.where("target_id = 1")))
+    want = sorted(map(tuple, all_.where("target_id = 1").collect()))
+    assert sorted(map(tuple, last.collect())) == want and {r[1] for r in want} == {4}
+
+
+def test_listed_calls_move_once(spark):
+    """Calls are as many as the input's rows, so each further exchange of them takes as much disk again; equal ones are found where they are gathered."""
+    calls = spark.range(3000).select(F.concat(F.lit("c"), F.col("id") % 1000).alias("call_key"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("iface_key"), F.lit("m").alias("method_name"))
+    impls = spark.createDataFrame([("a", "t"), ("b", "t")], "iface_key string, type_key string")
+    methods = spark.createDataFrame([("t", "m", 1, "p"), ("t", "m", 2, "q")], "type_key string, method_name string, target_id long, label string")
+    once = dispatch.candidates(calls, impls, methods, ["label"], once=True)
+    assert once.count() == 2000 == once.distinct().count() and dispatch.candidates(calls, impls, methods, ["label"]).count() == 6000
+    assert once._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
