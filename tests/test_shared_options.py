@@ -102,3 +102,11 @@ def test_listed_calls_move_once(spark):
     once = dispatch.candidates(calls, impls, methods, ["label"], once=True)
     assert once.count() == 2000 == once.distinct().count() and dispatch.candidates(calls, impls, methods, ["label"]).count() == 6000
     assert once._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+
+
+def test_few_calls_of_many_options_are_dealt_over_tasks(spark):
+    """How long a task takes goes by the rows it lists, not by the few bytes of what meets."""
+    calls = spark.range(4500).select(F.col("id").alias("call_key"), F.lit(1).alias("k"))
+    options = spark.range(9000).select(F.lit(1).alias("k"), F.col("id").alias("idx"))
+    found = dispatch.listed(calls, options, ["k"]).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.countDistinct("call_key").alias("c")).collect()
+    assert sum(r.n for r in found) == 4500 * 9000 and len(found) > 1 and max(r.n for r in found) < 4500 * 9000
