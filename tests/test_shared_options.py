@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from codeloom import catalog
 from codeloom.operators import dispatch, intervals, resolvers, usages
 
 
@@ -110,3 +111,13 @@ def test_few_calls_of_many_options_are_dealt_over_tasks(spark):
     options = spark.range(9000).select(F.lit(1).alias("k"), F.col("id").alias("idx"))
     found = dispatch.listed(calls, options, ["k"]).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.countDistinct("call_key").alias("c")).collect()
     assert sum(r.n for r in found) == 4500 * 9000 and len(found) > 1 and max(r.n for r in found) < 4500 * 9000
+
+
+def test_usages_list_callers_with_their_calls(spark):
+    """What is worked out for each row that is listed is worked out calls times options often."""
+    calls, impls, methods, known = _facts(spark)
+    got = dispatch.candidates(calls, impls, methods, ["label", "target_id"], known, also=("choice",))
+    want = dispatch.candidates(calls, impls, methods, ["label", "target_id"], known).join(calls.select("call_key", "choice"), "call_key")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count()
+    plan = catalog.q_usages(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(call_key" not in plan
